@@ -1,0 +1,5 @@
+"""Intentionally empty.
+
+The capability set this package reproduces is batch only: it has no stream source,
+watermark, time window or state, so there is nothing to build here.
+"""
