@@ -76,8 +76,8 @@ def _order_statistics(df: DataFrame, keys: list[str], cols: list[str], wanted: l
         # Ranks of a bracket: the present ones of the two (a median rank needs no bracket).
         first = F.when(low >= 0, low).otherwise(high)
         last = F.when(high >= 0, high).otherwise(low)
-        left = F.floor(first / n * GRID).cast("int") - 2
-        right = F.ceil((last + 1) / n * GRID).cast("int") + 2
+        left = F.floor(F.try_divide(first * GRID, n)).cast("int") - 2
+        right = F.ceil(F.try_divide((last + 1) * GRID, n)).cast("int") + 2
         needed = (n > 0) & (last >= 0)
         brackets.append(
             F.struct(

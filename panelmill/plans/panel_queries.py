@@ -17,19 +17,19 @@ from panelmill.plans.views_sql import ANNUAL, MACRO, MONTHLY, PRICES
 from panelmill.sources import adapters as src
 
 _LEVELS = """, levels AS (
-  SELECT *, CASE WHEN coalesce(seq, ceq + 0.0, at - lt) + 0.0 - 0.0 > 0 THEN coalesce(seq, ceq + 0.0, at - lt) + 0.0 - 0.0 END AS book_equity,
+  SELECT *, CASE WHEN coalesce(seq, ceq + 0.0, assets - lt) + 0.0 - 0.0 > 0 THEN coalesce(seq, ceq + 0.0, assets - lt) + 0.0 - 0.0 END AS book_equity,
          abs(prcc_f) * csho AS market_equity, coalesce(dlc, 0) + 0.0 AS debt_total, coalesce(xrd, 0) AS xrd_filled,
          coalesce(oiadp, sale - cogs - 0.0 + coalesce(xrd, 0)) AS operating_profit
   FROM annual),
 measures AS (
-  SELECT entity, company, datadate, n, at, sale, invt, ppegt, capx,
-         book_equity / nullif(market_equity, 0) AS be_me, oancf / nullif(market_equity, 0) AS ocf_me, operating_profit / nullif(at, 0) AS op_at,
-         oancf / nullif(at, 0) AS ocf_at, debt_total / nullif(at, 0) AS debt_at, che / nullif(at, 0) AS cash_at,
+  SELECT entity, company, datadate, n, assets, sale, invt, ppegt, capx,
+         book_equity / nullif(market_equity, 0) AS be_me, oancf / nullif(market_equity, 0) AS ocf_me, operating_profit / nullif(assets, 0) AS op_at,
+         oancf / nullif(assets, 0) AS ocf_at, debt_total / nullif(assets, 0) AS debt_at, che / nullif(assets, 0) AS cash_at,
          oancf / nullif(debt_total, 0) AS cashflow_to_debt, act / nullif(lct, 0) AS current_ratio, (act - invt) / nullif(lct, 0) AS quick_ratio,
-         capx / nullif(at, 0) AS capx_at, xrd_filled / nullif(at, 0) AS rd_at,
-         (che + 0.715 * rect + 0.547 * invt + 0.535 * ppegt) / nullif(at, 0) AS tangibility, sale / nullif(at, 0) AS asset_turnover,
+         capx / nullif(assets, 0) AS capx_at, xrd_filled / nullif(assets, 0) AS rd_at,
+         (che + 0.715 * rect + 0.547 * invt + 0.535 * ppegt) / nullif(assets, 0) AS tangibility, sale / nullif(assets, 0) AS asset_turnover,
          sale / nullif(invt, 0) AS sales_to_inventory, sale / nullif(che, 0) AS sales_to_cash, sale / nullif(rect, 0) AS sales_to_receivables,
-         (ib - oancf) / nullif(at, 0) AS accruals_at, CASE WHEN market_equity > 0 THEN ln(market_equity) END AS log_comp_market_equity,
+         (ib - oancf) / nullif(assets, 0) AS accruals_at, CASE WHEN market_equity > 0 THEN ln(market_equity) END AS log_comp_market_equity,
          CASE WHEN coalesce(dvt, 0) > 0 THEN 1 ELSE 0 END AS dividend_dummy, CASE WHEN xrd IS NULL THEN 1 ELSE 0 END AS xrd_missing,
          floor(sic / 100) AS sic2
   FROM levels)"""
@@ -56,11 +56,11 @@ def report_measures(spark, sf):
 
 
 _GROWTH = """, spaced AS (
-  SELECT *, datediff('day', lag(datadate) OVER w, datadate) BETWEEN 300 AND 430 AS ok, lag(at) OVER w AS at0, lag(sale) OVER w AS sale0,
+  SELECT *, datediff('day', lag(datadate) OVER w, datadate) BETWEEN 300 AND 430 AS ok, lag(assets) OVER w AS at0, lag(sale) OVER w AS sale0,
          lag(capx) OVER w AS capx0, lag(ppegt + invt) OVER w AS pi0
   FROM {source} WINDOW w AS (PARTITION BY company ORDER BY datadate)),
 growth AS (
-  SELECT *, CASE WHEN ok THEN (at - at0) / nullif(at0, 0) END AS asset_growth, CASE WHEN ok THEN (sale - sale0) / nullif(sale0, 0) END AS sales_growth,
+  SELECT *, CASE WHEN ok THEN (assets - at0) / nullif(at0, 0) END AS asset_growth, CASE WHEN ok THEN (sale - sale0) / nullif(sale0, 0) END AS sales_growth,
          CASE WHEN ok THEN (capx - capx0) / nullif(capx0, 0) END AS capx_growth,
          CASE WHEN ok THEN (ppegt + invt - pi0) / nullif(at0, 0) END AS ppeinv_gr1a
   FROM spaced)"""
@@ -74,7 +74,7 @@ def annual_growth(spark, sf):
 
 
 _AVAILABLE = with_views(ANNUAL, PRICES) + """, reports AS (
-  SELECT entity, company, datadate, last_day(datadate + INTERVAL 6 MONTH) AS available_month, sale / at AS asset_turnover FROM annual),
+  SELECT entity, company, datadate, last_day(datadate + INTERVAL 6 MONTH) AS available_month, sale / assets AS asset_turnover FROM annual),
 grid AS (SELECT 'S' || entity AS entity, month, ret_1m FROM prices),
 matched AS (SELECT g.entity, g.month, g.ret_1m, x.company, x.datadate, x.available_month, x.asset_turnover
             FROM grid g ASOF LEFT JOIN reports x ON g.entity = x.entity AND g.month >= x.available_month)"""
@@ -307,13 +307,13 @@ def one_hot_codes(spark, sf):
 @query(
     "interactions",
     with_views(PRICES, MACRO)
-    + ", j AS (SELECT entity, p.month, ret_1m, last_adj_close / 100 AS level, m1, m2, m3, m4 FROM prices p LEFT JOIN macro x ON p.month = last_day(x.month + INTERVAL 1 DAY))"
+    + ", j AS (SELECT entity, p.month, ret_1m, last_adj_close / 99.7 AS level, m1, m2, m3, m4 FROM prices p LEFT JOIN macro x ON p.month = last_day(x.month + INTERVAL 1 DAY))"
     + " SELECT entity, month, "
     + ", ".join(f"round({c} * {m}, 8) + 0.0 AS {c}_x_{m}" for m in ("m1", "m2", "m3", "m4") for c in ("ret_1m", "level"))
     + " FROM j",
 )
 def interaction_columns(spark, sf):
-    m = src.monthly_prices(spark, sf).select("entity", "month", "ret_1m", (F.col("last_adj_close") / 100).alias("level"))
+    m = src.monthly_prices(spark, sf).select("entity", "month", "ret_1m", (F.col("last_adj_close") / 99.7).alias("level"))
     joined = relational.join_lagged_period(m, src.macro(spark, sf), "month", "month")
     out, made = crosssection.interactions(joined, ["ret_1m", "level"], src.MACRO)
     return rounded(out.select("entity", "month", *made), 8)
@@ -339,8 +339,11 @@ def contract_checks(spark, sf):
 
 @query(
     "dummy_and_interaction_contract",
-    with_views(MONTHLY, MACRO)
-    + """SELECT 'one_active_dummy' AS "check", CAST(0 AS BIGINT) AS failures, true AS ok UNION ALL SELECT 'interaction_is_product', CAST(0 AS BIGINT), true""",
+    with_views(PRICES, MACRO)
+    + """, j AS (SELECT entity, ret_1m, m1, ret_1m * m1 AS x, CAST(entity % 4 = 0 AS INT) + CAST(entity % 4 = 1 AS INT) + CAST(entity % 4 = 2 AS INT)
+  + CAST(entity % 4 = 3 AS INT) AS active FROM prices p LEFT JOIN macro s ON p.month = last_day(s.month + INTERVAL 1 DAY)),
+c AS (SELECT count(*) FILTER (active <> 1) AS a, count(*) FILTER (x <> ret_1m * m1) AS b FROM j)
+SELECT 'one_active_dummy' AS "check", a AS failures, a = 0 AS ok FROM c UNION ALL SELECT 'interaction_is_product', b, b = 0 FROM c""",
 )
 def dummy_and_interaction_contract(spark, sf):
     m = src.monthly_prices(spark, sf).withColumn("code", (F.col("entity") % 4).cast("string"))
@@ -357,7 +360,8 @@ def dummy_and_interaction_contract(spark, sf):
 
 @query(
     "constant_columns",
-    'SELECT \'one\' AS "column" UNION ALL SELECT \'o_orderstatus_is_text\'',
+    """WITH c AS (SELECT 'o_totalprice' AS "column", count(DISTINCT o_totalprice) AS n FROM orders UNION ALL SELECT 'one', count(DISTINCT 1) FROM orders
+UNION ALL SELECT 'o_orderstatus_is_text', count(DISTINCT length(o_orderstatus) > 0) FROM orders) SELECT "column" FROM c WHERE n <= 1""",
 )
 def constant_columns(spark, sf):
     orders = src.table(spark, sf, "orders").select(

@@ -92,16 +92,16 @@ PRICES = BARS + """, last_prices AS (
 MONTHLY = RESAMPLED + _gap_return("resampled", "monthly")
 
 ANNUAL = """yearly AS (
-  SELECT l_suppkey, year(l_shipdate) AS yr, round(sum(l_extendedprice), 2) AS at, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sale,
+  SELECT l_suppkey, year(l_shipdate) AS yr, round(sum(l_extendedprice), 2) AS assets, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sale,
          round(sum(l_quantity), 2) AS invt, round(sum(l_tax), 2) AS dlc, count(*) AS n
   FROM lineitem GROUP BY 1, 2),
 annual AS (
   SELECT 'S' || l_suppkey AS entity, CAST(l_suppkey AS VARCHAR) AS company, make_date(yr, 12, 31) AS datadate, n,
-         at, sale, invt, dlc, CASE WHEN n % 5 <> 0 THEN at * 0.4 END AS ceq, CASE WHEN n % 3 <> 0 THEN at * 0.3 END AS seq,
-         at * 0.55 AS lt, CASE WHEN n % 4 <> 0 THEN sale * 0.6 END AS cogs, CASE WHEN n % 2 <> 0 THEN sale * 0.05 END AS xrd,
+         assets, sale, invt, dlc, CASE WHEN n % 5 <> 0 THEN assets * 0.4 END AS ceq, CASE WHEN n % 3 <> 0 THEN assets * 0.3 END AS seq,
+         assets * 0.55 AS lt, CASE WHEN n % 4 <> 0 THEN sale * 0.6 END AS cogs, CASE WHEN n % 2 <> 0 THEN sale * 0.05 END AS xrd,
          CASE WHEN n % 7 <> 0 THEN sale * 0.12 END AS oiadp, sale * 0.02 - invt AS oancf,
          CASE WHEN n % 6 = 0 THEN 0.0 ELSE invt * 3 END AS lct, invt * 5 AS act, invt * 2 AS ppegt, invt + dlc AS capx,
-         invt / 10 AS csho, -at / 1e5 AS prcc_f, CASE WHEN n % 8 <> 0 THEN dlc END AS dvt, dlc AS che, dlc AS rect,
+         invt / 10 AS csho, -assets / 1e5 AS prcc_f, CASE WHEN n % 8 <> 0 THEN dlc END AS dvt, dlc AS che, dlc AS rect,
          sale * 0.01 AS ib, s_nationkey * 100 + 5 AS sic
   FROM yearly LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE n % 97 <> 0)"""
 

@@ -60,6 +60,7 @@ def main(sf: str, wanted: list[str]) -> None:
     from panelmill.session import local_session
 
     spark, con = local_session(cpus=8), connect(DATA / sf)
+    spark.sparkContext.setLogLevel("OFF")
     sql = oracle_sql()
     failed = 0
     for name, fn in queries().items():
@@ -73,7 +74,7 @@ def main(sf: str, wanted: list[str]) -> None:
             else:
                 problem, n = "", len(fn(spark, str(DATA / sf)).collect())
         except Exception as error:  # report and go on with the next query
-            problem, n = f"{type(error).__name__}: {str(error)[:1200]}", "!"
+            problem, n = f"{type(error).__name__}: {str(error)[:600]}", "!"
         failed += bool(problem)
         print(f"{'FAIL' if problem else 'ok  '} {name} [{n}] {time.time() - start:.1f}s {problem}", flush=True)
     print("failed:", failed)
