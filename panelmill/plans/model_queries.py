@@ -1 +1,216 @@
-"""Placeholder until its queries are written."""
+"""Queries that fit forecasters. The model frame is one month's measures against the next month's return."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from panelmill.models import linear, moments, trees, tuning
+from panelmill.models.grid import candidate_table, grid_problems
+from panelmill.operators import resample, timeline
+from panelmill.operators.reports import coefficient_table, cumulative_share, importance_table
+from panelmill.plans.registry import query, rounded, with_views
+from panelmill.plans.views_sql import MONTHLY
+from panelmill.session import cut_lineage
+from panelmill.sources import adapters as src
+
+PREDICTORS = ["ret_1m", "retvol_1m", "avg_log_dolvol_1m", "avg_range_1m"]
+_FRAME = with_views(
+    MONTHLY
+    + """, frame AS (SELECT * FROM (SELECT entity, month, ret_1m, retvol_1m, avg_log_dolvol_1m, avg_range_1m,
+    lead(ret_1m) OVER (PARTITION BY entity ORDER BY month) AS y FROM monthly)
+  WHERE y IS NOT NULL AND ret_1m IS NOT NULL AND retvol_1m IS NOT NULL AND avg_log_dolvol_1m IS NOT NULL AND avg_range_1m IS NOT NULL)"""
+)
+# Small grids: the full ones are models.grid.CANDIDATES.
+SMALL_GRID = {
+    "pls": [{"n_components": k} for k in (1, 2, 3)],
+    "elastic_net": [{"alpha": a, "l1_ratio": 0.85} for a in (1e-4, 1e-3)],
+}
+SMALL_TREES = {
+    "random_forest": [{"n_estimators": n} for n in (4, 8)],
+    "gradient_boosting": [{"n_estimators": n, "learning_rate": 0.1, "max_depth": 1} for n in (2, 4)],
+}
+_TREE_OPTIONS = {"max_depth": 6, "max_bins": 32}
+
+
+def _frame(spark, sf) -> DataFrame:
+    monthly = resample.resample_monthly(src.bars(spark, sf), "entity", "date")
+    m = timeline.gap_aware_return(monthly, "entity", "month", "last_adj_close", "ret_1m")
+    w = Window.partitionBy("entity").orderBy("month")
+    return m.select("entity", "month", *PREDICTORS, F.lead("ret_1m").over(w).alias("y")).dropna()
+
+
+def _stored(spark, sf) -> DataFrame:
+    """Fits read the frame several times."""
+    return cut_lineage(_frame(spark, sf))
+
+
+@query(
+    "standardise",
+    _FRAME
+    + ", t AS (SELECT "
+    + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in PREDICTORS)
+    + " FROM frame WHERE month <= DATE '1999-12-31') SELECT entity, month, "
+    + ", ".join(f"round(({c} - m_{c}) / s_{c}, 7) + 0.0 AS {c}" for c in PREDICTORS)
+    + " FROM frame, t",
+)
+def standardise(spark, sf):
+    df = _frame(spark, sf)
+    train = df.filter(F.col("month") <= F.lit("1999-12-31").cast("date"))
+    row = train.agg(*[F.avg(c) for c in PREDICTORS], *[F.stddev_pop(c) for c in PREDICTORS]).first()
+    p = len(PREDICTORS)
+    out = linear.scale_columns(df, PREDICTORS, row[:p], row[p:])
+    return rounded(out.select("entity", "month", *PREDICTORS), 7)
+
+
+@query(
+    "yearly_moments",
+    _FRAME
+    + """, z AS (SELECT year(month) AS period, 1.0 AS z0, y AS z1, ret_1m AS z2, retvol_1m AS z3 FROM frame)
+SELECT CAST(period AS INT) AS period, 0 AS i, 0 AS j, round(sum(z0 * z0), 6) + 0.0 AS value FROM z GROUP BY period UNION ALL SELECT period, 0, 1, round(sum(z1), 6) + 0.0 FROM z GROUP BY period
+UNION ALL SELECT period, 0, 2, round(sum(z2), 6) + 0.0 FROM z GROUP BY period UNION ALL SELECT period, 0, 3, round(sum(z3), 6) + 0.0 FROM z GROUP BY period
+UNION ALL SELECT period, 1, 1, round(sum(z1 * z1), 6) + 0.0 FROM z GROUP BY period UNION ALL SELECT period, 1, 2, round(sum(z1 * z2), 6) + 0.0 FROM z GROUP BY period
+UNION ALL SELECT period, 1, 3, round(sum(z1 * z3), 6) + 0.0 FROM z GROUP BY period UNION ALL SELECT period, 2, 2, round(sum(z2 * z2), 6) + 0.0 FROM z GROUP BY period
+UNION ALL SELECT period, 2, 3, round(sum(z2 * z3), 6) + 0.0 FROM z GROUP BY period UNION ALL SELECT period, 3, 3, round(sum(z3 * z3), 6) + 0.0 FROM z GROUP BY period""",
+)
+def yearly_moments(spark, sf):
+    df = _frame(spark, sf).withColumn("year", F.year("month"))
+    return rounded(moments.period_moments(df, "year", PREDICTORS[:2], "y", [0.0, 0.0, 0.0]))
+
+
+def _fit_row(spark, fit: linear.LinearFit, digits: int = 6) -> DataFrame:
+    rows = [(c, float(b)) for c, b in zip([*fit.predictors, "intercept"], [*fit.coefficients, fit.intercept])]
+    return rounded(spark.createDataFrame(rows, "term string, coefficient double"), digits)
+
+
+@query(
+    "ols_one_predictor",
+    _FRAME
+    + """SELECT 'ret_1m' AS term, round(regr_slope(y, ret_1m), 6) + 0.0 AS coefficient FROM frame UNION ALL SELECT 'intercept', round(regr_intercept(y, ret_1m), 6) + 0.0 FROM frame""",
+)
+def ols_one_predictor(spark, sf):
+    return _fit_row(spark, linear.fit_linear_mllib(_stored(spark, sf), ["ret_1m"], "y"))
+
+
+@query(
+    "ols_two_predictors",
+    _FRAME
+    + """, s AS (SELECT var_pop(ret_1m) AS a, var_pop(retvol_1m) AS b, covar_pop(ret_1m, retvol_1m) AS c, covar_pop(y, ret_1m) AS d, covar_pop(y, retvol_1m) AS e,
+  avg(y) AS my, avg(ret_1m) AS m1, avg(retvol_1m) AS m2 FROM frame), w AS (SELECT (d * b - e * c) / (a * b - c * c) AS w1, (e * a - d * c) / (a * b - c * c) AS w2, my, m1, m2 FROM s)
+SELECT 'ret_1m' AS term, round(w1, 6) + 0.0 AS coefficient FROM w UNION ALL SELECT 'retvol_1m', round(w2, 6) + 0.0 FROM w UNION ALL SELECT 'intercept', round(my - w1 * m1 - w2 * m2, 6) + 0.0 FROM w""",
+)
+def ols_two_predictors(spark, sf):
+    """Solved from the additive moments."""
+    parts = moments.fold_moments(_stored(spark, sf), "month", PREDICTORS[:2], "y")
+    return _fit_row(spark, linear.solve_ols(moments.combine(list(parts.values())), PREDICTORS[:2]))
+
+
+@query(
+    "elastic_net_one_predictor",
+    _FRAME
+    + """, s AS (SELECT stddev_pop(ret_1m) AS sd, covar_pop(y, ret_1m) / stddev_pop(ret_1m) AS z, avg(y) AS my, avg(ret_1m) AS mx FROM frame),
+w AS (SELECT sign(z) * greatest(abs(z) - 0.01 * 0.75, 0) / (1 + 0.01 * 0.25) / sd AS b, my, mx FROM s)
+SELECT 'ret_1m' AS term, round(b, 6) + 0.0 AS coefficient FROM w UNION ALL SELECT 'intercept', round(my - b * mx, 6) + 0.0 FROM w""",
+)
+def elastic_net_one_predictor(spark, sf):
+    parts = moments.fold_moments(_stored(spark, sf), "month", ["ret_1m"], "y")
+    return _fit_row(spark, linear.solve_elastic_net(moments.combine(list(parts.values())), ["ret_1m"], 0.01, 0.75))
+
+
+@query(
+    "pls_one_component",
+    _FRAME
+    + """, s AS (SELECT stddev_pop(ret_1m) AS s1, stddev_pop(retvol_1m) AS s2, covar_pop(y, ret_1m) / stddev_pop(ret_1m) AS z1, covar_pop(y, retvol_1m) / stddev_pop(retvol_1m) AS z2,
+  covar_pop(ret_1m, retvol_1m) / stddev_pop(ret_1m) / stddev_pop(retvol_1m) AS rho, avg(y) AS my, avg(ret_1m) AS m1, avg(retvol_1m) AS m2 FROM frame),
+q AS (SELECT *, (z1 * z1 + z2 * z2) / (z1 * z1 + z2 * z2 + 2 * rho * z1 * z2) AS k FROM s), w AS (SELECT k * z1 / s1 AS b1, k * z2 / s2 AS b2, my, m1, m2 FROM q)
+SELECT 'ret_1m' AS term, round(b1, 6) + 0.0 AS coefficient FROM w UNION ALL SELECT 'retvol_1m', round(b2, 6) + 0.0 FROM w UNION ALL SELECT 'intercept', round(my - b1 * m1 - b2 * m2, 6) + 0.0 FROM w""",
+)
+def pls_one_component(spark, sf):
+    parts = moments.fold_moments(_stored(spark, sf), "month", PREDICTORS[:2], "y")
+    return _fit_row(spark, linear.solve_pls(moments.combine(list(parts.values())), PREDICTORS[:2], 1)[0])
+
+
+@query("elastic_net_mllib")
+def elastic_net_mllib(spark, sf):
+    fit = linear.fit_linear_mllib(_stored(spark, sf), PREDICTORS, "y", alpha=1e-4, l1_ratio=0.5)
+    return coefficient_table(linear.coefficient_rows(spark, {"elastic_net": fit}))
+
+
+@query("pls_components")
+def pls_components(spark, sf):
+    parts = moments.fold_moments(_stored(spark, sf), "month", PREDICTORS, "y")
+    fit = linear.solve_pls(moments.combine(list(parts.values())), PREDICTORS, 3)[-1]
+    return cumulative_share(linear.component_rows(spark, fit), "component", "x_score_variance")
+
+
+@query("linear_grid_search")
+def linear_grid_search(spark, sf):
+    _, summary = tuning.tune(
+        _stored(spark, sf), "month", PREDICTORS, "y", [1998, 1999, 2000], SMALL_GRID,
+        {"pls": {"n_components": 3}, "elastic_net": {"alpha": 1e-4, "l1_ratio": 0.85}},
+    )
+    return summary
+
+
+@query("tree_grid_search")
+def tree_grid_search(spark, sf):
+    results, _ = tuning.tune(
+        _stored(spark, sf), "month", PREDICTORS, "y", [1999, 2000], SMALL_TREES,
+        {"random_forest": {"n_estimators": 4}, "gradient_boosting": {"n_estimators": 2, "learning_rate": 0.1, "max_depth": 1}}, **_TREE_OPTIONS,
+    )
+    return results
+
+
+@query("grid_checks")
+def grid_checks(spark, sf):
+    """Checks on the full candidate table, with the fold scores that each candidate still lacks."""
+    grid = candidate_table(spark)
+    checks = grid_problems(grid, {"pls": 5, "elastic_net": 10, "random_forest": 3, "gradient_boosting": 12})
+    years = _frame(spark, sf).select(F.year("month").alias("y")).distinct()
+    open_fits = grid.crossJoin(F.broadcast(years.agg(F.count(F.lit(1)).alias("n")))).agg(F.sum("n").alias("failures"))  # one row
+    return checks.unionByName(open_fits.select(F.lit("fits_per_full_search").alias("check"), "failures", F.lit(True).alias("ok")))
+
+
+@query("random_forest_importance")
+def random_forest_importance(spark, sf):
+    rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
+    forest = trees.ForestBlocks([6]).fit(rows, "y", **_TREE_OPTIONS)
+    return importance_table(trees.importance_rows(spark, {"random_forest": forest.importances(PREDICTORS)}, PREDICTORS))
+
+
+@query("gradient_boosting_stages")
+def gradient_boosting_stages(spark, sf):
+    df = _stored(spark, sf)
+    cut = F.lit("1999-12-31").cast("date")
+    train = trees.assemble(df.filter(F.col("month") <= cut), PREDICTORS, ["entity", "month", "y"])
+    test = trees.assemble(df.filter(F.col("month") > cut), PREDICTORS, ["entity", "month", "y"])
+    scored, _ = trees.boosted_stages(train, "y", [2, 5], 0.1, 2, apply_to=test, max_bins=32)
+    return scored.select("entity", "month", "y", "p_2", "p_5")
+
+
+@query("out_of_bag_metrics")
+def out_of_bag_metrics(spark, sf):
+    rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
+    return trees.oob_metrics(trees.out_of_bag(rows, ["entity", "month"], "y", trees=5, **_TREE_OPTIONS), "month", "y")
+
+
+@query("final_evaluation")
+def final_evaluation(spark, sf):
+    df = _stored(spark, sf)
+    cut = F.lit("1999-12-31").cast("date")
+    settings = {
+        "pls": {"n_components": 2}, "elastic_net": {"alpha": 1e-4, "l1_ratio": 0.85}, "random_forest": {"n_estimators": 4},
+        "gradient_boosting": {"n_estimators": 3, "learning_rate": 0.1, "max_depth": 1},
+    }
+    out = tuning.final_evaluation(
+        df.filter(F.col("month") <= cut), df.filter(F.col("month") > cut), ["entity"], "month", PREDICTORS, "y", settings, PREDICTORS[:3],
+        **_TREE_OPTIONS,
+    )
+    return out["ranking"]
+
+
+@query("model_complexity")
+def model_complexity(spark, sf):
+    rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
+    forest = trees.ForestBlocks([4]).fit(rows, "y", **_TREE_OPTIONS)
+    return trees.complexity_rows(spark, {"random_forest": {**trees.tree_sizes(forest.trees()), "number_of_predictors": len(PREDICTORS)}})
