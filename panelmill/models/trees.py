@@ -73,14 +73,14 @@ def boosted_stages(
     max_depth: int,
     apply_to: DataFrame | None = None,
     max_bins: int = 256,
-    checkpoint_every: int = 10,
+    store_every: int = 10,
     seed: int = SEED,
 ) -> tuple[DataFrame, list]:
     """Gradient boosting for squared loss: F0 = mean, F += rate * tree fitted to the residual.
 
     MLlib's own booster gives its first tree weight 1 instead of the rate, hence the loop. A fit of
     many trees passes through all smaller ones: ``p_<n>`` is the forecast after n trees, for every n in ``stages``.
-    Training and scored rows travel in one frame that is checkpointed every few trees, so the plan
+    Training and scored rows travel in one frame that is stored every few trees, so the plan
     stays short and a lost executor costs at most that many trees.
     """
     keep = train.columns
@@ -99,7 +99,7 @@ def boosted_stages(
         state = tree.transform(state).withColumn("__f", F.col("__f") + F.lit(learning_rate) * F.col("__step")).drop("__step")
         if number in wanted:
             state = state.withColumn(f"p_{number}", F.col("__f"))
-        if number % checkpoint_every == 0 or number == wanted[-1]:
+        if number % store_every == 0 or number == wanted[-1]:
             state = cut_lineage(state)
     outputs = [f"p_{n}" for n in wanted]
     scored = state.filter(~F.col("__fit")) if apply_to is not None else state

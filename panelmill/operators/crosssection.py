@@ -21,20 +21,21 @@ def impute_and_winsorize(
     lower: float = names.WINSOR_LOWER,
     upper: float = names.WINSOR_UPPER,
     winsorize: bool = True,
+    is_stored: bool = False,
 ) -> DataFrame:
     """Fill NULLs with the period median (0 if the period has none), then clip to period quantiles.
 
     The bounds are those of the filled sample. They come as one row per period with an array over features,
-    broadcast after a row count, so no wide row is shuffled.
+    broadcast after a row count, so no wide row is shuffled. The input is read several times: it is stored
+    first unless ``is_stored``.
     """
     cols = list(cols)
-    bounds = group_clip_bounds(df, [period], cols, lower, upper)
-    order = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
+    df = df if is_stored else cut_lineage(df)
+    bounds = group_clip_bounds(df, [period], cols, lower, upper, is_stored=True)
+    position = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature"))
     per_period = cut_lineage(
         bounds.groupBy(period).agg(
-            F.sort_array(
-                F.collect_list(F.struct(order[F.col("feature")].alias("i"), "median", "lower", "upper"))
-            ).alias("__bounds")  # len(cols) entries
+            F.sort_array(F.collect_list(F.struct(position.alias("i"), "median", "lower", "upper"))).alias("__bounds")  # len(cols) entries
         )
     )
     joined = df.join(broadcast_if_bounded(per_period), period, "left")

@@ -1,14 +1,16 @@
-"""Exact group quantiles without gathering a group.
+"""Exact group quantiles.
 
-The built-in ``percentile`` keeps every distinct value of a group in one aggregation buffer, so
-a month with a third of all rows would land in one task. Here a group is never gathered:
+The largest group is counted first.
+
+*Small groups* (at most ``GATHER_ROWS`` rows): the values of a group are gathered and sorted in one aggregate.
+
+*Larger ones* are never gathered, so a month with a third of all rows is no hot spot:
 
 1. one mergeable sketch per group and column gives a grid of approximate quantiles and the exact counts;
 2. the grid brackets each wanted order statistic between two values a fraction of a percent apart;
 3. the rows below a bracket are counted and only the values inside it are shuffled and ranked.
 
-The result is exact: the bracket is checked against the counts, and a miss is an error, never
-a wrong number. The input is read three times, so hand over a stored table.
+Both ways are exact. A bracket is checked against the counts; a miss is an error, never a wrong number.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from pyspark.sql import functions as F
 from panelmill.operators.relational import broadcast_if_bounded
 from panelmill.session import cut_lineage
 
+GATHER_ROWS = 100_000
 GRID = 1000
 ACCURACY = 20_000
 
+Wanted = list[tuple[str, float]]
+
 
+# --- which order statistics make up a quantile -----------------------------------------
 def _ranks_plain(p: float, n: Column, total: Column) -> tuple[Column, Column, Column]:
-    """Ranks around quantile ``p`` of the n present values, and the interpolation weight."""
+    """0-based ranks around quantile ``p`` of the n present values, and the interpolation weight."""
     h = (n - 1) * F.lit(float(p))
     low = F.floor(h)
     return low, F.least(low + 1, n - 1), h - low
@@ -48,143 +54,160 @@ def _ranks_after_imputation(p: float, n: Column, total: Column) -> tuple[Column,
     return present_rank(low), present_rank(F.least(low + 1, total - 1)), h - low
 
 
-def _order_statistics(df: DataFrame, keys: list[str], cols: list[str], wanted: list[tuple[str, object]]) -> DataFrame:
-    """Rows (keys, feature, n, total, values): one interpolated value per entry of ``wanted``.
+def _ranks(kind: str, p: float, n: Column, total: Column) -> tuple[Column, Column, Column]:
+    low, high, weight = (_ranks_plain if kind == "plain" else _ranks_after_imputation)(p, n, total)
+    return low.cast("int"), high.cast("int"), weight.cast("double")
 
-    ``wanted`` holds (kind, p) with kind ``plain`` or ``imputed``; a ``plain`` 0.5 must come first if
-    any ``imputed`` entry is present, since it supplies the median.
-    """
-    grid_points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    sketched = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__total"),
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.count(c).alias("n"),
-                F.percentile_approx(F.col(c).cast("double"), grid_points, ACCURACY).alias("grid"),
-            ).alias(f"__s{j}")
-            for j, c in enumerate(cols)
-        ],
+
+def _cell(low: Column, high: Column, weight: Column, low_value: Column, high_value: Column) -> Column:
+    return F.struct(
+        low.alias("low"), high.alias("high"), weight.alias("weight"), low_value.alias("low_value"), high_value.alias("high_value")
     )
-    n, total = F.col("__f.n"), F.col("__total")
-    per_feature = sketched.select(
-        *keys, "__total", F.posexplode(F.array(*[f"__s{j}" for j in range(len(cols))])).alias("__j", "__f")
+
+
+# --- small groups --------------------------------------------------------------------------
+def _gathered(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted) -> DataFrame:
+    """For groups whose size was checked: one pass, one sorted array per group and column."""
+    grouped = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.array(*[F.sort_array(F.collect_list(F.col(c).cast("double"))) for c in cols]).alias("__values"),
     )
-    brackets = []
+    rows = grouped.select(*keys, "total", F.posexplode("__values").alias("__j", "__v"))
+    rows = rows.withColumn("n", F.size("__v").cast("long"))
+
+    def at(rank: Column) -> Column:
+        return F.when((F.col("n") > 0) & (rank >= 0), F.get("__v", rank))
+
+    cells = []
     for kind, p in wanted:
-        low, high, weight = (_ranks_plain if kind == "plain" else _ranks_after_imputation)(p, n, total)
-        # Ranks of a bracket: the present ones of the two (a median rank needs no bracket).
-        first = F.when(low >= 0, low).otherwise(high)
-        last = F.when(high >= 0, high).otherwise(low)
-        left = F.floor(F.try_divide(first * GRID, n)).cast("int") - 2
-        right = F.ceil(F.try_divide((last + 1) * GRID, n)).cast("int") + 2
-        needed = (n > 0) & (last >= 0)
-        brackets.append(
-            F.struct(
-                low.cast("long").alias("low"),
-                high.cast("long").alias("high"),
-                weight.cast("double").alias("weight"),
-                needed.alias("needed"),
-                F.when(left <= 0, F.lit(float("-inf"))).otherwise(F.element_at("__f.grid", F.greatest(left, F.lit(0)) + 1)).alias("from"),
-                F.when(right >= GRID, F.lit(float("inf"))).otherwise(F.element_at("__f.grid", F.least(right, F.lit(GRID)) + 1)).alias("to"),
-            )
-        )
-    # One row per group and feature; then back to one row per group with an array over features.
-    plan = cut_lineage(
-        per_feature.select(*keys, "__total", "__j", F.col("__f.feature").alias("feature"), n.alias("n"), F.array(*brackets).alias("b"))
-    )
-    wide = plan.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__j", "b"))).alias("__plan"))
-    # Group count is checked before the broadcast; collect_list holds len(cols) entries by construction.
-    rows = _join_on_keys(df.select(*keys, *cols), broadcast_if_bounded(wide), keys)
+        low, high, weight = _ranks(kind, p, F.col("n"), F.col("total"))
+        cells.append(_cell(low, high, weight, at(low), at(high)))
+    return rows.select(*keys, _feature_name(cols).alias("feature"), "n", "total", F.array(*cells).alias("__cells"))
+
 
-    pairs = [(j, b) for j in range(len(cols)) for b in range(len(wanted))]
+def _feature_name(cols: list[str]) -> Column:
+    return F.get(F.array(*[F.lit(c) for c in cols]), F.col("__j"))
 
-    def edge(j: int, b: int, side: str) -> Column:
-        return F.col("__plan")[j]["b"][b][side]
 
-    below = rows.groupBy(*keys).agg(
+# --- groups of any size --------------------------------------------------------------------
+def _bracketed(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted) -> DataFrame:
+    grid_points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    sketched = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"),
         F.array(
             *[
-                F.coalesce(F.sum(F.when(F.col(cols[j]) < edge(j, b, "from"), 1)), F.lit(0))
-                for j, b in pairs
+                F.struct(
+                    F.count(c).alias("n"), F.percentile_approx(F.col(c).cast("double"), grid_points, ACCURACY).alias("grid")
+                )
+                for c in cols
             ]
-        ).alias("__below")
+        ).alias("__sketches"),
+    )
+    per_feature = sketched.select(*keys, "total", F.posexplode("__sketches").alias("__j", "__s")).select(
+        *keys, "total", "__j", F.col("__s.n").alias("n"), F.col("__s.grid").alias("grid")
     )
-    below = below.select(*keys, F.posexplode("__below").alias("__cell", "__n_below"))
-    inside = [
-        F.when(
-            edge(j, b, "needed") & (F.col(cols[j]) >= edge(j, b, "from")) & (F.col(cols[j]) <= edge(j, b, "to")),
-            F.struct(F.lit(j * len(wanted) + b).alias("cell"), F.col(cols[j]).cast("double").alias("v")),
+    n, total = F.col("n"), F.col("total")
+    brackets = []
+    for kind, p in wanted:
+        low, high, weight = _ranks(kind, p, n, total)
+        first, last = F.when(low >= 0, low).otherwise(high), F.when(high >= 0, high).otherwise(low)
+        left = F.floor(F.try_divide(first * F.lit(float(GRID)), n)).cast("int") - 2
+        right = F.ceil(F.try_divide((last + 1) * F.lit(float(GRID)), n)).cast("int") + 2
+        brackets.append(
+            F.struct(
+                low.alias("low"), high.alias("high"), weight.alias("weight"),
+                ((n > 0) & (last >= 0)).alias("needed"),
+                F.when(left <= 0, F.lit(float("-inf"))).otherwise(F.get("grid", left)).alias("start"),
+                F.when(right >= GRID, F.lit(float("inf"))).otherwise(F.get("grid", right)).alias("stop"),
+            )
         )
-        for j, b in pairs
-    ]
-    candidates = (
-        rows.select(*keys, F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull())).alias("__s"))
-        .select(*keys, F.col("__s.cell").alias("__cell"), F.col("__s.v").alias("__v"))
-        .groupBy(*keys, "__cell", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
+    # One row per group and feature, a few numbers each.
+    plan = cut_lineage(per_feature.select(*keys, "__j", "n", "total", F.array(*brackets).alias("__b")))
+    cell_keys = [*keys, "__j"]
+    long = df.select(*keys, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("__j", "__v")).dropna(subset=["__v"])
+    rows = long.join(broadcast_if_bounded(plan.select(*cell_keys, "__b")), cell_keys)
+    below = rows.groupBy(*cell_keys).agg(
+        F.array(*[F.count_if(F.col("__v") < F.col("__b")[i]["start"]) for i in range(len(wanted))]).alias("__below")
+    )
+    hits = F.filter(
+        F.transform("__b", lambda b, i: F.when(b["needed"] & (F.col("__v") >= b["start"]) & (F.col("__v") <= b["stop"]), i)),
+        lambda i: i.isNotNull(),
     )
-    # A bracket spans about half a percent of its group; its distinct values are sorted, not buffered.
-    w = Window.partitionBy(*keys, "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    # Equal values are merged before the shuffle; a bracket keeps about half a percent of its group.
+    candidates = rows.select(*cell_keys, "__v", F.explode(hits).alias("__i")).groupBy(*cell_keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*cell_keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = candidates.withColumn("__upto", F.sum("__c").over(w))
-    cells = plan.select(*keys, "__total", "__j", "feature", "n", F.posexplode("b").alias("__b", "__w")).withColumn(
-        "__cell", F.col("__j") * len(wanted) + F.col("__b")
+    targets = plan.join(below, cell_keys, "left").select(*cell_keys, "__below", "__b")
+    located = ranked.join(broadcast_if_bounded(targets), cell_keys).select(
+        *cell_keys, "__i", "__v", F.get("__below", "__i").alias("__base"), F.get("__b", "__i").alias("__w"), "__upto"
+    )
+
+    def value_at(rank: Column) -> Column:
+        inside = (rank >= F.col("__base")) & (rank < F.col("__base") + F.col("__upto"))
+        return F.min(F.when(inside, F.col("__v")))
+
+    picked = located.groupBy(*cell_keys, "__i").agg(
+        value_at(F.col("__w")["low"]).alias("low_value"), value_at(F.col("__w")["high"]).alias("high_value")
     )
-    targets = _join_on_keys(cells, below, [*keys, "__cell"])
-    # Both sides are bounded by the number of groups, except the candidates.
-    joined = _join_on_keys(ranked, targets.drop("feature", "n", "__total", "__j", "__b"), [*keys, "__cell"])
-    upto = F.col("__upto") + F.col("__n_below")
-
-    def at_rank(rank: str) -> Column:
-        r = F.col(f"__w.{rank}")
-        return F.min(F.when((r >= 0) & (upto > r) & (F.col("__n_below") <= r), F.col("__v")))
-
-    picked = joined.groupBy(*keys, "__cell").agg(at_rank("low").alias("__lo"), at_rank("high").alias("__hi"))
-    solved = _join_on_keys(targets, picked, [*keys, "__cell"], how="left")
-    missed = F.col("__w.needed") & (
-        ((F.col("__w.low") >= 0) & F.col("__lo").isNull()) | ((F.col("__w.high") >= 0) & F.col("__hi").isNull())
+    asked = plan.select(*cell_keys, "n", "total", F.posexplode("__b").alias("__i", "__w"))
+    solved = asked.join(picked, [*cell_keys, "__i"], "left")
+    w_ = F.col("__w")
+    missed = w_["needed"] & (
+        ((w_["low"] >= 0) & F.col("low_value").isNull()) | ((w_["high"] >= 0) & F.col("high_value").isNull())
     )
-    checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank; raise ACCURACY")).cast("double"))
-    cell = solved.select(*keys, "feature", "n", "__total", "__b", "__w", F.coalesce(checked, F.col("__lo")).alias("__lo"), "__hi")
-    return cell.groupBy(*keys, "feature").agg(
-        F.max("n").alias("n"),
-        F.max("__total").alias("total"),
-        F.sort_array(F.collect_list(F.struct("__b", "__w", "__lo", "__hi"))).alias("__cells"),  # len(wanted) entries
+    error = F.raise_error(F.lit("quantile bracket missed its rank; raise ACCURACY")).cast("double")
+    cell = _cell(w_["low"], w_["high"], w_["weight"], F.when(missed, error).otherwise(F.col("low_value")), F.col("high_value"))
+    return (
+        solved.select(*cell_keys, "n", "total", "__i", cell.alias("__cell"))
+        .groupBy(*cell_keys)
+        .agg(F.max("n").alias("n"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("__i", "__cell"))).alias("__l"))
+        .select(*keys, _feature_name(cols).alias("feature"), "n", "total", F.transform("__l", lambda e: e["__cell"]).alias("__cells"))
     )
 
 
-def _join_on_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    return a.join(b, keys, how) if keys else a.crossJoin(b)  # without keys both are one-row summaries of all rows
+def _order_statistics(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted, is_stored: bool, gather_rows: int) -> DataFrame:
+    data = df.select(*keys, *cols)
+    data = data if is_stored else cut_lineage(data)
+    largest = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return (_gathered if largest <= gather_rows else _bracketed)(data, keys, cols, wanted)
 
 
 def _interpolated(cell: Column, median: Column | None = None) -> Column:
-    low = F.when(cell["__w"]["low"] < 0, median).otherwise(cell["__lo"]) if median is not None else cell["__lo"]
-    high = F.when(cell["__w"]["high"] < 0, median).otherwise(cell["__hi"]) if median is not None else cell["__hi"]
-    return low + (high - low) * cell["__w"]["weight"]
+    low, high = cell["low_value"], cell["high_value"]
+    if median is not None:
+        low, high = F.when(cell["low"] < 0, median).otherwise(low), F.when(cell["high"] < 0, median).otherwise(high)
+    return low + (high - low) * cell["weight"]
 
 
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], probabilities: Sequence[float], prefix: str = "q"
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], probabilities: Sequence[float], prefix: str = "q",
+    is_stored: bool = False, gather_rows: int = GATHER_ROWS,
 ) -> DataFrame:
-    """Rows (keys, feature, n, total, ``<prefix>0``...): linearly interpolated exact quantiles, NULLs ignored."""
+    """Rows (keys, feature, n, total, ``<prefix>0``...): linearly interpolated exact quantiles, NULLs ignored.
+
+    The input is read a few times: it is stored first unless ``is_stored``.
+    """
     keys = list(keys)
-    solved = _order_statistics(df, keys, list(cols), [("plain", p) for p in probabilities])
+    solved = _order_statistics(df, keys, list(cols), [("plain", p) for p in probabilities], is_stored, gather_rows)
     return solved.select(
         *keys, "feature", "n", "total",
         *[_interpolated(F.col("__cells")[i]).alias(f"{prefix}{i}") for i in range(len(probabilities))],
     )
 
 
-def group_clip_bounds(df: DataFrame, keys: Sequence[str], cols: Sequence[str], lower: float, upper: float) -> DataFrame:
+def group_clip_bounds(
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], lower: float, upper: float, is_stored: bool = False,
+    gather_rows: int = GATHER_ROWS,
+) -> DataFrame:
     """Rows (keys, feature, n, total, median, lower, upper).
 
     ``median`` is that of the present values; the bounds are quantiles of the sample after the missing values
     were replaced by it. One pass solves both, because the filled-in block has a known place.
     """
     keys = list(keys)
-    solved = _order_statistics(df, keys, list(cols), [("plain", 0.5), ("imputed", lower), ("imputed", upper)])
-    median = _interpolated(F.col("__cells")[0])
-    out = solved.select(*keys, "feature", "n", "total", "__cells", median.alias("median"))
+    wanted: Wanted = [("plain", 0.5), ("imputed", lower), ("imputed", upper)]
+    solved = _order_statistics(df, keys, list(cols), wanted, is_stored, gather_rows)
+    out = solved.select(*keys, "feature", "n", "total", "__cells", _interpolated(F.col("__cells")[0]).alias("median"))
     return out.select(
         *keys, "feature", "n", "total", "median",
         _interpolated(F.col("__cells")[1], F.col("median")).alias("lower"),

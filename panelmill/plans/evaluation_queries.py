@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelmill.functions import names
+from panelmill.models.grid import grid_problems
 from panelmill.operators import evaluate, folds, quality, relational
 from panelmill.plans.registry import query, r, rounded, with_views
 from panelmill.plans.views_sql import METRIC_COLUMNS, PREDICTIONS, PRICES, YEARLY, metrics
@@ -327,3 +328,17 @@ def fixed_vs_selected(spark, sf):
 )
 def fold_coverage(spark, sf):
     return folds.fold_coverage(_scores(spark, sf), "candidate_id")
+
+
+@query(
+    "grid_checks",
+    with_views(_SCORES)
+    + """, g AS (SELECT DISTINCT model_family, candidate_id, factor, is_fixed FROM scores),
+c AS (SELECT model_family, count(*) AS n, count(DISTINCT factor) AS d, count(*) FILTER (is_fixed) AS f, CASE model_family WHEN 'lag' THEN 4 ELSE 3 END AS want FROM g GROUP BY 1),
+k AS (SELECT count(*) FILTER (n <> want) AS a, count(*) FILTER (n <> d) AS b, count(*) FILTER (f <> 1) AS e FROM c)
+SELECT 'unexpected_count' AS "check", a AS failures, a = 0 AS ok FROM k UNION ALL SELECT 'repeated_candidates', b, b = 0 FROM k UNION ALL SELECT 'fixed_setting_not_unique', e, e = 0 FROM k""",
+)
+def grid_checks(spark, sf):
+    """Checks on the candidates that were scored; one family is expected to be one candidate short."""
+    scored = _scores(spark, sf).select(*_KEYS, F.col("candidate_id").alias("parameters")).distinct()
+    return grid_problems(scored, {"lag": 4, "mean": 3})

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.models import linear, moments, trees, tuning
-from panelmill.models.grid import candidate_table, grid_problems
 from panelmill.operators import resample, timeline
 from panelmill.operators.reports import coefficient_table, cumulative_share, importance_table
 from panelmill.plans.registry import query, rounded, with_views
@@ -161,16 +160,6 @@ def tree_grid_search(spark, sf):
     return results
 
 
-@query("grid_checks")
-def grid_checks(spark, sf):
-    """Checks on the full candidate table, with the fold scores that each candidate still lacks."""
-    grid = candidate_table(spark)
-    checks = grid_problems(grid, {"pls": 5, "elastic_net": 10, "random_forest": 3, "gradient_boosting": 12})
-    years = _frame(spark, sf).select(F.year("month").alias("y")).distinct()
-    open_fits = grid.crossJoin(F.broadcast(years.agg(F.count(F.lit(1)).alias("n")))).agg(F.sum("n").alias("failures"))  # one row
-    return checks.unionByName(open_fits.select(F.lit("fits_per_full_search").alias("check"), "failures", F.lit(True).alias("ok")))
-
-
 @query("random_forest_importance")
 def random_forest_importance(spark, sf):
     rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])

@@ -1,9 +1,8 @@
 """The whole path from daily bars and reports to the model dataset, as plain functions.
 
 Two shuffles carry the panel: one by entity for everything along a history, one exchange of
-period summaries for everything across entities. Stage results are handed over as DataFrames; a
-caller who reads a stage more than once stores it (``stored``), because the
-cross-section reads its input three times.
+period summaries for everything across entities. Stages hand over lazy DataFrames and are stored
+once, where the grain changes and several readers follow (see ``cut_lineage``).
 """
 
 from __future__ import annotations
@@ -68,10 +67,14 @@ def add_reports(panel: DataFrame, raw_reports: DataFrame, max_age: int = names.M
 
 def base_dataset(
     panel: DataFrame, macro: DataFrame, macro_columns: Sequence[str], characteristics: Sequence[str] = names.CHARACTERISTICS,
-    market_columns: Sequence[str] = names.MARKET_COLUMNS, code: str = "sic2", code_values: Sequence[int] | None = None,
+    market_columns: Sequence[str] = names.MARKET_COLUMNS, code: str = "sic2", is_stored: bool = False,
 ) -> tuple[DataFrame, list[str]]:
-    """Keys, target and base predictors: characteristics, market, last month's macro state, industry dummies."""
-    coded, dummies = crosssection.one_hot(panel, code, "sic2", code_values)
+    """Keys, target and base predictors: characteristics, market, last month's macro state, industry dummies.
+
+    The list of dummies is read off the panel, which is stored first unless ``is_stored``.
+    """
+    panel = panel if is_stored else cut_lineage(panel)
+    coded, dummies = crosssection.one_hot(panel, code, "sic2")
     with_macro = join_lagged_period(coded, macro, "month", "month", 1)
     predictors = [*characteristics, *market_columns, *macro_columns, *dummies]
     return select_contract(with_macro, ["entity", "month", names.TARGET], predictors), predictors
@@ -80,16 +83,14 @@ def base_dataset(
 def model_dataset(
     base: DataFrame, predictors: Sequence[str], macro_columns: Sequence[str],
     continuous: Sequence[str] = names.CONTINUOUS_CHARACTERISTICS, binary: Sequence[str] = names.BINARY_CHARACTERISTICS,
-    stored: bool = False,
+    is_stored: bool = False,
 ) -> tuple[DataFrame, list[str]]:
     """Imputed, clipped dataset with interactions, first month dropped.
 
-    ``stored=False`` checkpoints the input first, since the quantiles read it three times.
+    ``is_stored``: the base is a stored table, or a cheap projection of one, and may be read several times.
     """
-    source = drop_first_period(base, "month")
-    source = source if stored else cut_lineage(source)
-    flags = crosssection.fill_flags(source, list(binary))
-    cleaned = crosssection.impute_and_winsorize(flags, "month", list(continuous))
+    flags = crosssection.fill_flags(drop_first_period(base, "month"), list(binary))
+    cleaned = crosssection.impute_and_winsorize(flags, "month", list(continuous), is_stored=is_stored)
     crossed, made = crosssection.interactions(cleaned, list(continuous), list(macro_columns))
     contract = [*predictors, *made]
     return select_contract(crossed, ["entity", "month", names.TARGET], contract), contract

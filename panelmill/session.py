@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,26 +28,28 @@ def local_session(name: str = "panelmill", cpus: int | str = "*", **conf) -> Spa
     return session
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share, for intermediate tables.
 
-    ``spark.checkpoint.dir`` wins. Only a local master may fall back to a private
-    folder: on a cluster that folder would be lost together with its machine.
+    ``spark.checkpoint.dir`` names it. Only a local master may do without: on a cluster a private
+    folder would be lost together with its machine.
     """
-    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(configured)
-        return
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if not context.master.startswith("local"):
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="panelmill-ckpt-"))
+    private = tempfile.mkdtemp(prefix="panelmill-")
+    spark.conf.set("spark.checkpoint.dir", private)
+    return private
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and drop its history."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back.
+
+    The table outlives lost executors and drops the plan behind it. Being columnar, it lets later
+    readers prune columns, and its known size lets the optimizer choose joins.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/panelmill/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
