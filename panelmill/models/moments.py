@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+TASKS_PER_CORE = 2
+
+
 @dataclass
 class Moments:
     """Cross products of z = (1, y, x1..xp), taken around ``shift`` to keep digits."""
@@ -55,8 +58,10 @@ def period_moments(df: DataFrame, period: str, predictors: Sequence[str], target
         for p, g in total.items():
             yield pd.DataFrame({"period": p, "i": i, "j": j, "value": g[i, j]})
 
+    # Every task writes a table of size p * p per period it meets: a few large tasks write far less than many small ones.
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
     data = df.select(F.col(period).cast("int").alias("__period"), *[F.col(c).cast("double").alias(c) for c in names]).dropna()
-    parts = data.mapInPandas(products, "period int, i int, j int, value double")
+    parts = data.coalesce(tasks).mapInPandas(products, "period int, i int, j int, value double")
     return parts.groupBy("period", "i", "j").agg(F.sum("value").alias("value"))
 
 

@@ -88,9 +88,8 @@ def forecast_metrics(
 
 
 def historical_mean_benchmark(df: DataFrame, estimation: DataFrame, target: str, out: str = "benchmark") -> DataFrame:
-    """Mean target of the estimation sample as a constant forecast (a one-row broadcast)."""
-    mean = estimation.agg(F.avg(target).alias(out))
-    return df.crossJoin(F.broadcast(mean))
+    """Mean target of the estimation sample as a constant forecast (a scalar subquery)."""
+    return df.withColumn(out, estimation.agg(F.avg(target)).scalar())
 
 
 def yearly_metrics(
@@ -152,6 +151,9 @@ def distribution_summary(df: DataFrame, keys: Sequence[str], value: str, distinc
     ``distinct`` maps output names to counted columns. Each distinct count is its own two-step
     aggregate, so no group's values meet in one task.
     """
+    if not keys:
+        whole = distribution_summary(df.withColumn("__all", F.lit(0)), ["__all"], value, distinct)
+        return whole.drop("__all")
     keys = list(keys)
     moments = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observations"),
@@ -163,11 +165,11 @@ def distribution_summary(df: DataFrame, keys: Sequence[str], value: str, distinc
     q = group_quantiles(df, keys, [value], [0.01, 0.5, 0.99]).select(
         *keys, F.col("q0").alias("p01"), F.col("q1").alias("median"), F.col("q2").alias("p99")
     )
-    out = moments.join(q, keys) if keys else moments.crossJoin(q)
+    out = moments.join(q, keys)
     for name, col in distinct.items():
         pairs = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.lit(1).alias("__one"))
         counted = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-        out = out.join(counted, keys) if keys else out.crossJoin(counted)
+        out = out.join(counted, keys)
     return out
 
 
@@ -196,12 +198,13 @@ def model_interpretation(metrics: DataFrame, predictions: DataFrame, yearly: Dat
 
 def behaviour_flags(interpretation: DataFrame, benchmark_model: str = names.BENCHMARK_MODEL) -> DataFrame:
     """True/false statements on each model's forecasts."""
-    reference = interpretation.agg(
-        F.max(F.when(F.col("model") == benchmark_model, F.col("monthly_mse"))).alias("__mse"),
-        F.min_by("model", "rank").alias("__best"),
-        F.max_by("model", "rank").alias("__worst"),
+    every = Window.partitionBy(F.lit(0))  # one row per model
+    rows = interpretation.select(
+        "*",
+        F.max(F.when(F.col("model") == benchmark_model, F.col("monthly_mse"))).over(every).alias("__mse"),
+        F.min_by("model", "rank").over(every).alias("__best"),
+        F.max_by("model", "rank").over(every).alias("__worst"),
     )
-    rows = interpretation.crossJoin(F.broadcast(reference))  # reference is one row
 
     def above(c: str) -> Column:
         return F.coalesce(F.col(c) > names.R2_TOLERANCE, F.lit(False))

@@ -44,7 +44,6 @@ def month_sequence_gaps(df: DataFrame, month: str) -> DataFrame:
 
 def lagged_coverage(df: DataFrame, month: str, cols: Sequence[str]) -> DataFrame:
     """Months after the first one in which a lagged dimension is missing, with row counts."""
-    first = df.agg(F.min(month).alias("__first"))
-    bad = df.join(F.broadcast(first), F.col(month) > F.col("__first")).filter(any_null(cols))
+    bad = df.filter(any_null(cols) & (F.col(month) > df.agg(F.min(month)).scalar()))
     return bad.groupBy(month).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -35,13 +35,15 @@ def expect(df: DataFrame, checks: Sequence[Check], unique: Sequence[str] = (), s
 
     With ``unique`` the surplus rows of repeated keys are counted too; both parts combine map-side.
     """
-    one = df.agg(*[c.failures.cast("long").alias(c.name) for c in checks]) if checks else None
+    parts = []
+    if checks:
+        one = df.agg(*[c.failures.cast("long").alias(c.name) for c in checks])
+        parts.append(one.unpivot([], [c.name for c in checks], "check", "failures"))
     if unique:
         sizes = df.groupBy(*unique).agg((F.count(F.lit(1)) - 1).alias("__surplus"))
-        repeated = sizes.agg(F.coalesce(F.sum("__surplus"), F.lit(0)).cast("long").alias("duplicate_keys"))
-        one = repeated if one is None else one.crossJoin(repeated)  # one row each
-    named = [c.name for c in checks] + (["duplicate_keys"] if unique else [])
-    long = one.unpivot([], named, "check", "failures").withColumn("ok", F.col("failures") == 0)
+        surplus = F.coalesce(F.sum("__surplus"), F.lit(0)).cast("long")
+        parts.append(sizes.agg(F.lit("duplicate_keys").alias("check"), surplus.alias("failures")))
+    long = reduce(DataFrame.unionByName, parts).withColumn("ok", F.col("failures") == 0)
     if strict:
         bad = long.filter(~F.col("ok")).collect()  # at most one row per check
         if bad:

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from panelmill.functions.scalars import shift_month_end
 
@@ -67,8 +68,8 @@ def split_by_time(df: DataFrame, time: str, train_end: str, validation_end: str)
 
 
 def drop_first_period(df: DataFrame, time: str) -> DataFrame:
-    first = df.agg(F.min(time).alias("__first"))
-    return df.join(F.broadcast(first), F.col(time) > F.col("__first")).drop("__first")
+    """Rows after the earliest period; the minimum is a scalar subquery."""
+    return df.filter(F.col(time) > df.agg(F.min(time)).scalar())
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -101,12 +102,13 @@ def broadcast_if_bounded(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> Dat
 def join_period(df: DataFrame, dim: DataFrame, time: str) -> DataFrame:
     """Left join of a month-grain dimension.
 
-    The group-by makes the month key unique, which both keeps the row count of ``df``
-    and bounds the broadcast side by the calendar (at most 120 thousand rows).
+    The group-by makes the key unique, which keeps the row count of ``df``. A DATE key then bounds the
+    broadcast side by the calendar; with any other key type its rows are counted first.
     """
     values = [c for c in dim.columns if c != time]
     unique = dim.groupBy(time).agg(*[F.max(c).alias(c) for c in values])
-    return df.join(F.broadcast(unique), time, "left")
+    dated = isinstance(dim.schema[time].dataType, DateType)
+    return df.join(F.broadcast(unique) if dated else broadcast_if_bounded(unique), time, "left")
 
 
 def join_lagged_period(df: DataFrame, dim: DataFrame, time: str, source_time: str, months: int = 1) -> DataFrame:
@@ -229,11 +231,13 @@ def missing_keys(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) ->
 
 
 def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: how many keys are on one side only, and whether the sets are equal."""
-    only_a = missing_keys(a, b, keys).agg(F.count(F.lit(1)).alias("only_left"))
-    only_b = missing_keys(b, a, keys).agg(F.count(F.lit(1)).alias("only_right"))
-    both = only_a.crossJoin(only_b)  # one row each
-    return both.withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+    """One row: how many keys are on one side only, and whether the sets are equal. One shuffle of distinct keys."""
+    sides = a.select(*keys, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(
+        b.select(*keys, F.lit(0).alias("__a"), F.lit(1).alias("__b"))
+    )
+    seen = sides.groupBy(*keys).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    counts = seen.agg(F.count_if(F.col("__b") == 0).alias("only_left"), F.count_if(F.col("__a") == 0).alias("only_right"))
+    return counts.withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

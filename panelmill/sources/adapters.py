@@ -138,16 +138,16 @@ def panel_predictions(spark: SparkSession, sf_dir: str, split: str = "1999-12-31
     w = Window.partitionBy("entity").orderBy("month")
     base = m.select("entity", "month", F.col("ret_1m").alias("realized_target"), F.lag("ret_1m").over(w).alias("lag1")).dropna()
     in_sample = F.col("month") <= F.lit(split).cast("date")
-    mean = base.filter(in_sample).agg(F.avg("realized_target").alias("mean"))
-    with_mean = base.crossJoin(F.broadcast(mean))  # one row
+    mean = base.filter(in_sample).agg(F.round(F.avg("realized_target"), 9)).scalar()
+    with_mean = base.withColumn("mean", mean)
     forecasts = F.explode(
         F.array(
-            F.struct(F.lit("historical_mean").alias("model"), F.round("mean", 9).alias("prediction")),
+            F.struct(F.lit("historical_mean").alias("model"), F.col("mean").alias("prediction")),
             F.struct(F.lit("lag").alias("model"), F.col("lag1").alias("prediction")),
             F.struct(F.lit("half_lag").alias("model"), (F.col("lag1") * 0.5).alias("prediction")),
         )
     )
-    long = with_mean.select("entity", "month", "realized_target", forecasts.alias("f"), F.round("mean", 9).alias("benchmark"))
+    long = with_mean.select("entity", "month", "realized_target", forecasts.alias("f"), F.col("mean").alias("benchmark"))
     sample = F.when(F.col("month") <= F.lit(split).cast("date"), "validation").otherwise("test")
     return long.select(
         F.col("f.model").alias("model"), sample.alias("sample"), "entity", "month", "realized_target",
