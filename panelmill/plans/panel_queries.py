@@ -13,7 +13,7 @@ from panelmill.operators import accounting, crosssection, islands, quality, rela
 from panelmill.operators.quantiles import group_quantiles
 from panelmill.plans import panel
 from panelmill.plans.registry import query, r, rounded, with_views
-from panelmill.plans.views_sql import ANNUAL, MACRO, MONTHLY, PRICES
+from panelmill.plans.views_sql import ANNUAL, MACRO, MARKET, MONTHLY, PRICES, RATES
 from panelmill.sources import adapters as src
 
 _LEVELS = """, levels AS (
@@ -394,19 +394,88 @@ def _panel(spark, sf):
 
 
 _PANEL_COLUMNS = ["ret_1m", "mom6m", "retvol12m", "price_to_ma12", "beta_12m", "idiovol_12m", "market_ret_1m", "vix_avg_1m", names.TARGET]
+_FRAME_12 = "OVER (PARTITION BY entity ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
+_FRAME_6 = "OVER (PARTITION BY entity ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)"
+_FRAME_252 = "OVER (PARTITION BY entity ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)"
+_PANEL_SQL = f"""{MONTHLY}, {MARKET}, {RATES}, holes AS (
+  SELECT entity, year(month) * 12 + month(month) - lag(year(month) * 12 + month(month)) OVER (PARTITION BY entity ORDER BY month) - 1 AS hole FROM monthly),
+kept AS (SELECT * FROM monthly WHERE entity NOT IN (SELECT entity FROM holes GROUP BY entity HAVING max(hole) > 2)),
+market_daily AS (SELECT *, last_day(date) AS month, adj_close / lag(adj_close) OVER (ORDER BY date) - 1 AS mret FROM market),
+market_months AS (SELECT month, arg_max(adj_close, date) AS p, avg(level) AS vix_avg_1m FROM market_daily GROUP BY month),
+market_gap AS (SELECT *, lag(month) OVER (ORDER BY month) AS before, lag(p) OVER (ORDER BY month) AS pb FROM market_months),
+market_state AS (SELECT month, vix_avg_1m, CASE WHEN month = last_day(before + INTERVAL 1 DAY) THEN p / pb - 1 END AS market_ret_1m FROM market_gap),
+pairs AS (SELECT entity, date, ret, mret FROM daily JOIN market_daily USING (date) WHERE ret IS NOT NULL AND mret IS NOT NULL),
+pair_moments AS (SELECT entity, date, CASE WHEN count(*) {_FRAME_252} >= 126 THEN covar_samp(ret, mret) {_FRAME_252} END AS cov, var_samp(mret) {_FRAME_252} AS vm,
+  var_samp(ret) {_FRAME_252} AS vs FROM pairs),
+risk_days AS (SELECT entity, date, last_day(date) AS month, cov / nullif(vm, 0) AS beta, CASE WHEN cov IS NOT NULL THEN sqrt(greatest(vs - (cov / nullif(vm, 0)) ** 2 * vm, 0)) END AS idio FROM pair_moments),
+risk AS (SELECT entity, month, arg_max(beta, date) AS beta_12m, arg_max(idio, date) AS idiovol_12m FROM risk_days GROUP BY entity, month),
+features AS (
+  SELECT *, CASE WHEN count(ret_1m) {_FRAME_6} = 6 THEN product(1 + ret_1m) {_FRAME_6} - 1 END AS mom6m, CASE WHEN count(retvol_1m) {_FRAME_12} = 12 THEN avg(retvol_1m) {_FRAME_12} END AS retvol12m,
+    CASE WHEN count(last_adj_close) {_FRAME_12} = 12 THEN last_adj_close / avg(last_adj_close) {_FRAME_12} END AS price_to_ma12,
+    CASE WHEN lead(month) OVER w = last_day(month + INTERVAL 1 DAY) THEN lead(ret_1m) OVER w END AS ret_next
+  FROM kept WINDOW w AS (PARTITION BY entity ORDER BY month)),
+panel AS (
+  SELECT f.*, beta_12m, idiovol_12m, market_ret_1m, vix_avg_1m, ret_next - rate AS {names.TARGET}
+  FROM features f LEFT JOIN risk USING (entity, month) LEFT JOIN market_state USING (month)
+  LEFT JOIN rates ON rates.month = last_day(f.month + INTERVAL 1 DAY) WHERE ret_next - rate IS NOT NULL)"""
+
+
+@query("monthly_panel", with_views(_PANEL_SQL) + f"SELECT 'S' || entity AS entity, month, {r(' '.join(_PANEL_COLUMNS), 7)} FROM panel")
+def monthly_panel(spark, sf):
+    return rounded(_panel(spark, sf).select("entity", "month", *_PANEL_COLUMNS), 7)
 
 
-@query("monthly_panel")
-def monthly_panel(spark, sf):
-    return _panel(spark, sf).select("entity", "month", *_PANEL_COLUMNS)
+def _dataset(spark, sf):
+    full = panel.add_reports(_panel(spark, sf), src.annual(spark, sf))
+    base, predictors = panel.base_dataset(full, src.macro(spark, sf), src.MACRO)
+    return panel.model_dataset(base, predictors, src.MACRO)
 
 
 @query("model_dataset")
 def model_dataset(spark, sf):
-    full = panel.add_reports(_panel(spark, sf), src.annual(spark, sf))
-    base, predictors = panel.base_dataset(full, src.macro(spark, sf), src.MACRO)
-    out, contract = panel.model_dataset(base, predictors, src.MACRO)
-    return out
+    """The whole table: keys, target and all predictors."""
+    return _dataset(spark, sf)[0]
+
+
+_CLEANED = ["mom6m", "price_to_ma12", "asset_turnover", "sales_growth"]
+_DATASET_SQL = (
+    with_views(_PANEL_SQL, ANNUAL, MACRO)
+    + _GROWTH.format(source="annual")
+    + f""", reports AS (SELECT entity, last_day(datadate + INTERVAL 6 MONTH) AS available_month, sale / nullif(assets, 0) AS asset_turnover, sales_growth,
+  CASE WHEN coalesce(dvt, 0) > 0 THEN 1 ELSE 0 END AS dividend_dummy, CAST(floor(sic / 100) AS INT) AS sic2 FROM growth),
+joined AS (SELECT p.month, p.mom6m, p.price_to_ma12, p.{names.TARGET}, 'S' || p.entity AS entity, x.available_month, x.asset_turnover, x.sales_growth, x.dividend_dummy, x.sic2
+  FROM panel p ASOF LEFT JOIN reports x ON 'S' || p.entity = x.entity AND p.month >= x.available_month),
+fresh AS (SELECT *, available_month IS NOT NULL AND year(month) * 12 + month(month) - year(available_month) * 12 - month(available_month) <= 12 AS ok FROM joined
+  WHERE month > (SELECT min(month) FROM joined)),
+filled AS (SELECT entity, month, {names.TARGET}, CASE WHEN ok THEN dividend_dummy ELSE 0 END AS dividend_dummy, CASE WHEN ok THEN 1 ELSE 0 END AS has_compustat_annual,
+  CASE WHEN ok AND sic2 = 3 THEN 1 ELSE 0 END AS sic2_3, CASE WHEN ok THEN 0 ELSE 1 END AS sic2_missing, """
+    + ", ".join(
+        f"coalesce({v}, median({v}) OVER (PARTITION BY month), 0.0) AS {c}"
+        for c, v in [("mom6m", "mom6m"), ("price_to_ma12", "price_to_ma12"), ("asset_turnover", "CASE WHEN ok THEN asset_turnover END"), ("sales_growth", "CASE WHEN ok THEN sales_growth END")]
+    )
+    + " FROM fresh), bounds AS (SELECT month, "
+    + ", ".join(f"quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.99) AS {c}_hi" for c in _CLEANED)
+    + f" FROM filled GROUP BY month), clipped AS (SELECT f.entity, f.month, {names.TARGET}, dividend_dummy, has_compustat_annual, sic2_3, sic2_missing, "
+    + ", ".join(f"greatest({c}_lo, least({c}_hi, {c})) AS {c}" for c in _CLEANED)
+    + " FROM filled f JOIN bounds USING (month))"
+    + f" SELECT entity, c.month, {r(names.TARGET + ' ' + ' '.join(_CLEANED) + ' m1', 7)}, CAST(dividend_dummy AS TINYINT) AS dividend_dummy,"
+    + " CAST(has_compustat_annual AS TINYINT) AS has_compustat_annual, CAST(sic2_3 AS TINYINT) AS sic2_3, CAST(sic2_missing AS TINYINT) AS sic2_missing,"
+    + " round(sales_growth * m2, 7) + 0.0 AS sales_growth_x_m2 FROM clipped c LEFT JOIN macro x ON c.month = last_day(x.month + INTERVAL 1 DAY)"
+)
+
+
+@query("model_dataset_columns", _DATASET_SQL)
+def model_dataset_columns(spark, sf):
+    """Columns of every kind from the model dataset, for comparison."""
+    cols = [names.TARGET, *_CLEANED, "m1", "dividend_dummy", "has_compustat_annual", "sic2_3", "sic2_missing", "sales_growth_x_m2"]
+    return rounded(_dataset(spark, sf)[0].select("entity", "month", *cols), 7)
+
+
+@query("model_dataset_contract")
+def model_dataset_contract(spark, sf):
+    """Final checks: no NULL, no infinity, no repeated key."""
+    dataset, contract = _dataset(spark, sf)
+    return panel.dataset_checks(dataset, contract, strict=False)
 
 
 # --- scalar functions on whole columns ------------------------------------------------------
