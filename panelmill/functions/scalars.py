@@ -19,10 +19,9 @@ def _c(col: Column | str) -> Column:
 
 # --- numbers -----------------------------------------------------------------
 def finite(col: Column | str) -> Column:
-    """NaN, +inf and -inf become NULL."""
+    """NaN, +inf and -inf become NULL (NaN sorts above infinity, so one comparison catches all)."""
     c = _c(col)
-    bad = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    return F.when(~bad, c)
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def to_double(col: Column | str) -> Column:
@@ -32,7 +31,7 @@ def to_double(col: Column | str) -> Column:
 
 def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:
     """Quotient with NULL for a zero, missing or infinite operand."""
-    return finite(F.try_divide(finite(numerator), finite(denominator)))
+    return finite(F.try_divide(_c(numerator), finite(denominator)))
 
 
 def positive(col: Column | str) -> Column:
@@ -143,8 +142,9 @@ def any_nonpositive(cols: Sequence[str]) -> Column:
 
 def null_out(df: DataFrame, condition: Column, cols: Sequence[str]) -> DataFrame:
     """Set several columns to NULL where ``condition`` is true, in one projection."""
-    keep = ~F.coalesce(condition, F.lit(False))
-    return df.select(*[F.when(keep, F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+    names = df.columns
+    marked = df.withColumn("__null", F.coalesce(condition, F.lit(False)))
+    return marked.selectExpr(*[f"if(__null, null, `{c}`) AS `{c}`" if c in cols else f"`{c}`" for c in names])
 
 
 def optional_column(df: DataFrame, name: str, dtype: str = "double") -> Column:

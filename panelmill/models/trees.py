@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.models.grid import SEED
-from panelmill.session import cut_lineage
 
 
 def assemble(df: DataFrame, predictors: Sequence[str], keep: Sequence[str], out: str = "features") -> DataFrame:
@@ -65,46 +64,51 @@ class ForestBlocks:
         return [t for _, m in self.blocks for t in m.trees]
 
 
+def tree_expression(tree, predictors: Sequence[str]) -> Column:
+    """A fitted shallow tree as a built-in CASE expression over the predictor columns."""
+
+    def at(node) -> Column:
+        if node.getClass().getSimpleName() == "LeafNode":
+            return F.lit(float(node.prediction()))
+        split = node.split()
+        column = F.col(predictors[split.featureIndex()]).cast("double")
+        return F.when(column <= F.lit(float(split.threshold())), at(node.leftChild())).otherwise(at(node.rightChild()))
+
+    return at(tree._java_obj.rootNode())
+
+
 def boosted_stages(
     train: DataFrame,
+    predictors: Sequence[str],
     label: str,
     stages: Sequence[int],
     learning_rate: float,
     max_depth: int,
-    apply_to: DataFrame | None = None,
     max_bins: int = 256,
-    store_every: int = 10,
     seed: int = SEED,
-) -> tuple[DataFrame, list]:
+) -> tuple[dict[int, Column], list]:
     """Gradient boosting for squared loss: F0 = mean, F += rate * tree fitted to the residual.
 
-    MLlib's own booster gives its first tree weight 1 instead of the rate, hence the loop. A fit of
-    many trees passes through all smaller ones: ``p_<n>`` is the forecast after n trees, for every n in ``stages``.
-    Training and scored rows travel in one frame that is stored every few trees, so the plan
-    stays short and a lost executor costs at most that many trees.
+    MLlib's own booster gives its first tree weight 1 instead of the rate, hence the loop. Trees are
+    one or two splits deep, so the forecast so far is a built-in expression of the predictor columns: a round reads the
+    (stored) training table and nothing is rewritten, shuffled by key or lost with an executor.
+
+    A fit of many trees passes through all smaller ones: returns ``{n: forecast after n trees}`` for the ``stages``.
     """
-    keep = train.columns
-    rows = train.withColumn("__fit", F.lit(True))
-    if apply_to is not None:
-        rows = rows.unionByName(apply_to.withColumn("__fit", F.lit(False)), allowMissingColumns=True)
     mean = train.agg(F.avg(label)).first()[0]
-    state, trees = cut_lineage(rows.withColumn("__f", F.lit(float(mean)))), []
-    wanted = sorted(stages)
-    for number in range(1, wanted[-1] + 1):
-        residual = state.filter("__fit").withColumn("__r", F.col(label) - F.col("__f"))
-        tree = DecisionTreeRegressor(
-            featuresCol="features", labelCol="__r", predictionCol="__step", maxDepth=max_depth, maxBins=max_bins, seed=seed,
-        ).fit(residual)
+    assembler = VectorAssembler(inputCols=list(predictors), outputCol="features")
+    learner = DecisionTreeRegressor(
+        featuresCol="features", labelCol="__r", predictionCol="__step", maxDepth=max_depth, maxBins=max_bins, seed=seed
+    )
+    total, trees, found = F.lit(float(mean)), [], {}
+    for number in range(1, max(stages) + 1):
+        residual = train.select(*predictors, (F.col(label) - total).alias("__r"))
+        tree = learner.fit(assembler.transform(residual).select("features", "__r"))
         trees.append(tree)
-        state = tree.transform(state).withColumn("__f", F.col("__f") + F.lit(learning_rate) * F.col("__step")).drop("__step")
-        if number in wanted:
-            state = state.withColumn(f"p_{number}", F.col("__f"))
-        if number % store_every == 0 or number == wanted[-1]:
-            state = cut_lineage(state)
-    outputs = [f"p_{n}" for n in wanted]
-    scored = state.filter(~F.col("__fit")) if apply_to is not None else state
-    names = (apply_to.columns if apply_to is not None else keep)
-    return scored.select(*names, *outputs), trees
+        total = total + F.lit(float(learning_rate)) * tree_expression(tree, predictors)
+        if number in stages:
+            found[number] = total
+    return found, trees
 
 
 def boosting_importances(trees: Sequence, predictors: Sequence[str]) -> list[float]:

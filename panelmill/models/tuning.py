@@ -16,11 +16,15 @@ from panelmill.models.grid import CANDIDATES, FIXED, candidate_rows, candidate_t
 from panelmill.models.linear import LinearFit, coefficient_rows, component_rows, solve_elastic_net, solve_ols, solve_pls
 from panelmill.models.moments import Moments, combine, fold_moments
 from panelmill.models.trees import (
-    ForestBlocks, assemble, boosted_stages, boosting_importances, complexity_rows, importance_rows, tree_sizes,
+    ForestBlocks, assemble, boosted_stages, boosting_importances, complexity_rows, importance_rows, oob_metrics, out_of_bag,
+    tree_sizes,
 )
 from panelmill.operators.evaluate import forecast_metrics, monthly_mse, rank_models
 from panelmill.operators.folds import fold_bounds, fold_table, summarise_folds
+from panelmill.operators.quality import expect, never, no_nulls
+from panelmill.operators.relational import missing_keys, union_all
 from panelmill.operators.reports import coefficient_table, cumulative_share, importance_table
+from panelmill.session import cut_lineage
 
 LINEAR = ("pls", "elastic_net")
 TREES = ("random_forest", "gradient_boosting")
@@ -85,7 +89,8 @@ def tune_trees(
     Sizes of a family share their fits: one set of forest blocks, and one boosting run per (rate, depth), per fold.
     Folds are submitted side by side; each fit is itself a distributed job.
     """
-    rows = assemble(df.dropna(subset=[*predictors, target]), predictors, [time, target]).persist()
+    plain = df.dropna(subset=[*predictors, target]).select(time, target, *predictors)
+    rows = assemble(plain, predictors, [time, target]).persist()
     boost_options = {k: v for k, v in tree_options.items() if k == "max_bins"}
 
     def scores(scored: DataFrame, columns: dict[str, str], year: int) -> list[DataFrame]:
@@ -113,8 +118,11 @@ def tune_trees(
                 if (s["learning_rate"], s["max_depth"]) == (rate, depth)
             }
             stages = sorted({int(c[2:]) for c in members.values()})
-            scored, _ = boosted_stages(train, target, stages, rate, depth, apply_to=validation, **boost_options)
-            out += scores(scored, members, year)
+            forecasts, _ = boosted_stages(
+                plain.filter(F.year(time) < year), predictors, target, stages, rate, depth, **boost_options
+            )
+            scored = plain.filter(F.year(time) == year)
+            out += scores(scored.select(time, target, *[e.alias(f"p_{n}") for n, e in forecasts.items()]), members, year)
         return [tuple(r) for part in out for r in part.collect()]  # one number per candidate
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
@@ -151,34 +159,40 @@ def selected_settings(selected: DataFrame) -> dict[str, dict]:
     return {r.model_family: json.loads(r.parameters) for r in selected.select("model_family", "parameters").collect()}
 
 
-def final_evaluation(
-    development: DataFrame,
-    test: DataFrame,
+def fit_and_forecast(
+    fit_sample: DataFrame,
+    samples: dict[str, DataFrame],
     keys: Sequence[str],
     month: str,
     predictors: Sequence[str],
     target: str,
     settings: dict[str, dict],
     ols_predictors: Sequence[str] = tuple(names.OLS3_PREDICTORS),
+    oob_trees: int = 0,
     **tree_options,
 ) -> dict[str, DataFrame]:
-    """Refit the chosen settings on development data and forecast the test rows.
+    """Fit the historical mean, OLS on few predictors and the given families on one sample; forecast others.
 
-    Returns predictions, metrics, ranking, coefficients, importances, complexity and (with PLS) components.
+    ``settings`` maps family to parameters. Returns predictions, metrics (one row per model and sample), coefficients,
+    complexity and, where they apply, importances, components and out-of-bag metrics.
     """
-    spark = development.sparkSession
+    spark = fit_sample.sparkSession
     predictors, out, fits, sizes, importances = list(predictors), [], {}, {}, {}
-    usable = development.dropna(subset=[*predictors, target])
-    rows = test.dropna(subset=[*predictors, target])
+    result: dict[str, DataFrame] = {}
+    usable = fit_sample.dropna(subset=[*predictors, target])
     mean = usable.agg(F.avg(target)).first()[0]
+    rows = {s: df.dropna(subset=[*predictors, target]).select(*keys, month, target, *predictors) for s, df in samples.items()}
 
-    def finish(model: str, scored: DataFrame, value) -> DataFrame:
-        return scored.select(
-            *keys, month, F.col(target).alias("realized_target"), value.cast("double").alias("prediction"),
-            F.lit(float(mean)).alias("benchmark"), F.lit(model).alias("model"), F.lit("test").alias("sample"),
-        )
+    def finish(model: str, value, scored: dict[str, DataFrame]) -> None:
+        for sample, df in scored.items():
+            out.append(
+                df.select(
+                    *keys, month, F.col(target).alias("realized_target"), value.cast("double").alias("prediction"),
+                    F.lit(float(mean)).alias("benchmark"), F.lit(model).alias("model"), F.lit(sample).alias("sample"),
+                )
+            )
 
-    out.append(finish("historical_mean", rows, F.lit(float(mean))))
+    finish("historical_mean", F.lit(float(mean)), rows)
     moments = combine(list(fold_moments(usable, month, predictors, target).values()))
     at = [0, 1, *[2 + predictors.index(c) for c in ols_predictors]]
     small = Moments(moments.cross[np.ix_(at, at)], moments.shift[[i - 1 for i in at[1:]]])
@@ -189,44 +203,38 @@ def final_evaluation(
     if "elastic_net" in settings:
         fits["elastic_net"] = solve_elastic_net(moments, predictors, settings["elastic_net"]["alpha"], settings["elastic_net"]["l1_ratio"])
     for model, fit in fits.items():
-        out.append(finish(model, rows, fit.expression()))
+        finish(model, fit.expression(), rows)
         if model != "pls":
             nonzero = int(np.sum(np.abs(fit.standardized) > names.COEFFICIENT_TOLERANCE))
             sizes[model] = {"nonzero_coefficients": nonzero, "nonzero_share": nonzero / len(fit.predictors)}
         sizes[model]["number_of_predictors"] = len(fit.predictors)
-    if any(f in settings for f in TREES):
-        train = assemble(usable, predictors, [month, target]).persist()
-        scored = assemble(rows, predictors, [*keys, month, target])
-        if "random_forest" in settings:
-            n = settings["random_forest"]["n_estimators"]
-            forest = ForestBlocks([n]).fit(train, target, **tree_options)
-            out.append(finish("random_forest", forest.transform(scored), F.col(f"p_{n}")))
-            importances["random_forest"] = forest.importances(predictors)
-            sizes["random_forest"] = {**tree_sizes(forest.trees()), "number_of_predictors": len(predictors)}
-        if "gradient_boosting" in settings:
-            g = settings["gradient_boosting"]
-            boosted, trees = boosted_stages(
-                train, target, [g["n_estimators"]], g["learning_rate"], g["max_depth"], apply_to=scored,
-                **{k: v for k, v in tree_options.items() if k == "max_bins"},
-            )
-            out.append(finish("gradient_boosting", boosted, F.col(f"p_{g['n_estimators']}")))
-            importances["gradient_boosting"] = boosting_importances(trees, predictors)
-            sizes["gradient_boosting"] = {
-                **tree_sizes(trees), "number_of_predictors": len(predictors), "learning_rate": float(g["learning_rate"]),
-                "maximum_depth_setting": int(g["max_depth"]),
-            }
+    if "random_forest" in settings:
+        n = settings["random_forest"]["n_estimators"]
+        train = assemble(usable, predictors, [*keys, month, target]).persist()
+        forest = ForestBlocks([n]).fit(train, target, **tree_options)
+        scored = {s: forest.transform(assemble(df, predictors, [*keys, month, target])) for s, df in rows.items()}
+        finish("random_forest", F.col(f"p_{n}"), scored)
+        importances["random_forest"] = forest.importances(predictors)
+        sizes["random_forest"] = {**tree_sizes(forest.trees()), "number_of_predictors": len(predictors)}
+        if oob_trees:
+            result["oob"] = cut_lineage(oob_metrics(out_of_bag(train, [*keys, month], target, oob_trees, **tree_options), month, target))
         train.unpersist()
-    predictions = out[0]
-    for part in out[1:]:
-        predictions = predictions.unionByName(part)
-    metrics = forecast_metrics(predictions, ["model", "sample"], month)
-    result = {
-        "predictions": predictions,
-        "metrics": metrics,
-        "ranking": rank_models(metrics, "test"),
-        "coefficients": coefficient_table(coefficient_rows(spark, fits)),
-        "complexity": complexity_rows(spark, sizes),
-    }
+    if "gradient_boosting" in settings:
+        g = settings["gradient_boosting"]
+        forecasts, trees = boosted_stages(
+            usable, predictors, target, [g["n_estimators"]], g["learning_rate"], g["max_depth"],
+            **{k: v for k, v in tree_options.items() if k == "max_bins"},
+        )
+        finish("gradient_boosting", forecasts[g["n_estimators"]], rows)
+        importances["gradient_boosting"] = boosting_importances(trees, predictors)
+        sizes["gradient_boosting"] = {
+            **tree_sizes(trees), "number_of_predictors": len(predictors), "learning_rate": float(g["learning_rate"]),
+            "maximum_depth_setting": int(g["max_depth"]),
+        }
+    result["predictions"] = union_all(*out)
+    result["metrics"] = forecast_metrics(result["predictions"], ["model", "sample"], month)
+    result["coefficients"] = coefficient_table(coefficient_rows(spark, fits))
+    result["complexity"] = complexity_rows(spark, sizes)
     if importances:
         result["importances"] = importance_table(importance_rows(spark, importances, predictors))
     if "pls" in fits:
@@ -234,6 +242,33 @@ def final_evaluation(
     return result
 
 
+def final_evaluation(
+    development: DataFrame, test: DataFrame, keys: Sequence[str], month: str, predictors: Sequence[str], target: str,
+    settings: dict[str, dict], **options,
+) -> dict[str, DataFrame]:
+    """Refit the chosen settings on development data, forecast the test rows once, rank the models."""
+    result = fit_and_forecast(development, {"test": test}, keys, month, predictors, target, settings, **options)
+    result["ranking"] = rank_models(result["metrics"], "test")
+    return result
+
+
+def selection_checks(results: DataFrame, grid: DataFrame, years: Sequence[int]) -> DataFrame:
+    """Completeness and leakage of tuning results: every candidate in every fold once, training before validation.
+
+    ``results`` holds one row per candidate and fold.
+    """
+    folds = fold_table(results.sparkSession, years)
+    wanted = grid.select("candidate_id").withColumn("validation_year", F.explode(F.array(*[F.lit(int(y)) for y in years])))
+    keys = ["candidate_id", "validation_year"]
+    checks = [never(F.year("train_end") >= F.col("validation_year"), "leaking_folds"), no_nulls(["monthly_mse"], "missing_scores")]
+    known = expect(results, checks, unique=keys)
+    absent = missing_keys(wanted, results, keys).agg(F.lit("missing_fits").alias("check"), F.count(F.lit(1)).alias("failures"))
+    extra = missing_keys(results, wanted, keys).agg(F.lit("unknown_fits").alias("check"), F.count(F.lit(1)).alias("failures"))
+    lost = missing_keys(folds, results, ["validation_year"]).agg(F.lit("empty_folds").alias("check"), F.count(F.lit(1)).alias("failures"))
+    more = union_all(absent, extra, lost).withColumn("ok", F.col("failures") == 0)
+    return known.unionByName(more)
+
+
 def selection_metadata(selected: DataFrame, folds: int, predictors: int, first_month: str, last_month: str) -> DataFrame:
     """One JSON document describing a selection run."""
     chosen = selected.agg(

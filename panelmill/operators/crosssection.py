@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions import names
-from panelmill.functions.scalars import clip, to_double
+from panelmill.functions.scalars import to_double
 from panelmill.operators.quantiles import group_clip_bounds
 from panelmill.operators.relational import broadcast_if_bounded
 from panelmill.session import cut_lineage
@@ -40,18 +40,19 @@ def impute_and_winsorize(
     )
     joined = df.join(broadcast_if_bounded(per_period), period, "left")
 
-    def cleaned(i: int, c: str) -> Column:
-        b = F.col("__bounds")[i]
-        filled = F.coalesce(F.col(c).cast("double"), b["median"], F.lit(0.0))
-        return (clip(filled, b["lower"], b["upper"]) if winsorize else filled).alias(c)
+    # Wide projections are written as SQL text: one call for all columns instead of a dozen per column.
+    def cleaned(c: str) -> str:
+        b = f"__bounds[{cols.index(c)}]"
+        filled = f"coalesce(cast(`{c}` AS double), {b}.median, 0.0D)"
+        clipped = f"CASE WHEN {filled} < {b}.lower THEN {b}.lower WHEN {filled} > {b}.upper THEN {b}.upper ELSE {filled} END"
+        return f"{clipped if winsorize else filled} AS `{c}`"
 
-    index = {c: i for i, c in enumerate(cols)}
-    return joined.select(*[cleaned(index[c], c) if c in index else F.col(c) for c in df.columns])
+    return joined.selectExpr(*[cleaned(c) if c in cols else f"`{c}`" for c in df.columns])
 
 
 def fill_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Binary columns: missing is 0, stored as a byte."""
-    return df.select(*[F.coalesce(F.col(c), F.lit(0)).cast("byte").alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.selectExpr(*[f"cast(coalesce(`{c}`, 0) AS byte) AS `{c}`" if c in cols else f"`{c}`" for c in df.columns])
 
 
 def code_values(df: DataFrame, code: str, limit: int = 10_000) -> list[int]:
@@ -66,15 +67,17 @@ def code_values(df: DataFrame, code: str, limit: int = 10_000) -> list[int]:
 def one_hot(df: DataFrame, code: str, prefix: str, values: Sequence[int] | None = None) -> tuple[DataFrame, list[str]]:
     """One byte column per code value; codes that are no number go to ``<prefix>_missing``."""
     values = code_values(df, code) if values is None else list(values)
-    c = F.coalesce(to_double(code).cast("int"), F.lit(-1))
     labels = [f"{prefix}_missing" if v == -1 else f"{prefix}_{v}" for v in values]
-    return df.select("*", *[(c == v).cast("byte").alias(n) for v, n in zip(values, labels)]), labels
+    coded = df.withColumn("__code", F.coalesce(to_double(code).cast("int"), F.lit(-1)))
+    dummies = [f"cast(__code = {v} AS byte) AS `{n}`" for v, n in zip(values, labels)]
+    return coded.selectExpr(*[f"`{c}`" for c in df.columns], *dummies), labels
 
 
 def interactions(df: DataFrame, cols: Sequence[str], states: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Products ``<col>_x_<state>``, state-major, in a single projection."""
-    made = [(f"{c}_x_{s}", F.col(c) * F.col(s)) for s in states for c in cols]
-    return df.select("*", *[e.alias(n) for n, e in made]), [n for n, _ in made]
+    pairs = [(c, s) for s in states for c in cols]
+    out = df.selectExpr("*", *[f"`{c}` * `{s}` AS `{c}_x_{s}`" for c, s in pairs])
+    return out, [f"{c}_x_{s}" for c, s in pairs]
 
 
 def as_vector(df: DataFrame, predictors: Sequence[str], out: str = "features") -> DataFrame:

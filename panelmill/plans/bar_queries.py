@@ -149,14 +149,14 @@ def _rolling_product(rows: int) -> str:
 @query(
     "rolling_momentum",
     with_views(PRICES)
-    + f"""SELECT entity, month, round({_rolling_product(6)}, 8) + 0.0 AS mom6m, round({_rolling_product(12)}, 8) + 0.0 AS mom12m,
-  round({_rolling_product(36)}, 8) + 0.0 AS long_term_return_36m FROM prices""",
+    + f"""SELECT entity, month, round({_rolling_product(6)}, 9) + 0.0 AS mom6m, round({_rolling_product(12)}, 9) + 0.0 AS mom12m,
+  round({_rolling_product(36)}, 9) + 0.0 AS long_term_return_36m FROM prices""",
 )
 def rolling_momentum(spark, sf):
     m = src.monthly_prices(spark, sf)
     w = Window.partitionBy("entity").orderBy("month")
     spans = {"mom6m": 6, "mom12m": 12, "long_term_return_36m": 36}
-    return rounded(m.select("entity", "month", *[timeline.compounded_return("ret_1m", n, w).alias(c) for c, n in spans.items()]), 8)
+    return rounded(m.select("entity", "month", *[timeline.compounded_return("ret_1m", n, w).alias(c) for c, n in spans.items()]), 9)
 
 
 _W12 = "OVER (PARTITION BY entity ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"

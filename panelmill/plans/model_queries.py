@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.models import linear, moments, trees, tuning
-from panelmill.operators import resample, timeline
+from panelmill.models.grid import candidate_table
+from panelmill.operators import relational, resample, timeline
 from panelmill.operators.reports import coefficient_table, cumulative_share, importance_table
 from panelmill.plans.registry import query, rounded, with_views
 from panelmill.plans.views_sql import MONTHLY
@@ -171,10 +172,9 @@ def random_forest_importance(spark, sf):
 def gradient_boosting_stages(spark, sf):
     df = _stored(spark, sf)
     cut = F.lit("1999-12-31").cast("date")
-    train = trees.assemble(df.filter(F.col("month") <= cut), PREDICTORS, ["entity", "month", "y"])
-    test = trees.assemble(df.filter(F.col("month") > cut), PREDICTORS, ["entity", "month", "y"])
-    scored, _ = trees.boosted_stages(train, "y", [2, 5], 0.1, 2, apply_to=test, max_bins=32)
-    return scored.select("entity", "month", "y", "p_2", "p_5")
+    forecasts, _ = trees.boosted_stages(df.filter(F.col("month") <= cut), PREDICTORS, "y", [2, 5], 0.1, 2, max_bins=32)
+    test = df.filter(F.col("month") > cut)
+    return test.select("entity", "month", "y", *[e.alias(f"p_{n}") for n, e in forecasts.items()])
 
 
 @query("out_of_bag_metrics")
@@ -192,12 +192,35 @@ def final_evaluation(spark, sf):
         "gradient_boosting": {"n_estimators": 3, "learning_rate": 0.1, "max_depth": 1},
     }
     out = tuning.final_evaluation(
-        df.filter(F.col("month") <= cut), df.filter(F.col("month") > cut), ["entity"], "month", PREDICTORS, "y", settings, PREDICTORS[:3],
-        **_TREE_OPTIONS,
+        df.filter(F.col("month") <= cut), df.filter(F.col("month") > cut), ["entity"], "month", PREDICTORS, "y", settings,
+        ols_predictors=PREDICTORS[:3], **_TREE_OPTIONS,
     )
     return out["ranking"]
 
 
+@query("fixed_model_metrics")
+def fixed_model_metrics(spark, sf):
+    """Models with fixed settings, fitted on train, measured on train and validation."""
+    samples = relational.split_by_time(_stored(spark, sf), "month", "1998-12-31", "1999-12-31")
+    settings = {"pls": {"n_components": 3}, "elastic_net": {"alpha": 1e-4, "l1_ratio": 0.5}, "random_forest": {"n_estimators": 4}}
+    out = tuning.fit_and_forecast(
+        samples["train"], {s: samples[s] for s in ("train", "validation")}, ["entity"], "month", PREDICTORS, "y", settings,
+        ols_predictors=PREDICTORS[:3], **_TREE_OPTIONS,
+    )
+    return out["metrics"]
+
+
+@query("selection_checks")
+def selection_checks(spark, sf):
+    """Tuning results are complete and leak nothing; one candidate of the expected grid was not run."""
+    results, _ = tuning.tune(
+        _stored(spark, sf), "month", PREDICTORS, "y", [1998, 1999, 2000], SMALL_GRID,
+        {"pls": {"n_components": 3}, "elastic_net": {"alpha": 1e-4, "l1_ratio": 0.85}},
+    )
+    wider = {**SMALL_GRID, "pls": [*SMALL_GRID["pls"], {"n_components": 4}]}
+    return tuning.selection_checks(results, candidate_table(spark, None, wider), [1998, 1999, 2000])
+
+
 @query("model_complexity")
 def model_complexity(spark, sf):
     rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions import names
-from panelmill.operators import accounting, clean, crosssection, quality, resample, timeline
-from panelmill.operators.relational import drop_first_period, join_lagged_period, select_contract
+from panelmill.operators import accounting, clean, crosssection, islands, quality, resample, timeline
+from panelmill.operators.relational import drop_first_period, join_lagged_period, select_contract, union_all
 from panelmill.session import cut_lineage
 
 
@@ -101,3 +101,37 @@ def dataset_checks(dataset: DataFrame, contract: Sequence[str], strict: bool = T
     numeric = [names.TARGET, *contract]
     checks = [quality.no_nulls(["entity", "month", *numeric]), quality.no_infinities(numeric)]
     return quality.expect(dataset, checks, unique=["entity", "month"], strict=strict)
+
+
+def macro_problems(macro: DataFrame, columns: Sequence[str], varying: Sequence[str], max_run: int = names.MAX_CONSTANT_RUN) -> DataFrame:
+    """Checks on a monthly state table (check, failures, ok): unique and continuous months, no gaps, no stale series."""
+    base = quality.expect(macro, [quality.no_nulls(["month", *columns])], unique=["month"])
+    gaps = islands.month_sequence_gaps(macro, "month").agg(F.lit("missing_months").alias("check"), F.count(F.lit(1)).alias("failures"))
+    stale = [
+        islands.longest_run(macro, [], "month", c).select(
+            F.lit(f"stale_{c}").alias("check"), F.when(F.col("length") > max_run, F.col("length")).otherwise(0).alias("failures")
+        )
+        for c in varying
+    ]
+    return union_all(base, *[part.withColumn("ok", F.col("failures") == 0) for part in (gaps, *stale)])
+
+
+def dataset_summary(dataset: DataFrame, contract: Sequence[str]) -> DataFrame:
+    """Item-value summary of a model dataset."""
+    numeric = [names.TARGET, *contract]
+    return quality.key_value_summary(
+        dataset,
+        {
+            "final_rows": F.count(F.lit(1)),
+            "final_columns": F.lit(len(dataset.columns)),
+            "final_predictors": F.lit(len(contract)),
+            "sic2_dummies": F.lit(sum(c.startswith("sic2_") for c in contract)),
+            "interactions": F.lit(sum("_x_" in c for c in contract)),
+            "unique_entities": F.count_distinct("entity"),
+            "first_month": F.min("month"),
+            "last_month": F.max("month"),
+            "rows_without_report": F.count_if(F.col("has_compustat_annual") == 0) if "has_compustat_annual" in contract else F.lit(None),
+            "missing_values": quality.no_nulls(numeric).failures,
+            "infinite_values": quality.no_infinities(numeric).failures,
+        },
+    )

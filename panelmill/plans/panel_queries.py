@@ -478,6 +478,29 @@ def model_dataset_contract(spark, sf):
     return panel.dataset_checks(dataset, contract, strict=False)
 
 
+@query("model_dataset_summary")
+def model_dataset_summary(spark, sf):
+    return panel.dataset_summary(*_dataset(spark, sf))
+
+
+@query(
+    "macro_checks",
+    with_views(MACRO)
+    + """, v AS (SELECT month, m1, floor(m1 * 4) / 4 AS v FROM macro WHERE month <> DATE '1997-04-30'),
+e AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(month)), max(month), INTERVAL 1 MONTH)) AS DATE)) AS month FROM v),
+c AS (SELECT *, CASE WHEN coalesce(v <> lag(v) OVER (ORDER BY month), true) THEN 1 ELSE 0 END AS new FROM v),
+k AS (SELECT *, sum(new) OVER (ORDER BY month) AS run FROM c), runs AS (SELECT count(*) AS n FROM k GROUP BY run)
+SELECT 'null_values' AS "check", count(*) FILTER (m1 IS NULL) AS failures, count(*) FILTER (m1 IS NULL) = 0 AS ok FROM v
+UNION ALL SELECT 'duplicate_keys', count(*) - count(DISTINCT month), count(*) = count(DISTINCT month) FROM v
+UNION ALL SELECT 'missing_months', count(*), count(*) = 0 FROM e WHERE month NOT IN (SELECT month FROM v)
+UNION ALL SELECT 'stale_v', CASE WHEN max(n) > 12 THEN max(n) ELSE 0 END, max(n) <= 12 FROM runs""",
+)
+def macro_checks(spark, sf):
+    """A series with one month taken out and one coarse (hence possibly stale) column."""
+    m = src.macro(spark, sf).filter(F.col("month") != F.lit("1997-04-30").cast("date"))
+    return panel.macro_problems(m.select("month", "m1", (F.floor(F.col("m1") * 4) / 4).alias("v")), ["m1"], ["v"])
+
+
 # --- scalar functions on whole columns ------------------------------------------------------
 @query(
     "date_functions",

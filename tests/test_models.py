@@ -123,10 +123,10 @@ def test_empty_fold_is_refused(frame):
 def test_boosting_follows_the_recursion(spark):
     """Stumps on one binary predictor have a closed form: every tree closes the share `rate` of the gap to the group means."""
     rows = [(k, float(k % 2), 10.0 if k % 2 else 2.0) for k in range(40)]
-    df = trees.assemble(spark.createDataFrame(rows, "id int, x double, y double"), ["x"], ["id", "x", "y"])
-    scored, fitted = trees.boosted_stages(df, "y", [1, 3], 0.1, 1, apply_to=df)
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    forecasts, fitted = trees.boosted_stages(df, ["x"], "y", [1, 3], 0.1, 1)
     assert len(fitted) == 3
-    for r in scored.collect():
+    for r in df.select("x", *[e.alias(f"p_{n}") for n, e in forecasts.items()]).collect():
         side = 4.0 if r.x else -4.0
         assert r.p_1 == pytest.approx(6 + side * 0.1)
         assert r.p_3 == pytest.approx(6 + side * (1 - 0.9**3))
@@ -171,10 +171,29 @@ def test_tune_and_select(spark, frame):
     chosen = tuning.selected_settings(folds.select_minimum(summary))
     assert set(chosen) == set(small) and chosen["pls"] == {"n_components": 3}
     out = tuning.final_evaluation(
-        frame.filter("month < '2003-01-01'"), frame.filter("month >= '2003-01-01'"), ["entity"], "month", P, "y", chosen, P[:3], max_depth=3, max_bins=16
+        frame.filter("month < '2003-01-01'"), frame.filter("month >= '2003-01-01'"), ["entity"], "month", P, "y", chosen, ols_predictors=P[:3], oob_trees=3, max_depth=3, max_bins=16
     )
     ranking = out["ranking"].collect()
     assert [r["rank"] for r in ranking] == [1, 2, 3, 4, 5]
     assert ranking[0].model in ("pls", "ols_3")
     assert out["coefficients"].filter("model = 'pls'").count() == 4
     assert out["complexity"].count() == 4 and out["components"].count() == 3
+    assert out["oob"].first().oob_rows > 100
+
+
+def test_tree_expression_equals_the_model(spark, frame):
+    rows = trees.assemble(frame, P, [*P, "y"])
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    tree = DecisionTreeRegressor(labelCol="y", maxDepth=2).fit(rows)
+    both = tree.transform(rows).select((F.col("prediction") - trees.tree_expression(tree, P)).alias("d"))
+    assert both.agg(F.max(F.abs("d"))).first()[0] == 0.0
+
+
+def test_selection_checks(spark, frame):
+    small = {"pls": [{"n_components": 1}, {"n_components": 3}]}
+    results, _ = tuning.tune(frame, "month", P, "y", [2002, 2003], small, {"pls": {"n_components": 3}})
+    table = grid.candidate_table(spark, None, small)
+    assert all(r.ok for r in tuning.selection_checks(results, table, [2002, 2003]).collect())
+    bad = tuning.selection_checks(results.filter("candidate_id = 'pls_001' or validation_year = 2002"), table, [2002, 2003])
+    assert {r.check: r.failures for r in bad.collect() if not r.ok} == {"missing_fits": 1}
