@@ -38,7 +38,7 @@ def impute_and_winsorize(
             F.sort_array(F.collect_list(F.struct(position.alias("i"), "median", "lower", "upper"))).alias("__bounds")  # len(cols) entries
         )
     )
-    joined = df.join(broadcast_if_bounded(per_period), period, "left")
+    joined = df.join(broadcast_if_bounded(per_period, nested_values=4 * len(cols)), period, "left")
 
     # Wide projections are written as SQL text: one call for all columns instead of a dozen per column.
     def cleaned(c: str) -> str:

@@ -125,7 +125,7 @@ def _bracketed(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted)
     plan = cut_lineage(per_feature.select(*keys, "__j", "n", "total", F.array(*brackets).alias("__b")))
     cell_keys = [*keys, "__j"]
     long = df.select(*keys, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("__j", "__v")).dropna(subset=["__v"])
-    rows = long.join(broadcast_if_bounded(plan.select(*cell_keys, "__b")), cell_keys)
+    rows = long.join(broadcast_if_bounded(plan.select(*cell_keys, "__b"), nested_values=6 * len(wanted)), cell_keys)
     below = rows.groupBy(*cell_keys).agg(
         F.array(*[F.count_if(F.col("__v") < F.col("__b")[i]["start"]) for i in range(len(wanted))]).alias("__below")
     )
@@ -138,7 +138,7 @@ def _bracketed(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted)
     w = Window.partitionBy(*cell_keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = candidates.withColumn("__upto", F.sum("__c").over(w))
     targets = plan.join(below, cell_keys, "left").select(*cell_keys, "__below", "__b")
-    located = ranked.join(broadcast_if_bounded(targets), cell_keys).select(
+    located = ranked.join(broadcast_if_bounded(targets, nested_values=7 * len(wanted)), cell_keys).select(
         *cell_keys, "__i", "__v", F.get("__below", "__i").alias("__base"), F.get("__b", "__i").alias("__w"), "__upto"
     )
 

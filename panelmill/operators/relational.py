@@ -16,8 +16,9 @@ from pyspark.sql.types import DateType
 
 from panelmill.functions.scalars import shift_month_end
 
-# A DATE key has at most 3.7 million values (years 1 to 9999), a month key 120 thousand.
-BROADCAST_ROW_LIMIT = 500_000
+# Largest broadcast side in values (rows x columns), about 64 MB. A DATE key has at most 3.7 million
+# values (years 1 to 9999), a month key 120 thousand; real calendars are far shorter.
+BROADCAST_CELLS = 4_000_000
 
 
 # --- guards ------------------------------------------------------------------
@@ -94,8 +95,12 @@ def stable_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) ->
 
 
 # --- joins -------------------------------------------------------------------
-def broadcast_if_bounded(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast after counting at most ``limit + 1`` rows; a larger side is left as it is."""
+def broadcast_if_bounded(df: DataFrame, nested_values: int = 0) -> DataFrame:
+    """Hint a broadcast if a count shows that the side is small; a larger one is left to adaptive execution.
+
+    ``nested_values``: how many values the array columns hold per row.
+    """
+    limit = BROADCAST_CELLS // (len(df.columns) + nested_values)
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

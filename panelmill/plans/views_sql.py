@@ -92,7 +92,7 @@ PRICES = BARS + """, last_prices AS (
 MONTHLY = RESAMPLED + _gap_return("resampled", "monthly")
 
 ANNUAL = """yearly AS (
-  SELECT l_suppkey, year(l_shipdate) AS yr, round(sum(l_extendedprice), 2) AS assets, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sale,
+  SELECT l_suppkey, year(l_shipdate) AS yr, round(sum(l_extendedprice), 2) AS assets, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sale,
          round(sum(l_quantity), 2) AS invt, round(sum(l_tax), 2) AS dlc, count(*) AS n
   FROM lineitem GROUP BY 1, 2),
 annual AS (

@@ -96,7 +96,7 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     per = line.groupBy("l_suppkey", F.year("l_shipdate").alias("yr")).agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("at"), F.round(F.sum(net), 2).alias("sale"),
+        F.round(F.sum("l_extendedprice"), 2).alias("at"), F.round(F.sum(net), 4).alias("sale"),
         F.round(F.sum("l_quantity"), 2).alias("invt"), F.round(F.sum("l_tax"), 2).alias("dlc"), F.count(F.lit(1)).alias("lines"),
     )
     joined = per.join(supplier, "l_suppkey", "left")
