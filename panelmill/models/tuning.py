@@ -231,7 +231,7 @@ def fit_and_forecast(
             **tree_sizes(trees), "number_of_predictors": len(predictors), "learning_rate": float(g["learning_rate"]),
             "maximum_depth_setting": int(g["max_depth"]),
         }
-    result["predictions"] = union_all(*out)
+    result["predictions"] = cut_lineage(union_all(*out))  # several tables are made from it
     result["metrics"] = forecast_metrics(result["predictions"], ["model", "sample"], month)
     result["coefficients"] = coefficient_table(coefficient_rows(spark, fits))
     result["complexity"] = complexity_rows(spark, sizes)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from panelmill.functions import names
 from panelmill.operators.quantiles import group_quantiles
 from panelmill.operators.relational import attach_benchmark, top_per_group
+from panelmill.session import cut_lineage
 
 
 def monthly_mse(predictions: DataFrame, keys: Sequence[str], month: str, actual: str, forecast: str) -> DataFrame:
@@ -145,16 +146,20 @@ def rank_models(metrics: DataFrame, sample: str | None = None) -> DataFrame:
     return rows.select(F.row_number().over(w).alias("rank"), "*")
 
 
-def distribution_summary(df: DataFrame, keys: Sequence[str], value: str, distinct: dict[str, str]) -> DataFrame:
+def distribution_summary(
+    df: DataFrame, keys: Sequence[str], value: str, distinct: dict[str, str], is_stored: bool = False
+) -> DataFrame:
     """Moments, exact 1/50/99 % quantiles and exact distinct counts per group.
 
     ``distinct`` maps output names to counted columns. Each distinct count is its own two-step
-    aggregate, so no group's values meet in one task.
+    aggregate, so no group's values meet in one task. The needed columns are stored first unless ``is_stored``.
     """
     if not keys:
         whole = distribution_summary(df.withColumn("__all", F.lit(0)), ["__all"], value, distinct)
         return whole.drop("__all")
     keys = list(keys)
+    if not is_stored:
+        df = cut_lineage(df.select(*dict.fromkeys([*keys, value, *distinct.values()])))
     moments = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observations"),
         F.avg(value).alias("mean"),
@@ -162,7 +167,7 @@ def distribution_summary(df: DataFrame, keys: Sequence[str], value: str, distinc
         F.min(value).alias("minimum"),
         F.max(value).alias("maximum"),
     )
-    q = group_quantiles(df, keys, [value], [0.01, 0.5, 0.99]).select(
+    q = group_quantiles(df, keys, [value], [0.01, 0.5, 0.99], is_stored=True).select(
         *keys, F.col("q0").alias("p01"), F.col("q1").alias("median"), F.col("q2").alias("p99")
     )
     out = moments.join(q, keys)

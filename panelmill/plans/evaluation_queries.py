@@ -10,6 +10,7 @@ from panelmill.models.grid import grid_problems
 from panelmill.operators import evaluate, folds, quality, relational
 from panelmill.plans.registry import query, r, rounded, with_views
 from panelmill.plans.views_sql import METRIC_COLUMNS, PREDICTIONS, PRICES, YEARLY, metrics
+from panelmill.session import cut_lineage
 from panelmill.sources import adapters as src
 from panelmill.sources.readers import load_checked
 
@@ -51,6 +52,13 @@ def _yearly(spark, sf):
     return evaluate.yearly_metrics(src.panel_predictions(spark, sf).drop("benchmark"))
 
 
+def interpretation(spark, sf):
+    """Model summary over all predictions, which are stored once because three tables are made from them."""
+    p = cut_lineage(src.panel_predictions(spark, sf))
+    whole = evaluate.forecast_metrics(p.withColumn("sample", F.lit("all")), ["model", "sample"])
+    return evaluate.model_interpretation(whole, p, evaluate.yearly_metrics(p.drop("benchmark")), "all")
+
+
 @query("yearly_metrics", with_views(YEARLY) + f"SELECT model, year, observations, months, {r(_M, 8)} FROM yearly")
 def yearly_metrics(spark, sf):
     return rounded(_yearly(spark, sf), 8)
@@ -147,9 +155,7 @@ def extreme_predictions(spark, sf):
   round(avg(prediction) - avg(realized_target), 8) + 0.0 AS prediction_bias FROM predictions GROUP BY model""",
 )
 def realised_and_bias(spark, sf):
-    p = src.panel_predictions(spark, sf)
-    m = evaluate.forecast_metrics(p.withColumn("sample", F.lit("all")), ["model", "sample"])
-    out = evaluate.model_interpretation(m, p, _yearly(spark, sf), "all")
+    out = interpretation(spark, sf)
     return rounded(out.select("model", "realized_mean", "realized_std", "prediction_bias"), 8)
 
 
@@ -175,9 +181,7 @@ SELECT model, monthly_mse < (SELECT monthly_mse FROM ranked WHERE model = 'histo
   CAST(1e-6 AS DOUBLE) AS oos_r2_tolerance, CAST(0.5 AS DOUBLE) AS positive_year_share_threshold FROM ranked JOIN stability USING (model)""",
 )
 def behaviour_flags(spark, sf):
-    p = src.panel_predictions(spark, sf)
-    m = evaluate.forecast_metrics(p.withColumn("sample", F.lit("all")), ["model", "sample"])
-    return evaluate.behaviour_flags(evaluate.model_interpretation(m, p, _yearly(spark, sf), "all"))
+    return evaluate.behaviour_flags(interpretation(spark, sf))
 
 
 @query(

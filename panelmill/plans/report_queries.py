@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from panelmill.functions import names
 from panelmill.models.tuning import selection_metadata
 from panelmill.operators import evaluate, folds, relational, reports
-from panelmill.plans.evaluation_queries import _KEYS, _SCORES, _scores, _yearly
+from panelmill.plans.evaluation_queries import _KEYS, _SCORES, _scores, _yearly, interpretation
 from panelmill.plans.registry import query, r, rounded, with_views
 from panelmill.plans.table_queries import _PREDICTOR
 from panelmill.plans.views_sql import METRIC_COLUMNS, PREDICTIONS, YEARLY, metrics
+from panelmill.session import cut_lineage
 from panelmill.sources import adapters as src
 
 # Effects per model, derived from the parts: five "models" by part type, one predictor per part.
@@ -114,12 +115,6 @@ def cumulative_share(spark, sf):
     return rounded(reports.cumulative_share(m, "k", "v").drop("v"), 9)
 
 
-def _interpretation(spark, sf):
-    p = src.panel_predictions(spark, sf)
-    m = evaluate.forecast_metrics(p.withColumn("sample", F.lit("all")), ["model", "sample"])
-    return evaluate.model_interpretation(m, p, _yearly(spark, sf), "all")
-
-
 _WHOLE = PREDICTIONS + ", whole AS (SELECT *, 'all' AS part FROM predictions)" + metrics("whole", "model, part", "bundle")
 _RANKED = ", ranked AS (SELECT *, row_number() OVER (ORDER BY monthly_mse, pooled_rmse, pooled_mae) AS rank FROM bundle)"
 
@@ -133,7 +128,7 @@ SELECT rank, model, CASE model WHEN 'historical_mean' THEN 'Historical Mean' ELS
   round(oos_r2, 8) + 0.0 AS oos_r2, round(prediction_target_correlation, 8) + 0.0 AS correlation, round(prediction_mean - m, 8) + 0.0 AS prediction_bias FROM ranked JOIN realised USING (model)""",
 )
 def final_results(spark, sf):
-    return rounded(_long_rank(reports.final_results(_interpretation(spark, sf))), 8)
+    return rounded(_long_rank(reports.final_results(interpretation(spark, sf))), 8)
 
 
 @query(
@@ -145,9 +140,9 @@ def final_results(spark, sf):
   round(y.prediction_target_correlation, 8) + 0.0 AS correlation FROM yearly y JOIN ranked k USING (model)""",
 )
 def yearly_report(spark, sf):
-    p = src.panel_predictions(spark, sf)
+    p = cut_lineage(src.panel_predictions(spark, sf))
     ranking = evaluate.rank_models(evaluate.forecast_metrics(p.withColumn("sample", F.lit("all")), ["model", "sample"]), "all")
-    return rounded(_long_rank(reports.yearly_report(_yearly(spark, sf), ranking)), 8)
+    return rounded(_long_rank(reports.yearly_report(evaluate.yearly_metrics(p.drop("benchmark")), ranking)), 8)
 
 
 @query(
@@ -181,8 +176,8 @@ def scatter_frame(spark, sf):
     + """, y AS (SELECT model, stddev_samp(realized_target) AS realized_std FROM predictions GROUP BY model)
 SELECT rank, model, round(monthly_mse, 8) + 0.0 AS monthly_mse, round(prediction_std, 8) + 0.0 AS prediction_std, round(realized_std, 8) + 0.0 AS realized_std FROM ranked JOIN y USING (model)""",
 )
-def model_interpretation(spark, sf):
-    out = _long_rank(_interpretation(spark, sf))
+def modelinterpretation(spark, sf):
+    out = _long_rank(interpretation(spark, sf))
     return rounded(out.select("rank", "model", "monthly_mse", "prediction_std", "realized_std"), 8)
 
 
