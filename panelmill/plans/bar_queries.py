@@ -11,6 +11,7 @@ from panelmill.operators import clean, resample, timeline
 from panelmill.operators.relational import keep_last, without_keys
 from panelmill.plans.registry import query, r, rounded, with_views
 from panelmill.plans.views_sql import BARS, DAILY, FLAGGED, MARKET, MONTHLY, PICKED, PRICES, RATES, REPORT, RESAMPLED
+from panelmill.session import cut_lineage
 from panelmill.sources import adapters as src
 
 BAR_LIST = "open high low close adj_close volume"
@@ -66,7 +67,7 @@ def quality_report(spark, sf):
     + f"SELECT entity, date, {r(BAR_LIST)} FROM marked WHERE NOT bad_row AND entity NOT IN (SELECT entity FROM report WHERE remove_entity)",
 )
 def clean_bars(spark, sf):
-    flagged = _flagged(spark, sf)
+    flagged = cut_lineage(_flagged(spark, sf))  # read by the report and by the filter
     return rounded(clean.clean_bars(flagged, _report(flagged), "entity", names.BAR_COLUMNS))
 
 

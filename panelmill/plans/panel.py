@@ -22,6 +22,7 @@ def clean_daily(raw: DataFrame, order: Sequence[str], **limits) -> tuple[DataFra
     """(clean bars, entity report) from raw bars; ``order`` ranks copies of a day."""
     one = clean.drop_repeats(raw, "entity", "date", order)
     flagged = clean.flag_bars(one, "entity", "date", **{k: v for k, v in limits.items() if k in ("high_return", "low_return")})
+    flagged = cut_lineage(flagged)  # read by the report and by the filter
     report = clean.quality_report(flagged, "entity", "date", limits.get("bad_share", names.BAD_ROW_SHARE))
     return clean.clean_bars(flagged, report, "entity", names.BAR_COLUMNS), report
 
