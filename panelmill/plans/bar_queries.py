@@ -10,7 +10,7 @@ from panelmill.functions.scalars import month_end
 from panelmill.operators import clean, resample, timeline
 from panelmill.operators.relational import keep_last, without_keys
 from panelmill.plans.registry import query, r, rounded, with_views
-from panelmill.plans.views_sql import BARS, DAILY, FLAGGED, MARKET, MONTHLY, PICKED, PRICES, RATES, REPORT, RESAMPLED
+from panelmill.plans.views_sql import DAILY, FLAGGED, MARKET, MONTHLY, PICKED, PRICES, RATES, REPORT, RESAMPLED
 from panelmill.session import cut_lineage
 from panelmill.sources import adapters as src
 

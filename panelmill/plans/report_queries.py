@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelmill.functions import names
 from panelmill.models.tuning import selection_metadata
-from panelmill.operators import evaluate, folds, relational, reports
+from panelmill.operators import evaluate, folds, reports
 from panelmill.plans.evaluation_queries import _KEYS, _SCORES, _scores, _yearly, interpretation
 from panelmill.plans.registry import query, r, rounded, with_views
 from panelmill.plans.table_queries import _PREDICTOR
-from panelmill.plans.views_sql import METRIC_COLUMNS, PREDICTIONS, YEARLY, metrics
+from panelmill.plans.views_sql import PREDICTIONS, YEARLY, metrics
 from panelmill.session import cut_lineage
 from panelmill.sources import adapters as src
 
