@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.llm.bpe import token_digests
 from panelmill.llm.common import table
+from panelmill.llm.embedding_dedup import link_vectors
 from panelmill.llm.fingerprints import fingerprint_documents
 from panelmill.llm.quality import quality_scores
 from panelmill.llm.sharding import shard_documents
@@ -17,6 +18,7 @@ from panelmill.llm.toxicity import toxicity_scores
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": lambda spark, d: fingerprint_documents(table(spark, d, "documents")),
     "op3_toxicity": lambda spark, d: toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op4_embedding_dedup": lambda spark, d: link_vectors(table(spark, d, "embeddings")),
     "op5_sharding": lambda spark, d: shard_documents(table(spark, d, "documents")),
     "op8_bpe": lambda spark, d: token_digests(
         table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
