@@ -11,8 +11,10 @@ from panelmill.llm.bpe import token_digests
 from panelmill.llm.common import table
 from panelmill.llm.embedding_dedup import link_vectors
 from panelmill.llm.fingerprints import fingerprint_documents
+from panelmill.llm.packing import pack_documents
 from panelmill.llm.quality import quality_scores
 from panelmill.llm.sharding import shard_documents
+from panelmill.llm.token_counts import document_token_counts
 from panelmill.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,9 +22,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": lambda spark, d: toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_embedding_dedup": lambda spark, d: link_vectors(table(spark, d, "embeddings")),
     "op5_sharding": lambda spark, d: shard_documents(table(spark, d, "documents")),
+    "op6_token_counts": lambda spark, d: document_token_counts(
+        table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, 50256
+    ),
     "op8_bpe": lambda spark, d: token_digests(
         table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ),
+    "op9_packing": lambda spark, d: pack_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op10_quality": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
