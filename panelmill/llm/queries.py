@@ -11,6 +11,7 @@ from panelmill.llm.bpe import token_digests
 from panelmill.llm.common import table
 from panelmill.llm.embedding_dedup import link_vectors
 from panelmill.llm.fingerprints import fingerprint_documents
+from panelmill.llm.ngram_join import link_documents
 from panelmill.llm.packing import pack_documents
 from panelmill.llm.quality import quality_scores
 from panelmill.llm.sharding import shard_documents
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": lambda spark, d: document_token_counts(
         table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, 50256
     ),
+    "op7_ngram_join": lambda spark, d: link_documents(table(spark, d, "documents")),
     "op8_bpe": lambda spark, d: token_digests(
         table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ),
