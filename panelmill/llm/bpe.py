@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelmill.llm.common import slices, sorted_groups
 
 #: Documents of about so many characters form a block, whose distinct words are gathered before the shuffle.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 _ODD_BLANKS = re.compile(r"\s\s|\A | \Z")
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -95,7 +95,7 @@ def _gather(buckets: int):
     """Distinct words of each block with their positions, one row per bucket of words, and one row with the block's documents."""
 
     def block_rows(block: int, numbers: dict, places: list[np.ndarray], docs: list[tuple]) -> pa.RecordBatch:
-        codes = np.concatenate(places) if places else np.zeros(0, np.int64)
+        codes = np.concatenate(places) if places else np.zeros(0, np.int32)
         words = [w[0].encode("utf-8", "surrogatepass") if isinstance(w, tuple) else b" " + w.encode("utf-8", "surrogatepass") for w in numbers]
         home = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
         sizes = np.array([len(w) for w in words], np.int64)
@@ -111,7 +111,7 @@ def _gather(buckets: int):
             steps = np.diff(spots, prepend=0)
             firsts = spots[heads]
             rows.append((
-                block, int(home[own[0]]), b"".join([words[i] for i in own.tolist()]), _packed(sizes[own]), _packed(counts[own]),
+                block, int(home[own[0]]), pa.compress(b"".join([words[i] for i in own.tolist()]), "zstd", asbytes=True), _packed(sizes[own]), _packed(counts[own]),
                 _packed(np.diff(firsts, prepend=0)), _packed(np.delete(steps, heads)), None, None,
             ))
         return _batch(rows, WORDS)
@@ -128,7 +128,7 @@ def _gather(buckets: int):
         for part, texts in slices(batches):
             for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 codes = list(map(numbers.__getitem__, words_of(text)))
-                places.append(np.array(codes, np.int64))
+                places.append(np.array(codes, np.int32))
                 docs.append((doc_id, len(codes)))
                 size += len(text)
             if size >= BLOCK_CHARS:
@@ -154,9 +154,10 @@ def _encode(path: str, pattern: str):
                     rows.append((r["block"], None, None, None, None, None, r["doc_ids"], r["doc_words"]))
                     continue
                 ends = np.cumsum(_unpacked(r["sizes"])).tolist()
+                text = pa.decompress(r["words"], ends[-1], "zstd", asbytes=True) if ends[-1] else b""
                 ids, start = [], 0
                 for end in ends:
-                    word = r["words"][start:end]
+                    word = text[start:end]
                     got = known.get(word)
                     if got is None:
                         got = known[word] = np.array(coder.encode_ordinary(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
@@ -221,7 +222,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     copies of it meet; ids and positions are dealt back by block. A word is sent once per block, however often it occurs, so
     frequent words cannot overload a task. ``path`` must be readable by all tasks.
     """
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = rows.mapInArrow(_gather(buckets), WORDS).repartition("bucket")
     coded = words.mapInArrow(_encode(path, pattern), CODED).repartition("block").sortWithinPartitions("block")
