@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ),
     "op9_packing": lambda spark, d: pack_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+    "pipeline": corpus_pipeline.run,
     "op10_quality": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
