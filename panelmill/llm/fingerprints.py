@@ -24,10 +24,15 @@ GRID = sorted({round(1.5**k) for k in range(60)})
 _TABLES: dict[int, np.ndarray] = {}
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A residue below 2**33 of a number below 2**64."""
+    return (x & PRIME) + (x >> SHIFT)
+
+
 def _reduce(x: np.ndarray) -> np.ndarray:
-    x = (x & PRIME) + (x >> SHIFT)
-    x = (x & PRIME) + (x >> SHIFT)
-    return np.where(x == PRIME, np.uint64(0), x)
+    x = _folded(_folded(x))
+    x[x == PRIME] = 0
+    return x
 
 
 def _table(base: int, n: int) -> np.ndarray:
@@ -43,23 +48,31 @@ class PrefixHashes:
     """Prefix arrays of a text: any two spans, of any texts, are compared in constant time by their hashes."""
 
     def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        self.size = len(codes)
-        self.prefix = []
-        for base in BASES:
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.size = len(self.codes)
+        self.known: dict[int, np.ndarray] = {}
+
+    def prefix(self, which: int) -> np.ndarray:
+        """Prefix array under one base, made when first asked for."""
+        if which not in self.known:
             p = np.zeros(self.size + 1, np.uint64)
-            # Sums of residues below 2**31 stay below 2**64 up to 2**33 characters.
-            np.cumsum(_reduce(codes * _table(base, self.size)), out=p[1:])
-            self.prefix.append(_reduce(p))
+            # A code below 2**21 times a residue folds below 2**32, so sums stay below 2**64 up to 2**32 characters.
+            np.cumsum(_folded(self.codes * _table(BASES[which], self.size)), out=p[1:])
+            self.known[which] = _reduce(p)
+        return self.known[which]
 
     def spans(self, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
         """Hashes of the spans [start, end) under one base; they do not depend on the place."""
-        p = self.prefix[which]
+        p = self.prefix(which)
         inverse = pow(BASES[which], -1, int(PRIME))
         return _reduce((p[ends] + PRIME - p[starts]) * _table(inverse, self.size + 1)[starts])
 
     def span(self, start: int, end: int) -> int:
         """62-bit hash of one span."""
+        if start == 0 and end == self.size and 1 not in self.known:
+            # The whole text needs the sum alone.
+            total = np.array([_folded(self.codes * _table(BASES[1], self.size)).sum(dtype=np.uint64)])
+            return int(self.spans(np.array([0]), np.array([end]), 0)[0]) << 31 | int(_reduce(total)[0])
         a, b = np.array([start]), np.array([end])
         return int(self.spans(a, b, 0)[0]) << 31 | int(self.spans(a, b, 1)[0])
 
@@ -92,14 +105,23 @@ def fingerprint(text: str) -> str:
     width = min(SPAN, h.size)
     starts = np.arange(h.size - width + 1 if h.size else 0)
     # Multiplying by an odd constant orders the spans at random while keeping their hashes distinct.
-    order = (h.spans(starts, starts + width, 0) * np.uint64(2654435761)) & np.uint64(2**32 - 1)
-    fields = [h.spans(zero, grid, 0), h.spans(h.size - grid, np.full(len(grid), h.size), 0), np.unique(order)[:SKETCH]]
+    order = (h.spans(starts, starts + width, 0) * np.uint64(2654435761)).astype(np.uint32)
+    fields = [h.spans(zero, grid, 0), h.spans(h.size - grid, np.full(len(grid), h.size), 0), _smallest(order, SKETCH)]
     return f"{h.size:x}-{h.span(0, h.size):016x}-" + "-".join(x.astype(">u4").tobytes().hex() for x in fields)
 
 
+def _smallest(values: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` smallest distinct values, sorted."""
+    if len(values) > 8 * n:
+        few = np.unique(np.partition(values, 2 * n)[: 2 * n])
+        if len(few) >= n:
+            return few[:n]
+    return np.unique(values)[:n]
+
+
 def _fields(fp: str) -> tuple[int, list[np.ndarray]]:
     size, _, *rest = fp.split("-")
-    return int(size, 16), [np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32) for x in rest]
+    return int(size, 16), [np.frombuffer(bytes.fromhex(x), ">u4") for x in rest]
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> int:
@@ -122,10 +144,14 @@ def likeness(a: str, b: str) -> float:
     (n, (pa_, sa, ka)), (m, (pb, sb, kb)) = _fields(a), _fields(b)
     if not n or not m:
         return 0.0
-    union = np.union1d(ka, kb)[:SKETCH]
-    alike = np.isin(union, ka, assume_unique=True) & np.isin(union, kb, assume_unique=True)
+    both = np.sort(np.concatenate([ka, kb]).astype(np.uint32))
+    twice = both[1:][both[1:] == both[:-1]]
+    union = len(both) - len(twice)
+    # Among the smallest of the union, those that both have.
+    last = both[-1] if union <= SKETCH else np.unique(both)[SKETCH - 1]
+    alike = int(np.searchsorted(twice, last, side="right")) / min(union, SKETCH)
     shared = min(_agree(pa_, pb) + _agree(sa, sb), n, m)
-    return float(min(1.0, max(alike.mean(), shared / (n + m - shared))))
+    return float(min(1.0, max(alike, shared / (n + m - shared))))
 
 
 def edited(text: str, following: str) -> str:
