@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +24,6 @@ from panelmill.session import cut_lineage
 SEQUENCE = 4096
 #: Sequences per window: within it every source gets its share of tokens.
 WINDOW = 16
-#: ASCII blanks end a word for the tokenizer, whatever stands around them.
-_BLANKS = str.maketrans("\t\n\r\x0b\x0c", "     ")
 
 
 @lru_cache(maxsize=2)
@@ -32,21 +34,65 @@ def tokenizer(path: str) -> Tokenizer:
     return loaded
 
 
+#: Texts of these characters alone are lowered and cut into pieces here; the tokenizer itself encodes all others. None of them changes under
+#: normalisation, and their lower case does not depend on their neighbours.
+_PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\u00a1-\u012f\u0131-\u017f]*")
+# Fixed value: the pieces that the tokenizer's file names.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Stands for the end of a word in the merge table; no UTF-8 text holds this byte.
+_END = b"\xff"
+
+
+@lru_cache(maxsize=2)
+def piece_merges(path: str) -> tiktoken.Encoding:
+    """The vocabulary as a table of byte strings by rank: merges rank by id, and the end of a word is a byte that is merged first."""
+    loaded = tokenizer(path)
+    suffix = json.loads(loaded.to_str())["model"]["end_of_word_suffix"]
+    # Vocabulary files write printable bytes as themselves and the others, in order, as the characters from 256 on.
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    table = {}
+    for token, number in loaded.get_vocab(with_added_tokens=False).items():
+        core = token.removesuffix(suffix)
+        if all(c in byte_of for c in core) and not (token.startswith("<|") and token.endswith("|>")):
+            table[bytes(byte_of[c] for c in core) + (_END if core != token else b"")] = number
+    return tiktoken.Encoding("pieces", pat_str=r"[^\x00]+", mergeable_ranks=table, special_tokens={})
+
+
 class WordCache:
     """Ids of texts from those of their blank-separated words, which the tokenizer encodes independently of each other."""
 
-    def __init__(self, path: str, limit: int = 500_000):
-        self.path, self.limit, self.known = path, limit, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
-        if len(self.known) + len(fresh) > self.limit:
-            self.known = {}
-            fresh = list(dict.fromkeys(w for words in split for w in words))
-        for word, got in zip(fresh, tokenizer(self.path).encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
+    def __init__(self, path: str, limit: int = 400_000):
+        self.path, self.limit, self.words, self.pieces = path, limit, {}, {}
+        self.kind = "<u2" if tokenizer(path).get_vocab_size() <= 2**16 else "<u4"
+
+    def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
+        """The ids of every text, and ``end`` behind them if given, as numbers of ``kind``."""
+        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
+        split = []
+        for text, simple in zip(texts, plain, strict=True):
+            for blank in "\t\n\r\x0b\x0c":
+                text = text.replace(blank, " ")
+            split.append(text.lower().split(" ") if simple else [(w,) for w in text.split(" ")])
+        fresh = {w for words in split for w in words} - self.words.keys()
+        if len(self.words) + len(fresh) > self.limit:
+            self.words, self.pieces = {}, {}
+            fresh = {w for words in split for w in words}
+        merge = piece_merges(self.path)._core_bpe.encode_single_piece
+        for word in [w for w in fresh if isinstance(w, str)]:
+            ids = []
+            for piece in _PIECE.findall(word):
+                got = self.pieces.get(piece)
+                if got is None:
+                    got = self.pieces[piece] = merge(piece.encode() + _END)
+                ids += got
+            self.words[word] = np.array(ids, self.kind).tobytes()
+        other = [w for w in fresh if isinstance(w, tuple)]
+        for word, got in zip(other, tokenizer(self.path).encode_batch_fast([w for w, in other], add_special_tokens=False), strict=True):
+            self.words[word] = np.array(got.ids, self.kind).tobytes()
+        last = b"" if end is None else np.array([end], self.kind).tobytes()
+        return [b"".join(map(self.words.__getitem__, words)) + last for words in split]
 
 
 def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -54,15 +100,14 @@ def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, task, seen = WordCache(path), TaskContext.get().partitionId(), 0
+        width = np.dtype(cache.kind).itemsize
         for part, texts in slices(batches):
-            lists = [np.append(x, end) for x in cache.encode(texts)]
-            top = max(int(x.max()) for x in lists)
-            kind = "<u2" if top < 2**16 else "<u4"
-            uids = (task << 40) + seen + np.arange(len(lists))
-            seen += len(lists)
+            ids = cache.encode(texts, end)
+            uids = (task << 40) + seen + np.arange(len(ids))
+            seen += len(ids)
+            counts = [len(x) // width for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uids), part.column(0), part.column(1), pa.array([len(x) for x in lists], pa.int64()), pa.array([x.astype(kind).tobytes() for x in lists], pa.binary())],
-                ["uid", "doc_id", "source", "n", "ids"],
+                [pa.array(uids), part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["uid", "doc_id", "source", "n", "ids"]
             )
 
     source = (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("source")
