@@ -6,6 +6,7 @@ by :func:`finite`, because NaN poisons averages and sorts above every number.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -152,11 +153,21 @@ def optional_column(df: DataFrame, name: str, dtype: str = "double") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
 
-def find_column(df: DataFrame, words: Sequence[str]) -> str | None:
-    """First column whose lower-case name holds all the words."""
-    return next((c for c in df.columns if all(w in c.lower() for w in words)), None)
+def find_column(df: DataFrame, words: Sequence[str]) -> str:
+    """The one column whose name holds all the words, in any case; none or several are an error."""
+    wanted = {w.lower() for w in words}
+    hits = [name for name in df.columns if all(name.lower().count(w) for w in wanted)]
+    if len(hits) != 1:
+        raise ValueError(f"{len(hits)} columns match {sorted(wanted)}: {hits or df.columns}")
+    return hits[0]
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
-    """Lower-case names with blanks and dashes as underscores."""
-    return df.toDF(*[c.lower().strip().replace(" ", "_").replace("-", "_") for c in df.columns])
+    """Trimmed lower-case names, each blank or dash an underscore; two names that become equal are an error."""
+    tidy: dict[str, str] = {}
+    for name in df.columns:
+        short = re.sub("[ -]", "_", name.strip().lower())
+        if short in tidy.values():
+            raise ValueError(f"column {name!r} collides with another one named {short!r}")
+        tidy[name] = short
+    return df.withColumnsRenamed(tidy)

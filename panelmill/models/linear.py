@@ -74,8 +74,8 @@ def solve_elastic_net(
                 w[j] = new
                 biggest = max(biggest, abs(step))
         if biggest <= tol:
-            break
-    return _finish(predictors, means, sd, w)
+            return _finish(predictors, means, sd, w)
+    raise RuntimeError(f"elastic net (alpha {alpha}, ratio {l1_ratio}) did not settle in {max_iter} sweeps")
 
 
 def solve_pls(m: Moments, predictors: Sequence[str], n_components: int) -> list[LinearFit]:

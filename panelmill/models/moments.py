@@ -1,10 +1,10 @@
 """Additive moments: all a linear model needs from the rows, in one distributed pass.
 
-For predictors x and target y, every task builds the cross products of (1, y, x) per year for
-its own rows; the tables are summed per (year, i, j). Training moments of every
+For predictors x and target y, every task sums the cross products of (1, y, x) per year over
+its own rows, as one packed triangle per year; the triangles are summed in a tree of tasks. Training moments of every
 expanding fold are prefix sums over years, so tuning never re-reads the rows per candidate or fold.
 
-What reaches the driver is years x (p + 2)^2 / 2 numbers, whatever the number of rows.
+What reaches the driver is one packed triangle per year: years x (p + 2)^2 / 2 numbers, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-TASKS_PER_CORE = 2
+#: Triangles that one task of the summing tree adds up, and its levels: 64 ** 3 tasks at most meet in the last.
+FAN_IN, LEVELS = 64, 3
 
 
 @dataclass
@@ -39,10 +41,38 @@ class Moments:
         return means + self.shift, cov
 
 
-def period_moments(df: DataFrame, period: str, predictors: Sequence[str], target: str, shift: Sequence[float]) -> DataFrame:
-    """Rows (period, i, j, value), i <= j: cross products of (1, target, predictors) less ``shift``."""
+PACKED = "period int, slot int, cells binary"
+
+
+def _summed():
+    """Add the packed triangles of each (period, slot) of a sorted stream, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for batch in batches:
+            for period, slot, cells in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                part = np.frombuffer(cells)
+                if (period, slot) == key:
+                    total = total + part
+                    continue
+                if key is not None:
+                    yield _row(*key, total)
+                key, total = (period, slot), part
+        if key is not None:
+            yield _row(*key, total)
+
+    return run
+
+
+def _row(period: int, slot: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([period], pa.int32()), pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["period", "slot", "cells"])
+
+
+def packed_moments(df: DataFrame, period: str, predictors: Sequence[str], target: str, shift: Sequence[float]) -> DataFrame:
+    """One row per period: the upper triangle of the cross products of (1, target, predictors) less ``shift``, packed."""
     names = [target, *predictors]
     offset = np.asarray(shift, dtype=float)
+    i, j = np.triu_indices(len(names) + 1)
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -54,29 +84,51 @@ def period_moments(df: DataFrame, period: str, predictors: Sequence[str], target
             for p in np.unique(periods):
                 block = z[periods == p]
                 total[int(p)] = total.get(int(p), 0.0) + block.T @ block
-        i, j = np.triu_indices(len(names) + 1)
+        slot = TaskContext.get().partitionId() % FAN_IN**LEVELS
         for p, g in total.items():
-            yield pd.DataFrame({"period": p, "i": i, "j": j, "value": g[i, j]})
+            yield pd.DataFrame({"period": [p], "slot": [slot], "cells": [g[i, j].tobytes()]})
+
+    data = df.select(F.col(period).cast("int").alias("__period"), *[F.col(c).cast("double").alias(c) for c in names])
+    parts = data.mapInPandas(products, PACKED)
+    for _ in range(LEVELS):
+        parts = parts.select("period", F.expr(f"slot div {FAN_IN}").cast("int").alias("slot"), "cells")
+        parts = parts.repartition("period", "slot").sortWithinPartitions("period", "slot").mapInArrow(_summed(), PACKED)
+    return parts.select("period", "cells")
+
+
+def period_moments(df: DataFrame, period: str, predictors: Sequence[str], target: str, shift: Sequence[float]) -> DataFrame:
+    """Rows (period, i, j, value), i <= j: the cells of :func:`packed_moments`."""
+    i, j = np.triu_indices(len(predictors) + 2)
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, packed in zip(batch["period"], batch["cells"], strict=True):
+                yield pd.DataFrame({"period": p, "i": i, "j": j, "value": np.frombuffer(packed)})
+
+    return packed_moments(df, period, predictors, target, shift).mapInPandas(cells, "period int, i int, j int, value double")
+
 
-    # Every task writes a table of size p * p per period it meets: a few large tasks write far less than many small ones.
-    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    data = df.select(F.col(period).cast("int").alias("__period"), *[F.col(c).cast("double").alias(c) for c in names]).dropna()
-    parts = data.coalesce(tasks).mapInPandas(products, "period int, i int, j int, value double")
-    return parts.groupBy("period", "i", "j").agg(F.sum("value").alias("value"))
+def require_complete(df: DataFrame, columns: Sequence[str], label: str = "sample") -> list[float]:
+    """Column means; raises if a value is missing, as rows are never left out of a fit or forecast without a word."""
+    doubles = [F.col(c).cast("double") for c in columns]
+    row = df.agg(F.count(F.lit(1)), *[F.count(F.when(~F.isnan(d), d)) for d in doubles], *[F.avg(d) for d in doubles]).first()
+    lacking = {c: row[0] - n for c, n in zip(columns, row[1 : len(doubles) + 1], strict=True) if n < row[0]}
+    if lacking:
+        raise ValueError(f"{label}: missing values of {row[0]} rows: {lacking}")
+    return [0.0 if m is None else float(m) for m in row[len(doubles) + 1 :]]
 
 
 def fold_moments(df: DataFrame, time: str, predictors: Sequence[str], target: str) -> dict[int, Moments]:
-    """Moments per calendar year. Two passes: column means (the shift), then cross products."""
+    """Moments per calendar year. Two passes: column means (the shift) with a check for missing values, then cross products."""
     names = [target, *predictors]
-    means = df.dropna(subset=names).agg(*[F.avg(F.col(c).cast("double")) for c in names]).first()
-    shift = np.array([0.0 if m is None else float(m) for m in means])
-    with_year = df.select(F.year(time).alias("__year"), *names)
-    cells = period_moments(with_year, "__year", predictors, target, shift).toPandas()
+    shift = np.array(require_complete(df, names))
+    packed = packed_moments(df.select(F.year(time).alias("__year"), *names), "__year", predictors, target, shift)
+    i, j = np.triu_indices(len(names) + 1)
     out = {}
-    for year, part in cells.groupby("period"):
+    for row in packed.collect():
         g = np.zeros((len(names) + 1, len(names) + 1))
-        g[part["i"], part["j"]] = part["value"]
-        out[int(year)] = Moments(g + np.triu(g, 1).T, shift)
+        g[i, j] = np.frombuffer(row.cells)
+        out[row.period] = Moments(g + np.triu(g, 1).T, shift)
     return out
 
 

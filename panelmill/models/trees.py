@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,63 +64,6 @@ class ForestBlocks:
         return [t for _, m in self.blocks for t in m.trees]
 
 
-def tree_expression(tree, predictors: Sequence[str]) -> Column:
-    """A fitted shallow tree as a built-in CASE expression over the predictor columns."""
-
-    def at(node) -> Column:
-        if node.getClass().getSimpleName() == "LeafNode":
-            return F.lit(float(node.prediction()))
-        split = node.split()
-        column = F.col(predictors[split.featureIndex()]).cast("double")
-        return F.when(column <= F.lit(float(split.threshold())), at(node.leftChild())).otherwise(at(node.rightChild()))
-
-    return at(tree._java_obj.rootNode())
-
-
-def boosted_stages(
-    train: DataFrame,
-    predictors: Sequence[str],
-    label: str,
-    stages: Sequence[int],
-    learning_rate: float,
-    max_depth: int,
-    max_bins: int = 256,
-    seed: int = SEED,
-) -> tuple[dict[int, Column], list]:
-    """Gradient boosting for squared loss: F0 = mean, F += rate * tree fitted to the residual.
-
-    MLlib's own booster gives its first tree weight 1 instead of the rate, hence the loop. Trees are
-    one or two splits deep, so the forecast so far is a built-in expression of the predictor columns: a round reads the
-    (stored) training table and nothing is rewritten, shuffled by key or lost with an executor.
-
-    A fit of many trees passes through all smaller ones: returns ``{n: forecast after n trees}`` for the ``stages``.
-    """
-    mean = train.agg(F.avg(label)).first()[0]
-    assembler = VectorAssembler(inputCols=list(predictors), outputCol="features")
-    learner = DecisionTreeRegressor(
-        featuresCol="features", labelCol="__r", predictionCol="__step", maxDepth=max_depth, maxBins=max_bins, seed=seed
-    )
-    total, trees, found = F.lit(float(mean)), [], {}
-    for number in range(1, max(stages) + 1):
-        residual = train.select(*predictors, (F.col(label) - total).alias("__r"))
-        tree = learner.fit(assembler.transform(residual).select("features", "__r"))
-        trees.append(tree)
-        total = total + F.lit(float(learning_rate)) * tree_expression(tree, predictors)
-        if number in stages:
-            found[number] = total
-    return found, trees
-
-
-def boosting_importances(trees: Sequence, predictors: Sequence[str]) -> list[float]:
-    """Impurity importance averaged over the trees, normalised to 1."""
-    total = [0.0] * len(predictors)
-    for tree in trees:
-        for i in range(len(predictors)):
-            total[i] += float(tree.featureImportances[i])
-    size = sum(total)
-    return [v / size if size else 0.0 for v in total]
-
-
 def poisson_bag(keys: Sequence[str], tree: int, seed: int = SEED) -> Column:
     """Bootstrap weight of a row in one tree: Poisson(1) drawn from a hash of the row's key.
 

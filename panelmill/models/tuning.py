@@ -14,14 +14,12 @@ from pyspark.sql import functions as F
 from panelmill.functions import names
 from panelmill.models.grid import CANDIDATES, FIXED, candidate_rows, candidate_table
 from panelmill.models.linear import LinearFit, coefficient_rows, component_rows, solve_elastic_net, solve_ols, solve_pls
-from panelmill.models.moments import Moments, combine, fold_moments
-from panelmill.models.trees import (
-    ForestBlocks, assemble, boosted_stages, boosting_importances, complexity_rows, importance_rows, oob_metrics, out_of_bag,
-    tree_sizes,
-)
-from panelmill.operators.evaluate import forecast_metrics, monthly_mse, rank_models
+from panelmill.models.boosting import Run, boost, tree_summary
+from panelmill.models.moments import Moments, combine, fold_moments, require_complete
+from panelmill.models.trees import ForestBlocks, assemble, complexity_rows, importance_rows, oob_metrics, out_of_bag, tree_sizes
+from panelmill.operators.evaluate import forecast_metrics, rank_models
 from panelmill.operators.folds import fold_bounds, fold_table, summarise_folds
-from panelmill.operators.quality import expect, never, no_nulls
+from panelmill.operators.quality import expect, never, no_infinities, no_nulls
 from panelmill.operators.relational import missing_keys, union_all
 from panelmill.operators.reports import coefficient_table, cumulative_share, importance_table
 from panelmill.session import cut_lineage
@@ -43,20 +41,33 @@ def tune_linear(
     """Fold scores (candidate_id, validation_year, monthly_mse) of all linear candidates.
 
     Two passes over the rows for the moments, one to score every candidate in every fold: validation rows
-    of a year meet the coefficient matrix of that year's fold (p x candidates numbers per fold).
+    of a year meet the coefficient matrix of that year's fold (p x candidates numbers per fold). The fits of all folds and
+    families are solved side by side in tasks, from the years' moments (years x p x p numbers, sent once). A missing value raises.
     """
+    spark = df.sparkSession
     predictors = list(predictors)
     per_year = fold_moments(df, time, predictors, target)
     families = [f for f in LINEAR if f in candidates]
     ids = [r[1] for r in candidate_rows(families, candidates)]
-    matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for year in years:
-        earlier = [m for y, m in per_year.items() if y < year]
-        if not earlier or year not in per_year:
+        if year not in per_year or min(per_year) >= year:
             raise ValueError(f"empty fold for validation year {year}")
-        m = combine(earlier)
-        fits = [f for family in families for f in linear_candidates(m, predictors, family, candidates[family])]
-        matrices[year] = (np.column_stack([f.coefficients for f in fits]), np.array([f.intercept for f in fits]))
+    sent = spark.sparkContext.broadcast(per_year)
+    # The components of one PLS fit are a path; elastic nets are solved one by one.
+    jobs = [(int(y), f, k) for y in years for f in families for k in range(1 if f == "pls" else len(candidates[f]))]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for year, family, k in batch.itertuples(index=False):
+                m = combine([m for y, m in sent.value.items() if y < year])
+                settings = candidates[family] if family == "pls" else [candidates[family][k]]
+                for at, fit in enumerate(linear_candidates(m, predictors, family, settings), k):
+                    yield pd.DataFrame({"year": [year], "family": [family], "k": [at], "w": [fit.coefficients.tolist()], "a": [fit.intercept]})
+
+    solved = spark.createDataFrame(jobs, "year int, family string, k int").repartition(len(jobs)).mapInPandas(solve, "year int, family string, k int, w array<double>, a double")
+    fits = {(r.year, r.family, r.k): (r.w, r.a) for r in solved.collect()}
+    order = [(f, k) for f in families for k in range(len(candidates[f]))]
+    matrices = {y: (np.column_stack([fits[y, f, k][0] for f, k in order]), np.array([fits[y, f, k][1] for f, k in order])) for y in map(int, years)}
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,7 +85,7 @@ def tune_linear(
     validation = df.filter(F.year(time).isin([int(y) for y in years])).select(
         F.col(time).alias("__month"), F.year(time).alias("__year"), F.col(target).cast("double").alias("__y"),
         *[F.col(c).cast("double").alias(c) for c in predictors],
-    ).dropna()
+    )
     parts = validation.mapInPandas(score, "month date, candidate_id string, sse double, n long")
     by_month = parts.groupBy("candidate_id", "month").agg((F.sum("sse") / F.sum("n")).alias("mse"))
     return by_month.groupBy("candidate_id", F.year("month").alias("validation_year")).agg(F.avg("mse").alias("monthly_mse"))
@@ -86,48 +97,40 @@ def tune_trees(
 ) -> DataFrame:
     """Fold scores of all tree candidates.
 
-    Sizes of a family share their fits: one set of forest blocks, and one boosting run per (rate, depth), per fold.
-    Folds are submitted side by side; each fit is itself a distributed job.
+    Sizes of a family share their fits: one set of forest blocks per fold, and one boosting run per (rate, depth) and fold, all
+    of which advance in step. Forests are submitted side by side; each fit is itself a distributed job. A missing value raises.
     """
-    plain = df.dropna(subset=[*predictors, target]).select(time, target, *predictors)
-    rows = assemble(plain, predictors, [time, target]).persist()
-    boost_options = {k: v for k, v in tree_options.items() if k == "max_bins"}
-
-    def scores(scored: DataFrame, columns: dict[str, str], year: int) -> list[DataFrame]:
-        return [
-            monthly_mse(scored, [], time, target, c).select(
-                F.lit(cid).alias("candidate_id"), F.lit(year).alias("validation_year"), "monthly_mse"
-            )
-            for cid, c in columns.items()
-        ]
-
-    def one_fold(year: int) -> list[tuple]:
-        train, validation = rows.filter(F.year(time) < year), rows.filter(F.year(time) == year)
-        out: list[DataFrame] = []
-        if "random_forest" in candidates:
-            sizes = [s["n_estimators"] for s in candidates["random_forest"]]
-            forest = ForestBlocks(sizes).fit(train, target, **tree_options)
-            out += scores(
-                forest.transform(validation), {f"random_forest_{i:03d}": f"p_{n}" for i, n in enumerate(sizes, 1)}, year
-            )
-        grid = candidates.get("gradient_boosting", [])
-        for rate, depth in sorted({(s["learning_rate"], s["max_depth"]) for s in grid}):
-            members = {
-                f"gradient_boosting_{i:03d}": f"p_{s['n_estimators']}"
-                for i, s in enumerate(grid, 1)
-                if (s["learning_rate"], s["max_depth"]) == (rate, depth)
-            }
-            stages = sorted({int(c[2:]) for c in members.values()})
-            forecasts, _ = boosted_stages(
-                plain.filter(F.year(time) < year), predictors, target, stages, rate, depth, **boost_options
-            )
-            scored = plain.filter(F.year(time) == year)
-            out += scores(scored.select(time, target, *[e.alias(f"p_{n}") for n, e in forecasts.items()]), members, year)
-        return [tuple(r) for part in out for r in part.collect()]  # one number per candidate
-
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        found = [r for rows_of_fold in pool.map(one_fold, years) for r in rows_of_fold]
-    rows.unpersist()
+    require_complete(df, [target, *predictors])
+    plain = cut_lineage(df.select(time, target, *predictors))
+    rows = cut_lineage(assemble(plain, predictors, [time, target]))
+    years = [int(y) for y in years]
+
+    def scores(scored: DataFrame, columns: dict[str, str], year: int) -> list[tuple]:
+        """Mean over the months of the monthly mean squared error of every candidate, in one aggregate."""
+        months = scored.groupBy(time).agg(*[F.avg((F.col(target) - F.col(c)) ** 2).alias(c) for c in set(columns.values())])
+        means = months.agg(*[F.avg(c).alias(c) for c in set(columns.values())]).first()
+        return [(cid, year, means[c]) for cid, c in columns.items()]
+
+    def forests(year: int) -> list[tuple]:
+        sizes = [s["n_estimators"] for s in candidates["random_forest"]]
+        forest = ForestBlocks(sizes).fit(rows.filter(F.year(time) < year), target, **tree_options)
+        members = {f"random_forest_{i:03d}": f"p_{n}" for i, n in enumerate(sizes, 1)}
+        return scores(forest.transform(rows.filter(F.year(time) == year)), members, year)
+
+    found: list[tuple] = []
+    if "random_forest" in candidates:
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            found += [r for rows_of_fold in pool.map(forests, years) for r in rows_of_fold]
+    grid = candidates.get("gradient_boosting", [])
+    if grid:
+        settings = sorted({(s["learning_rate"], s["max_depth"]) for s in grid})
+        most = {key: max(s["n_estimators"] for s in grid if (s["learning_rate"], s["max_depth"]) == key) for key in settings}
+        keys = [(year, *key) for year in years for key in settings]
+        model = boost(plain, predictors, target, [Run(str(k), k[1], k[2], most[k[1:]], before=k[0]) for k in keys], F.year(time))
+        for year in years:
+            members = {f"gradient_boosting_{i:03d}": (keys.index((year, s["learning_rate"], s["max_depth"])), s["n_estimators"]) for i, s in enumerate(grid, 1)}
+            scored = model.forecasts(plain.filter(F.year(time) == year), members)
+            found += scores(scored, {c: c for c in members}, year)
     return df.sparkSession.createDataFrame(found, "candidate_id string, validation_year int, monthly_mse double")
 
 
@@ -146,7 +149,7 @@ def tune(
     for part in parts[1:]:
         scores = scores.unionByName(part)
     grid = candidate_table(spark, list(candidates), candidates, fixed)
-    bounds = fold_bounds(df.dropna(subset=[*predictors, target]), fold_table(spark, years), time)
+    bounds = fold_bounds(df, fold_table(spark, years), time)
     results = scores.join(F.broadcast(grid), "candidate_id").join(F.broadcast(bounds), "validation_year")  # tens of rows
     summary = summarise_folds(
         results, ["model_family", "candidate_id", "parameters", "model_parameters", "is_original_fixed_configuration"]
@@ -174,14 +177,17 @@ def fit_and_forecast(
     """Fit the historical mean, OLS on few predictors and the given families on one sample; forecast others.
 
     ``settings`` maps family to parameters. Returns predictions, metrics (one row per model and sample), coefficients,
-    complexity and, where they apply, importances, components and out-of-bag metrics.
+    complexity and, where they apply, importances, components and out-of-bag metrics. A missing value in any sample raises: no row
+    to forecast is left out.
     """
     spark = fit_sample.sparkSession
     predictors, out, fits, sizes, importances = list(predictors), [], {}, {}, {}
     result: dict[str, DataFrame] = {}
-    usable = fit_sample.dropna(subset=[*predictors, target])
-    mean = usable.agg(F.avg(target)).first()[0]
-    rows = {s: df.dropna(subset=[*predictors, target]).select(*keys, month, target, *predictors) for s, df in samples.items()}
+    usable = fit_sample
+    mean = require_complete(usable, [target, *predictors], "sample to fit")[0]
+    for name, df in samples.items():
+        require_complete(df, [target, *predictors], name)
+    rows = {s: df.select(*keys, month, target, *predictors) for s, df in samples.items()}
 
     def finish(model: str, value, scored: dict[str, DataFrame]) -> None:
         for sample, df in scored.items():
@@ -221,17 +227,16 @@ def fit_and_forecast(
         train.unpersist()
     if "gradient_boosting" in settings:
         g = settings["gradient_boosting"]
-        forecasts, trees = boosted_stages(
-            usable, predictors, target, [g["n_estimators"]], g["learning_rate"], g["max_depth"],
-            **{k: v for k, v in tree_options.items() if k == "max_bins"},
-        )
-        finish("gradient_boosting", forecasts[g["n_estimators"]], rows)
-        importances["gradient_boosting"] = boosting_importances(trees, predictors)
+        boosted = boost(usable, predictors, target, [Run("final", g["learning_rate"], g["max_depth"], g["n_estimators"])])
+        finish("gradient_boosting", F.col("__boosted"), {s: boosted.forecasts(df, {"__boosted": (0, g["n_estimators"])}) for s, df in rows.items()})
+        importances["gradient_boosting"] = boosted.importances()
         sizes["gradient_boosting"] = {
-            **tree_sizes(trees), "number_of_predictors": len(predictors), "learning_rate": float(g["learning_rate"]),
+            **tree_summary(boosted.trees[0]), "number_of_predictors": len(predictors), "learning_rate": float(g["learning_rate"]),
             "maximum_depth_setting": int(g["max_depth"]),
         }
     result["predictions"] = cut_lineage(union_all(*out))  # several tables are made from it
+    values = ["realized_target", "prediction"]
+    expect(result["predictions"], [no_nulls(values), no_infinities(values)], unique=[*keys, month, "model", "sample"], strict=True)
     result["metrics"] = forecast_metrics(result["predictions"], ["model", "sample"], month)
     result["coefficients"] = coefficient_table(coefficient_rows(spark, fits))
     result["complexity"] = complexity_rows(spark, sizes)

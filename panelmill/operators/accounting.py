@@ -35,7 +35,7 @@ def standardise_reports(raw: DataFrame, entity: str = "tic", company: str = "gvk
         "entity", "company", "datadate",
         *[to_double(optional_column(kept, c)).alias(c) for c in REPORT_ITEMS],
     )
-    return keep_last(typed, ["company", "datadate"], ["entity"])
+    return keep_last(typed, ["company", "datadate"], ["entity", *REPORT_ITEMS])
 
 
 def report_measures(reports: DataFrame) -> DataFrame:

@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import names
 from panelmill.functions.scalars import any_nonpositive, any_null
-from panelmill.operators.relational import keep_last, without_keys
+from panelmill.operators.relational import without_keys
 from panelmill.operators.timeline import pct_change
 
 
 def drop_repeats(bars: DataFrame, entity: str, time: str, order: Sequence[str]) -> DataFrame:
     """Last row per entity and day under ``order``, with the day's number of dropped rows.
 
-    The count is a map-side aggregate and the pick is pruned before its shuffle, so an
-    entity or day with very many copies is no hot spot.
+    Pick and count are one aggregate, combined map-side, so the rows are read once and an entity or day with very many
+    copies is no hot spot. Rows without an entity or day are groups like any other.
     """
     keys = [entity, time]
-    picked = keep_last(bars, keys, order)
-    copies = bars.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("dropped_rows"))
-    return picked.join(copies, keys)
+    values = [c for c in bars.columns if c not in keys]
+    last = F.max_by(F.struct(*values), F.struct(*order)) if values else F.lit(None)
+    picked = bars.groupBy(*keys).agg(last.alias("__last"), (F.count(F.lit(1)) - 1).alias("dropped_rows"))
+    return picked.select(*keys, *[F.col("__last")[c].alias(c) for c in values], "dropped_rows")
 
 
 def flag_bars(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelmill.functions import names
 from panelmill.functions.scalars import to_double
 from panelmill.operators.quantiles import group_clip_bounds
-from panelmill.operators.relational import broadcast_if_bounded
+from panelmill.operators.relational import calendar_side
 from panelmill.session import cut_lineage
 
 
@@ -25,8 +25,8 @@ def impute_and_winsorize(
 ) -> DataFrame:
     """Fill NULLs with the period median (0 if the period has none), then clip to period quantiles.
 
-    The bounds are those of the filled sample. They come as one row per period with an array over features,
-    broadcast after a row count, so no wide row is shuffled. The input is read several times: it is stored
+    The bounds are those of the filled sample. They come as one row per period with an array over features; with DATE
+    periods that table is broadcast, so no wide row is shuffled. The input is read several times: it is stored
     first unless ``is_stored``.
     """
     cols = list(cols)
@@ -38,7 +38,8 @@ def impute_and_winsorize(
             F.sort_array(F.collect_list(F.struct(position.alias("i"), "median", "lower", "upper"))).alias("__bounds")  # len(cols) entries
         )
     )
-    joined = df.join(broadcast_if_bounded(per_period, nested_values=4 * len(cols)), period, "left")
+    dim = calendar_side(per_period.withColumnRenamed(period, "__period"), "__period")
+    joined = df.join(dim, F.col(period).eqNullSafe(F.col("__period")), "left")
 
     # Wide projections are written as SQL text: one call for all columns instead of a dozen per column.
     def cleaned(c: str) -> str:
@@ -55,13 +56,10 @@ def fill_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.selectExpr(*[f"cast(coalesce(`{c}`, 0) AS byte) AS `{c}`" if c in cols else f"`{c}`" for c in df.columns])
 
 
-def code_values(df: DataFrame, code: str, limit: int = 10_000) -> list[int]:
-    """Sorted distinct codes (no number: -1). Refuses to collect more than ``limit`` of them."""
+def code_values(df: DataFrame, code: str) -> list[int]:
+    """Sorted distinct codes (no number: -1). Each becomes a column of the plan, so all of them have to be known before it is built."""
     c = F.coalesce(to_double(code).cast("int"), F.lit(-1))
-    found = df.select(c.alias("v")).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{code} has more than {limit} distinct values; one-hot columns are not meant for it")
-    return sorted(r.v for r in found)
+    return sorted(r.v for r in df.select(c.alias("v")).distinct().collect())
 
 
 def one_hot(df: DataFrame, code: str, prefix: str, values: Sequence[int] | None = None) -> tuple[DataFrame, list[str]]:

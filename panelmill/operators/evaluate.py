@@ -158,6 +158,10 @@ def distribution_summary(
         whole = distribution_summary(df.withColumn("__all", F.lit(0)), ["__all"], value, distinct)
         return whole.drop("__all")
     keys = list(keys)
+    if keys != ["__group"]:
+        # One struct as key: unlike plain columns it is equal to itself in a join when a field is NULL.
+        named = df.select(F.struct(*keys).alias("__group"), *[F.col(c) for c in dict.fromkeys([value, *distinct.values()])])
+        return distribution_summary(named, ["__group"], value, distinct).select(*[F.col("__group")[k].alias(k) for k in keys], F.expr("* except (__group)"))
     if not is_stored:
         df = cut_lineage(df.select(*dict.fromkeys([*keys, value, *distinct.values()])))
     moments = df.groupBy(*keys).agg(
@@ -172,8 +176,8 @@ def distribution_summary(
     )
     out = moments.join(q, keys)
     for name, col in distinct.items():
-        pairs = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.lit(1).alias("__one"))
-        counted = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        # A NULL keeps the group but is no value.
+        counted = df.groupBy(*keys, col).agg(F.lit(1).alias("__one")).groupBy(*keys).agg(F.count(col).alias(name))
         out = out.join(counted, keys)
     return out
 
@@ -189,7 +193,8 @@ def model_interpretation(metrics: DataFrame, predictions: DataFrame, yearly: Dat
 
     Every joined table has one row per model.
     """
-    realised = predictions.groupBy("model").agg(
+    own = predictions.filter(F.col("sample") == sample) if "sample" in predictions.columns else predictions
+    realised = own.groupBy("model").agg(
         F.avg("realized_target").alias("realized_mean"), F.stddev_samp("realized_target").alias("realized_std")
     )
     ranked = rank_models(metrics, sample).withColumnsRenamed(

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelmill.operators.relational import one_row_per
+
 
 class Check:
     """A named check; ``failures`` is an aggregate that counts violations."""
@@ -68,7 +70,8 @@ def table_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], cols: Seq
     both = a.join(b, list(keys), "full")
     stats = []
     for c in cols:
-        one_null = F.col(f"l_{c}").isNull() != F.col(f"r_{c}").isNull()
+        matched = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+        one_null = matched & (F.col(f"l_{c}").isNull() != F.col(f"r_{c}").isNull())
         stats.append(
             F.struct(
                 F.lit(c).alias("column"),
@@ -88,14 +91,21 @@ def key_value_summary(df: DataFrame, items: dict[str, Column]) -> DataFrame:
     return one.unpivot([], list(items), "item", "value")
 
 
-def load_report(loaded: DataFrame, universe: DataFrame, entity: str, date: str, missing_columns: str = "") -> DataFrame:
-    """Per expected entity: status, reason, row count and date range of what arrived."""
+def load_report(loaded: DataFrame, universe: DataFrame, entity: str, date: str, missing_columns: DataFrame | None = None) -> DataFrame:
+    """Per expected entity: status, reason, row count and date range of what arrived.
+
+    ``missing_columns``: (entity, missing_columns) with the absent columns' names, for entities that lack some.
+    """
     arrived = loaded.groupBy(entity).agg(
         F.count(F.lit(1)).alias("rows"), F.min(date).alias("first_date"), F.max(date).alias("last_date")
     )
     joined = universe.select(entity).distinct().join(arrived, entity, "left")
-    none = F.col("rows").isNull()
-    reason = F.when(none, "no_data").when(F.lit(bool(missing_columns)), f"missing_columns:{missing_columns}").otherwise("")
+    if missing_columns is None:
+        joined = joined.withColumn("missing_columns", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(one_row_per(missing_columns.select(entity, "missing_columns"), entity), entity, "left")
+    lacking = F.coalesce("missing_columns", F.lit("")) != ""
+    reason = F.when(lacking, F.concat(F.lit("missing_columns:"), "missing_columns")).when(F.col("rows").isNull(), "no_data").otherwise("")
     return joined.select(
         entity,
         F.when(reason == "", "downloaded").otherwise("failed").alias("status"),

@@ -1,16 +1,12 @@
 """Exact group quantiles.
 
-The largest group is counted first.
-
-*Small groups* (at most ``GATHER_ROWS`` rows): the values of a group are gathered and sorted in one aggregate.
-
-*Larger ones* are never gathered, so a month with a third of all rows is no hot spot:
+No group is gathered, so a month with a third of all rows is no hot spot:
 
 1. one mergeable sketch per group and column gives a grid of approximate quantiles and the exact counts;
 2. the grid brackets each wanted order statistic between two values a fraction of a percent apart;
 3. the rows below a bracket are counted and only the values inside it are shuffled and ranked.
 
-Both ways are exact. A bracket is checked against the counts; a miss is an error, never a wrong number.
+The result is exact for groups of any size. A bracket is checked against the counts; a miss is an error, never a wrong number.
 """
 
 from __future__ import annotations
@@ -20,10 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.operators.relational import broadcast_if_bounded
 from panelmill.session import cut_lineage
 
-GATHER_ROWS = 100_000
 GRID = 1000
 ACCURACY = 20_000
 
@@ -65,31 +59,10 @@ def _cell(low: Column, high: Column, weight: Column, low_value: Column, high_val
     )
 
 
-# --- small groups --------------------------------------------------------------------------
-def _gathered(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted) -> DataFrame:
-    """For groups whose size was checked: one pass, one sorted array per group and column."""
-    grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.array(*[F.sort_array(F.collect_list(F.col(c).cast("double"))) for c in cols]).alias("__values"),
-    )
-    rows = grouped.select(*keys, "total", F.posexplode("__values").alias("__j", "__v"))
-    rows = rows.withColumn("n", F.size("__v").cast("long"))
-
-    def at(rank: Column) -> Column:
-        return F.when((F.col("n") > 0) & (rank >= 0), F.get("__v", rank))
-
-    cells = []
-    for kind, p in wanted:
-        low, high, weight = _ranks(kind, p, F.col("n"), F.col("total"))
-        cells.append(_cell(low, high, weight, at(low), at(high)))
-    return rows.select(*keys, _feature_name(cols).alias("feature"), "n", "total", F.array(*cells).alias("__cells"))
-
-
 def _feature_name(cols: list[str]) -> Column:
     return F.get(F.array(*[F.lit(c) for c in cols]), F.col("__j"))
 
 
-# --- groups of any size --------------------------------------------------------------------
 def _bracketed(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted) -> DataFrame:
     grid_points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     sketched = df.groupBy(*keys).agg(
@@ -125,7 +98,7 @@ def _bracketed(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted)
     plan = cut_lineage(per_feature.select(*keys, "__j", "n", "total", F.array(*brackets).alias("__b")))
     cell_keys = [*keys, "__j"]
     long = df.select(*keys, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("__j", "__v")).dropna(subset=["__v"])
-    rows = long.join(broadcast_if_bounded(plan.select(*cell_keys, "__b"), nested_values=6 * len(wanted)), cell_keys)
+    rows = long.join(plan.select(*cell_keys, "__b"), cell_keys)
     below = rows.groupBy(*cell_keys).agg(
         F.array(*[F.count_if(F.col("__v") < F.col("__b")[i]["start"]) for i in range(len(wanted))]).alias("__below")
     )
@@ -138,7 +111,7 @@ def _bracketed(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted)
     w = Window.partitionBy(*cell_keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = candidates.withColumn("__upto", F.sum("__c").over(w))
     targets = plan.join(below, cell_keys, "left").select(*cell_keys, "__below", "__b")
-    located = ranked.join(broadcast_if_bounded(targets, nested_values=7 * len(wanted)), cell_keys).select(
+    located = ranked.join(targets, cell_keys).select(
         *cell_keys, "__i", "__v", F.get("__below", "__i").alias("__base"), F.get("__b", "__i").alias("__w"), "__upto"
     )
 
@@ -165,11 +138,11 @@ def _bracketed(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted)
     )
 
 
-def _order_statistics(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted, is_stored: bool, gather_rows: int) -> DataFrame:
-    data = df.select(*keys, *cols)
-    data = data if is_stored else cut_lineage(data)
-    largest = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return (_gathered if largest <= gather_rows else _bracketed)(data, keys, cols, wanted)
+def _order_statistics(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted, is_stored: bool) -> DataFrame:
+    # One struct as key: it is equal to itself in a join when a key is NULL.
+    data = df.select(F.struct(*(keys or [F.lit(0).alias("all")])).alias("__keys"), *cols)
+    solved = _bracketed(data if is_stored else cut_lineage(data), ["__keys"], cols, wanted)
+    return solved.select(*[F.col("__keys")[k].alias(k) for k in keys], *[c for c in solved.columns if c != "__keys"])
 
 
 def _interpolated(cell: Column, median: Column | None = None) -> Column:
@@ -181,14 +154,14 @@ def _interpolated(cell: Column, median: Column | None = None) -> Column:
 
 def group_quantiles(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], probabilities: Sequence[float], prefix: str = "q",
-    is_stored: bool = False, gather_rows: int = GATHER_ROWS,
+    is_stored: bool = False,
 ) -> DataFrame:
     """Rows (keys, feature, n, total, ``<prefix>0``...): linearly interpolated exact quantiles, NULLs ignored.
 
     The input is read a few times: it is stored first unless ``is_stored``.
     """
     keys = list(keys)
-    solved = _order_statistics(df, keys, list(cols), [("plain", p) for p in probabilities], is_stored, gather_rows)
+    solved = _order_statistics(df, keys, list(cols), [("plain", p) for p in probabilities], is_stored)
     return solved.select(
         *keys, "feature", "n", "total",
         *[_interpolated(F.col("__cells")[i]).alias(f"{prefix}{i}") for i in range(len(probabilities))],
@@ -196,8 +169,7 @@ def group_quantiles(
 
 
 def group_clip_bounds(
-    df: DataFrame, keys: Sequence[str], cols: Sequence[str], lower: float, upper: float, is_stored: bool = False,
-    gather_rows: int = GATHER_ROWS,
+    df: DataFrame, keys: Sequence[str], cols: Sequence[str], lower: float, upper: float, is_stored: bool = False
 ) -> DataFrame:
     """Rows (keys, feature, n, total, median, lower, upper).
 
@@ -206,7 +178,7 @@ def group_clip_bounds(
     """
     keys = list(keys)
     wanted: Wanted = [("plain", 0.5), ("imputed", lower), ("imputed", upper)]
-    solved = _order_statistics(df, keys, list(cols), wanted, is_stored, gather_rows)
+    solved = _order_statistics(df, keys, list(cols), wanted, is_stored)
     out = solved.select(*keys, "feature", "n", "total", "__cells", _interpolated(F.col("__cells")[0]).alias("median"))
     return out.select(
         *keys, "feature", "n", "total", "median",

@@ -1,8 +1,7 @@
 """Keys, joins and set operations.
 
-Join policy: a side is broadcast only when its row count is bounded by construction
-(one row per calendar month or day) or has been counted first; every other join is left
-to adaptive execution, which measures sizes and splits skewed partitions at run time.
+Join policy: a side is broadcast only when its row count is bounded by construction (one row per calendar month or
+day); every other join is left to adaptive execution, which measures sizes and splits skewed partitions at run time.
 """
 
 from __future__ import annotations
@@ -16,10 +15,6 @@ from pyspark.sql.types import DateType
 
 from panelmill.functions.scalars import shift_month_end
 
-# Largest broadcast side in values (rows x columns), about 64 MB. A DATE key has at most 3.7 million
-# values (years 1 to 9999), a month key 120 thousand; real calendars are far shorter.
-BROADCAST_CELLS = 4_000_000
-
 
 # --- guards ------------------------------------------------------------------
 def require_columns(df: DataFrame, names: Sequence[str], label: str = "table") -> DataFrame:
@@ -95,25 +90,25 @@ def stable_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) ->
 
 
 # --- joins -------------------------------------------------------------------
-def broadcast_if_bounded(df: DataFrame, nested_values: int = 0) -> DataFrame:
-    """Hint a broadcast if a count shows that the side is small; a larger one is left to adaptive execution.
+def calendar_side(dim: DataFrame, time: str) -> DataFrame:
+    """Hint a broadcast of a table with one row per DATE, which the calendar bounds; other keys are left to adaptive execution."""
+    return F.broadcast(dim) if isinstance(dim.schema[time].dataType, DateType) else dim
 
-    ``nested_values``: how many values the array columns hold per row.
-    """
-    limit = BROADCAST_CELLS // (len(df.columns) + nested_values)
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+def one_row_per(dim: DataFrame, key: str) -> DataFrame:
+    """The table itself, which fails when it is read if a key has two rows."""
+    values = [c for c in dim.columns if c != key]
+    several = F.concat(F.lit(f"two rows for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    checked = [F.when(F.count(F.lit(1)) > 1, F.raise_error(several).cast(dim.schema[c].dataType)).otherwise(F.any_value(c)).alias(c) for c in values]
+    return dim.groupBy(key).agg(*checked) if values else dim.distinct()
 
 
 def join_period(df: DataFrame, dim: DataFrame, time: str) -> DataFrame:
     """Left join of a month-grain dimension.
 
-    The group-by makes the key unique, which keeps the row count of ``df``. A DATE key then bounds the
-    broadcast side by the calendar; with any other key type its rows are counted first.
+    Two rows for a period are an error, so the row count of ``df`` stays and no row is made up of two.
     """
-    values = [c for c in dim.columns if c != time]
-    unique = dim.groupBy(time).agg(*[F.max(c).alias(c) for c in values])
-    dated = isinstance(dim.schema[time].dataType, DateType)
-    return df.join(F.broadcast(unique) if dated else broadcast_if_bounded(unique), time, "left")
+    return df.join(calendar_side(one_row_per(dim, time), time), time, "left")
 
 
 def join_lagged_period(df: DataFrame, dim: DataFrame, time: str, source_time: str, months: int = 1) -> DataFrame:

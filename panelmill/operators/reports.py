@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelmill.functions import names
 from panelmill.functions.names import add_display_names, predictor_group
 from panelmill.operators.relational import stable_sample
+from panelmill.operators.running import running_totals
 
 
 def coefficient_table(coefs: DataFrame, tolerance: float = names.COEFFICIENT_TOLERANCE) -> DataFrame:
@@ -70,12 +71,10 @@ def top_features(coefs: DataFrame, importances: DataFrame, n: int = 20, sparse_m
 
 
 def cumulative_share(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Share of the total and running share; meant for summary tables (components, groups)."""
-    everything = Window.partitionBy(F.lit(0))
-    w = everything.orderBy(order)
-    share = F.try_divide(F.col(value), F.sum(value).over(everything))
-    out = df.withColumn("share", share)
-    return out.withColumn("cumulative_share", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Share of the total and running share, for tables of any size."""
+    shares = df.withColumn("share", F.try_divide(F.col(value), df.agg(F.sum(value)).scalar()))
+    out = running_totals(shares, [], [order], "share", "__before")
+    return out.withColumn("cumulative_share", F.col("__before") + F.coalesce("share", F.lit(0.0))).drop("__before")
 
 
 def final_results(interpretation: DataFrame) -> DataFrame:

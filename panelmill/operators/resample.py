@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions.scalars import month_end, null_out, safe_ratio
-from panelmill.operators.relational import join_period
+from panelmill.operators.relational import calendar_side, join_period, one_row_per
 from panelmill.operators.timeline import gap_aware_return, pct_change, rolling_beta
 
 
@@ -107,8 +107,8 @@ def monthly_risk(
 
     ``returns`` has (entity, date, ret), ``market`` (date, market_ret); only days with both count.
     """
-    dim = market.groupBy(date).agg(F.max("market_ret").alias("market_ret"))  # one row per day: bounded by the calendar
-    both = returns.join(F.broadcast(dim), date, "inner").dropna()
+    dim = calendar_side(one_row_per(market.select(date, "market_ret"), date), date)
+    both = returns.join(dim, date, "inner").dropna()
     risk = rolling_beta(both, entity, date, "ret", "market_ret", rows, min_periods, block_rows)
     return risk.groupBy(entity, month_end(date).alias("month")).agg(
         *[last_value(c, date).alias(c) for c in ("beta_12m", "betasq_12m", "idiovol_12m")]

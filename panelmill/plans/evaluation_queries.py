@@ -66,8 +66,8 @@ def yearly_metrics(spark, sf):
 
 @query(
     "benchmark_attach",
-    _P + """SELECT p.model, p.entity, p.month, round(p.prediction, 8) + 0.0 AS prediction, round(b.prediction, 8) + 0.0 AS benchmark FROM predictions p
-JOIN (SELECT entity, month, prediction FROM predictions WHERE model = 'lag') b USING (entity, month)""",
+    _P + """SELECT model, entity, month, round(prediction, 8) + 0.0 AS prediction,
+  round(max(CASE WHEN model = 'lag' THEN prediction END) OVER (PARTITION BY entity, month), 8) + 0.0 AS benchmark FROM predictions""",
 )
 def benchmark_attach(spark, sf):
     p = src.panel_predictions(spark, sf).select("model", "entity", "month", "prediction")

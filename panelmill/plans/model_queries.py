@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.models import linear, moments, trees, tuning
-from panelmill.models.grid import candidate_table
+from panelmill.models.boosting import Run, boost
+from panelmill.models.grid import CANDIDATES, FIXED, candidate_table
 from panelmill.operators import relational, resample, timeline
 from panelmill.operators.reports import coefficient_table, cumulative_share, importance_table
 from panelmill.plans.registry import query, rounded, with_views
@@ -21,16 +22,13 @@ _FRAME = with_views(
     lead(ret_1m) OVER (PARTITION BY entity ORDER BY month) AS y FROM monthly)
   WHERE y IS NOT NULL AND ret_1m IS NOT NULL AND retvol_1m IS NOT NULL AND avg_log_dolvol_1m IS NOT NULL AND avg_range_1m IS NOT NULL)"""
 )
-# Small grids: the full ones are models.grid.CANDIDATES.
-SMALL_GRID = {
-    "pls": [{"n_components": k} for k in (1, 2, 3)],
-    "elastic_net": [{"alpha": a, "l1_ratio": 0.85} for a in (1e-4, 1e-3)],
-}
-SMALL_TREES = {
-    "random_forest": [{"n_estimators": n} for n in (4, 8)],
-    "gradient_boosting": [{"n_estimators": n, "learning_rate": 0.1, "max_depth": 1} for n in (2, 4)],
-}
-_TREE_OPTIONS = {"max_depth": 6, "max_bins": 32}
+LINEAR_GRID = {f: CANDIDATES[f] for f in tuning.LINEAR}
+TREE_GRID = {f: CANDIDATES[f] for f in tuning.TREES}
+
+
+def _years(df: DataFrame) -> list[int]:
+    """All validation years: every year with an earlier one."""
+    return sorted(r.y for r in df.select(F.year("month").alias("y")).distinct().collect())[1:]
 
 
 def _frame(spark, sf) -> DataFrame:
@@ -145,42 +143,44 @@ def pls_components(spark, sf):
 
 @query("linear_grid_search")
 def linear_grid_search(spark, sf):
-    _, summary = tuning.tune(
-        _stored(spark, sf), "month", PREDICTORS, "y", [1998, 1999, 2000], SMALL_GRID,
-        {"pls": {"n_components": 3}, "elastic_net": {"alpha": 1e-4, "l1_ratio": 0.85}},
-    )
-    return summary
+    """All linear candidates in every fold."""
+    df = _stored(spark, sf)
+    return tuning.tune(df, "month", PREDICTORS, "y", _years(df), LINEAR_GRID)[1]
 
 
 @query("tree_grid_search")
 def tree_grid_search(spark, sf):
-    results, _ = tuning.tune(
-        _stored(spark, sf), "month", PREDICTORS, "y", [1999, 2000], SMALL_TREES,
-        {"random_forest": {"n_estimators": 4}, "gradient_boosting": {"n_estimators": 2, "learning_rate": 0.1, "max_depth": 1}}, **_TREE_OPTIONS,
-    )
-    return results
+    """All tree candidates in every fold."""
+    df = _stored(spark, sf)
+    return tuning.tune(df, "month", PREDICTORS, "y", _years(df), TREE_GRID)[0]
 
 
 @query("random_forest_importance")
 def random_forest_importance(spark, sf):
     rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
-    forest = trees.ForestBlocks([6]).fit(rows, "y", **_TREE_OPTIONS)
+    forest = trees.ForestBlocks([FIXED["random_forest"]["n_estimators"]]).fit(rows, "y")
     return importance_table(trees.importance_rows(spark, {"random_forest": forest.importances(PREDICTORS)}, PREDICTORS))
 
 
-@query("gradient_boosting_stages")
+@query(
+    "gradient_boosting_stages",
+    _FRAME
+    + """, b AS (SELECT entity, month, y, CASE WHEN ret_1m > 0 THEN 1.0 ELSE 0.0 END AS up FROM frame),
+g AS (SELECT *, avg(y) OVER () AS m, avg(y) OVER (PARTITION BY up) AS a FROM b)
+SELECT entity, month, round(m + (a - m) * (1 - pow(0.99, 100)), 9) + 0.0 AS p_100, round(m + (a - m) * (1 - pow(0.99, 200)), 9) + 0.0 AS p_200,
+  round(m + (a - m) * (1 - pow(0.99, 300)), 9) + 0.0 AS p_300 FROM g""",
+)
 def gradient_boosting_stages(spark, sf):
-    df = _stored(spark, sf)
-    cut = F.lit("1999-12-31").cast("date")
-    forecasts, _ = trees.boosted_stages(df.filter(F.col("month") <= cut), PREDICTORS, "y", [2, 5], 0.1, 2, max_bins=32)
-    test = df.filter(F.col("month") > cut)
-    return test.select("entity", "month", "y", *[e.alias(f"p_{n}") for n, e in forecasts.items()])
+    """The published stages on a predictor of two values, where each tree closes one hundredth of the gap to the group means."""
+    df = _stored(spark, sf).withColumn("up", (F.col("ret_1m") > 0).cast("double"))
+    out = boost(df, ["up"], "y", [Run("stages", 0.01, 1, 300)]).forecasts(df, {f"p_{n}": (0, n) for n in (100, 200, 300)})
+    return rounded(out.select("entity", "month", "p_100", "p_200", "p_300"), 9)
 
 
 @query("out_of_bag_metrics")
 def out_of_bag_metrics(spark, sf):
     rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
-    return trees.oob_metrics(trees.out_of_bag(rows, ["entity", "month"], "y", trees=5, **_TREE_OPTIONS), "month", "y")
+    return trees.oob_metrics(trees.out_of_bag(rows, ["entity", "month"], "y"), "month", "y")
 
 
 @query("final_evaluation")
@@ -188,12 +188,12 @@ def final_evaluation(spark, sf):
     df = _stored(spark, sf)
     cut = F.lit("1999-12-31").cast("date")
     settings = {
-        "pls": {"n_components": 2}, "elastic_net": {"alpha": 1e-4, "l1_ratio": 0.85}, "random_forest": {"n_estimators": 4},
-        "gradient_boosting": {"n_estimators": 3, "learning_rate": 0.1, "max_depth": 1},
+        "pls": CANDIDATES["pls"][1], "elastic_net": FIXED["elastic_net"], "random_forest": FIXED["random_forest"],
+        "gradient_boosting": {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 1},
     }
     out = tuning.final_evaluation(
         df.filter(F.col("month") <= cut), df.filter(F.col("month") > cut), ["entity"], "month", PREDICTORS, "y", settings,
-        ols_predictors=PREDICTORS[:3], **_TREE_OPTIONS,
+        ols_predictors=PREDICTORS[:3],
     )
     return out["ranking"]
 
@@ -202,27 +202,31 @@ def final_evaluation(spark, sf):
 def fixed_model_metrics(spark, sf):
     """Models with fixed settings, fitted on train, measured on train and validation."""
     samples = relational.split_by_time(_stored(spark, sf), "month", "1998-12-31", "1999-12-31")
-    settings = {"pls": {"n_components": 3}, "elastic_net": {"alpha": 1e-4, "l1_ratio": 0.5}, "random_forest": {"n_estimators": 4}}
+    settings = FIXED
     out = tuning.fit_and_forecast(
         samples["train"], {s: samples[s] for s in ("train", "validation")}, ["entity"], "month", PREDICTORS, "y", settings,
-        ols_predictors=PREDICTORS[:3], **_TREE_OPTIONS,
+        ols_predictors=PREDICTORS[:3],
     )
     return out["metrics"]
 
 
-@query("selection_checks")
+@query(
+    "selection_checks",
+    _FRAME
+    + """, n AS (SELECT count(DISTINCT year(month)) - 1 AS folds FROM frame)
+SELECT "check", failures, failures = 0 AS ok FROM (SELECT unnest(['leaking_folds', 'missing_scores', 'duplicate_keys', 'missing_fits', 'unknown_fits', 'empty_folds']) AS "check",
+  unnest([0, 0, 0, folds, 0, 0]) AS failures FROM n)""",
+)
 def selection_checks(spark, sf):
-    """Tuning results are complete and leak nothing; one candidate of the expected grid was not run."""
-    results, _ = tuning.tune(
-        _stored(spark, sf), "month", PREDICTORS, "y", [1998, 1999, 2000], SMALL_GRID,
-        {"pls": {"n_components": 3}, "elastic_net": {"alpha": 1e-4, "l1_ratio": 0.85}},
-    )
-    wider = {**SMALL_GRID, "pls": [*SMALL_GRID["pls"], {"n_components": 4}]}
-    return tuning.selection_checks(results, candidate_table(spark, None, wider), [1998, 1999, 2000])
+    """Results of all linear candidates are complete and leak nothing; the expected grid holds one candidate that was not run."""
+    df = _stored(spark, sf)
+    results, _ = tuning.tune(df, "month", PREDICTORS, "y", _years(df), LINEAR_GRID)
+    wider = {**LINEAR_GRID, "pls": [*LINEAR_GRID["pls"], {"n_components": 4}]}
+    return tuning.selection_checks(results, candidate_table(spark, None, wider), _years(df))
 
 
 @query("model_complexity")
 def model_complexity(spark, sf):
     rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
-    forest = trees.ForestBlocks([4]).fit(rows, "y", **_TREE_OPTIONS)
+    forest = trees.ForestBlocks([FIXED["random_forest"]["n_estimators"]]).fit(rows, "y")
     return trees.complexity_rows(spark, {"random_forest": {**trees.tree_sizes(forest.trees()), "number_of_predictors": len(PREDICTORS)}})

@@ -313,7 +313,7 @@ def composite_key_join(spark, sf):
 def inner_date_join(spark, sf):
     market = src.market(spark, sf).select("date", F.when(F.col("level") > 2, F.col("level")).alias("level"))
     bars = src.bars(spark, sf).select("entity", "date", F.col("adj_close").alias("price"))
-    return rounded(bars.join(relational.broadcast_if_bounded(market), "date").dropna(), 6, level=2)
+    return rounded(bars.join(relational.calendar_side(market, "date"), "date").dropna(), 6, level=2)
 
 
 @query(

@@ -7,12 +7,13 @@ from panelmill.operators.quantiles import group_clip_bounds, group_quantiles
 
 
 def skewed(n=6000, seed=2):
-    """One group holds two thirds of the rows; ties, missing values, an all-missing group."""
+    """One group holds two thirds of the rows; ties, missing values, an all-missing group, a missing group name."""
     rng = np.random.default_rng(seed)
     g = np.where(np.arange(n) % 3 < 2, "hot", np.where(np.arange(n) % 2 == 0, "b", "c"))
     x = np.where(rng.random(n) < 0.3, 7.0, rng.normal(size=n).round(2))
     x[rng.random(n) < 0.2] = np.nan
     x[g == "c"] = np.nan
+    g = np.where(np.arange(n) % 50 == 1, None, g)
     return pd.DataFrame({"g": g, "x": x, "y": rng.lognormal(size=n)})
 
 
@@ -20,14 +21,13 @@ def to_spark(spark, pdf):
     return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, x double, y double")
 
 
-@pytest.mark.parametrize("gather_rows", [0, 10**6])
-def test_quantiles_equal_pandas(spark, gather_rows):
+def test_quantiles_equal_pandas(spark):
     pdf = skewed()
     probabilities = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
-    out = group_quantiles(to_spark(spark, pdf), ["g"], ["x", "y"], probabilities, gather_rows=gather_rows).toPandas()
-    assert len(out) == 6
+    out = group_quantiles(to_spark(spark, pdf), ["g"], ["x", "y"], probabilities).toPandas()
+    assert len(out) == 8
     for _, row in out.iterrows():
-        v = pdf.loc[pdf.g == row.g, row.feature].dropna()
+        v = pdf.loc[pdf.g.isna() if row.g is None else pdf.g == row.g, row.feature].dropna()
         assert row.n == len(v)
         for i, p in enumerate(probabilities):
             if len(v):
@@ -36,17 +36,15 @@ def test_quantiles_equal_pandas(spark, gather_rows):
                 assert row[f"q{i}"] is None or np.isnan(row[f"q{i}"])
 
 
-@pytest.mark.parametrize("gather_rows", [0, 10**6])
-def test_quantiles_without_keys(spark, gather_rows):
+def test_quantiles_without_keys(spark):
     pdf = skewed(500)
-    row = group_quantiles(to_spark(spark, pdf), [], ["y"], [0.25], gather_rows=gather_rows).first()
+    row = group_quantiles(to_spark(spark, pdf), [], ["y"], [0.25]).first()
     assert row.q0 == pytest.approx(pdf.y.quantile(0.25))
 
 
-@pytest.mark.parametrize("gather_rows", [0, 10**6])
-def test_clip_bounds_are_those_of_the_filled_sample(spark, gather_rows):
+def test_clip_bounds_are_those_of_the_filled_sample(spark):
     pdf = skewed()
-    out = group_clip_bounds(to_spark(spark, pdf), ["g"], ["x"], 0.01, 0.99, gather_rows=gather_rows).toPandas().set_index("g")
+    out = group_clip_bounds(to_spark(spark, pdf), ["g"], ["x"], 0.01, 0.99).toPandas().set_index("g")
     for g in ("hot", "b"):
         v = pdf.loc[pdf.g == g, "x"]
         filled = v.fillna(v.median())
@@ -58,10 +56,9 @@ def test_clip_bounds_are_those_of_the_filled_sample(spark, gather_rows):
 def test_filled_block_sizes(spark):
     """Few values and many gaps: the bounds fall into the filled block."""
     pdf = pd.DataFrame({"g": ["a"] * 50, "x": [3.0, 1.0, 2.0] + [np.nan] * 47, "y": 0.0})
-    for gather_rows in (0, 10**6):
-        row = group_clip_bounds(to_spark(spark, pdf), ["g"], ["x"], 0.01, 0.99, gather_rows=gather_rows).first()
-        filled = pdf.x.fillna(2.0)
-        assert (row.median, row.lower, row.upper) == pytest.approx((2.0, filled.quantile(0.01), filled.quantile(0.99)))
+    row = group_clip_bounds(to_spark(spark, pdf), ["g"], ["x"], 0.01, 0.99).first()
+    filled = pdf.x.fillna(2.0)
+    assert (row.median, row.lower, row.upper) == pytest.approx((2.0, filled.quantile(0.01), filled.quantile(0.99)))
 
 
 def test_impute_and_winsorize_equal_pandas(spark):
@@ -69,7 +66,7 @@ def test_impute_and_winsorize_equal_pandas(spark):
     df = to_spark(spark, pdf)
     out = crosssection.impute_and_winsorize(df, "g", ["x", "y"]).toPandas()
     parts = []
-    for _, g in pdf.groupby("g"):
+    for _, g in pdf.groupby("g", dropna=False):
         f = g[["x", "y"]].fillna(g[["x", "y"]].median()).fillna(0.0)
         parts.append(f.clip(f.quantile(0.01), f.quantile(0.99), axis=1))
     want = pd.concat(parts)
@@ -88,8 +85,6 @@ def test_one_hot(spark):
     out, labels = crosssection.one_hot(df, "sic2", "sic2")
     assert labels == ["sic2_missing", "sic2_2", "sic2_13"]
     assert [tuple(r)[1:] for r in out.collect()] == [(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 0, 0)]
-    with pytest.raises(ValueError):
-        crosssection.code_values(df, "sic2", limit=1)
 
 
 def test_interactions_are_state_major(spark):
@@ -126,3 +121,9 @@ def test_metrics_equal_numpy(spark):
     assert row.prediction_target_correlation == pytest.approx(np.corrcoef(y, p)[0, 1])
     assert row.prediction_std == pytest.approx(np.std(p))
     assert row.oos_r2 == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - 5) ** 2).sum())
+
+
+def test_distribution_summary_keeps_every_group(spark):
+    rows = [("a", 1.0, None), ("a", 3.0, None), ("b", 2.0, "x"), ("b", None, "y"), (None, 5.0, "x"), (None, 7.0, "x")]
+    out = evaluate.distribution_summary(spark.createDataFrame(rows, "g string, v double, c string"), ["g"], "v", {"kinds": "c"}).collect()
+    assert {(r.g, r.observations, r.mean, r.median, r.kinds) for r in out} == {("a", 2, 2.0, 2.0, 0), ("b", 2, 2.0, 2.0, 2), (None, 2, 6.0, 6.0, 1)}

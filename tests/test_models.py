@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.models import grid, linear, moments, trees, tuning
+from panelmill.models import boosting, grid, linear, moments, trees, tuning
 
 P = ["x1", "x2", "x3", "x4"]
 
@@ -124,10 +124,12 @@ def test_boosting_follows_the_recursion(spark):
     """Stumps on one binary predictor have a closed form: every tree closes the share `rate` of the gap to the group means."""
     rows = [(k, float(k % 2), 10.0 if k % 2 else 2.0) for k in range(40)]
     df = spark.createDataFrame(rows, "id int, x double, y double")
-    forecasts, fitted = trees.boosted_stages(df, ["x"], "y", [1, 3], 0.1, 1)
-    assert len(fitted) == 3
-    for r in df.select("x", *[e.alias(f"p_{n}") for n, e in forecasts.items()]).collect():
+    model = boosting.boost(df, ["x"], "y", [boosting.Run("a", 0.1, 2, 13)])
+    assert boosting.tree_summary(model.trees[0]) == {"trees": 13, "average_tree_depth": 1.0, "maximum_tree_depth": 1, "average_tree_leaves": 2.0}
+    assert model.importances() == [1.0]
+    for r in model.forecasts(df, {"p_1": (0, 1), "p_3": (0, 3), "p_13": (0, 13)}).collect():
         side = 4.0 if r.x else -4.0
+        assert r.p_13 == pytest.approx(6 + side * (1 - 0.9**13))
         assert r.p_1 == pytest.approx(6 + side * 0.1)
         assert r.p_3 == pytest.approx(6 + side * (1 - 0.9**3))
 
@@ -181,13 +183,55 @@ def test_tune_and_select(spark, frame):
     assert out["oob"].first().oob_rows > 100
 
 
-def test_tree_expression_equals_the_model(spark, frame):
-    rows = trees.assemble(frame, P, [*P, "y"])
-    from pyspark.ml.regression import DecisionTreeRegressor
-
-    tree = DecisionTreeRegressor(labelCol="y", maxDepth=2).fit(rows)
-    both = tree.transform(rows).select((F.col("prediction") - trees.tree_expression(tree, P)).alias("d"))
-    assert both.agg(F.max(F.abs("d"))).first()[0] == 0.0
+def plain_tree(x, y, depth):
+    """Best splits over all distinct values; forecasts of the rows."""
+    best = (1e-12, None)
+    for k in range(x.shape[1] if depth else 0):
+        for v in np.unique(x[:, k])[:-1]:
+            left = x[:, k] <= v
+            gain = left.sum() * (~left).sum() / len(y) * (y[left].mean() - y[~left].mean()) ** 2
+            if gain > best[0] * (1 + 1e-9):
+                best = (gain, left)
+    if best[1] is None:
+        return np.full(len(y), y.mean())
+    out = np.empty(len(y))
+    for side in (best[1], ~best[1]):
+        out[side] = plain_tree(x[side], y[side], depth - 1)
+    return out
+
+
+def test_boosting_in_step_equals_plain_loops(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 9, (300, 3)).astype(float)
+    y = np.sin(x[:, 0]) + (x[:, 1] > 4) * x[:, 2] + rng.normal(size=300)
+    rows = [(*map(float, r), float(v), int(t)) for r, v, t in zip(x, y, rng.integers(2000, 2003, 300))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, year int")
+    runs = [boosting.Run("deep", 0.2, 2, 12), boosting.Run("early", 0.3, 1, 5, before=2002)]
+    got = boosting.boost(df, ["a", "b", "c"], "y", runs, "year").forecasts(df, {"deep": (0, 12), "early": (1, 5)}).toPandas()
+    for name, rows_, depth, rate, rounds in (("deep", np.ones(300, bool), 2, 0.2, 12), ("early", got.year.to_numpy() < 2002, 1, 0.3, 5)):
+        xs, ys = got.loc[rows_, ["a", "b", "c"]].to_numpy(), got.loc[rows_, "y"].to_numpy()
+        f = np.full(len(ys), ys.mean())
+        for _ in range(rounds):
+            f = f + rate * plain_tree(xs, ys - f, depth)
+        assert np.abs(f - got.loc[rows_, name].to_numpy()).max() < 1e-10
+
+
+def test_missing_values_are_refused(spark, frame):
+    holes = frame.withColumn("x1", F.when(F.col("month") > "2001-06-01", F.col("x1")))
+    for fit in (lambda: tuning.tune_linear(holes, "month", P, "y", [2001], {"pls": [{"n_components": 1}]}), lambda: boosting.boost(holes, P, "y", [boosting.Run("a", 0.1, 1, 1)])):
+        with pytest.raises(ValueError, match="missing values"):
+            fit()
+
+
+def test_moments_of_many_predictors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 401))
+    names = [f"v{k}" for k in range(400)]
+    rows = [(dt.date(2000 + i % 3, 1, 31), *map(float, r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "month date, y double, " + ", ".join(f"{n} double" for n in names)).repartition(5)
+    m = moments.combine(list(moments.fold_moments(df, "month", names, "y").values()))
+    means, cov = m.centred()
+    assert np.abs(means - x.mean(0)).max() < 1e-12 and np.abs(cov - np.cov(x.T, bias=True)).max() < 1e-10
 
 
 def test_selection_checks(spark, frame):

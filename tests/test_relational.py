@@ -120,3 +120,18 @@ def test_table_diff(spark):
     row = quality.table_diff(a, b, ["k"], ["x"], 1e-12).first()
     assert (row.max_abs_diff, row.unmatched_keys, row.ok) == (0.5, 0, False)
     assert quality.table_diff(a, a, ["k"], ["x"], 1e-12).first().ok
+
+
+def test_two_rows_for_a_period_are_an_error(spark):
+    left = spark.createDataFrame([(1, 10), (2, 20)], "m int, v int")
+    once = spark.createDataFrame([(1, 9, None)], "m int, a int, b int")
+    assert sorted(relational.join_period(left, once, "m").collect()) == [(1, 10, 9, None), (2, 20, None, None)]
+    twice = spark.createDataFrame([(1, 9, 1), (1, 2, 3)], "m int, a int, b int")
+    with pytest.raises(Exception, match="two rows for m 1"):
+        relational.join_period(left, twice, "m").collect()
+
+
+def test_missing_rows_are_no_null_mismatch(spark):
+    a, b = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, x double"), spark.createDataFrame([(1, None)], "k int, x double")
+    row = quality.table_diff(a, b, ["k"], ["x"], 1e-9).first()
+    assert (row.null_mismatches, row.unmatched_keys) == (1, 1)

@@ -1,3 +1,4 @@
+import pytest
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -52,7 +53,11 @@ def test_column_helpers(spark):
     df = spark.createDataFrame([(1, 2.0)], ["Effective Date", "Added-Ticker"])
     assert s.normalize_columns(df).columns == ["effective_date", "added_ticker"]
     assert s.find_column(df, ["added", "ticker"]) == "Added-Ticker"
-    assert s.find_column(df, ["removed"]) is None
+    for words in (["removed"], ["e"]):
+        with pytest.raises(ValueError, match="columns match"):
+            s.find_column(df, words)
+    with pytest.raises(ValueError, match="collides"):
+        s.normalize_columns(spark.createDataFrame([(1, 2)], ["Adj Close", "adj-close"]))
     assert df.select(s.optional_column(df, "nope").alias("x")).first().x is None
 
 

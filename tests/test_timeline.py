@@ -105,6 +105,10 @@ def test_drop_repeats_keeps_last(spark):
     rows = [("a", dt.date(2020, 1, 1), k, float(k)) for k in (3, 1, 2)] + [("b", dt.date(2020, 1, 1), 1, 9.0)]
     out = clean.drop_repeats(spark.createDataFrame(rows, "entity string, date date, o int, x double"), "entity", "date", ["o"])
     assert {(r.entity, r.x, r.dropped_rows) for r in out.collect()} == {("a", 3.0, 2), ("b", 9.0, 0)}
+    rows += [("a", None, 1, 1.0), ("a", None, None, 2.0), (None, dt.date(2020, 1, 1), 1, None)]
+    out = clean.drop_repeats(spark.createDataFrame(rows, "entity string, date date, o int, x double"), "entity", "date", ["o"])
+    assert {(r.entity, r.date, r.x, r.dropped_rows) for r in out.collect() if None in (r.entity, r.date)} == {("a", None, 1.0, 1), (None, dt.date(2020, 1, 1), None, 0)}
+    assert out.count() == 4
 
 
 def test_hot_key_is_pruned_before_the_shuffle(spark):
