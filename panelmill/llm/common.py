@@ -1,4 +1,4 @@
-"""Helpers of the corpus operators: word hashes in NumPy, streams of sorted rows, running totals, label samples."""
+"""Helpers of the corpus operators: word hashes in NumPy, streams of sorted rows, label samples."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.session import cut_lineage
-
 #: Odd multiplier of the polynomial hashes modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
@@ -117,28 +115,6 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def running_totals(df: DataFrame, group: list[str], order: list[str], value: str, total: str) -> DataFrame:
-    """Add ``total``: the sum of ``value`` over the earlier rows of the group, in the given full order.
-
-    The rows are range-partitioned by group and order and stored with their partition number, so a group of any
-    size is spread over many tasks; only sums per (partition, group) meet in the second step.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = cut_lineage(df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
-    sums = stored.groupBy("_part", *group).agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_part", *group, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = stored.withColumn(total, F.coalesce(F.sum(value).over(within), F.lit(0)))
-    on = local["_part"].eqNullSafe(offsets["_part"])
-    for g in group:
-        on = on & local[g].eqNullSafe(offsets[g])
-    joined = local.join(offsets, on)
-    keep = [local[c] for c in df.columns]
-    return joined.select(*keep, (local[total] + offsets["_offset"]).alias(total))
-
-
 def fold(doc_id: Column, folds: int) -> Column:
     """Remainder of the CRC-32 of the id's decimal text."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

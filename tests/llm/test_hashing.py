@@ -7,10 +7,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from panelmill.llm import fingerprints as fp
-from panelmill.llm.common import ALNUM, BLANK_SEPARATED, Words, running_totals
+from panelmill.llm.common import ALNUM, BLANK_SEPARATED, Words
 from panelmill.llm.graph import connected_components
 from panelmill.llm.line_dedup import EDITS, allowed, join_lines, segment_keys, within
 from panelmill.llm.ngram_join import shingle_sets, tree_join
+from panelmill.operators.running import running_totals
 
 
 def distance(a, b):
