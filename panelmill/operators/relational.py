@@ -85,8 +85,8 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def stable_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in an order fixed by a hash of the keys, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys).limit(n)
+    """``n`` rows in an order fixed by the MD5 of seed and keys, written as ``seed|key|...``, whatever the partitioning."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)
 
 
 # --- joins -------------------------------------------------------------------

@@ -134,11 +134,21 @@ def elastic_net_mllib(spark, sf):
     return coefficient_table(linear.coefficient_rows(spark, {"elastic_net": fit}))
 
 
-@query("pls_components")
+@query(
+    "pls_components",
+    _FRAME
+    + """, s AS (SELECT count(*) AS n, covar_pop(y, ret_1m) / stddev_pop(ret_1m) AS z1, covar_pop(y, retvol_1m) / stddev_pop(retvol_1m) AS z2, corr(ret_1m, retvol_1m) AS rho FROM frame),
+q AS (SELECT *, (z1 * z1 + z2 * z2 + 2 * rho * z1 * z2) / (z1 * z1 + z2 * z2) AS t1 FROM s),
+c AS (SELECT n, t1, (1 - rho * rho) / t1 AS t2 FROM q),
+v AS (SELECT 1 AS component, t1 * n / (n - 1) AS x_score_variance FROM c UNION ALL SELECT 2, t2 * n / (n - 1) FROM c)
+SELECT component, round(x_score_variance, 7) + 0.0 AS x_score_variance, round(x_score_variance / sum(x_score_variance) OVER (), 7) + 0.0 AS share,
+  round(sum(x_score_variance) OVER (ORDER BY component) / sum(x_score_variance) OVER (), 7) + 0.0 AS cumulative_share FROM v""",
+)
 def pls_components(spark, sf):
-    parts = moments.fold_moments(_stored(spark, sf), "month", PREDICTORS, "y")
-    fit = linear.solve_pls(moments.combine(list(parts.values())), PREDICTORS, 3)[-1]
-    return cumulative_share(linear.component_rows(spark, fit), "component", "x_score_variance")
+    """Both components of two predictors. The score variances are those of the first direction and of what is orthogonal to it."""
+    parts = moments.fold_moments(_stored(spark, sf), "month", PREDICTORS[:2], "y")
+    fit = linear.solve_pls(moments.combine(list(parts.values())), PREDICTORS[:2], 2)[-1]
+    return rounded(cumulative_share(linear.component_rows(spark, fit), "component", "x_score_variance"), 7)
 
 
 @query("linear_grid_search")

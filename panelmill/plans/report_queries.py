@@ -164,9 +164,16 @@ def model_bars(spark, sf):
     return rounded(reports.model_bars(m, "prediction_target_correlation", ascending=False), 8)
 
 
-@query("scatter_frame")
+@query(
+    "scatter_frame",
+    with_views(PREDICTIONS)
+    + """, s AS (SELECT entity, month, realized_target, prediction FROM predictions WHERE model = 'half_lag'
+  ORDER BY md5('42|' || entity || '|' || CAST(CAST(month AS DATE) AS VARCHAR)), entity, month LIMIT 5000)
+SELECT entity, month, round(realized_target, 8) + 0.0 AS realized_target, round(prediction, 8) + 0.0 AS prediction,
+  round(least(min(realized_target) OVER (), min(prediction) OVER ()), 8) + 0.0 AS lower, round(greatest(max(realized_target) OVER (), max(prediction) OVER ()), 8) + 0.0 AS upper FROM s""",
+)
 def scatter_frame(spark, sf):
-    return reports.scatter_frame(src.panel_predictions(spark, sf), "half_lag", ["entity", "month"])
+    return rounded(reports.scatter_frame(src.panel_predictions(spark, sf), "half_lag", ["entity", "month"]), 8)
 
 
 @query(

@@ -252,7 +252,7 @@ def display_names_and_booleans(spark, sf):
     return names.add_display_names(orders, names={"F": "Filled", "O": "Open"})
 
 
-@query("stable_sample")
+@query("stable_sample", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 500")
 def stable_sample(spark, sf):
     orders = src.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F")
     return relational.stable_sample(orders, ["o_orderkey"], 500).select("o_orderkey", "o_totalprice")
