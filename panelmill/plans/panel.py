@@ -30,15 +30,17 @@ def clean_daily(raw: DataFrame, order: Sequence[str], **limits) -> tuple[DataFra
 def monthly_panel(
     bars: DataFrame, market: DataFrame, level: DataFrame, rates: DataFrame,
     max_missing: int = names.MAX_MISSING_MONTHS, first: str | None = None, last: str | None = None,
-    beta_rows: int = 252, beta_min: int = 126,
+    beta_rows: int = 252, beta_min: int = 126, block_rows: int | None = None, is_stored: bool = False,
 ) -> DataFrame:
     """Monthly entity panel with price, risk, liquidity and market predictors and the next-month target.
 
     ``bars``: (entity, date, OHLC, adj_close, volume); ``market``: (date, adj_close); ``level``: (date, level);
-    ``rates``: (month, rate).
+    ``rates``: (month, rate). Bars (unless ``is_stored``) and the monthly table are stored once, as several steps read them.
+    ``block_rows`` cuts long daily histories for the rolling risk measures.
     """
+    bars = bars if is_stored else cut_lineage(bars)
     monthly = resample.resample_monthly(bars, "entity", "date")
-    with_ret = timeline.gap_aware_return(monthly, "entity", "month", "last_adj_close", "ret_1m").drop("ret_1m_gap")
+    with_ret = cut_lineage(timeline.gap_aware_return(monthly, "entity", "month", "last_adj_close", "ret_1m").drop("ret_1m_gap"))
     returns = resample.daily_returns(bars, "entity", "date")
     kept, kept_returns = timeline.remove_fragmented(with_ret, [returns], "entity", "month", max_missing)
     trends = timeline.price_trends(kept, "entity", "month")
@@ -46,7 +48,7 @@ def monthly_panel(
         trends, resample.market_monthly(market, "date", "adj_close"), resample.level_monthly(level, "date", "level")
     )
     market_ret = resample.series_returns(market, "date", "adj_close", "market_ret").select("date", "market_ret")
-    risk = resample.monthly_risk(kept_returns, market_ret, "entity", "date", beta_rows, beta_min)
+    risk = resample.monthly_risk(kept_returns, market_ret, "entity", "date", beta_rows, beta_min, block_rows)
     with_risk = with_market.join(risk, ["entity", "month"], "left")
     out = timeline.next_period_target(with_risk, "entity", "month", "ret_1m", rates, "rate", names.TARGET)
     out = out.drop(f"{names.TARGET}_gap").filter(F.col(names.TARGET).isNotNull())
@@ -57,13 +59,15 @@ def monthly_panel(
     return out
 
 
-def add_reports(panel: DataFrame, raw_reports: DataFrame, max_age: int = names.MAX_REPORT_AGE_MONTHS) -> DataFrame:
-    """Panel with the latest report that was public at each month."""
+def add_reports(
+    panel: DataFrame, raw_reports: DataFrame, max_age: int = names.MAX_REPORT_AGE_MONTHS, split: str | None = None
+) -> DataFrame:
+    """Panel with the latest report that was public at each month; ``split`` solves long histories piece by piece."""
     reports = accounting.report_growth(accounting.report_measures(accounting.standardise_reports(raw_reports)))
     keep = ["entity", "company", "datadate", "available_month", "sic2"]
     measures = [c for c in names.ACCOUNTING_CHARACTERISTICS if c != "has_compustat_annual"]
     available = accounting.with_availability(reports).select(*keep, *measures)
-    return accounting.merge_reports(panel, available, max_age=max_age)
+    return accounting.merge_reports(panel, available, max_age=max_age, split=split)
 
 
 def base_dataset(

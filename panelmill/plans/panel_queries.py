@@ -428,7 +428,7 @@ def monthly_panel(spark, sf):
 def _dataset(spark, sf):
     full = panel.add_reports(_panel(spark, sf), src.annual(spark, sf))
     base, predictors = panel.base_dataset(full, src.macro(spark, sf), src.MACRO)
-    return panel.model_dataset(base, predictors, src.MACRO)
+    return panel.model_dataset(base, predictors, src.MACRO, is_stored=True)  # a projection of the stored panel
 
 
 @query("model_dataset")
