@@ -117,3 +117,18 @@ def model_bars(metrics: DataFrame, value: str, ascending: bool = True) -> DataFr
     """Bars comparing models on one metric, without models that lack it."""
     order = F.asc(value) if ascending else F.desc(value)
     return add_display_names(metrics.dropna(subset=[value])).select("model", "display_name", value).orderBy(order, "model")
+
+
+def chosen_parameters(selected: DataFrame) -> DataFrame:
+    """The chosen settings as a table: one row per family and parameter, from the settings' JSON text."""
+    settings = F.from_json("parameters", "map<string,string>")
+    rows = selected.select("model_family", "candidate_id", F.explode(settings).alias("parameter", "value"))
+    return rows.orderBy("model_family", "parameter")
+
+
+def complexity_report(complexity: DataFrame) -> DataFrame:
+    """Model sizes with readable names: one row per model and measure that applies to it."""
+    measures = [c for c in complexity.columns if c != "model"]
+    doubles = complexity.select("model", *[F.col(c).cast("double").alias(c) for c in measures])
+    long = doubles.unpivot(["model"], measures, "measure", "value").where("value is not null")
+    return add_display_names(long).select("model", "display_name", "measure", "value").orderBy("model", "measure")

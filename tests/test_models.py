@@ -241,3 +241,12 @@ def test_selection_checks(spark, frame):
     assert all(r.ok for r in tuning.selection_checks(results, table, [2002, 2003]).collect())
     bad = tuning.selection_checks(results.filter("candidate_id = 'pls_001' or validation_year = 2002"), table, [2002, 2003])
     assert {r.check: r.failures for r in bad.collect() if not r.ok} == {"missing_fits": 1}
+
+
+def test_parameter_and_complexity_tables(spark):
+    from panelmill.operators import reports
+
+    chosen = spark.createDataFrame([("b", "b_1", '{"n": 3, "rate": 0.1}'), ("a", "a_2", '{"k": 5}')], "model_family string, candidate_id string, parameters string")
+    assert [tuple(r) for r in reports.chosen_parameters(chosen).collect()] == [("a", "a_2", "k", "5"), ("b", "b_1", "n", "3"), ("b", "b_1", "rate", "0.1")]
+    sizes = trees.complexity_rows(spark, {"pls": {"pls_components": 2, "number_of_predictors": 4}})
+    assert [(r.measure, r.value) for r in reports.complexity_report(sizes).collect()] == [("number_of_predictors", 4.0), ("pls_components", 2.0)]

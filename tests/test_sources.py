@@ -63,3 +63,11 @@ def test_guarded_load(spark):
 def test_cut_lineage_uses_the_shared_folder(spark):
     df = cut_lineage(spark.range(10).withColumn("v", F.col("id") * 2))
     assert df.count() == 10 and shared_folder(spark) in df.inputFiles()[0]
+
+
+def test_load_report_gives_each_entity_its_reason(spark):
+    loaded = spark.createDataFrame([("A", dt.date(2020, 1, 1)), ("B", dt.date(2020, 1, 2))], "entity string, date date")
+    universe = spark.createDataFrame([("A",), ("B",), ("C",), ("D",)], "entity string")
+    missing = spark.createDataFrame([("B", "volume"), ("D", "open,close")], "entity string, missing_columns string")
+    rows = {r.entity: (r.status, r.reason, r.rows) for r in quality.load_report(loaded, universe, "entity", "date", missing).collect()}
+    assert rows == {"A": ("downloaded", "", 1), "B": ("failed", "missing_columns:volume", 1), "C": ("failed", "no_data", 0), "D": ("failed", "missing_columns:open,close", 0)}
