@@ -65,7 +65,11 @@ def _joined(rows: DataFrame, keys: list[str], local: Local) -> DataFrame:
         for group in sorted_groups(batches, keys):
             nodes, texts = group.column("node").to_pylist(), group.column("text").to_pylist()
             if len(nodes) > 1:
-                edges = local(nodes, texts, group.column("side").to_numpy(), group.column("component").to_pylist())
+                forest = Forest()
+                for a, b in local(nodes, texts, group.column("side").to_numpy(), group.column("component").to_pylist()):
+                    forest.join(a, b)
+                # Stars need no further round of the components.
+                edges = [(v, forest.root(v)) for v in forest.parent if forest.root(v) != v]
                 if edges:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
 
@@ -73,8 +77,8 @@ def _joined(rows: DataFrame, keys: list[str], local: Local) -> DataFrame:
     return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long")
 
 
-def link_blocks(members: DataFrame, local: Local, part_rows: int = 2000, part_chars: int = 20_000_000) -> DataFrame:
-    """Edges (a, b) whose components are those of all links inside the blocks. ``members``: node, block, text.
+def link_blocks(members: DataFrame, local: Local, part_rows: int = 2000, part_chars: int = 8_000_000) -> DataFrame:
+    """Edges (a, b), stars in each task, whose components are those of all links inside the blocks. ``members``: node, block, text.
 
     A block of at most ``part_rows`` rows and ``part_chars`` characters is joined in one task. A larger one is split into parts: each part
     is joined together with the block's first text, which settles a tight group in linear work; what is then outside the block's largest

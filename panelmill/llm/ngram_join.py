@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,56 +122,115 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted(h0, v0)
 
 
-def tree_join(sets: list[np.ndarray], linked, known, percent: int, wanted) -> None:
-    """Find all pairs of sets at the Jaccard threshold and report them by ``linked(i, j)``.
-
-    The sets, ordered from frequent to rare members, are the paths of a prefix tree: sorted, two neighbours share the path up to their longest
-    common prefix. A probe walks the tree; what it overlaps on a shared path is counted once; at the first place where the
-    members already missing on either side rule out the threshold, the whole subtree behind it is skipped. Pairs that are
-    ``known`` to be joined or not ``wanted`` are not counted.
+class PrefixTree:
+    """Compressed prefix tree of sorted paths: nodes in arrays, children and the paths that end at a node as ranges."""
+
+    def __init__(self, paths: list[np.ndarray]):
+        start, end, path, parent = [0], [0], [0], [-1]
+        ends_at: list[int] = []
+        stack = [0]
+        for i, own in enumerate(paths):
+            shared = 0
+            if i:
+                k = min(len(paths[i - 1]), len(own))
+                differ = np.flatnonzero(paths[i - 1][:k] != own[:k])
+                shared = int(differ[0]) if len(differ) else k
+            while start[stack[-1]] >= shared and stack[-1]:
+                stack.pop()
+            top = stack[-1]
+            if end[top] > shared:
+                # The path leaves within this node: its upper part becomes a node of its own.
+                upper = len(start)
+                start.append(start[top])
+                end.append(shared)
+                path.append(path[top])
+                parent.append(parent[top])
+                start[top], parent[top] = shared, upper
+                stack[-1] = upper
+            if len(own) > shared:
+                start.append(shared)
+                end.append(len(own))
+                path.append(i)
+                parent.append(stack[-1])
+                stack.append(len(start) - 1)
+                ends_at.append(len(start) - 1)
+            else:
+                ends_at.append(ends_at[-1])
+        self.flat = np.concatenate(paths)
+        sizes = np.array([len(x) for x in paths])
+        self.base = np.cumsum(sizes) - sizes
+        self.size = sizes
+        self.end = np.array(end)
+        self.first = self.base[np.array(path)] + np.array(start)
+        self.length = self.end - np.array(start)
+        self.children, self.child_at, self.child_count = _ranges(np.array(parent), len(start))
+        self.done, self.done_at, self.done_count = _ranges(np.array(ends_at), len(start))
+        # Largest number of a path below each node: children have larger ends, so deepest nodes come first.
+        self.largest = np.full(len(start), -1)
+        np.maximum.at(self.largest, np.array(ends_at), np.arange(len(paths)))
+        for node in np.argsort(-self.end, kind="stable").tolist():
+            if parent[node] >= 0:
+                self.largest[parent[node]] = max(self.largest[parent[node]], self.largest[node])
+
+    def matches(self, x: np.ndarray, mark: np.ndarray, after: int, percent: int) -> np.ndarray:
+        """Numbers above ``after`` of the paths at the Jaccard threshold with ``x``; ``mark`` is 1 at its members.
+
+        The tree is walked level by level. What a shared path overlaps is counted once, at its node; a subtree is left when the members that
+        are already missing on either side rule out the threshold.
+        """
+        nx, found = len(x), []
+        nodes = _take(self.children, self.child_at[[0]], self.child_count[[0]])
+        overlap = np.zeros(len(nodes), np.int64)
+        while len(nodes):
+            keep = self.largest[nodes] > after
+            nodes, overlap = nodes[keep], overlap[keep]
+            if not len(nodes):
+                break
+            first, length = self.first[nodes], self.length[nodes]
+            heads = np.cumsum(length) - length
+            overlap = overlap + np.add.reduceat(mark[_take(self.flat, first, length)], heads)
+            lost = np.searchsorted(x, self.flat[first + length - 1], side="right") - overlap
+            alive = 100 * (nx - lost) >= percent * (nx + self.end[nodes] - overlap)
+            nodes, overlap = nodes[alive], overlap[alive]
+            paths = _take(self.done, self.done_at[nodes], self.done_count[nodes])
+            total = np.repeat(overlap, self.done_count[nodes])
+            found.append(paths[(paths > after) & (100 * total >= percent * (nx + self.size[paths] - total))])
+            overlap = np.repeat(overlap, self.child_count[nodes])
+            nodes = _take(self.children, self.child_at[nodes], self.child_count[nodes])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _ranges(owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members by owner, and where each owner's range starts and how long it is; negative owners have none."""
+    members = np.argsort(owner, kind="stable")
+    members = members[owner[members] >= 0]
+    sizes = np.bincount(owner[owner >= 0], minlength=count)
+    return members, np.cumsum(sizes) - sizes, sizes
+
+
+def _take(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Concatenation of values[start : start + length]."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def tree_join(sets: list[np.ndarray], linked, percent: int) -> None:
+    """Find all pairs of sets at the Jaccard threshold and report them by ``linked(i, js)``.
+
+    The sets, their members ordered from frequent to rare, are the paths of a prefix tree, which each of them probes for the paths behind it.
     """
     _, ranks, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.empty(len(counts), np.int64)
     order[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
     ends = np.cumsum([len(s) for s in sets])
     paths = [np.sort(order[ranks[e - len(s) : e]]) for s, e in zip(sets, ends, strict=True)]
-    by_path = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes())
+    by_path = np.array(sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes()))
     paths = [paths[i] for i in by_path]
-    common = [0] * len(paths)
-    for i in range(1, len(paths)):
-        k = min(len(paths[i - 1]), len(paths[i]))
-        differ = np.flatnonzero(paths[i - 1][:k] != paths[i][:k])
-        common[i] = int(differ[0]) if len(differ) else k
+    tree = PrefixTree(paths)
     mark = np.zeros(len(counts), np.int64)
     for a, x in enumerate(paths):
-        nx = len(x)
-        low, high = -(-percent * nx // 100), 100 * nx // percent
         mark[x] = 1
-        overlap = np.zeros(max(map(len, paths)) + 1, np.int64)  # with the walked path, by its length
-        valid = 0  # so much of the last walked path is the current path, too
-        dead = None  # length of the path that is ruled out
-        for b in range(a + 1, len(paths)):
-            valid = min(valid, common[b]) if b > a + 1 else 0
-            if dead is not None:
-                if common[b] >= dead and valid >= dead:
-                    continue
-                dead = None
-            y = paths[b]
-            i, j = by_path[a], by_path[b]
-            if not low <= len(y) <= high or known(i, j) or not wanted(i, j):
-                continue
-            new = y[valid:]
-            overlap[valid + 1 : len(y) + 1] = overlap[valid] + np.cumsum(mark[new])
-            depth = np.arange(valid + 1, len(y) + 1)
-            seen = overlap[valid + 1 : len(y) + 1]
-            lost = np.searchsorted(x, new, side="right") - seen  # members of x that this path has passed by
-            hopeless = np.flatnonzero(100 * (nx - lost) < percent * (nx + depth - seen))
-            valid = len(y)
-            if len(hopeless):
-                dead = int(depth[hopeless[0]])
-                valid = max(dead, 0)
-            elif 100 * overlap[len(y)] >= percent * (nx + len(y) - overlap[len(y)]):
-                linked(i, j)
+        linked(int(by_path[a]), by_path[tree.matches(x, mark, a, percent)].tolist())
         mark[x] = 0
 
 
@@ -192,11 +250,12 @@ def _local(n: int, percent: int):
         ids = [nodes[i] for i in keep]
         joined_already(forest, ids, [components[i] for i in keep])
 
-        def link(i: int, j: int) -> None:
-            forest.join(ids[i], ids[j])
-            edges.append((ids[i], ids[j]))
+        def link(i: int, others: list[int]) -> None:
+            for j in others:
+                if (side[keep[i]] or side[keep[j]]) and forest.join(ids[i], ids[j]):
+                    edges.append((ids[i], ids[j]))
 
-        tree_join(sets, link, lambda i, j: forest.root(ids[i]) == forest.root(ids[j]), percent, lambda i, j: side[keep[i]] or side[keep[j]])
+        tree_join(sets, link, percent)
         return edges
 
     return local
