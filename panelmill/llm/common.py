@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
     """Cut Arrow batches into slices of about ``SLICE_CHARS``; a NULL text counts as empty. A text is never cut."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.cumsum([len(t) if t else 0 for t in column.to_pylist()], dtype=np.int64)
+        sizes = np.cumsum(pc.utf8_length(column).fill_null(0).to_numpy(), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             done = sizes[start - 1] if start else 0
