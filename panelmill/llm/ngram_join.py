@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def band_width(percent: int) -> float:
+    """Width on the scale of log sizes: sets at the threshold lie in the same or in adjacent bands (a little more, for rounding)."""
+    return math.log(100 / percent) * (1 + 1e-9)
+
+
 SETS = "doc_id long, n long, node long, check long, counted array<long>, rest array<long>"
 
 
@@ -83,8 +89,8 @@ def _frequent_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], ["h", "n"])
 
 
-def _postings(frequent: np.ndarray):
-    """(n-gram, node) of each distinct set of a task, without the frequent n-grams."""
+def _postings(frequent: np.ndarray, width: float):
+    """(n-gram, node, size band) of each distinct set of a task, without the frequent n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -92,34 +98,45 @@ def _postings(frequent: np.ndarray):
             nodes = batch.column(0).to_pylist()
             fresh = [i for i, v in enumerate(nodes) if v not in seen and not seen.add(v)]
             part = batch.take(pa.array(fresh, pa.int64()))
-            lists = part.column(1)
-            owner = np.repeat(part.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            lists = part.column(2)
+            sizes = lists.value_lengths().to_numpy()
+            owner = np.repeat(part.column(0).to_numpy(), sizes)
+            band = np.repeat(np.floor(np.log(part.column(1).to_numpy()) / width).astype(np.int32), sizes)
             h = lists.flatten().to_numpy()
             keep = ~np.isin(h, frequent)
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(owner[keep])], ["h", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(owner[keep]), pa.array(band[keep])], ["h", "node", "band"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (h, node) sorted by both: node, h and number of nodes of every h that two nodes hold."""
-    h0, v0 = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """From (h, node, band) sorted by the first two: node, h and number of nodes of every h that a node of this or the next band holds, too.
+
+    What two sets at the threshold share is always kept, with the same number for both, so they agree on its order; other members
+    of a set may stand anywhere before it.
+    """
+    h0, v0, s0 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def counted(h: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    def counted(h: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (v[1:] != v[:-1])
-        h, v = h[fresh], v[fresh]
+        h, v, s = h[fresh], v[fresh], s[fresh]
         _, where, n = np.unique(h, return_inverse=True, return_counts=True)
         df = n[where] if len(h) else n
-        often = df > 1
+        place = where.astype(np.int64) * 65_536 + s + 1
+        places, own, count = np.unique(place, return_inverse=True, return_counts=True)
+        often = count[own] > 1 if len(h) else np.zeros(0, bool)
+        for step in (-1, 1):
+            at = np.minimum(np.searchsorted(places, place + step), max(0, len(places) - 1))
+            often |= places[at] == place + step if len(h) else often
         return pa.RecordBatch.from_arrays([pa.array(v[often]), pa.array(h[often]), pa.array(df[often])], ["node", "h", "df"])
 
     for batch in batches:
-        h, v = np.concatenate([h0, batch.column(0).to_numpy()]), np.concatenate([v0, batch.column(1).to_numpy()])
+        h, v, s = (np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate((h0, v0, s0)))
         cut = int(np.searchsorted(h, h[-1])) if len(h) else 0
-        yield counted(h[:cut], v[:cut])
-        h0, v0 = h[cut:], v[cut:]
-    yield counted(h0, v0)
+        yield counted(h[:cut], v[:cut], s[:cut])
+        h0, v0, s0 = h[cut:], v[cut:], s[cut:]
+    yield counted(h0, v0, s0)
 
 
 class PrefixTree:
@@ -268,7 +285,7 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     have no set and link with nothing; a NULL doc_id stays alone in its id (NULL). Equal sets are one node of the graph, so copies cost nothing more.
 
     Candidates: two sets at the threshold share a member of their prefixes in a global order, here by document frequency for the counted quarter
-    of n-grams (very frequent ones, found by a bounded count, behind them), then the rest by hash. Only n-grams of two sets or more travel on.
+    of n-grams (very frequent ones, found by a bounded count, behind them), then the rest by hash. Only n-grams that sets of comparable size share travel on.
     Sets that share prefix members, directly or in chains, form a block; its texts meet once and are joined by ``tree_join``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -276,7 +293,7 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     live = sets.where("node is not null")
     common = live.select("counted").mapInArrow(_frequent_here, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
     frequent = np.array(sorted(r["h"] for r in common.select("h").collect()), np.int64)
-    postings = live.select("node", "counted").mapInArrow(_postings(frequent), "h long, node long")
+    postings = live.select("node", "n", "counted").mapInArrow(_postings(frequent, band_width(percent)), "h long, node long, band int")
     shared = postings.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared, "node long, h long, df long")
     shared = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
 
@@ -294,9 +311,12 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     needed = (length - (F.col("size") - F.size("shared") - F.size("often"))).cast("int")
     prefix = F.slice(F.concat("shared", "often", "rest"), F.lit(1), F.greatest(needed, F.lit(0)))
-    tokens = cut_lineage(ordered.select("node", F.explode(prefix).alias("token")))
-    leads = tokens.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
-    blocks = connected_components(tokens.join(leads, "token").select("lead", "node").where("lead <> node"))
+    band = F.floor(F.log("n") / band_width(percent)).cast("int")
+    tokens = ordered.select("node", band.alias("band"), F.explode(prefix).alias("token"))
+    # In its own band and the next: sets of adjacent bands meet in the larger one.
+    tokens = cut_lineage(tokens.select("node", "token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band")))
+    leads = tokens.groupBy("token", "band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
+    blocks = connected_components(tokens.join(leads, ["token", "band"]).select("lead", "node").where("lead <> node"))
     blocks = cut_lineage(blocks.withColumnRenamed("component", "block"))
     one = live.where("doc_id is not null").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut_lineage(one.join(blocks, "node").select("doc_id", "node", "block"))
