@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelmill.llm.common import slices, sorted_groups
 
 #: Documents of about so many characters form a block, whose distinct words are gathered before the shuffle.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 9_000_000
 _ODD_BLANKS = re.compile(r"\s\s|\A | \Z")
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -172,8 +172,22 @@ def _encode(path: str, pattern: str):
     return encode
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put the ids of a block's words back in place and cut them by document."""
+def _bytes_of(ids: np.ndarray, path: str) -> bytes:
+    """The bytes of the ids in a row, looked up in the token-byte table."""
+    data, starts, lengths = token_bytes(path)
+    return ragged(data, starts[ids], lengths[ids]).tobytes()
+
+
+def _reassemble(batches: Iterator[pa.RecordBatch], decode: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Put the ids of a block's words back in place and cut them by document; with a path also their bytes."""
+    names = ["doc_id", "ids"] + ["decoded"] * bool(decode)
+
+    def batch(ids: list, encoded: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array(ids, pa.int64()), pa.array(encoded, pa.binary())]
+        if decode:
+            columns.append(pa.array([_bytes_of(np.frombuffer(x, "<u4"), decode) for x in encoded], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names)
+
     for group in sorted_groups(batches, ["block"]):
         rows = group.to_pylist()
         docs = next(r for r in rows if r["doc_ids"] is not None)
@@ -208,15 +222,15 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(doc_id)
             encoded.append(ragged(flat, starts[own], sizes[own]).tobytes())
             waiting += len(encoded[-1])
-            if waiting > 8_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(encoded, pa.binary())], ["doc_id", "ids"])
+            if waiting > 4_000_000:
+                yield batch(ids, encoded)
                 ids, encoded, waiting = [], [], 0
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(encoded, pa.binary())], ["doc_id", "ids"])
+            yield batch(ids, encoded)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ``ids`` (little-endian unsigned 32-bit) of every text; NULL texts are empty and have no ids, repeated rows are kept.
+def encode_documents(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ``ids`` (little-endian unsigned 32-bit) of every text, and with ``decoded`` the bytes that the ids stand for; NULL texts are empty and have no ids, repeated rows are kept.
 
     Three steps: blocks of documents give their distinct words with positions, dealt by word; each word is encoded once where all blocks'
     copies of it meet; ids and positions are dealt back by block. A word is sent once per block, however often it occurs, so
@@ -226,7 +240,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = rows.mapInArrow(_gather(buckets), WORDS).repartition("bucket")
     coded = words.mapInArrow(_encode(path, pattern), CODED).repartition("block").sortWithinPartitions("block")
-    return coded.mapInArrow(_reassemble, "doc_id long, ids binary")
+    decode = path if decoded else None
+    return coded.mapInArrow(lambda rows: _reassemble(rows, decode), "doc_id long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -234,12 +249,8 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     own = encoded.columns
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, starts, lengths = token_bytes(path)
         for batch in batches:
-            out = []
-            for x in batch.column(own.index("ids")):
-                ids = np.frombuffer(x.as_py() or b"", "<u4")
-                out.append(ragged(data, starts[ids], lengths[ids]).tobytes())
+            out = [_bytes_of(np.frombuffer(x.as_py() or b"", "<u4"), path) for x in batch.column(own.index("ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*own, "decoded"])
 
     return encoded.mapInArrow(decode, ", ".join(f"`{n}` {k}" for n, k in [*encoded.dtypes, ("decoded", "binary")]))
@@ -247,7 +258,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the ids and of the decoded bytes of every document."""
-    decoded = decode_ids(encode_documents(docs, path, pattern), path)
+    decoded = encode_documents(docs, path, pattern, decoded=True)
     return decoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    current = cut_lineage(pairs.mapInArrow(_forest_of_partition, "a long, b long"))
+    current = cut_lineage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for number in range(rounds):
         nodes, done = _settled(current)
         if done:
@@ -85,7 +85,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return cut_lineage(step.coalesce(files).mapInArrow(_forest_of_partition, "a long, b long"))
 
         if not number:
-            current = stored(current)  # forests of many tasks become few
+            current = stored(current)
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from panelmill.llm.blocks import filtered, id_filter, joined_already, link_blocks, passes
+from panelmill.llm.blocks import id_filter, joined_already, link_blocks, passes
 from panelmill.llm.common import BASE, BASE_INVERSE, mix, powers, slices
 from panelmill.llm.graph import Forest, connected_components
 from panelmill.session import cut_lineage
@@ -295,25 +295,22 @@ def drop_repeated_lines(docs: DataFrame, edits=EDITS, dropped: str = "dropped_li
     """
     docs = docs.drop(dropped)
     lines = cut_lineage(repeated_lines(docs, edits))
-    at = docs.columns.index("text")
     keyed_schema = StructType([*docs.schema.fields, StructField("_key", LongType())])
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(lines.select("doc_key")))
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = document_keys([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], keyed_schema.names)
+    def keyed(maybe: bool):
+        """Documents that may have repeated lines, or the others, with the key of their text."""
 
-    keyed = docs.mapInArrow(key, keyed_schema)
-    changed = id_filter(lines.select("doc_key"))
-    mark = filtered(keyed, "_key", changed)
-    shared = docs.sparkSession.sparkContext.broadcast(changed)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in slices(batches):
+                keys = np.array(document_keys(texts), np.int64)
+                kept = pa.array(passes(shared.value, keys) == maybe)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys)], keyed_schema.names).filter(kept)
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(~passes(shared.value, batch.column(len(batch.columns) - 1).to_numpy())))
+        return docs.mapInArrow(run, keyed_schema)
 
     none = F.array().cast("array<int>")
-    untouched = keyed.mapInArrow(rest, keyed_schema).drop("_key").withColumn(dropped, none)
+    mark, untouched = keyed(True), keyed(False).drop("_key").withColumn(dropped, none)
     marks = lines.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_other"), F.col("lines").alias("_lines"))
     met = mark.join(marks, (F.col("_key") == F.col("_other")) & mark["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
     parts = F.split("text", "\n")

@@ -86,6 +86,11 @@ def test_bpe_round_trip(docs):
     assert sorted(map(key, got)) == sorted(map(key, want))
 
 
+def test_decoding_a_table_of_ids(docs):
+    got = rows(bpe.decode_ids(bpe.encode_documents(docs(ODD), RANKS, PATTERN), RANKS).select("doc_id", "decoded"))
+    assert sorted(map(key, got)) == sorted(key((i, (t or "").encode())) for i, t in ODD)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_words_are_encoded_independently(seed):
     rng = random.Random(seed)
