@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelmill.llm.common import slices, sorted_groups
 
 #: Documents of about so many characters form a block, whose distinct words are gathered before the shuffle.
-BLOCK_CHARS = 9_000_000
+BLOCK_CHARS = 12_000_000
 _ODD_BLANKS = re.compile(r"\s\s|\A | \Z")
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -67,10 +67,14 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
+def _squeezed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=9).compress(data, asbytes=True)
+
+
 def _packed(x: np.ndarray) -> bytes:
     """32-bit numbers as compressed byte planes."""
     planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(x).to_bytes(4, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(x) else b"")
+    return len(x).to_bytes(4, "little") + (_squeezed(planes.tobytes()) if len(x) else b"")
 
 
 def _unpacked(x: bytes) -> np.ndarray:
@@ -111,7 +115,7 @@ def _gather(buckets: int):
             steps = np.diff(spots, prepend=0)
             firsts = spots[heads]
             rows.append((
-                block, int(home[own[0]]), pa.compress(b"".join([words[i] for i in own.tolist()]), "zstd", asbytes=True), _packed(sizes[own]), _packed(counts[own]),
+                block, int(home[own[0]]), _squeezed(b"".join([words[i] for i in own.tolist()])), _packed(sizes[own]), _packed(counts[own]),
                 _packed(np.diff(firsts, prepend=0)), _packed(np.delete(steps, heads)), None, None,
             ))
         return _batch(rows, WORDS)
