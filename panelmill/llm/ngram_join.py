@@ -26,7 +26,7 @@ def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
     words = Words(texts, BLANK_SEPARATED)
     h, out = words.hashes, []
     rolled = h.copy()
-    for k in range(1, n):
+    for k in range(1, min(n, len(h))):
         rolled[: len(h) - k] = mix(rolled[: len(h) - k]) + h[k:]
     rolled = mix(rolled) >> np.uint64(1)
     for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):

@@ -102,3 +102,14 @@ def test_pipeline(corpus, shared, tmp_path):
     packed = {r["doc_id"] for r in seen["packing"].select("doc_id").collect()}
     assert packed == {r["doc_id"] for r in seen["ngram_join"].select("doc_id").collect()}
     assert sorted(map(str, corpus_pipeline.run(shared, str(tmp_path)).collect())) == sorted(map(str, seen["packing"].collect()))
+
+
+def test_near_copies_of_five_word_similarity_go(docs, shared, tmp_path):
+    words = [f"w{i}" for i in range(150)]
+    near = [f"x{i}" if i in (40, 80, 120) else w for i, w in enumerate(words)]
+    far = [f"y{i}" if i % 25 == 9 else w for i, w in enumerate(words)]
+    five, three = ([{tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for t in (words, near, far)] for n in (5, 3))
+    like = [len(a & b) / len(a | b) for a, b in ((five[0], five[1]), (three[0], three[1]), (five[0], five[2]))]
+    assert like[0] == pytest.approx(0.81, abs=0.02) and like[1] < 0.9 and like[2] < 0.8
+    table = docs([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_first_copies(shared, table, str(tmp_path)).collect()) == [1, 3]
