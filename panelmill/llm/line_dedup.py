@@ -19,6 +19,12 @@ from panelmill.session import cut_lineage
 
 #: Length from which so many edits are allowed, for the shorter line of a pair. Shorter lines are left alone.
 EDITS = ((20, 1), (40, 2))
+#: The same, and lines of 1 to 19 characters at distance 0.
+ALL_LINES = ((1, 0), *EDITS)
+
+
+#: What makes a line blank.
+BLANKS = " \t\r\x0b\x0c\u00a0\u3000"
 
 
 def allowed(length: int, edits=EDITS) -> int:
@@ -253,17 +259,17 @@ def document_keys(texts: list[str]) -> list[int]:
 def repeated_lines(docs: DataFrame, edits=EDITS) -> DataFrame:
     """doc_id, doc_key (of the text) and ``lines`` (numbers from 0) of the repeated lines of each document that has some.
 
-    Lines are compared if they have at least the shortest length of ``edits``. Two lines are linked if they are equal or their edit distance
+    Lines are compared if they have at least the shortest length of ``edits``; where that allows no edit, by their ids alone. Two lines are linked if they are equal or their edit distance
     (in code points) is at most that allowed for the shorter one; the classes are the connected components. The first line of a class by
     (doc_id, text hash, place) stays, all others are repeated. Rows of equal id and text count as one document. A NULL id sorts first.
 
     Segments and probes of a task's distinct lines are dealt by key; lines that share one, directly or in chains, form a block, whose texts
     meet once and are joined exactly. Frequent lines are joined by their content before, so their number does not matter.
     """
-    least = min(n for n, _ in edits)
+    least, near = min(n for n, _ in edits), min([n for n, k in edits if k], default=1 << 31)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = cut_lineage(rows.mapInArrow(_occurrences(least), OCCURRENCES))
-    keys = rows.select("text").mapInArrow(_keys(least, edits), "key long, v long")
+    keys = rows.select("text").mapInArrow(_keys(near, edits), "key long, v long")
     stars = keys.repartition("key").sortWithinPartitions("key", "v").mapInArrow(_stars, "a long, b long")
     blocks = cut_lineage(connected_components(stars).select("node", F.col("component").alias("block")))
     table = docs.sparkSession.sparkContext.broadcast(id_filter(blocks.select("node")))
@@ -271,7 +277,7 @@ def repeated_lines(docs: DataFrame, edits=EDITS) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, texts in slices(batches):
-            found = list({x for t in texts for x in lines_of(t) if len(x) >= least})
+            found = list({x for t in texts for x in lines_of(t) if len(x) >= near})
             ids = np.array([a for a, _ in line_ids(found)], np.int64)
             fresh = [i for i in np.flatnonzero(passes(table.value, ids)).tolist() if int(ids[i]) not in seen]
             seen.update(ids[fresh].tolist())
@@ -288,10 +294,11 @@ def repeated_lines(docs: DataFrame, edits=EDITS) -> DataFrame:
     return again.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits=EDITS, dropped: str = "dropped_lines") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits=EDITS, dropped: str = "dropped_lines", keep_below: int = 0) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) with the repeated lines taken out of ``text``, and ``dropped`` (their numbers, in order).
 
-    Which lines: ``repeated_lines``. A column named ``dropped`` is replaced. NULL texts stay NULL, texts without repeated lines stay as they are.
+    Which lines: ``repeated_lines``. Repeated lines of fewer than ``keep_below`` characters are named in ``dropped``, but stay in the text, unless
+    the document has longer repeated lines and nothing else but blank lines: then all its lines go. A column named ``dropped`` is replaced. NULL texts stay NULL, texts without repeated lines stay as they are.
     """
     docs = docs.drop(dropped)
     lines = cut_lineage(repeated_lines(docs, edits))
@@ -315,6 +322,10 @@ def drop_repeated_lines(docs: DataFrame, edits=EDITS, dropped: str = "dropped_li
     met = mark.join(marks, (F.col("_key") == F.col("_other")) & mark["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_lines", i))
+    if keep_below:
+        lost = F.exists(F.transform(parts, lambda x, i: F.array_contains("_lines", i) & (F.length(x) >= keep_below)), lambda x: x)
+        some = F.filter(parts, lambda x, i: ~F.array_contains("_lines", i) | (F.length(x) < keep_below))
+        kept = F.when(lost & F.forall(kept, lambda x: F.trim(x, F.lit(BLANKS)) == ""), F.array().cast("array<string>")).otherwise(some)
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias("text") if c == "text" else mark[c] for c in docs.columns]
     return untouched.unionByName(met.select(*columns, F.coalesce("_lines", none).alias(dropped)))

@@ -113,3 +113,16 @@ def test_near_copies_of_five_word_similarity_go(docs, shared, tmp_path):
     assert like[0] == pytest.approx(0.81, abs=0.02) and like[1] < 0.9 and like[2] < 0.8
     table = docs([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))])
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_first_copies(shared, table, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_copies_with_short_and_blank_lines_go(docs, shared, tmp_path):
+    long = ["the first long line of a text that is found twice", "another long line of the text that is found twice"]
+    texts = [
+        (1, f"Title\n{long[0]}\n\n{long[1]}\nend."), (2, f"Title\n{long[0]}\n\n{long[1]}\nend."), (3, f"{long[0]}\n \n"), (4, f"Title\n{long[0]}\nown"),
+        (5, "Title\nend."), (6, "Title\na long line that only this text has\nend."),
+    ]
+    lines = corpus_pipeline.drop_lines(shared, docs(texts), str(tmp_path))
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.collect()}
+    want = {1: texts[0][1], 4: "Title\nown", 5: texts[4][1], 6: texts[5][1]}
+    assert left == {i: (t, len(t)) for i, t in want.items()}
+    assert {r["doc_id"] for r in corpus_pipeline.keep_first_copies(shared, lines, str(tmp_path)).collect()} == {1, 4, 5, 6}
