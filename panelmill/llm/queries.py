@@ -12,7 +12,7 @@ from panelmill.llm.bpe import token_digests
 from panelmill.llm.common import table
 from panelmill.llm.embedding_dedup import link_vectors
 from panelmill.llm.fingerprints import fingerprint_documents
-from panelmill.llm.line_dedup import dedup_lines
+from panelmill.llm.line_dedup import ALL_LINES, dedup_lines
 from panelmill.llm.ngram_join import link_documents
 from panelmill.llm.packing import pack_documents
 from panelmill.llm.quality import quality_scores
@@ -21,7 +21,7 @@ from panelmill.llm.token_counts import document_token_counts
 from panelmill.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_line_dedup": lambda spark, d: dedup_lines(table(spark, d, "documents")),
+    "op1_line_dedup": lambda spark, d: dedup_lines(table(spark, d, "documents"), ALL_LINES),
     "op2_fingerprints": lambda spark, d: fingerprint_documents(table(spark, d, "documents")),
     "op3_toxicity": lambda spark, d: toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_embedding_dedup": lambda spark, d: link_vectors(table(spark, d, "embeddings")),

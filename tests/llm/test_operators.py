@@ -11,6 +11,7 @@ from panelmill.llm.embedding_dedup import link_vectors
 from panelmill.llm.fingerprints import edited, fingerprint, fingerprint_documents
 from panelmill.llm.line_dedup import dedup_lines, drop_repeated_lines
 from panelmill.llm.ngram_join import link_documents
+from panelmill.llm.queries import QUERIES
 from panelmill.llm.sharding import longest_first, shard_by_size, shard_documents
 from panelmill.llm.token_counts import count_tokens, document_token_counts, list_token_files
 
@@ -263,3 +264,10 @@ def test_vectors_against_all_pairs(shared, part_rows):
         assert got[i] == [(0, i, True)]
     assert got[206] == [(2, 206, True)] and got[207] == [(2, 206, False)] * 2
     assert link_vectors(df.limit(0)).count() == 0
+
+
+def test_short_lines_repeat_at_distance_0(docs, tmp_path):
+    data = [(1, "Les.\n\nLes.\nLer."), (2, "Les.\nnineteen characters\na line of twenty ch."), (3, "a line of twenty ch!\nnineteen characterz\n\nL")]
+    docs(data).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["dropped_lines"] for r in QUERIES["op1_line_dedup"](docs(data).sparkSession, str(tmp_path)).collect()}
+    assert got == {1: [2], 2: [0], 3: [0]}
