@@ -121,17 +121,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def known_labels(labels: DataFrame, label: str, where: Column) -> DataFrame:
+    """doc_id and label of all labelled ids that ``where`` allows. Contradicting labels take the majority (a tie counts as 1)."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
+    return known.where(where).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column, extra: tuple = ()) -> DataFrame:
     """At most ``rows`` labelled texts, drawn by a hash of the id: columns doc_id, text, label and ``extra``.
 
     ``where`` filters the labels by doc_id. Ids with contradicting labels take the majority (a tie counts as 1).
     The drawn ids are at most ``rows``, so sending them to all tasks is bounded by that parameter.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
-    drawn = (
-        known.where(where).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    )
+    drawn = known_labels(labels, label, where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
     return texts.join(F.broadcast(drawn), "doc_id")
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from panelmill.llm.common import ALNUM, Words, fold, labelled_sample, slices
+from panelmill.llm.blocks import filtered, id_filter
+from panelmill.llm.common import ALNUM, Words, fold, known_labels, labelled_sample, slices
+from panelmill.session import cut_lineage
 
 BITS = 18
 #: A word is embedded as the sum of the rows of its own hash and of the hashes of its first 5 and 6 bytes.
@@ -151,36 +153,84 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     return float(cuts[best[np.argmin(np.abs(cuts[best] - 0.5))]])
 
 
+#: Score bins of the calibration. Each bin knows its lowest and highest score, so cuts between bins are exact.
+BINS = 4096
+
+
+def cut_of_bins(low: np.ndarray, high: np.ndarray, n: np.ndarray, positive: np.ndarray) -> float:
+    """``best_threshold`` from the lowest and highest score, rows and rows of label 1 of each bin; bins are not split."""
+    if not positive.sum() or positive.sum() == n.sum():
+        return 0.5
+    order = np.argsort(-low, kind="stable")
+    low, high, n, positive = low[order], high[order], n[order], positive[order]
+    errors = positive.sum() + np.concatenate([[0], np.cumsum(n - 2 * positive)])
+    cuts = np.concatenate([[1.0], (low[:-1] + high[1:]) / 2, [0.0]])
+    best = np.flatnonzero(errors == errors.min())
+    return float(cuts[best[np.argmin(np.abs(cuts[best] - 0.5))]])
+
+
+def calibrate(model: ConvModel, docs: DataFrame, known: DataFrame, trained: DataFrame, least: int) -> None:
+    """Set the common threshold and those of languages with at least ``least`` texts of either class, from all labelled texts not in ``trained``.
+
+    ``docs``: doc_id, text, lang; ``known``: doc_id, label. Texts are scored where they lie; scores and counts per (language, bin) are what travels.
+    The driver gets at most ``BINS`` rows a language.
+    """
+    known = cut_lineage(known.join(F.broadcast(trained), "doc_id", "left_anti"))
+    texts = filtered(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", id_filter(known.select(F.col("doc_id").cast("long"))))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            scores = shared.value.scores(*word_rows(texts))
+            rest = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "lang")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(scores, pa.float64())], ["doc_id", "lang", "score"])
+
+    scored = texts.mapInArrow(score, "doc_id long, lang string, score double").join(known, "doc_id")
+    place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1))
+    counts = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("positive").alias("positive")]
+    rows = scored.select(
+        F.coalesce("lang", F.lit("")).alias("lang"), place.alias("bin"), F.col("score").alias("low"), F.col("score").alias("high"),
+        F.lit(1).alias("n"), F.col("label").alias("positive"),
+    )
+    bins = cut_lineage(rows.groupBy("lang", "bin").agg(*counts))
+    totals = bins.groupBy("lang").agg(F.sum("positive").alias("_positive"), F.sum("n").alias("_n"))
+    enough = totals.where((F.col("_positive") >= least) & (F.col("_n") - F.col("_positive") >= least)).select("lang")
+
+    def columns(part: list) -> list[np.ndarray]:
+        return [np.array([r[c] for r in part]) for c in ("low", "high", "n", "positive")]
+
+    model.threshold = cut_of_bins(*columns(bins.groupBy("bin").agg(*counts).collect()))
+    own = bins.join(enough, "lang").collect()
+    for name in {r["lang"] for r in own}:
+        model.thresholds[name] = cut_of_bins(*columns([r for r in own if r["lang"] == name]))
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, where: Column, label: str = "toxic", rows: int = 6000, least: int = 30) -> ConvModel:
     """Fit on at most ``rows`` labelled texts that ``where`` (on doc_id) allows.
 
-    A fifth of them (by hash) is set aside to calibrate a threshold per language; a language with fewer than ``least`` such texts of
-    either class takes the common one. The language is no input of the score.
+    A fifth of them (by hash) is set aside. These and all other labelled texts that ``where`` allows calibrate a threshold per language; a
+    language with fewer than ``least`` such texts of either class takes the common one. The language is no input of the score.
     """
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             words, bounds = word_rows(texts)
             cells = [words[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            rest = [part.column(part.schema.get_field_index(c)) for c in ("label", "lang", "aside")]
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), *rest], ["f", "label", "lang", "aside"])
+            rest = [part.column(part.schema.get_field_index(c)) for c in ("label", "lang", "doc_id")]
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), *rest], ["f", "label", "lang", "doc_id"])
 
     lang = (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")
-    sample = labelled_sample(docs.select("doc_id", "text", lang), labels, label, rows, where, ("lang",))
+    texts = docs.select("doc_id", "text", lang)
+    sample = labelled_sample(texts, labels, label, rows, where, ("lang",))
     aside = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(5)) == 0
-    got = sample.select("text", "label", "lang", aside.alias("aside")).mapInArrow(featurise, "f binary, label int, lang string, aside boolean").collect()
+    fit = sample.where(~aside).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", "lang")
+    got = fit.mapInArrow(featurise, "f binary, label int, lang string, doc_id long").collect()
     got = sorted(got, key=lambda r: (bytes(r["f"]), r["label"], r["lang"] or ""))
     features = [np.frombuffer(r["f"], np.int32).reshape(-1, 1 + len(HEADS)) for r in got]
-    y = np.array([r["label"] for r in got])
-    aside = np.array([r["aside"] for r in got], bool)
-    model = fit_conv([f for f, out in zip(features, aside, strict=True) if not out], y[~aside])
-    scores = np.array([model.scores(f, np.array([0, len(f)]))[0] for f, out in zip(features, aside, strict=True) if out])
-    model.threshold = best_threshold(scores, y[aside])
-    langs = np.array([r["lang"] or "" for r, out in zip(got, aside, strict=True) if out])
-    for name in set(langs.tolist()):
-        own = langs == name
-        if min(y[aside][own].sum(), (1 - y[aside][own]).sum()) >= least:
-            model.thresholds[name] = best_threshold(scores[own], y[aside][own])
+    model = fit_conv(features, np.array([r["label"] for r in got]))
+    known = known_labels(labels, label, where)
+    trained = docs.sparkSession.createDataFrame([(i,) for i in {r["doc_id"] for r in got}], "doc_id long")
+    calibrate(model, texts, known, trained, least)
     return model
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from panelmill.llm.common import fold
 from panelmill.llm.quality import quality_scores, score_quality, train_quality
-from panelmill.llm.toxicity import best_threshold, score_toxicity, toxicity_scores, train_toxicity, word_rows
+from panelmill.llm.toxicity import best_threshold, cut_of_bins, score_toxicity, toxicity_scores, train_toxicity, word_rows
 
 from .conftest import ODD
 
@@ -126,3 +126,15 @@ def test_copies_with_short_and_blank_lines_go(docs, shared, tmp_path):
     want = {1: texts[0][1], 4: "Title\nown", 5: texts[4][1], 6: texts[5][1]}
     assert left == {i: (t, len(t)) for i, t in want.items()}
     assert {r["doc_id"] for r in corpus_pipeline.keep_first_copies(shared, lines, str(tmp_path)).collect()} == {1, 4, 5, 6}
+
+
+def test_calibration_grows_with_the_labels(corpus):
+    texts, labels = corpus
+    texts = texts.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, "fr").otherwise("en"))
+    assert set(train_toxicity(texts, labels, F.lit(True), rows=100, least=30).thresholds) == {"en", "fr"}
+    assert set(train_toxicity(texts, labels, fold(F.col("doc_id"), 5) == 0, rows=100, least=30).thresholds) == set()
+    rng = np.random.default_rng(2)
+    scores, y = rng.random(300).round(2), rng.integers(0, 2, 300)
+    values = np.unique(scores)
+    n, positive = (np.array([f(y[scores == v]) for v in values]) for f in (len, sum))
+    assert cut_of_bins(values, values, n, positive) == best_threshold(scores, y)
