@@ -102,7 +102,8 @@ def link_blocks(members: DataFrame, local: Local, part_rows: int = 2000, part_ch
     largest = groups.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
     split = split.join(largest, "block")
     outside = split.where("component <> largest")
-    counts = outside.groupBy("block").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("outer_parts"))
+    rows, chars = F.ceil(F.count("*") / part_rows), F.ceil(F.sum(F.length("text")) / part_chars)
+    counts = outside.groupBy("block").agg(F.greatest(rows, chars).cast("int").alias("outer_parts"))
     outside = outside.join(counts, "block").select(
         "block", "node", "text", "component", F.lit(1).alias("side"), F.pmod(F.xxhash64("node"), F.col("outer_parts")).cast("int").alias("outer"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 
 from panelmill.llm import bpe, packing
+from panelmill.llm.blocks import link_blocks
 from panelmill.llm.embedding_dedup import link_vectors
 from panelmill.llm.fingerprints import edited, fingerprint, fingerprint_documents
 from panelmill.llm.line_dedup import dedup_lines, drop_repeated_lines
@@ -271,3 +272,13 @@ def test_short_lines_repeat_at_distance_0(docs, tmp_path):
     docs(data).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["dropped_lines"] for r in QUERIES["op1_line_dedup"](docs(data).sparkSession, str(tmp_path)).collect()}
     assert got == {1: [2], 2: [0], 3: [0]}
+
+
+def test_parts_outside_the_largest_class_are_bounded_by_characters(shared):
+    def local(nodes, texts, side, components):
+        if sum(map(len, texts)) > 20_000:
+            raise ValueError("too many characters in a task")
+        return []
+
+    members = shared.createDataFrame([(i, 0, "x" * 1000) for i in range(40)], "node long, block long, text string")
+    assert link_blocks(members, local, part_chars=5000).count() == 0
