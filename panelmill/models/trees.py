@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -99,6 +100,55 @@ def out_of_bag(
     return train.join(mean, list(keys), "left")
 
 
+class BaggedForest:
+    """A forest of one-tree fits on explicit Poisson bags, so every tree's out-of-bag rows are known. Trees are fitted side by side."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def fit(
+        self, train: DataFrame, keys: Sequence[str], label: str, seed: int = SEED, max_depth: int = 30, max_bins: int = 256, leaf: int = 20, parallel: int = 4,
+    ) -> "BaggedForest":
+        def tree(number: int):
+            return RandomForestRegressor(
+                featuresCol="features", labelCol=label, weightCol="__w", predictionCol="__p", numTrees=1, bootstrap=False,
+                featureSubsetStrategy="sqrt", minInstancesPerNode=leaf, maxDepth=max_depth, maxBins=max_bins, seed=seed + number,
+            ).fit(train.withColumn("__w", poisson_bag(keys, number, seed)).filter("__w > 0"))
+
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            self.parts = list(pool.map(tree, range(self.size)))
+        self.keys, self.seed = list(keys), seed
+        return self
+
+    def _forecasts(self, df: DataFrame, trees: int, prefix: str = "__t") -> DataFrame:
+        out = df
+        for number, model in enumerate(self.parts[:trees]):
+            out = model.setPredictionCol(f"{prefix}{number}").transform(out)
+        return out
+
+    def transform(self, df: DataFrame, column: str) -> DataFrame:
+        """Adds the mean forecast of all trees as ``column``."""
+        names = [f"__t{i}" for i in range(self.size)]
+        mean = F.aggregate(F.array(*names), F.lit(0.0), lambda a, x: a + x) / F.lit(float(self.size))
+        return self._forecasts(df, self.size).withColumn(column, mean).drop(*names)
+
+    def out_of_bag(self, train: DataFrame, trees: int | None = None) -> DataFrame:
+        """``train`` with the mean forecast of the trees (all of them by default) that a row was not drawn for; NULL for a row in every bag."""
+        n = min(self.size if trees is None else trees, self.size)
+        names = [f"__t{i}" for i in range(n)]
+        votes = F.array(*[F.when(poisson_bag(self.keys, i, self.seed) == 0, F.col(c)) for i, c in enumerate(names)])
+        votes = F.filter(votes, lambda x: x.isNotNull())
+        total = F.aggregate(votes, F.lit(0.0), lambda a, x: a + x)
+        mean = F.when(F.size(votes) > 0, total / F.size(votes))
+        return self._forecasts(train, n).withColumn("oob_prediction", mean).drop(*names)
+
+    def importances(self, predictors: Sequence[str]) -> list[float]:
+        return [sum(float(m.featureImportances[i]) for m in self.parts) / self.size for i in range(len(predictors))]
+
+    def trees(self):
+        return [t for m in self.parts for t in m.trees]
+
+
 def oob_metrics(oob: DataFrame, month: str, label: str) -> DataFrame:
     """Pooled and month-weighted OOB error and R2 over rows that have an OOB forecast."""
     rows = oob.filter(F.col("oob_prediction").isNotNull())

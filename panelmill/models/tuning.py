@@ -16,7 +16,7 @@ from panelmill.models.grid import CANDIDATES, FIXED, candidate_rows, candidate_t
 from panelmill.models.linear import LinearFit, coefficient_rows, component_rows, solve_elastic_net, solve_ols, solve_pls
 from panelmill.models.boosting import Run, boost, tree_summary
 from panelmill.models.moments import Moments, combine, fold_moments, require_complete
-from panelmill.models.trees import ForestBlocks, assemble, complexity_rows, importance_rows, oob_metrics, out_of_bag, tree_sizes
+from panelmill.models.trees import BaggedForest, ForestBlocks, assemble, complexity_rows, importance_rows, oob_metrics, tree_sizes
 from panelmill.operators.evaluate import forecast_metrics, rank_models
 from panelmill.operators.folds import fold_bounds, fold_table, summarise_folds
 from panelmill.operators.quality import expect, never, no_infinities, no_nulls
@@ -171,14 +171,14 @@ def fit_and_forecast(
     target: str,
     settings: dict[str, dict],
     ols_predictors: Sequence[str] = tuple(names.OLS3_PREDICTORS),
-    oob_trees: int = 0,
+    oob_trees: int | None = 0,
     **tree_options,
 ) -> dict[str, DataFrame]:
     """Fit the historical mean, OLS on few predictors and the given families on one sample; forecast others.
 
     ``settings`` maps family to parameters. Returns predictions, metrics (one row per model and sample), coefficients,
     complexity and, where they apply, importances, components and out-of-bag metrics. A missing value in any sample raises: no row
-    to forecast is left out.
+    to forecast is left out. ``oob_trees``: how many trees of the forest vote out of bag; None: all; 0: no such table.
     """
     spark = fit_sample.sparkSession
     predictors, out, fits, sizes, importances = list(predictors), [], {}, {}, {}
@@ -217,13 +217,15 @@ def fit_and_forecast(
     if "random_forest" in settings:
         n = settings["random_forest"]["n_estimators"]
         train = assemble(usable, predictors, [*keys, month, target]).persist()
-        forest = ForestBlocks([n]).fit(train, target, **tree_options)
-        scored = {s: forest.transform(assemble(df, predictors, [*keys, month, target])) for s, df in rows.items()}
+        bagged = oob_trees != 0
+        forest = BaggedForest(n).fit(train, [*keys, month], target, **tree_options) if bagged else ForestBlocks([n]).fit(train, target, **tree_options)
+        name = {"column": f"p_{n}"} if bagged else {}
+        scored = {s: forest.transform(assemble(df, predictors, [*keys, month, target]), **name) for s, df in rows.items()}
         finish("random_forest", F.col(f"p_{n}"), scored)
         importances["random_forest"] = forest.importances(predictors)
         sizes["random_forest"] = {**tree_sizes(forest.trees()), "number_of_predictors": len(predictors)}
-        if oob_trees:
-            result["oob"] = cut_lineage(oob_metrics(out_of_bag(train, [*keys, month], target, oob_trees, **tree_options), month, target))
+        if bagged:
+            result["oob"] = cut_lineage(oob_metrics(forest.out_of_bag(train, oob_trees), month, target))
         train.unpersist()
     if "gradient_boosting" in settings:
         g = settings["gradient_boosting"]
@@ -251,7 +253,8 @@ def final_evaluation(
     development: DataFrame, test: DataFrame, keys: Sequence[str], month: str, predictors: Sequence[str], target: str,
     settings: dict[str, dict], **options,
 ) -> dict[str, DataFrame]:
-    """Refit the chosen settings on development data, forecast the test rows once, rank the models."""
+    """Refit the chosen settings on development data, forecast the test rows once, rank the models. A forest always has out-of-bag metrics, of all its trees."""
+    options = {"oob_trees": None, **options}
     result = fit_and_forecast(development, {"test": test}, keys, month, predictors, target, settings, **options)
     result["ranking"] = rank_models(result["metrics"], "test")
     return result

@@ -190,7 +190,8 @@ def gradient_boosting_stages(spark, sf):
 @query("out_of_bag_metrics")
 def out_of_bag_metrics(spark, sf):
     rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
-    return trees.oob_metrics(trees.out_of_bag(rows, ["entity", "month"], "y"), "month", "y")
+    forest = trees.BaggedForest(FIXED["random_forest"]["n_estimators"]).fit(rows, ["entity", "month"], "y")
+    return trees.oob_metrics(forest.out_of_bag(rows), "month", "y")
 
 
 @query("final_evaluation")

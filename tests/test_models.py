@@ -250,3 +250,19 @@ def test_parameter_and_complexity_tables(spark):
     assert [tuple(r) for r in reports.chosen_parameters(chosen).collect()] == [("a", "a_2", "k", "5"), ("b", "b_1", "n", "3"), ("b", "b_1", "rate", "0.1")]
     sizes = trees.complexity_rows(spark, {"pls": {"pls_components": 2, "number_of_predictors": 4}})
     assert [(r.measure, r.value) for r in reports.complexity_report(sizes).collect()] == [("number_of_predictors", 4.0), ("pls_components", 2.0)]
+
+
+def test_all_trees_of_the_reported_forest_vote_out_of_bag(spark, frame):
+    rows = trees.assemble(frame, P, ["entity", "month", "y"])
+    forest = trees.BaggedForest(5).fit(rows, ["entity", "month"], "y", max_depth=3, max_bins=16)
+    free = F.array(*[trees.poisson_bag(["entity", "month"], i) == 0 for i in range(5)])
+    wanted = frame.filter(F.exists(free, lambda x: x)).count()
+    assert len(forest.trees()) == 5 and trees.oob_metrics(forest.out_of_bag(rows), "month", "y").first().oob_rows == wanted
+    by_hand = trees.out_of_bag(rows, ["entity", "month"], "y", 5, max_depth=3, max_bins=16).select("entity", "month", F.col("oob_prediction").alias("p"))
+    both = forest.out_of_bag(rows).join(by_hand, ["entity", "month"])
+    assert both.filter(~F.coalesce(F.abs(F.col("p") - F.col("oob_prediction")) < 1e-9, F.col("p").isNull() & F.col("oob_prediction").isNull())).count() == 0
+    chosen = {"random_forest": {"n_estimators": 2}}
+    out = tuning.final_evaluation(
+        frame.filter("month < '2003-01-01'"), frame.filter("month >= '2003-01-01'"), ["entity"], "month", P, "y", chosen, ols_predictors=P[:3], max_depth=3, max_bins=16
+    )
+    assert out["oob"].first().oob_rows > 100
