@@ -9,6 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelmill.llm.bpe import token_digests
+from panelmill.llm.collocations import SQL as COLLOCATIONS
+from panelmill.llm.collocations import collocations
 from panelmill.llm.common import table
 from panelmill.llm.embedding_dedup import link_vectors
 from panelmill.llm.fingerprints import fingerprint_documents
@@ -35,7 +37,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "op9_packing": lambda spark, d: pack_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "pipeline": corpus_pipeline.run,
+    "op12_collocations": lambda spark, d: collocations(table(spark, d, "documents")),
     "op10_quality": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_collocations": COLLOCATIONS}
