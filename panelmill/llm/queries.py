@@ -17,6 +17,8 @@ from panelmill.llm.fingerprints import fingerprint_documents
 from panelmill.llm.line_dedup import ALL_LINES, dedup_lines
 from panelmill.llm.ngram_join import link_documents
 from panelmill.llm.packing import pack_documents
+from panelmill.llm.passages import SQL as PASSAGES
+from panelmill.llm.passages import repeat_digests
 from panelmill.llm.quality import quality_scores
 from panelmill.llm.sharding import shard_documents
 from panelmill.llm.token_counts import document_token_counts
@@ -38,7 +40,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": lambda spark, d: pack_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "pipeline": corpus_pipeline.run,
     "op12_collocations": lambda spark, d: collocations(table(spark, d, "documents")),
+    "op13_passages": lambda spark, d: repeat_digests(table(spark, d, "documents")),
     "op10_quality": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
-SQL: dict[str, str] = {"op12_collocations": COLLOCATIONS}
+SQL: dict[str, str] = {"op12_collocations": COLLOCATIONS, "op13_passages": PASSAGES}
