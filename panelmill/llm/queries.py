@@ -8,6 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelmill.llm.alignment import align_documents
 from panelmill.llm.bpe import token_digests
 from panelmill.llm.collocations import SQL as COLLOCATIONS
 from panelmill.llm.collocations import collocations
@@ -39,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ),
     "op9_packing": lambda spark, d: pack_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "pipeline": corpus_pipeline.run,
+    "op11_alignment": lambda spark, d: align_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")),
     "op12_collocations": lambda spark, d: collocations(table(spark, d, "documents")),
     "op13_passages": lambda spark, d: repeat_digests(table(spark, d, "documents")),
     "op10_quality": lambda spark, d: quality_scores(table(spark, d, "documents"), table(spark, d, "labels")),
