@@ -191,11 +191,11 @@ def extreme_predictions(predictions: DataFrame, keys: Sequence[str], ties: Seque
 def model_interpretation(metrics: DataFrame, predictions: DataFrame, yearly: DataFrame, sample: str = "test") -> DataFrame:
     """One row per model: rank, metrics, realised moments, bias, yearly stability, best and worst year.
 
-    Every joined table has one row per model.
+    Every joined table has one row per model. A ranked model without predictions in ``sample`` is an error.
     """
     own = predictions.filter(F.col("sample") == sample) if "sample" in predictions.columns else predictions
     realised = own.groupBy("model").agg(
-        F.avg("realized_target").alias("realized_mean"), F.stddev_samp("realized_target").alias("realized_std")
+        F.avg("realized_target").alias("realized_mean"), F.stddev_samp("realized_target").alias("realized_std"), F.lit(True).alias("__seen")
     )
     ranked = rank_models(metrics, sample).withColumnsRenamed(
         {"pooled_rmse": "rmse", "pooled_mae": "mae", "prediction_target_correlation": "correlation"}
@@ -203,7 +203,9 @@ def model_interpretation(metrics: DataFrame, predictions: DataFrame, yearly: Dat
     out = ranked
     for part in (realised, yearly_stability(yearly), best_and_worst_year(yearly)):
         out = out.join(part, "model", "left")
-    return out.withColumn("prediction_bias", F.col("prediction_mean") - F.col("realized_mean"))
+    absent = F.raise_error(F.concat(F.lit(f"no predictions of sample {sample} for model "), "model")).cast("double")
+    mean = F.when(F.col("__seen").isNull(), absent).otherwise(F.col("realized_mean"))
+    return out.withColumn("realized_mean", mean).withColumn("prediction_bias", F.col("prediction_mean") - F.col("realized_mean")).drop("__seen")
 
 
 def behaviour_flags(interpretation: DataFrame, benchmark_model: str = names.BENCHMARK_MODEL) -> DataFrame:

@@ -54,8 +54,8 @@ def _yearly(spark, sf):
 
 def interpretation(spark, sf):
     """Model summary over all predictions, which are stored once because three tables are made from them."""
-    p = cut_lineage(src.panel_predictions(spark, sf))
-    whole = evaluate.forecast_metrics(p.withColumn("sample", F.lit("all")), ["model", "sample"])
+    p = cut_lineage(src.panel_predictions(spark, sf).withColumn("sample", F.lit("all")))
+    whole = evaluate.forecast_metrics(p, ["model", "sample"])
     return evaluate.model_interpretation(whole, p, evaluate.yearly_metrics(p.drop("benchmark")), "all")
 
 

@@ -373,16 +373,18 @@ def constant_columns(spark, sf):
 @query(
     "table_diff",
     """WITH a AS (SELECT o_custkey, sum(o_totalprice) AS s, avg(o_totalprice) AS m FROM orders GROUP BY 1),
-b AS (SELECT o_custkey, sum(o_totalprice) + CASE WHEN o_custkey % 10 = 0 THEN 0.5 ELSE 0 END AS s, avg(o_totalprice) AS m FROM orders WHERE o_custkey % 100 <> 7 GROUP BY 1),
-j AS (SELECT a.s - b.s AS ds, a.m - b.m AS dm, (a.o_custkey IS NULL OR b.o_custkey IS NULL) AS lost FROM a FULL JOIN b USING (o_custkey))
-SELECT 's' AS "column", round(max(abs(ds)), 4) AS max_abs_diff, count(*) FILTER (lost) AS null_mismatches, count(*) FILTER (lost) AS unmatched_keys, false AS ok FROM j
-UNION ALL SELECT 'm', round(max(abs(dm)), 4), count(*) FILTER (lost), count(*) FILTER (lost), count(*) FILTER (lost) = 0 FROM j""",
+b AS (SELECT o_custkey, sum(o_totalprice) + CASE WHEN o_custkey % 10 = 0 THEN 0.5 ELSE 0 END AS s, CASE WHEN o_custkey % 100 <> 11 THEN avg(o_totalprice) END AS m
+  FROM orders WHERE o_custkey % 100 <> 7 GROUP BY 1),
+j AS (SELECT a.s AS sa, b.s AS sb, a.m AS ma, b.m AS mb, a.o_custkey IS NULL OR b.o_custkey IS NULL AS lost FROM a FULL JOIN b ON a.o_custkey = b.o_custkey),
+d AS (SELECT 's' AS "column", max(abs(sa - sb)) AS diff, count(*) FILTER (NOT lost AND (sa IS NULL) <> (sb IS NULL)) AS null_mismatches, count(*) FILTER (lost) AS unmatched_keys FROM j
+  UNION ALL SELECT 'm', max(abs(ma - mb)), count(*) FILTER (NOT lost AND (ma IS NULL) <> (mb IS NULL)), count(*) FILTER (lost) FROM j)
+SELECT "column", round(coalesce(diff, 0), 4) + 0.0 AS max_abs_diff, null_mismatches, unmatched_keys, coalesce(diff, 0) <= 1e-6 AND null_mismatches = 0 AND unmatched_keys = 0 AS ok FROM d""",
 )
 def table_difference(spark, sf):
     orders = src.table(spark, sf, "orders")
     a = orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("s"), F.avg("o_totalprice").alias("m"))
     bump = F.when(F.col("o_custkey") % 10 == 0, 0.5).otherwise(0.0)
-    b = a.filter(F.col("o_custkey") % 100 != 7).withColumn("s", F.col("s") + bump)
+    b = a.filter(F.col("o_custkey") % 100 != 7).withColumn("s", F.col("s") + bump).withColumn("m", F.when(F.col("o_custkey") % 100 != 11, F.col("m")))
     return rounded(quality.table_diff(a, b, ["o_custkey"], ["s", "m"], 1e-6), 4)
 
 

@@ -296,12 +296,12 @@ def period_join(spark, sf):
 @query(
     "composite_key_join",
     with_views(PRICES)
-    + """, volumes AS (SELECT l_suppkey AS entity, last_day(CAST(l_shipdate AS DATE)) AS month, sum(l_quantity) AS volume FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+    + """, volumes AS (SELECT l_suppkey AS entity, last_day(CAST(l_shipdate AS DATE)) AS month, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)
 SELECT entity, month, round(ret_1m, 8) + 0.0 AS ret_1m, round(volume, 2) + 0.0 AS volume FROM prices LEFT JOIN volumes USING (entity, month)""",
 )
 def composite_key_join(spark, sf):
     m = src.monthly_prices(spark, sf).select("entity", "month", "ret_1m")
-    line = src.table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R")
+    line = src.table(spark, sf, "lineitem")
     volumes = line.groupBy(F.col("l_suppkey").alias("entity"), scalars.month_end("l_shipdate").alias("month")).agg(F.sum("l_quantity").alias("volume"))
     return rounded(m.join(volumes, ["entity", "month"], "left"), 8, volume=2)
 
@@ -430,12 +430,12 @@ def first_and_last(spark, sf):
 
 @query(
     "month_list",
-    """SELECT o_orderpriority, string_agg(m, ', ' ORDER BY m) AS months FROM (SELECT DISTINCT o_orderpriority, CAST(last_day(CAST(o_orderdate AS DATE)) AS VARCHAR) AS m FROM orders
-WHERE o_totalprice < 50000) GROUP BY 1""",
+    """SELECT o_orderpriority, string_agg(m, ', ' ORDER BY m) AS months FROM (SELECT DISTINCT o_orderpriority, CAST(last_day(CAST(o_orderdate AS DATE)) AS VARCHAR) AS m FROM orders)
+GROUP BY 1""",
 )
 def month_list(spark, sf):
     """Distinct months as text: the list is bounded by the calendar."""
-    orders = src.table(spark, sf, "orders").filter(F.col("o_totalprice") < 50000)
+    orders = src.table(spark, sf, "orders")
     months = orders.select("o_orderpriority", F.date_format(scalars.month_end("o_orderdate"), "yyyy-MM-dd").alias("m")).distinct()
     return months.groupBy("o_orderpriority").agg(F.array_join(F.sort_array(F.collect_list("m")), ", ").alias("months"))
 

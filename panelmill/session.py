@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,17 +32,18 @@ def local_session(name: str = "panelmill", cpus: int | str = "*", **conf) -> Spa
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share, for intermediate tables.
 
-    ``spark.checkpoint.dir`` names it. Only a local master may do without: on a cluster a private
-    folder would be lost together with its machine.
+    ``spark.checkpoint.dir`` or the context's own checkpoint folder names it. Only a session whose tasks run in the driver itself
+    may do without: on a cluster a private folder would be lost together with its machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    private = tempfile.mkdtemp(prefix="panelmill-")
-    spark.conf.set("spark.checkpoint.dir", private)
-    return private
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        # The setting itself cannot change while a session runs; the context keeps the folder for the next call.
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelmill-"))
+        configured = context.getCheckpointDir()
+    return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
