@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,15 +80,28 @@ class Words:
         return self.span(self.starts, np.minimum(self.ends, self.starts + n))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut Arrow batches into slices of about ``SLICE_CHARS``; a NULL text counts as empty. A text is never cut."""
+def score_texts(score: Callable[[list[str]], np.ndarray], chars: int = SLICE_CHARS // 4) -> Column:
+    """The column ``text`` scored by ``score``, in slices of about ``chars``. Only texts go to Python and only numbers come back; other columns stay in the JVM."""
+
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            parts = [score(texts) for _, texts in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), chars=chars)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
+
+    # Annotations are text in this module; the kind of function is told by them.
+    scored.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(scored, "double")(F.col("text"))
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cut Arrow batches into slices of about ``chars``; a NULL text counts as empty. A text is never cut."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.cumsum(pc.utf8_length(column).fill_null(0).to_numpy(), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             done = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, done + SLICE_CHARS, side="right")))
+            end = max(start + 1, int(np.searchsorted(sizes, done + chars, side="right")))
             part = batch.slice(start, end - start)
             yield part, [t or "" for t in column.slice(start, end - start).to_pylist()]
             start = end

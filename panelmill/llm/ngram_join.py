@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.llm.blocks import filtered, id_filter, joined_already, link_blocks
@@ -57,7 +57,7 @@ def band_width(percent: int) -> float:
     return math.log(100 / percent) * (1 + 1e-9)
 
 
-SETS = "doc_id long, n long, node long, check long, counted array<long>, rest array<long>"
+SETS = "doc_id long, text_key long, n long, node long, check long, counted array<long>, rest array<long>"
 
 
 def _sets(n: int, percent: int):
@@ -74,7 +74,7 @@ def _sets(n: int, percent: int):
             ns, nodes, checks, counted, rest = zip(*rows, strict=True)
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(list(counted), lists), pa.array(list(rest), lists)],
+                [part.column(0), part.column(2), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(list(counted), lists), pa.array(list(rest), lists)],
                 names,
             )
 
@@ -278,17 +278,17 @@ def _local(n: int, percent: int):
     return local
 
 
-def link_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns are ignored).
+def document_classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), n_shingles, class_a, class_b of every row of ``docs`` (doc_id, text; other columns are ignored). Rows of one class share both.
 
     Linked: |intersection| * 100 >= ``percent`` * |union| of the sets of ``n``-word shingles of the whole texts. NULL texts and texts without words
-    have no set and link with nothing; a NULL doc_id stays alone in its id (NULL). Equal sets are one node of the graph, so copies cost nothing more.
+    have no set, no class, and link with nothing. Rows whose doc_id is NULL join the class of an equal set, but do not link others. Equal sets are one node of the graph, so copies cost nothing more.
 
     Candidates: two sets at the threshold share a member of their prefixes in a global order, here by document frequency for the counted quarter
     of n-grams (very frequent ones, found by a bounded count, behind them), then the rest by hash. Only n-grams that sets of comparable size share travel on.
     Sets that share prefix members, directly or in chains, form a block; its texts meet once and are joined by ``tree_join``.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     sets = cut_lineage(rows.mapInArrow(_sets(n, percent), SETS))
     live = sets.where("node is not null")
     common = live.select("counted").mapInArrow(_frequent_here, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT)
@@ -320,11 +320,33 @@ def link_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     blocks = cut_lineage(blocks.withColumnRenamed("component", "block"))
     one = live.where("doc_id is not null").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut_lineage(one.join(blocks, "node").select("doc_id", "node", "block"))
-    texts = filtered(rows, "doc_id", id_filter(wanted.select("doc_id")))
+    texts = filtered(rows.drop("text_key"), "doc_id", id_filter(wanted.select("doc_id")))
     members = texts.join(wanted, "doc_id").select("node", "block", F.coalesce("text", F.lit("")).alias("text"))
     found = connected_components(link_blocks(members, _local(n, percent)))
     named = sets.join(found, "node", "left")
-    named = named.select("doc_id", "n", F.coalesce("component", "node").alias("_a"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("_b"))
-    first = named.where("_a is not null").groupBy("_a", "_b").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(first, ["_a", "_b"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    check = F.when(F.col("component").isNull(), F.col("check")).otherwise(0)
+    return named.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("class_a"), check.alias("class_b"))
+
+
+def link_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the class) of every row of ``docs``, by ``document_classes``. A NULL doc_id stays alone in its id (NULL)."""
+    named = document_classes(docs, n, percent)
+    first = named.where("class_a is not null").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(first, ["class_a", "class_b"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def first_copies(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """All columns of the rows of ``docs`` that are the first of their class by (doc_id, text_key), one row each.
+
+    Decided by row, not by id: rows of one id with different texts are different documents. Rows without an id and rows without words are copies of nothing and all stay.
+    """
+    named = document_classes(docs, n, percent).where("class_a is not null and doc_id is not null")
+    spot = F.struct("doc_id", "text_key")
+    firsts = named.groupBy("class_a", "class_b").agg(F.min(spot).alias("first")).select(F.col("first.doc_id").alias("_first_id"), F.col("first.text_key").alias("_first_key"))
+    # The bytes between words are those of ``BLANK_SEPARATED``.
+    alone = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    keyed = docs.where(~alone).withColumn("_own_key", F.xxhash64("text"))
+    met = keyed.join(firsts, (F.col("doc_id").cast("long") == F.col("_first_id")) & (F.col("_own_key") == F.col("_first_key")))
+    nth = F.row_number().over(Window.partitionBy("_first_id", "_first_key").orderBy("_own_key"))
+    return docs.where(alone).unionByName(met.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns))

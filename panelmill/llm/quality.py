@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from panelmill.llm.common import ALNUM, Words, fold, labelled_sample, mix, slices
+from panelmill.llm.common import ALNUM, Words, fold, labelled_sample, mix, score_texts, slices
 
 BITS = 18
 #: Repetition shares are indicators of "at least 1/2**k of the word pairs (lines) repeat".
@@ -69,7 +68,7 @@ class LinearModel:
 
 
 def fit_nbsvm(features: list[np.ndarray], labels: np.ndarray, penalty: float = 1.0, smooth: float = 1.0, epochs: int = 20, seed: int = 7) -> LinearModel:
-    """Log-count ratios of the indicators, then dual coordinate descent on the squared hinge loss.
+    """Log-count ratios of the indicators, then dual coordinate descent on the hinge loss: every multiplier stays between 0 and its class's cost.
 
     The rarer class is weighted up to balance. With one class only the model returns that class everywhere.
     """
@@ -88,9 +87,8 @@ def fit_nbsvm(features: list[np.ndarray], labels: np.ndarray, penalty: float = 1
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
             f, x, s = features[i], scaled[i], y[i]
-            damp = 0.5 / cost[s]
-            gradient = s * (float(w[f] @ x) + bias) - 1 + damp * alpha[i]
-            step = max(0.0, alpha[i] - gradient / (norms[i] + damp)) - alpha[i]
+            gradient = s * (float(w[f] @ x) + bias) - 1
+            step = min(max(0.0, alpha[i] - gradient / norms[i]), cost[s]) - alpha[i]
             if step:
                 alpha[i] += step
                 w[f] += step * s * x
@@ -135,16 +133,8 @@ def score_quality(docs: DataFrame, model: LinearModel, column: str = "score") ->
 
     One pass, no shuffle; a NULL text counts as empty.
     """
-    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.columns
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
-            scores = pa.array([shared.value.score(f) for f in ngram_indicators(texts)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*part.columns, scores], [*own, column])
-
-    return docs.mapInArrow(apply, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return docs.drop(column).withColumn(column, score_texts(lambda texts: np.array([shared.value.score(f) for f in ngram_indicators(texts)])))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> DataFrame:

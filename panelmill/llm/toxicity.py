@@ -9,10 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from panelmill.llm.blocks import filtered, id_filter
-from panelmill.llm.common import ALNUM, Words, fold, known_labels, labelled_sample, slices
+from panelmill.llm.common import ALNUM, Words, fold, known_labels, labelled_sample, score_texts, slices
 from panelmill.session import cut_lineage
 
 BITS = 18
@@ -242,18 +241,12 @@ def score_toxicity(docs: DataFrame, model: ConvModel, column: str = "score", fla
     """
     docs = docs.drop(column, flag)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.columns
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches):
-            model = shared.value
-            scores = model.scores(*word_rows(texts))
-            langs = part.column(part.schema.get_field_index("lang")).to_pylist() if "lang" in own else [None] * len(texts)
-            cut = np.array([model.thresholds.get(x, model.threshold) for x in langs])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array(scores >= cut)], [*own, column, flag])
-
-    schema = StructType([*docs.schema.fields, StructField(column, DoubleType()), StructField(flag, BooleanType())])
-    return docs.mapInArrow(apply, schema)
+    scored = docs.withColumn(column, score_texts(lambda texts: shared.value.scores(*word_rows(texts))))
+    cut = F.lit(float(model.threshold))
+    if "lang" in docs.columns:
+        for lang, own in sorted(model.thresholds.items()):
+            cut = F.when(F.col("lang") == lang, F.lit(float(own))).otherwise(cut)
+    return scored.withColumn(flag, F.col(column) >= cut)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> DataFrame:

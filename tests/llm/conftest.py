@@ -2,10 +2,8 @@ import pytest
 
 
 @pytest.fixture(scope="session")
-def shared(spark, tmp_path_factory):
-    """The session with its own shared folder, as no cluster names one here."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+def shared(spark):
+    """The session; without a named folder a local one stores its steps in its own."""
     return spark
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelmill.llm.common import fold
-from panelmill.llm.quality import quality_scores, score_quality, train_quality
+from panelmill.llm.quality import fit_nbsvm, quality_scores, score_quality, train_quality
 from panelmill.llm.toxicity import best_threshold, cut_of_bins, score_toxicity, toxicity_scores, train_toxicity, word_rows
 
 from .conftest import ODD
@@ -115,6 +115,71 @@ def test_near_copies_of_five_word_similarity_go(docs, shared, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.keep_first_copies(shared, table, str(tmp_path)).collect()) == [1, 3]
 
 
+def test_rows_of_one_id_and_rows_without_one_are_not_lost(docs, shared, tmp_path):
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdegh"}
+    rows = [(5, text["a"]), (5, text["b"]), (None, text["c"]), (None, text["d"]), (6, text["e"]), (3, text["g"]), (9, text["g"]), (9, text["h"]), (6, text["e"]), (7, ""), (7, ""), (8, None), (None, text["c"])]
+    got = corpus_pipeline.keep_first_copies(shared, docs(rows), str(tmp_path))
+    assert got.columns == docs(rows).columns
+    want = [(5, text["a"]), (5, text["b"]), (None, text["c"]), (None, text["d"]), (6, text["e"]), (3, text["g"]), (9, text["h"]), (7, ""), (7, ""), (8, None), (None, text["c"])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+    assert corpus_pipeline.keep_first_copies(shared, docs([]), str(tmp_path)).count() == 0
+
+
+def test_stages_on_an_empty_table(docs, shared, tmp_path):
+    shared.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(shared, docs([]), str(tmp_path)).count() == 0
+
+
+def test_hinge_loss_is_minimal():
+    """The fitted weights against the optimality conditions of the hinge loss, which no other point meets: margins decide the multipliers."""
+    rng = np.random.default_rng(1)
+    features = [np.unique(rng.integers(0, 40, rng.integers(3, 12))).astype(np.int32) + (20 if k % 3 == 0 else 0) for k in range(90)]
+    labels = np.array([int(k % 3 == 0) for k in range(90)])
+    model = fit_nbsvm(features, labels, epochs=3000)
+    y = np.where(labels > 0, 1.0, -1.0)
+    count = {s: np.ones(2**18) for s in (1.0, -1.0)}
+    for f, s in zip(features, y, strict=True):
+        count[s][f] += 1
+    ratio = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
+    x = np.zeros((90, 60))
+    for k, f in enumerate(features):
+        x[k, f] = ratio[f] / np.sqrt(len(f))
+    cost = np.where(y > 0, 90 / (2 * (y > 0).sum()), 90 / (2 * (y < 0).sum()))
+
+    def primal(w, bias):
+        return 0.5 * (w @ w + bias * bias) + (cost * np.maximum(0, 1 - y * (x @ w + bias))).sum()
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.where(ratio[:60] != 0, model.weights[:60] / ratio[:60], 0.0)
+    best = primal(own, model.bias)
+    alpha, w, bias = np.zeros(90), np.zeros(60), 0.0
+    for _ in range(4000):
+        for k in range(90):
+            new = min(max(0.0, alpha[k] - (y[k] * (x[k] @ w + bias) - 1) / (x[k] @ x[k] + 1)), cost[k])
+            w, bias, alpha[k] = w + (new - alpha[k]) * y[k] * x[k], bias + (new - alpha[k]) * y[k], new
+    dual = alpha.sum() - 0.5 * (w @ w + bias * bias)
+    assert dual - 1e-6 <= best <= dual * (1 + 1e-3)
+    for _ in range(200):
+        assert primal(own + rng.normal(0, 0.05, 60), model.bias + rng.normal(0, 0.05)) >= best * (1 - 1e-4)
+
+
+def test_scores_equal_a_loop(corpus):
+    """Toxicity scores against windows taken one by one; texts end in padding."""
+    texts, labels = corpus
+    model = train_toxicity(texts, labels, F.lit(True), rows=200)
+    plain = ["bub dam", "", "a long text " * 9]
+    rows, bounds = word_rows(plain)
+    for k, got in enumerate(model.scores(rows, bounds)):
+        own = rows[bounds[k] : bounds[k + 1]]
+        e = model.embedding[own].sum(1).astype(float)
+        pooled = []
+        for width, w in zip((1, 2, 3), model.filters, strict=True):
+            pooled.append(np.max([np.tensordot(e[i : i + width], w.astype(float), 2) for i in range(len(e) - 2)], axis=0))
+        margin = np.tanh(np.concatenate(pooled)) @ model.output + model.bias
+        assert got == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-5)
+
+
 def test_copies_with_short_and_blank_lines_go(docs, shared, tmp_path):
     long = ["the first long line of a text that is found twice", "another long line of the text that is found twice"]
     texts = [
