@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,9 +15,14 @@ from pyspark.sql import functions as F
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
 #: Texts are handled in slices of about so many characters, which bounds the memory of a task.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 _POWERS: dict[int, np.ndarray] = {}
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # Not every system's library has it.
+    _LIBC = None
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -80,6 +86,13 @@ class Words:
         return self.span(self.starts, np.minimum(self.ends, self.starts + n))
 
 
+def release() -> None:
+    """Give memory that is free within this Python worker back to the system. Workers are kept from task to task, and so is what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def score_texts(score: Callable[[list[str]], np.ndarray], chars: int = SLICE_CHARS // 4) -> Column:
     """The column ``text`` scored by ``score``, in slices of about ``chars``. Only texts go to Python and only numbers come back; other columns stay in the JVM."""
 
@@ -95,6 +108,7 @@ def score_texts(score: Callable[[list[str]], np.ndarray], chars: int = SLICE_CHA
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches into slices of about ``chars``; a NULL text counts as empty. A text is never cut."""
+    release()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.cumsum(pc.utf8_length(column).fill_null(0).to_numpy(), dtype=np.int64)
@@ -105,6 +119,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = S
             part = batch.slice(start, end - start)
             yield part, [t or "" for t in column.slice(start, end - start).to_pylist()]
             start = end
+    release()
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
