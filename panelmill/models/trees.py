@@ -1,153 +1,12 @@
-"""Tree ensembles on MLlib."""
+"""Tables about tree ensembles."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.models.grid import SEED
-
-
-def assemble(df: DataFrame, predictors: Sequence[str], keep: Sequence[str], out: str = "features") -> DataFrame:
-    """Keys plus one vector column: the shape MLlib wants, and far narrower to cache than hundreds of columns."""
-    return VectorAssembler(inputCols=list(predictors), outputCol=out).transform(df).select(*keep, out)
-
-
-def forest_estimator(label: str, trees: int, seed: int = SEED, max_depth: int = 30, max_bins: int = 256, leaf: int = 20):
-    """Square-root feature subsets, at least ``leaf`` rows per leaf, bootstrap; depth is limited by MLlib to 30."""
-    return RandomForestRegressor(
-        featuresCol="features", labelCol=label, predictionCol="__tree", numTrees=trees, featureSubsetStrategy="sqrt",
-        minInstancesPerNode=leaf, maxDepth=max_depth, maxBins=max_bins, seed=seed, maxMemoryInMB=1024,
-        bootstrap=True,
-    )
-
-
-class ForestBlocks:
-    """Forests of growing size that share their trees.
-
-    Trees are exchangeable, so a forest of 300 is one of 100 plus 200 more: every size of a grid
-    is scored from one set of fits.
-    """
-
-    def __init__(self, sizes: Sequence[int]):
-        self.sizes, self.blocks = sorted(sizes), []
-
-    def fit(self, train: DataFrame, label: str, seed: int = SEED, **options) -> "ForestBlocks":
-        done = 0
-        for number, size in enumerate(self.sizes):
-            model = forest_estimator(label, size - done, seed + number, **options).fit(train)
-            self.blocks.append((size - done, model))
-            done = size
-        return self
-
-    def transform(self, df: DataFrame, prefix: str = "p") -> DataFrame:
-        """Adds ``<prefix>_<size>`` for every size."""
-        out, total, done = df, F.lit(0.0), 0
-        for count, model in self.blocks:
-            part = f"__block{done}"
-            out = model.setPredictionCol(part).transform(out)
-            total, done = total + F.lit(float(count)) * F.col(part), done + count
-            out = out.withColumn(f"{prefix}_{done}", total / F.lit(float(done)))
-        return out.drop(*[c for c in out.columns if c.startswith("__block")])
-
-    def importances(self, predictors: Sequence[str]) -> list[float]:
-        total = sum(c for c, _ in self.blocks)
-        return [
-            sum(c * float(m.featureImportances[i]) for c, m in self.blocks) / total for i in range(len(predictors))
-        ]
-
-    def trees(self):
-        return [t for _, m in self.blocks for t in m.trees]
-
-
-def poisson_bag(keys: Sequence[str], tree: int, seed: int = SEED) -> Column:
-    """Bootstrap weight of a row in one tree: Poisson(1) drawn from a hash of the row's key.
-
-    Repeatable under any partitioning and after a lost executor, unlike a random generator.
-    """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(tree), *[F.col(k) for k in keys]), F.lit(1 << 53)) / F.lit(float(1 << 53))).cast("double")
-    # Cumulative Poisson(1) probabilities.
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-             0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
-    return sum(F.when(u >= s, 1.0).otherwise(0.0) for s in steps)
-
-
-def out_of_bag(
-    train: DataFrame, keys: Sequence[str], label: str, trees: int = 20, seed: int = SEED, max_depth: int = 30,
-    max_bins: int = 256, leaf: int = 20,
-) -> DataFrame:
-    """Mean forecast of the trees a row was not drawn for; NULL for a row that is in every bag.
-
-    One-tree forests on explicit bags. Rows outside a bag are dropped before its fit.
-    """
-    parts = []
-    for number in range(trees):
-        bagged = train.withColumn("__w", poisson_bag(keys, number, seed))
-        model = RandomForestRegressor(
-            featuresCol="features", labelCol=label, weightCol="__w", predictionCol="__p", numTrees=1, bootstrap=False,
-            featureSubsetStrategy="sqrt", minInstancesPerNode=leaf, maxDepth=max_depth, maxBins=max_bins, seed=seed + number,
-        ).fit(bagged.filter("__w > 0"))
-        parts.append(model.transform(bagged.filter("__w = 0")).select(*keys, "__p"))
-    votes = parts[0]
-    for part in parts[1:]:
-        votes = votes.unionByName(part)
-    mean = votes.groupBy(*keys).agg(F.avg("__p").alias("oob_prediction"))
-    return train.join(mean, list(keys), "left")
-
-
-class BaggedForest:
-    """A forest of one-tree fits on explicit Poisson bags, so every tree's out-of-bag rows are known. Trees are fitted side by side."""
-
-    def __init__(self, size: int):
-        self.size = size
-
-    def fit(
-        self, train: DataFrame, keys: Sequence[str], label: str, seed: int = SEED, max_depth: int = 30, max_bins: int = 256, leaf: int = 20, parallel: int = 4,
-    ) -> "BaggedForest":
-        def tree(number: int):
-            return RandomForestRegressor(
-                featuresCol="features", labelCol=label, weightCol="__w", predictionCol="__p", numTrees=1, bootstrap=False,
-                featureSubsetStrategy="sqrt", minInstancesPerNode=leaf, maxDepth=max_depth, maxBins=max_bins, seed=seed + number,
-            ).fit(train.withColumn("__w", poisson_bag(keys, number, seed)).filter("__w > 0"))
-
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            self.parts = list(pool.map(tree, range(self.size)))
-        self.keys, self.seed = list(keys), seed
-        return self
-
-    def _forecasts(self, df: DataFrame, trees: int, prefix: str = "__t") -> DataFrame:
-        out = df
-        for number, model in enumerate(self.parts[:trees]):
-            out = model.setPredictionCol(f"{prefix}{number}").transform(out)
-        return out
-
-    def transform(self, df: DataFrame, column: str) -> DataFrame:
-        """Adds the mean forecast of all trees as ``column``."""
-        names = [f"__t{i}" for i in range(self.size)]
-        mean = F.aggregate(F.array(*names), F.lit(0.0), lambda a, x: a + x) / F.lit(float(self.size))
-        return self._forecasts(df, self.size).withColumn(column, mean).drop(*names)
-
-    def out_of_bag(self, train: DataFrame, trees: int | None = None) -> DataFrame:
-        """``train`` with the mean forecast of the trees (all of them by default) that a row was not drawn for; NULL for a row in every bag."""
-        n = min(self.size if trees is None else trees, self.size)
-        names = [f"__t{i}" for i in range(n)]
-        votes = F.array(*[F.when(poisson_bag(self.keys, i, self.seed) == 0, F.col(c)) for i, c in enumerate(names)])
-        votes = F.filter(votes, lambda x: x.isNotNull())
-        total = F.aggregate(votes, F.lit(0.0), lambda a, x: a + x)
-        mean = F.when(F.size(votes) > 0, total / F.size(votes))
-        return self._forecasts(train, n).withColumn("oob_prediction", mean).drop(*names)
-
-    def importances(self, predictors: Sequence[str]) -> list[float]:
-        return [sum(float(m.featureImportances[i]) for m in self.parts) / self.size for i in range(len(predictors))]
-
-    def trees(self):
-        return [t for m in self.parts for t in m.trees]
-
 
 def oob_metrics(oob: DataFrame, month: str, label: str) -> DataFrame:
     """Pooled and month-weighted OOB error and R2 over rows that have an OOB forecast."""
@@ -180,11 +39,3 @@ def complexity_rows(spark: SparkSession, models: dict[str, dict]) -> DataFrame:
     }
     rows = [(m, *[v.get(c) for c in columns]) for m, v in models.items()]
     return spark.createDataFrame(rows, "model string, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
-
-
-def tree_sizes(trees: Sequence) -> dict:
-    depths, leaves = [t.depth for t in trees], [(t.numNodes + 1) // 2 for t in trees]
-    return {
-        "trees": len(depths), "average_tree_depth": sum(depths) / len(depths), "maximum_tree_depth": max(depths),
-        "average_tree_leaves": sum(leaves) / len(leaves),
-    }

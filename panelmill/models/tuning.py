@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -15,8 +14,9 @@ from panelmill.functions import names
 from panelmill.models.grid import CANDIDATES, FIXED, candidate_rows, candidate_table
 from panelmill.models.linear import LinearFit, coefficient_rows, component_rows, solve_elastic_net, solve_ols, solve_pls
 from panelmill.models.boosting import Run, boost, tree_summary
+from panelmill.models.forest import ForestRun, grow
 from panelmill.models.moments import Moments, combine, fold_moments, require_complete
-from panelmill.models.trees import BaggedForest, ForestBlocks, assemble, complexity_rows, importance_rows, oob_metrics, tree_sizes
+from panelmill.models.trees import complexity_rows, importance_rows, oob_metrics
 from panelmill.operators.evaluate import forecast_metrics, rank_models
 from panelmill.operators.folds import fold_bounds, fold_table, summarise_folds
 from panelmill.operators.quality import expect, never, no_infinities, no_nulls
@@ -93,16 +93,16 @@ def tune_linear(
 
 def tune_trees(
     df: DataFrame, time: str, predictors: Sequence[str], target: str, years: Sequence[int], candidates=CANDIDATES,
-    parallel: int = 4, **tree_options,
+    keys: Sequence[str] = (), **tree_options,
 ) -> DataFrame:
     """Fold scores of all tree candidates.
 
-    Sizes of a family share their fits: one set of forest blocks per fold, and one boosting run per (rate, depth) and fold, all
-    of which advance in step. Forests are submitted side by side; each fit is itself a distributed job. A missing value raises.
+    Sizes of a family share their fits: one forest of the largest size per fold and one boosting run per (rate, depth) and fold. All forests
+    advance in step, and so do all boosting runs. ``keys`` name the rows for the bootstrap (by default all their values do). A missing value raises.
     """
     require_complete(df, [target, *predictors])
-    plain = cut_lineage(df.select(time, target, *predictors))
-    rows = cut_lineage(assemble(plain, predictors, [time, target]))
+    keys = list(keys) or [time, target, *predictors]
+    plain = cut_lineage(df.select(*dict.fromkeys([*keys, time, target, *predictors])))
     years = [int(y) for y in years]
 
     def scores(scored: DataFrame, columns: dict[str, str], year: int) -> list[tuple]:
@@ -111,16 +111,13 @@ def tune_trees(
         means = months.agg(*[F.avg(c).alias(c) for c in set(columns.values())]).first()
         return [(cid, year, means[c]) for cid, c in columns.items()]
 
-    def forests(year: int) -> list[tuple]:
-        sizes = [s["n_estimators"] for s in candidates["random_forest"]]
-        forest = ForestBlocks(sizes).fit(rows.filter(F.year(time) < year), target, **tree_options)
-        members = {f"random_forest_{i:03d}": f"p_{n}" for i, n in enumerate(sizes, 1)}
-        return scores(forest.transform(rows.filter(F.year(time) == year)), members, year)
-
     found: list[tuple] = []
     if "random_forest" in candidates:
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            found += [r for rows_of_fold in pool.map(forests, years) for r in rows_of_fold]
+        sizes = [s["n_estimators"] for s in candidates["random_forest"]]
+        forest = grow(plain, predictors, target, keys, [ForestRun(str(y), max(sizes), y) for y in years], F.year(time), **tree_options)
+        for run, year in enumerate(years):
+            members = {f"random_forest_{i:03d}": (run, n) for i, n in enumerate(sizes, 1)}
+            found += scores(forest.forecasts(plain.filter(F.year(time) == year), members), {c: c for c in members}, year)
     grid = candidates.get("gradient_boosting", [])
     if grid:
         settings = sorted({(s["learning_rate"], s["max_depth"]) for s in grid})
@@ -136,7 +133,7 @@ def tune_trees(
 
 def tune(
     df: DataFrame, time: str, predictors: Sequence[str], target: str, years: Sequence[int], candidates=CANDIDATES,
-    fixed=FIXED, parallel: int = 4, **tree_options,
+    fixed=FIXED, keys: Sequence[str] = (), **tree_options,
 ) -> tuple[DataFrame, DataFrame]:
     """(fold results, candidate summary) over all families of ``candidates``."""
     spark = df.sparkSession
@@ -144,7 +141,7 @@ def tune(
     if any(f in candidates for f in LINEAR):
         parts.append(tune_linear(df, time, predictors, target, years, candidates))
     if any(f in candidates for f in TREES):
-        parts.append(tune_trees(df, time, predictors, target, years, candidates, parallel, **tree_options))
+        parts.append(tune_trees(df, time, predictors, target, years, candidates, keys, **tree_options))
     scores = parts[0]
     for part in parts[1:]:
         scores = scores.unionByName(part)
@@ -171,14 +168,13 @@ def fit_and_forecast(
     target: str,
     settings: dict[str, dict],
     ols_predictors: Sequence[str] = tuple(names.OLS3_PREDICTORS),
-    oob_trees: int | None = 0,
     **tree_options,
 ) -> dict[str, DataFrame]:
     """Fit the historical mean, OLS on few predictors and the given families on one sample; forecast others.
 
     ``settings`` maps family to parameters. Returns predictions, metrics (one row per model and sample), coefficients,
     complexity and, where they apply, importances, components and out-of-bag metrics. A missing value in any sample raises: no row
-    to forecast is left out. ``oob_trees``: how many trees of the forest vote out of bag; None: all; 0: no such table.
+    to forecast is left out. All trees of the forest that is reported vote out of bag.
     """
     spark = fit_sample.sparkSession
     predictors, out, fits, sizes, importances = list(predictors), [], {}, {}, {}
@@ -216,17 +212,12 @@ def fit_and_forecast(
         sizes[model]["number_of_predictors"] = len(fit.predictors)
     if "random_forest" in settings:
         n = settings["random_forest"]["n_estimators"]
-        train = assemble(usable, predictors, [*keys, month, target]).persist()
-        bagged = oob_trees != 0
-        forest = BaggedForest(n).fit(train, [*keys, month], target, **tree_options) if bagged else ForestBlocks([n]).fit(train, target, **tree_options)
-        name = {"column": f"p_{n}"} if bagged else {}
-        scored = {s: forest.transform(assemble(df, predictors, [*keys, month, target]), **name) for s, df in rows.items()}
-        finish("random_forest", F.col(f"p_{n}"), scored)
-        importances["random_forest"] = forest.importances(predictors)
-        sizes["random_forest"] = {**tree_sizes(forest.trees()), "number_of_predictors": len(predictors)}
-        if bagged:
-            result["oob"] = cut_lineage(oob_metrics(forest.out_of_bag(train, oob_trees), month, target))
-        train.unpersist()
+        forest = grow(usable, predictors, target, [*keys, month], [ForestRun("final", n)], **tree_options)
+        finish("random_forest", F.col("__forest"), {s: forest.forecasts(df, {"__forest": (0, n)}) for s, df in rows.items()})
+        importances["random_forest"] = forest.importances()
+        sizes["random_forest"] = {**forest.summary(), "number_of_predictors": len(predictors)}
+        voted = forest.out_of_bag(usable.select(*keys, month, target, *predictors))
+        result["oob"] = cut_lineage(oob_metrics(voted, month, target))
     if "gradient_boosting" in settings:
         g = settings["gradient_boosting"]
         boosted = boost(usable, predictors, target, [Run("final", g["learning_rate"], g["max_depth"], g["n_estimators"])])
@@ -254,7 +245,6 @@ def final_evaluation(
     settings: dict[str, dict], **options,
 ) -> dict[str, DataFrame]:
     """Refit the chosen settings on development data, forecast the test rows once, rank the models. A forest always has out-of-bag metrics, of all its trees."""
-    options = {"oob_trees": None, **options}
     result = fit_and_forecast(development, {"test": test}, keys, month, predictors, target, settings, **options)
     result["ranking"] = rank_models(result["metrics"], "test")
     return result

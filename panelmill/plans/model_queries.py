@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelmill.models import linear, moments, trees, tuning
 from panelmill.models.boosting import Run, boost
+from panelmill.models.forest import DRAWS, PRIME, ForestRun, grow, tree_numbers
 from panelmill.models.grid import CANDIDATES, FIXED, candidate_table
 from panelmill.operators import relational, resample, timeline
 from panelmill.operators.reports import coefficient_table, cumulative_share, importance_table
@@ -43,6 +44,28 @@ def _stored(spark, sf) -> DataFrame:
     return cut_lineage(_frame(spark, sf))
 
 
+_KEYS = ["entity", "month"]
+_FACTORS, _OFFSETS = (", ".join(map(str, x.tolist())) for x in tree_numbers(300))
+#: Every row of a two-valued predictor with the number of times that each of 300 trees draws it: a number from the row's key, moved by the tree's factor and offset.
+_DRAWN = _FRAME + f""", b AS (SELECT entity, month, year(month) AS year, y, CASE WHEN ret_1m > 0 THEN 1.0 ELSE 0.0 END AS up,
+  ('0x' || substr(md5(CAST(entity AS VARCHAR) || '|' || CAST(CAST(month AS DATE) AS VARCHAR)), 1, 15))::BIGINT % {PRIME} AS number FROM frame),
+bags AS (SELECT unnest(range(300)) AS t, unnest([{_FACTORS}]) AS factor, unnest([{_OFFSETS}]) AS shift),
+placed AS (SELECT entity, month, year, y, up, t, (number * factor + shift) % {PRIME} AS u FROM b, bags),
+drawn_rows AS (SELECT entity, month, year, y, up, t, {' + '.join(f'CAST(u >= {k} AS INT)' for k in DRAWS)} AS drawn FROM placed)"""
+#: The value of each tree's leaf for every row; a leaf holds at least 20 drawn rows.
+_BAGS = _DRAWN + """, leaves AS (SELECT t, up, sum(drawn) AS n, sum(drawn * y) AS s FROM drawn_rows GROUP BY t, up),
+grown AS (SELECT t, up, CASE WHEN min(n) OVER w >= 20 AND count(*) OVER w = 2 THEN s / n ELSE sum(s) OVER w / sum(n) OVER w END AS value FROM leaves WINDOW w AS (PARTITION BY t)),
+valued AS (SELECT d.*, value FROM drawn_rows d JOIN grown g ON d.t = g.t AND d.up = g.up) """
+
+
+def _two_values(spark, sf) -> DataFrame:
+    return cut_lineage(_frame(spark, sf).withColumn("up", (F.col("ret_1m") > 0).cast("double")))
+
+
+def _forest(df: DataFrame, predictors: list[str], size: int = FIXED["random_forest"]["n_estimators"]):
+    return grow(df, predictors, "y", _KEYS, [ForestRun("forest", size)])
+
+
 @query(
     "standardise",
     _FRAME
@@ -162,14 +185,13 @@ def linear_grid_search(spark, sf):
 def tree_grid_search(spark, sf):
     """All tree candidates in every fold."""
     df = _stored(spark, sf)
-    return tuning.tune(df, "month", PREDICTORS, "y", _years(df), TREE_GRID)[0]
+    return tuning.tune(df, "month", PREDICTORS, "y", _years(df), TREE_GRID, keys=_KEYS)[0]
 
 
 @query("random_forest_importance")
 def random_forest_importance(spark, sf):
-    rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
-    forest = trees.ForestBlocks([FIXED["random_forest"]["n_estimators"]]).fit(rows, "y")
-    return importance_table(trees.importance_rows(spark, {"random_forest": forest.importances(PREDICTORS)}, PREDICTORS))
+    forest = _forest(_stored(spark, sf), PREDICTORS)
+    return importance_table(trees.importance_rows(spark, {"random_forest": forest.importances()}, PREDICTORS))
 
 
 @query(
@@ -189,9 +211,56 @@ def gradient_boosting_stages(spark, sf):
 
 @query("out_of_bag_metrics")
 def out_of_bag_metrics(spark, sf):
-    rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
-    forest = trees.BaggedForest(FIXED["random_forest"]["n_estimators"]).fit(rows, ["entity", "month"], "y")
-    return trees.oob_metrics(forest.out_of_bag(rows), "month", "y")
+    df = _stored(spark, sf)
+    return trees.oob_metrics(_forest(df, PREDICTORS).out_of_bag(df), "month", "y")
+
+
+@query(
+    "out_of_bag_two_values",
+    _BAGS + """, votes AS (SELECT entity, month, y, avg(value) FILTER (drawn = 0) AS p FROM valued WHERE t < 100 GROUP BY entity, month, y),
+per AS (SELECT month, avg((y - p) * (y - p)) AS m FROM votes WHERE p IS NOT NULL GROUP BY month)
+SELECT (SELECT count(p) FROM votes) AS oob_rows, (SELECT round(avg((y - p) * (y - p)), 9) + 0.0 FROM votes) AS oob_pooled_mse, (SELECT round(avg(m), 9) + 0.0 FROM per) AS oob_monthly_mse,
+  (SELECT round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) + 0.0 FROM votes WHERE p IS NOT NULL) AS oob_r2""",
+)
+def out_of_bag_two_values(spark, sf):
+    """Out-of-bag metrics of 100 trees on a predictor of two values, where a tree's leaves are the means of the rows it drew."""
+    df = _two_values(spark, sf)
+    return rounded(trees.oob_metrics(_forest(df, ["up"]).out_of_bag(df), "month", "y"), 9, oob_r2=6)
+
+
+@query(
+    "random_forest_stages",
+    _BAGS + """SELECT entity, month, round(avg(value) FILTER (t < 100), 9) + 0.0 AS p_100, round(avg(value) FILTER (t < 200), 9) + 0.0 AS p_200, round(avg(value), 9) + 0.0 AS p_300
+FROM valued GROUP BY entity, month""",
+)
+def random_forest_stages(spark, sf):
+    """Forecasts of forests of three sizes that share their trees, on a predictor of two values."""
+    df = _two_values(spark, sf)
+    out = _forest(df, ["up"], 300).forecasts(df, {f"p_{n}": (0, n) for n in (100, 200, 300)})
+    return rounded(out.select("entity", "month", "p_100", "p_200", "p_300"), 9)
+
+
+_BOOSTED = ", ".join(f"('gradient_boosting_{i:03d}', {s['n_estimators']}, {s['learning_rate']})" for i, s in enumerate(CANDIDATES["gradient_boosting"], 1))
+
+
+@query(
+    "tree_grid_two_values",
+    _DRAWN + f""", folds AS (SELECT DISTINCT year AS f FROM b WHERE year > (SELECT min(year) FROM b)),
+leaves AS (SELECT f, t, up, sum(drawn) AS n, sum(drawn * y) AS s FROM drawn_rows JOIN folds ON year < f GROUP BY f, t, up),
+grown AS (SELECT f, t, up, CASE WHEN min(n) OVER w >= 20 AND count(*) OVER w = 2 THEN s / n ELSE sum(s) OVER w / sum(n) OVER w END AS value FROM leaves WINDOW w AS (PARTITION BY f, t)),
+forests AS (SELECT f, up, 'random_forest_001' AS candidate_id, avg(value) AS p FROM grown WHERE t < 100 GROUP BY f, up UNION ALL SELECT f, up, 'random_forest_002', avg(value) FROM grown WHERE t < 200 GROUP BY f, up
+  UNION ALL SELECT f, up, 'random_forest_003', avg(value) FROM grown GROUP BY f, up),
+means AS (SELECT f, up, avg(y) AS a, sum(sum(y)) OVER (PARTITION BY f) / sum(count(*)) OVER (PARTITION BY f) AS m FROM b JOIN folds ON year < f GROUP BY f, up),
+settings(candidate_id, n, rate) AS (VALUES {_BOOSTED}),
+all_of AS (SELECT * FROM forests UNION ALL SELECT f, up, candidate_id, m + (a - m) * (1 - pow(1 - rate, n)) FROM means, settings),
+by_month AS (SELECT candidate_id, f, month, avg((y - p) * (y - p)) AS mse FROM b JOIN all_of ON b.year = all_of.f AND b.up = all_of.up GROUP BY candidate_id, f, month)
+SELECT candidate_id, CAST(f AS INT) AS validation_year, round(avg(mse), 9) + 0.0 AS monthly_mse FROM by_month GROUP BY candidate_id, f""",
+)
+def tree_grid_two_values(spark, sf):
+    """Fold scores of all 15 tree candidates on a predictor of two values, where forests are bagged group means and boosting closes the gap to them at its rate."""
+    df = _two_values(spark, sf)
+    results, _ = tuning.tune(df, "month", ["up"], "y", _years(df), TREE_GRID, keys=_KEYS)
+    return rounded(results.select("candidate_id", F.col("validation_year").cast("int").alias("validation_year"), "monthly_mse"), 9)
 
 
 @query("final_evaluation")
@@ -238,6 +307,5 @@ def selection_checks(spark, sf):
 
 @query("model_complexity")
 def model_complexity(spark, sf):
-    rows = trees.assemble(_stored(spark, sf), PREDICTORS, ["entity", "month", "y"])
-    forest = trees.ForestBlocks([FIXED["random_forest"]["n_estimators"]]).fit(rows, "y")
-    return trees.complexity_rows(spark, {"random_forest": {**trees.tree_sizes(forest.trees()), "number_of_predictors": len(PREDICTORS)}})
+    forest = _forest(_stored(spark, sf), PREDICTORS)
+    return trees.complexity_rows(spark, {"random_forest": {**forest.summary(), "number_of_predictors": len(PREDICTORS)}})

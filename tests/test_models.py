@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.models import boosting, grid, linear, moments, trees, tuning
+from panelmill.models import boosting, grid, linear, moments, trees, tuning, forest
 
 P = ["x1", "x2", "x3", "x4"]
 
@@ -134,20 +134,82 @@ def test_boosting_follows_the_recursion(spark):
         assert r.p_3 == pytest.approx(6 + side * (1 - 0.9**3))
 
 
-def test_forest_blocks(spark, frame):
-    rows = trees.assemble(frame, P, ["entity", "month", "y"])
-    forest = trees.ForestBlocks([2, 5]).fit(rows, "y", max_depth=4, max_bins=16)
-    assert len(forest.trees()) == 5
-    out = forest.transform(rows).toPandas()
-    assert {"p_2", "p_5"} <= set(out.columns) and out.p_5.std() > 0
-    assert sum(forest.importances(P)) == pytest.approx(1.0)
+def loop_forest(x, y, draws, paths, subset, leaf, bins):
+    """Forecasts of one tree by recursion over its drawn rows, on the same bins and predictors per node."""
+    out = np.empty(len(y))
+
+    def node(rows, free, path, depth=0):
+        w = draws[rows].astype(float)
+        mean = (w * y[rows]).sum() / w.sum()
+        best = (1e-15 * w.sum(), None)
+        for k in forest.feature_subsets(np.array([path], np.uint64), x.shape[1], subset)[0] if w.sum() >= 2 * leaf else ():
+            for cut in range(bins):
+                left = x[rows, k] <= cut
+                a, b = w[left].sum(), w[~left].sum()
+                if min(a, b) >= leaf:
+                    gain = a * b / (a + b) * ((w * y[rows])[left].sum() / a - (w * y[rows])[~left].sum() / b) ** 2
+                    if gain > best[0] * (1 + 1e-9):
+                        best = (gain, (k, cut))
+        if best[1] is None:
+            out[rows], out[free] = mean, mean
+            return
+        k, cut = best[1]
+        low, high = forest.child_paths(np.array([path], np.uint64))
+        node(rows[x[rows, k] <= cut], free[x[free, k] <= cut], low[0])
+        node(rows[x[rows, k] > cut], free[x[free, k] > cut], high[0])
+
+    node(np.flatnonzero(draws), np.flatnonzero(draws == 0), paths)
+    return out
 
 
-def test_poisson_bags(spark):
-    df = spark.range(20000).select("id", *[trees.poisson_bag(["id"], t).alias(f"w{t}") for t in range(2)])
-    row = df.agg(F.avg("w0"), F.var_pop("w0"), F.avg((F.col("w0") == 0).cast("int")), F.corr("w0", "w1")).first()
-    assert row[0] == pytest.approx(1, abs=0.03) and row[1] == pytest.approx(1, abs=0.05)
-    assert row[2] == pytest.approx(np.exp(-1), abs=0.02) and abs(row[3]) < 0.03
+def test_forests_in_step_equal_a_loop(spark, monkeypatch):
+    """Trees grown level by level over all tasks, finished in one task, or half and half: all equal a recursion, for two runs, with their out-of-bag means."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (600, 5)).astype(float)
+    y = np.sin(x[:, 0]) + (x[:, 1] > 4) * x[:, 2] + rng.normal(size=600)
+    rows = [(i, int(2000 + i % 3), float(v), *map(float, r)) for i, (r, v) in enumerate(zip(x, y))]
+    names = ["a", "b", "c", "d", "e"]
+    df = spark.createDataFrame(rows, "id long, year int, y double, " + ", ".join(f"{n} double" for n in names)).repartition(5)
+    runs = [forest.ForestRun("all", 3), forest.ForestRun("early", 2, before=2002)]
+    number = np.array([r.n for r in df.select("id", forest.row_number_of(["id"]).alias("n")).orderBy("id").collect()])
+    factor, offset = forest.tree_numbers(3)
+    want = {}
+    for local in (10**6, 150, 0):
+        grown = forest.grow(df, names, "y", ["id"], runs, "year", leaf=5, local_rows=local)
+        codes = np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(grown.edges)], 1)
+        got = grown.out_of_bag(grown.forecasts(df, {"p1": (0, 1), "p3": (0, 3), "q2": (1, 2)})).orderBy("id").toPandas()
+        if not want:
+            drawn = forest.draws(number, factor, offset)
+            paths = forest._mix(np.arange(3, dtype=np.uint64) + np.uint64(grid.SEED) * np.uint64(1 << 40))
+            trees_ = [loop_forest(codes, y, drawn[:, t], paths[t], 2, 5, 10) for t in range(3)]
+            early = np.arange(600) % 3 < 2
+            for t in range(2):
+                own = np.where(early, drawn[:, t], 0)
+                want[t] = loop_forest(codes, y, own, paths[t], 2, 5, 10)
+            want |= {"p1": trees_[0], "p3": np.mean(trees_, 0), "q2": (want[0] + want[1]) / 2}
+            free = drawn == 0
+            want["oob_prediction"] = np.where(free.any(1), (np.stack(trees_, 1) * free).sum(1) / np.maximum(free.sum(1), 1), np.nan)
+        for name in ("p1", "p3", "q2", "oob_prediction"):
+            assert np.allclose(got[name], want[name], rtol=0, atol=1e-12, equal_nan=True), (local, name)
+        assert sum(grown.importances()) == pytest.approx(1.0) and grown.summary()["trees"] == 3
+        assert grown.summary(1)["maximum_tree_depth"] >= 3
+
+
+def test_draws_are_poisson(spark):
+    number = np.array([r.n for r in spark.range(20000).select(forest.row_number_of(["id"]).alias("n")).collect()])
+    drawn = forest.draws(number, *forest.tree_numbers(40)).astype(float)
+    assert drawn.mean() == pytest.approx(1, abs=0.005) and drawn.var() == pytest.approx(1, abs=0.02)
+    assert (drawn == 0).mean() == pytest.approx(np.exp(-1), abs=0.005)
+    assert np.abs(np.corrcoef(drawn.T) - np.eye(40)).max() < 0.04
+
+
+def test_sums_meet_in_levels(spark):
+    """Blocks from more tasks than are added at once."""
+    rows = [(k % 7, np.full(3, float(k)).tobytes()) for k in range(700)]
+    parts = spark.createDataFrame(rows, "key long, h binary").repartition(70)
+    for tasks in (1, 70):
+        got = {r.key: np.frombuffer(r.h).tolist() for r in boosting.summed(parts, tasks).collect()}
+        assert got == {k: [float(sum(range(k, 700, 7)))] * 3 for k in range(7)}
 
 
 def test_grid(spark):
@@ -165,7 +227,7 @@ def test_tune_and_select(spark, frame):
         "gradient_boosting": [{"n_estimators": n, "learning_rate": 0.3, "max_depth": 1} for n in (1, 2)],
     }
     fixed = {"pls": {"n_components": 3}, "random_forest": {"n_estimators": 2}, "gradient_boosting": small["gradient_boosting"][0]}
-    results, summary = tuning.tune(frame, "month", P, "y", [2002, 2003], small, fixed, max_depth=3, max_bins=16)
+    results, summary = tuning.tune(frame, "month", P, "y", [2002, 2003], small, fixed, max_depth=3, bins=16)
     assert results.count() == 10 and summary.count() == 5
     assert all(r.completed_folds == 2 for r in summary.collect())
     from panelmill.operators import folds
@@ -173,7 +235,7 @@ def test_tune_and_select(spark, frame):
     chosen = tuning.selected_settings(folds.select_minimum(summary))
     assert set(chosen) == set(small) and chosen["pls"] == {"n_components": 3}
     out = tuning.final_evaluation(
-        frame.filter("month < '2003-01-01'"), frame.filter("month >= '2003-01-01'"), ["entity"], "month", P, "y", chosen, ols_predictors=P[:3], oob_trees=3, max_depth=3, max_bins=16
+        frame.filter("month < '2003-01-01'"), frame.filter("month >= '2003-01-01'"), ["entity"], "month", P, "y", chosen, ols_predictors=P[:3], max_depth=3, bins=16
     )
     ranking = out["ranking"].collect()
     assert [r["rank"] for r in ranking] == [1, 2, 3, 4, 5]
@@ -253,16 +315,10 @@ def test_parameter_and_complexity_tables(spark):
 
 
 def test_all_trees_of_the_reported_forest_vote_out_of_bag(spark, frame):
-    rows = trees.assemble(frame, P, ["entity", "month", "y"])
-    forest = trees.BaggedForest(5).fit(rows, ["entity", "month"], "y", max_depth=3, max_bins=16)
-    free = F.array(*[trees.poisson_bag(["entity", "month"], i) == 0 for i in range(5)])
-    wanted = frame.filter(F.exists(free, lambda x: x)).count()
-    assert len(forest.trees()) == 5 and trees.oob_metrics(forest.out_of_bag(rows), "month", "y").first().oob_rows == wanted
-    by_hand = trees.out_of_bag(rows, ["entity", "month"], "y", 5, max_depth=3, max_bins=16).select("entity", "month", F.col("oob_prediction").alias("p"))
-    both = forest.out_of_bag(rows).join(by_hand, ["entity", "month"])
-    assert both.filter(~F.coalesce(F.abs(F.col("p") - F.col("oob_prediction")) < 1e-9, F.col("p").isNull() & F.col("oob_prediction").isNull())).count() == 0
-    chosen = {"random_forest": {"n_estimators": 2}}
+    grown = forest.grow(frame, P, "y", ["entity", "month"], [forest.ForestRun("a", 5)], max_depth=3)
+    drawn = forest.draws(np.array([r.n for r in frame.select(forest.row_number_of(["entity", "month"]).alias("n")).collect()]), *forest.tree_numbers(5))
+    assert trees.oob_metrics(grown.out_of_bag(frame), "month", "y").first().oob_rows == (drawn == 0).any(1).sum()
     out = tuning.final_evaluation(
-        frame.filter("month < '2003-01-01'"), frame.filter("month >= '2003-01-01'"), ["entity"], "month", P, "y", chosen, ols_predictors=P[:3], max_depth=3, max_bins=16
+        frame.filter("month < '2003-01-01'"), frame.filter("month >= '2003-01-01'"), ["entity"], "month", P, "y", {"random_forest": {"n_estimators": 2}}, ols_predictors=P[:3], max_depth=3
     )
     assert out["oob"].first().oob_rows > 100
