@@ -27,19 +27,38 @@ SEQUENCE = 4096
 WINDOW = 16
 
 
+#: What a file must ask for, so that words between blanks are encoded independently and the tables below hold.
+# The normalisers and the pieces that the tokenizer's file names.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PIECES = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
+    """The file's tokenizer as it is. A file that normalises or cuts differently is refused: its words could not be encoded apart."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
+    kind = json.loads(loaded.to_str())
+    if kind["normalizer"] != _NORMALIZER or kind["pre_tokenizer"] != _PIECES or not kind["model"].get("end_of_word_suffix"):
+        raise ValueError(f"{path} does not lower and cut words as packing expects")
     return loaded
 
 
+@lru_cache(maxsize=2)
+def markers(path: str) -> re.Pattern:
+    """The strings of the file's added tokens, which stand for one id wherever a text holds them."""
+    added = [re.escape(t["content"]) for t in json.loads(tokenizer(path).to_str())["added_tokens"]]
+    return re.compile("|".join(sorted(added, key=len, reverse=True)) or r"(?!)")
+
+
 #: Texts of these characters alone are lowered and cut into pieces here; the tokenizer itself encodes all others. None of them changes under
 #: normalisation, and their lower case does not depend on their neighbours.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r\x20-\x7e\u00a1-\u012f\u0131-\u017f]*")
-# Fixed value: the pieces that the tokenizer's file names.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PIECE = regex.compile(_PATTERN)
 #: Stands for the end of a word in the merge table; no UTF-8 text holds this byte.
 _END = b"\xff"
 
@@ -70,7 +89,7 @@ class WordCache:
 
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """The ids of every text, and ``end`` behind them if given, as numbers of ``kind``."""
-        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
+        plain = [bool(_PLAIN.fullmatch(t)) and not markers(self.path).search(t) for t in texts]
         split = []
         for text, simple in zip(texts, plain, strict=True):
             for blank in "\t\n\r\x0b\x0c":

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from panelmill.llm import bpe, packing
 from panelmill.llm.blocks import link_blocks
@@ -127,7 +128,7 @@ def test_packing(docs):
     data = [*ODD, *[(100 + i, f"word{i} " * (i % 90 + 1)) for i in range(60)]]
     sources = {i: "hot" if i % 3 else f"s{i % 5}" for i, _ in data if i} | {5: None}
     got = packing.pack_documents(docs(data, sources), WORDS, sequence=64, window=4).collect()
-    coder = packing.tokenizer(WORDS)
+    coder = Tokenizer.from_file(WORDS)
     ids = {}
     for i, t in data:
         ids.setdefault(i, []).append(np.array([*coder.encode(t or "", add_special_tokens=False).ids, 2], "<u4"))
@@ -162,12 +163,48 @@ def test_rounds_keep_the_mixture(shared):
 
 def test_word_cache_equals_the_tokenizer():
     rng = random.Random(2)
-    coder, cache = packing.tokenizer(WORDS), packing.WordCache(WORDS, limit=50)
+    coder, cache = Tokenizer.from_file(WORDS), packing.WordCache(WORDS, limit=50)
+    assert coder.encode("<|endoftext|> end", add_special_tokens=False).ids == [49407, 806]
+    assert np.frombuffer(cache.encode(["<|endoftext|> end"])[0], cache.kind).tolist() == [49407, 806]
     for _ in range(3000):
-        text = "".join(rng.choice(["a", "Bé", " ", "\n", " ", "\x1c", "é", "İ", "Σ", "ς", "12", "'S", "<|endoftext|>", "ß", "　", "ﬁ", "\xad", "ª", "½", "Ł", "x", "ing", "the", "\x00", "é", "ŉ"]) for _ in range(rng.randint(0, 12)))
+        text = "".join(rng.choice(["a", "Bé", " ", "\n", " ", "\x1c", "é", "İ", "Σ", "ς", "12", "'S", "<|endoftext|>", "<|ENDofText|>", "a<|startoftext|>b", "ß", "　", "ﬁ", "\xad", "ª", "½", "Ł", "x", "ing", "the", "\x00", "é", "ŉ"]) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(cache.encode([text])[0], cache.kind).tolist() == coder.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_refuses_other_tokenizers():
+    with pytest.raises(ValueError, match="packing expects"):
+        packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def round_robin(rows, window):
+    """Sources served in rounds, document by document: each round adds a source's quantum to its credit, and a source sends while it has some left."""
+    queues = {}
+    for uid, doc_id, source, n in sorted(rows, key=lambda r: (r[1], r[0])):
+        queues.setdefault(source, []).append((uid, n))
+    total = sum(r[3] for r in rows)
+    quantum = {s: sum(n for _, n in q) / total * window for s, q in queues.items()}
+    order, number = sorted(queues, key=lambda s: (s is not None, s or "")), 0
+    credit, at, place = dict.fromkeys(queues, 0.0), 0, {}
+    while any(queues.values()):
+        for s in order:
+            credit[s] += quantum[s]
+            while queues[s] and credit[s] > 1e-9 * window:
+                uid, n = queues[s].pop(0)
+                place[uid] = (number, at)
+                at, credit[s] = at + n, credit[s] - n
+        number += 1
+    return place
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_deficits_equal_a_simulation(shared, seed):
+    rng = random.Random(seed)
+    data = [(i, i, rng.choice(["a", "a", "b", None, "c"]), rng.choice([1, 7, 30, 400])) for i in range(400)]
+    df = shared.createDataFrame(data, "uid long, doc_id long, source string, n long")
+    got = {r["uid"]: (r["round"], r["at"]) for r in packing.deficit_round_robin(df, 137).collect()}
+    assert got == round_robin(data, 137)
+
+
 def shingles(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
