@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelmill.functions import names, scalars
 from panelmill.operators import crosssection, quality, relational
 from panelmill.plans.registry import query, r, rounded, with_views
 from panelmill.plans.views_sql import BARS, MARKET, PRICES, RATES
+from panelmill.session import shared_folder
 from panelmill.sources import adapters as src
 from panelmill.sources import readers, sinks
 
@@ -77,6 +80,66 @@ def load_report(spark, sf):
     return quality.load_report(orders, customers, "entity", "date")
 
 
+@query(
+    "differing_files",
+    with_views(BARS)
+    + """, f AS (SELECT entity, count(*) AS n, min(date) AS a, max(date) AS z, CASE entity % 7 WHEN 0 THEN 'volume' WHEN 1 THEN 'high,low' ELSE '' END AS missing FROM bars GROUP BY entity)
+SELECT CAST(s_suppkey AS VARCHAR) AS entity, CASE WHEN n IS NULL OR missing <> '' THEN 'failed' ELSE 'downloaded' END AS status,
+  CASE WHEN missing <> '' THEN 'missing_columns:' || missing WHEN n IS NULL THEN 'no_data' ELSE '' END AS reason, CASE WHEN missing = '' THEN n ELSE 0 END AS rows,
+  CASE WHEN missing = '' THEN CAST(a AS VARCHAR) END AS first_date, CASE WHEN missing = '' THEN CAST(z AS VARCHAR) END AS last_date
+FROM supplier LEFT JOIN f ON s_suppkey = entity""",
+)
+def differing_files(spark, sf):
+    """Load report of one CSV file per entity, some of which lack columns or have them in another order."""
+    folder = f"{shared_folder(spark).rstrip('/')}/panelmill/{uuid.uuid4().hex}"
+    bars = src.bars(spark, sf).withColumn("kind", F.pmod("entity", F.lit(7)))
+    kinds = {"kind = 0": ["date", "high", "low", "close"], "kind = 1": ["date", "close", "volume"], "kind = 2": ["volume", "close", "low", "high", "date"], "kind > 2": ["date", "high", "low", "close", "volume"]}
+    named = bars.withColumn("close", F.col("adj_close")).repartition("entity")
+    for number, (kind, columns) in enumerate(kinds.items()):
+        named.where(kind).select("entity", *columns).write.partitionBy("entity").option("header", True).csv(f"{folder}/{number}")
+    rows, missing = readers.read_differing_files(spark, [f"{folder}/{k}/*/*.csv" for k in range(len(kinds))], ["date", "high", "low", "close", "volume"], lambda path: F.regexp_extract(path, r"entity=([^/]+)", 1))
+    suppliers = src.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("entity"))
+    return quality.load_report(rows, suppliers, "entity", "date", missing)
+
+
+@query(
+    "panel_round_trip",
+    with_views(PRICES) + "SELECT entity, month, round(ret_1m, 8) + 0.0 AS ret_1m, year(month) AS year FROM prices WHERE year(month) >= 1998",
+)
+def panel_round_trip(spark, sf):
+    """A panel written by year and read back with a filter that prunes the folders."""
+    path = f"{shared_folder(spark).rstrip('/')}/panelmill/{uuid.uuid4().hex}"
+    sinks.write_panel(src.monthly_prices(spark, sf).select("entity", "month", "ret_1m"), path)
+    back = readers.read_parquet(spark, path, ["entity", "month", "ret_1m", "year"])
+    return rounded(back.where("year >= 1998").withColumn("year", F.col("year").cast("long")), 8)
+
+
+@query(
+    "report_round_trip",
+    """SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS first_date FROM orders GROUP BY 1""",
+)
+def report_round_trip(spark, sf):
+    """A report written as one CSV file and read back with a schema and a choice of columns; names with commas and quotes survive."""
+    path = f"{shared_folder(spark).rstrip('/')}/panelmill/{uuid.uuid4().hex}"
+    report = src.table(spark, sf, "orders").groupBy(F.concat(F.lit('"a", '), "o_orderpriority").alias("priority")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min(F.col("o_orderdate").cast("date")).cast("string").alias("first_date"))
+    sinks.write_report(report, path)
+    back = readers.read_csv(spark, path, "priority string, n long, total double, first_date string", ["priority", "n", "total", "first_date"])
+    return back.withColumn("priority", F.regexp_replace("priority", '^"a", ', ""))
+
+
+@query(
+    "contract_round_trip",
+    "SELECT CAST(row_number() OVER (ORDER BY c) - 1 AS INT) AS ordinal, c AS predictor FROM (SELECT DISTINCT 'x_' || o_orderpriority AS c FROM orders)",
+)
+def contract_round_trip(spark, sf):
+    """Predictor names written and read back in their order."""
+    path = f"{shared_folder(spark).rstrip('/')}/panelmill/{uuid.uuid4().hex}"
+    priorities = src.table(spark, sf, "orders").select("o_orderpriority").distinct().collect()  # five of them
+    sinks.write_contract(spark, sorted(f"x_{r[0]}" for r in priorities), path)
+    return spark.createDataFrame(list(enumerate(readers.read_contract(spark, path))), "ordinal int, predictor string")
+
+
 _MANIFEST = """WITH o AS (SELECT 'orders_' || o_orderpriority AS file, CAST(o_orderdate AS DATE) AS d FROM orders),
 old AS (SELECT file, min(d) AS a, max(d) AS b FROM o WHERE d < DATE '1998-01-01' GROUP BY file),
 new AS (SELECT file, min(d) AS a, max(d) AS b FROM o WHERE file IN ('orders_1-URGENT', 'orders_2-HIGH') GROUP BY file)"""
@@ -104,6 +167,26 @@ def manifest_upsert(spark, sf):
     return sinks.update_manifest(old, new).select("file", "source", "coverage_start", "coverage_end")
 
 
+@query(
+    "manifest_in_place",
+    _MANIFEST
+    + """SELECT file, 'old' AS source, CAST(a AS VARCHAR) AS coverage_start, CAST(b AS VARCHAR) AS coverage_end FROM old WHERE file NOT IN (SELECT file FROM new)
+UNION ALL SELECT file, 'new', CAST(a AS VARCHAR), CAST(b AS VARCHAR) FROM new""",
+)
+def manifest_in_place(spark, sf):
+    """A stored manifest that is updated twice, the second time twice over, and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/panelmill/{uuid.uuid4().hex}"
+    orders = src.table(spark, sf, "orders").select(F.concat(F.lit("orders_"), "o_orderpriority").alias("file"), F.col("o_orderdate").cast("date").alias("d"))
+    new = orders.filter(F.col("file").isin("orders_1-URGENT", "orders_2-HIGH"))
+    for df, source in ((orders.filter(F.col("d") < F.lit("1998-01-01").cast("date")), "old"), (new, "new"), (new, "new")):
+        rows = df.groupBy("file").agg(
+            F.lit(source).alias("source"), F.current_date().cast("string").alias("created_on"), F.min("d").cast("string").alias("coverage_start"),
+            F.max("d").cast("string").alias("coverage_end"), F.lit("").alias("notes"),
+        )
+        sinks.store_manifest(spark, path, rows)
+    return readers.read_version(spark, path).select("file", "source", "coverage_start", "coverage_end")
+
+
 @query(
     "key_value_summary",
     """SELECT 'rows' AS item, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'customers', CAST(count(DISTINCT o_custkey) AS VARCHAR) FROM orders

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import re
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql.types import StructType
 from panelmill.functions.names import MACRO_COLUMNS
 from panelmill.functions.scalars import finite, normalize_code, normalize_columns, parse_yyyymm, positive_log, to_double
 from panelmill.operators.relational import missing_keys, require_columns, require_unique
+from panelmill.session import cut_lineage
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, schema: StructType | str | None = None) -> DataFrame:
@@ -35,6 +39,67 @@ def read_entity_files(spark: SparkSession, paths: str | list[str], schema: Struc
     return normalize_columns(raw.withColumn("entity", normalize_code(file)))
 
 
+def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file`` (path), ``header`` (its first line) of every file that is not empty. One distributed look: within a file's first block the first line has the lowest row number."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("row"))
+    return lines.where("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a CSV header line, as ``normalize_columns`` writes them; two names that become equal are an error."""
+    names = [re.sub("[ -]", "_", name.strip().lower()) for name in next(csv.reader([header.lstrip("\ufeff")]))]
+    if len(set(names)) < len(names):
+        raise ValueError(f"repeated column names in {header!r}")
+    return names
+
+
+def read_differing_files(
+    spark: SparkSession, paths: str | list[str], required: Sequence[str], entity: Callable[[Column], Column] | None = None, keep_incomplete: bool = False, most_headers: int = 200,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, missing) of many per-entity CSV files whose columns differ in number, names and order.
+
+    Files of equal header are read together, so a value never slides into another column's place; the groups are united by name. Columns are text: ``entity``, the required
+    ones, then what else any file has; what a file lacks is NULL. ``missing``: entity and ``missing_columns`` (names in the order of ``required``, comma separated) of the
+    files that lack some; their rows are left out unless ``keep_incomplete``. ``entity`` makes it of the file's path (by default its name without the ending, as a code). More than ``most_headers`` different headers are an error.
+    """
+    own = entity or (lambda path: normalize_code(F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"\.[^.]*$", "")))
+    found = cut_lineage(file_headers(spark, paths).select("file", "header", own(F.col("file")).alias("entity")))
+    headers = [r.header for r in found.select("header").distinct().orderBy("header").limit(most_headers + 1).collect()]
+    if len(headers) > most_headers:
+        raise ValueError(f"more than {most_headers} different headers")
+    lacking = {h: [c for c in required if c not in header_names(h)] for h in headers}
+    table = spark.createDataFrame([(h, ",".join(x)) for h, x in lacking.items()], "header string, missing_columns string")
+    missing = found.join(F.broadcast(table), "header").where("missing_columns <> ''").select("entity", "missing_columns")  # at most ``most_headers`` rows
+    extra = sorted({c for h in headers for c in header_names(h)} - set(required))
+    parts = []
+    for header in headers:
+        if lacking[header] and not keep_incomplete:
+            continue
+        # The driver lists these files anyway when it plans their scan.
+        files = [r.file for r in found.where(F.col("header") == header).select("file").toLocalIterator()]
+        names = header_names(header)
+        rows = spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("header", True).csv(files)
+        parts.append(rows.select(own(F.col("_metadata.file_path")).alias("entity"), *[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in [*required, *extra]]))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in ["entity", *required, *extra])), missing
+    return reduce(DataFrame.unionByName, parts), missing
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that the pointer of ``path`` names (see ``sinks.write_version``), or None if nothing has been stored there."""
+    version = current_version(spark, path)
+    return None if version is None else spark.read.parquet(f"{path.rstrip('/')}/{version}")
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder name in the pointer file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pointer = hadoop.Path(f"{path.rstrip('/')}/CURRENT")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return None
+    return spark.read.text(pointer.toString()).first()[0]
+
+
 def load_checked(
     df: DataFrame,
     columns: Sequence[str],

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.operators.relational import upsert
+from panelmill.sources.readers import current_version, read_version
 
 MANIFEST_COLUMNS = ["file", "source", "created_on", "coverage_start", "coverage_end", "notes"]
 
@@ -36,6 +38,37 @@ def write_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").text(path) if df.columns == ["metadata"] else df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_version(df: DataFrame, path: str) -> str:
+    """Store ``df`` as the next version of a small table and let the pointer name it; the version's name.
+
+    ``df`` may read the version that it replaces: nothing is overwritten. The pointer is switched by one rename after the table is complete, so readers see the old table or
+    the new one, and a run that dies before leaves the old one in force. A repeated run only adds a version. If another writer has moved the pointer meanwhile, this one raises.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    before = current_version(spark, path)
+    number = int(before.split("-")[0][1:]) + 1 if before else 1
+    version = f"v{number:06d}-{uuid.uuid4().hex[:8]}"
+    df.coalesce(1).write.parquet(f"{path}/{version}")
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    fresh, pointer = hadoop.Path(f"{path}/{version}.pointer"), hadoop.Path(f"{path}/CURRENT")
+    out = fresh.getFileSystem(conf).create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    if current_version(spark, path) != before:
+        raise RuntimeError(f"{path} was written by another run; update its new version instead")
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(pointer.toUri() if pointer.toUri().getScheme() else fresh.getFileSystem(conf).getUri(), conf).rename(fresh, pointer, options)
+    return version
+
+
+def store_manifest(spark: SparkSession, path: str, rows: DataFrame) -> str:
+    """Replace or insert ``rows`` in the manifest stored at ``path``, in place; the new version's name."""
+    old = read_version(spark, path)
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in MANIFEST_COLUMNS))
+    return write_version(update_manifest(empty if old is None else old, rows), path)
+
+
 def manifest_row(df: DataFrame, file: str, source: str, time: str, notes: str) -> DataFrame:
     """Coverage of a file as one manifest row."""
     return df.agg(

@@ -71,3 +71,41 @@ def test_load_report_gives_each_entity_its_reason(spark):
     missing = spark.createDataFrame([("B", "volume"), ("D", "open,close")], "entity string, missing_columns string")
     rows = {r.entity: (r.status, r.reason, r.rows) for r in quality.load_report(loaded, universe, "entity", "date", missing).collect()}
     assert rows == {"A": ("downloaded", "", 1), "B": ("failed", "missing_columns:volume", 1), "C": ("failed", "no_data", 0), "D": ("failed", "missing_columns:open,close", 0)}
+
+
+def test_files_with_differing_columns(spark, tmp_path):
+    (tmp_path / "aa.csv").write_text("Date,Adj Close,Volume\n2020-01-01,1.5,10\n2020-01-02,2.5,20\n")
+    (tmp_path / "bb.csv").write_text('Volume,"Date",Adj Close,Note\n7,2020-02-01,3.5,"a, b"\n')
+    (tmp_path / "cc.csv").write_text("Date,Volume\n2020-03-01,9\n")
+    (tmp_path / "dd.csv").write_text("")
+    (tmp_path / "ee.csv").write_text("Date,Adj Close,Volume\n")
+    required = ["date", "adj_close", "volume"]
+    rows, missing = readers.read_differing_files(spark, str(tmp_path), required)
+    assert rows.columns == ["entity", *required, "note"]
+    got = sorted(map(tuple, rows.collect()))
+    assert got == [("AA", "2020-01-01", "1.5", "10", None), ("AA", "2020-01-02", "2.5", "20", None), ("BB", "2020-02-01", "3.5", "7", "a, b")]
+    assert [tuple(r) for r in missing.collect()] == [("CC", "adj_close")]
+    universe = spark.createDataFrame([(x,) for x in ("AA", "BB", "CC", "DD", "EE")], "entity string")
+    report = {r.entity: (r.status, r.reason, r.rows) for r in quality.load_report(rows, universe, "entity", "date", missing).collect()}
+    assert report == {"AA": ("downloaded", "", 2), "BB": ("downloaded", "", 1), "CC": ("failed", "missing_columns:adj_close", 0), "DD": ("failed", "no_data", 0), "EE": ("failed", "no_data", 0)}
+    kept, _ = readers.read_differing_files(spark, str(tmp_path), required, keep_incomplete=True)
+    assert ("CC", "2020-03-01", None, "9", None) in [tuple(r) for r in kept.collect()]
+    with pytest.raises(ValueError, match="different headers"):
+        readers.read_differing_files(spark, str(tmp_path), required, most_headers=2)
+
+
+def test_versions_switch_by_pointer(spark, tmp_path):
+    path = str(tmp_path / "m")
+    assert readers.read_version(spark, path) is None
+    first = sinks.write_version(spark.createDataFrame([("a", 1)], "k string, v int"), path)
+    old = readers.read_version(spark, path)
+    second = sinks.write_version(old.withColumn("v", F.col("v") + 1), path)
+    assert (first[:7], second[:7]) == ("v000001", "v000002")
+    assert [tuple(r) for r in readers.read_version(spark, path).collect()] == [("a", 2)] and [tuple(r) for r in old.collect()] == [("a", 1)]
+    # A run that died before the switch leaves a complete table that nobody names.
+    spark.createDataFrame([("x", 9)], "k string, v int").write.parquet(f"{path}/v000003-dead")
+    assert [tuple(r) for r in readers.read_version(spark, path).collect()] == [("a", 2)]
+    rows = spark.createDataFrame([("f", "s", "2020-01-01", "1990", "1991", "")], ", ".join(f"{c} string" for c in sinks.MANIFEST_COLUMNS))
+    for _ in range(2):
+        sinks.store_manifest(spark, str(tmp_path / "n"), rows)
+    assert readers.read_version(spark, str(tmp_path / "n")).count() == 1
