@@ -151,8 +151,8 @@ def distribution_summary(
 ) -> DataFrame:
     """Moments, exact 1/50/99 % quantiles and exact distinct counts per group.
 
-    ``distinct`` maps output names to counted columns. Each distinct count is its own two-step
-    aggregate, so no group's values meet in one task. The needed columns are stored first unless ``is_stored``.
+    ``distinct`` maps output names to counted columns. Distinct counts are a two-step aggregate over
+    (group, column, value), so no group's values meet in one task. The needed columns are stored first unless ``is_stored``.
     """
     if not keys:
         whole = distribution_summary(df.withColumn("__all", F.lit(0)), ["__all"], value, distinct)
@@ -175,10 +175,11 @@ def distribution_summary(
         *keys, F.col("q0").alias("p01"), F.col("q1").alias("median"), F.col("q2").alias("p99")
     )
     out = moments.join(q, keys)
-    for name, col in distinct.items():
-        # A NULL keeps the group but is no value.
-        counted = df.groupBy(*keys, col).agg(F.lit(1).alias("__one")).groupBy(*keys).agg(F.count(col).alias(name))
-        out = out.join(counted, keys)
+    if distinct:
+        # All columns in one pair of aggregates: first the distinct values, then their number. A NULL keeps the group but is no value.
+        entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(distinct.values())])
+        values = df.select(*keys, F.explode(entries).alias("__e")).select(*keys, "__e.i", "__e.v").distinct()
+        out = out.join(values.groupBy(*keys).agg(*[F.count(F.when(F.col("i") == i, F.col("v"))).alias(name) for i, name in enumerate(distinct)]), keys)
     return out
 
 

@@ -1,148 +1,309 @@
-"""Exact group quantiles.
+"""Exact group quantiles by radix counts.
 
-No group is gathered, so a month with a third of all rows is no hot spot:
-
-1. one mergeable sketch per group and column gives a grid of approximate quantiles and the exact counts;
-2. the grid brackets each wanted order statistic between two values a fraction of a percent apart;
-3. the rows below a bracket are counted and only the values inside it are shuffled and ranked.
-
-The result is exact for groups of any size. A bracket is checked against the counts; a miss is an error, never a wrong number.
+Doubles are read as 64-bit codes of the same order. Tasks count, per group and column, the leading 16 bits of the codes; the counts say in which bin a wanted order
+statistic lies. A second pass sends the values of these bins alone, a few percent of the cells, or, where a bin is too full, counts its next 16 bits. So every
+statistic is found exactly after two to five passes, groups may have any size, and cells are neither shuffled nor made into rows: what travels is one
+packed vector per task, group and column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.session import cut_lineage
 
-GRID = 1000
-ACCURACY = 20_000
+#: Bins of at most so many values are sent as values.
+GATHER = 50_000
+#: A task sends its counts when they fill so many cells.
+HELD = 2_000_000
+_SIGN = np.uint64(1 << 63)
 
 Wanted = list[tuple[str, float]]
 
 
-# --- which order statistics make up a quantile -----------------------------------------
-def _ranks_plain(p: float, n: Column, total: Column) -> tuple[Column, Column, Column]:
-    """0-based ranks around quantile ``p`` of the n present values, and the interpolation weight."""
-    h = (n - 1) * F.lit(float(p))
-    low = F.floor(h)
-    return low, F.least(low + 1, n - 1), h - low
-
-
-def _ranks_after_imputation(p: float, n: Column, total: Column) -> tuple[Column, Column, Column]:
-    """The same for the sample in which every missing value is replaced by the median.
-
-    The filled-in copies of the median form a block right after the lower middle value, so the order
-    statistics of the filled sample are those of the present values, or the median itself (rank -1).
-    """
-    h = (total - 1) * F.lit(float(p))
-    block_start, missing = F.floor((n - 1) / 2) + 1, total - n
-
-    def present_rank(i: Column) -> Column:
-        return F.when(i < block_start, i).when(i < block_start + missing, F.lit(-1)).otherwise(i - missing)
-
-    low = F.floor(h)
-    return present_rank(low), present_rank(F.least(low + 1, total - 1)), h - low
-
-
-def _ranks(kind: str, p: float, n: Column, total: Column) -> tuple[Column, Column, Column]:
-    low, high, weight = (_ranks_plain if kind == "plain" else _ranks_after_imputation)(p, n, total)
-    return low.cast("int"), high.cast("int"), weight.cast("double")
-
+def codes_of(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the doubles; -0.0 and 0.0 are the same."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN != 0, ~bits, bits | _SIGN)
 
-def _cell(low: Column, high: Column, weight: Column, low_value: Column, high_value: Column) -> Column:
-    return F.struct(
-        low.alias("low"), high.alias("high"), weight.alias("weight"), low_value.alias("low_value"), high_value.alias("high_value")
-    )
 
+def values_of(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes & _SIGN != 0, codes & ~_SIGN, ~codes).view(np.float64)
 
-def _feature_name(cols: list[str]) -> Column:
-    return F.get(F.array(*[F.lit(c) for c in cols]), F.col("__j"))
 
+# --- which order statistics make up a quantile -----------------------------------------
+def _ranks(kind: str, p: float, n: int, total: int) -> tuple[int, int, float]:
+    """0-based ranks around quantile ``p`` of the n present values, and the interpolation weight.
 
-def _bracketed(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted) -> DataFrame:
-    grid_points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    sketched = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.array(
-            *[
-                F.struct(
-                    F.count(c).alias("n"), F.percentile_approx(F.col(c).cast("double"), grid_points, ACCURACY).alias("grid")
+    Kind ``imputed``: of the sample in which every missing value is replaced by the median. The filled-in copies of the median form a block right
+    after the lower middle value, so its order statistics are those of the present values, or the median itself (rank -1).
+    """
+    size = n if kind == "plain" else total
+    h = (size - 1) * p
+    low = int(np.floor(h))
+    high = min(low + 1, size - 1)
+    if kind == "plain":
+        return low, high, h - low
+    start, missing = (n - 1) // 2 + 1, total - n
+
+    def present(rank: int) -> int:
+        return rank if rank < start else -1 if rank < start + missing else rank - missing
+
+    return present(low), present(high), h - low
+
+
+SENT = "k string, j int, kind int, rows long, a binary, b binary"
+PLAN = "k string, j int, n long, total long, depth int, prefix array<long>, base array<long>, size array<long>, found array<double>"
+_PLAN = [c.split()[0] for c in PLAN.split(", ")]
+
+
+def _packed(gid: np.ndarray, data: np.ndarray, groups: int) -> pa.Array:
+    """One binary per group of the rows of ``data``, which are sorted by group."""
+    ends = np.searchsorted(gid, np.arange(groups + 1)) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), groups, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+class _Counts:
+    """Counts of (group, code prefix) of one column in a task."""
+
+    def __init__(self) -> None:
+        self.key, self.prefix, self.n, self.size = [], [], [], 0
+
+    def add(self, gid: np.ndarray, prefix: np.ndarray) -> None:
+        # Keys of 16-bit bins fit one number with the group; deeper prefixes are sorted by two.
+        order = np.lexsort((prefix, gid))
+        gid, prefix = gid[order], prefix[order]
+        new = np.ones(len(gid), bool)
+        new[1:] = (gid[1:] != gid[:-1]) | (prefix[1:] != prefix[:-1])
+        heads = np.flatnonzero(new)
+        self.key.append(gid[heads])
+        self.prefix.append(prefix[heads])
+        self.n.append(np.diff(np.append(heads, len(gid))))
+        self.size += len(heads)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.key:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        gid, prefix, n = np.concatenate(self.key), np.concatenate(self.prefix), np.concatenate(self.n)
+        order = np.lexsort((prefix, gid))
+        gid, prefix, n = gid[order], prefix[order], n[order]
+        new = np.ones(len(gid), bool)
+        new[1:] = (gid[1:] != gid[:-1]) | (prefix[1:] != prefix[:-1])
+        heads = np.flatnonzero(new)
+        return gid[heads], prefix[heads], np.add.reduceat(n, heads) if len(heads) else n
+
+
+def _first_counts(width: int):
+    """Counts of the leading 16 bits per group and column, and the rows per group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        rows, held = np.zeros(0, np.int64), [_Counts() for _ in range(width)]
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            keys, m = list(names), len(names)
+            for j, counts in enumerate(held):
+                gid, prefix, n = counts.merged()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.string()), pa.array([j] * m, pa.int32()), pa.array([0] * m, pa.int32()), pa.array(rows), _packed(gid, prefix, m), _packed(gid, n, m)],
+                    [c.split()[0] for c in SENT.split(", ")],
                 )
-                for c in cols
-            ]
-        ).alias("__sketches"),
-    )
-    per_feature = sketched.select(*keys, "total", F.posexplode("__sketches").alias("__j", "__s")).select(
-        *keys, "total", "__j", F.col("__s.n").alias("n"), F.col("__s.grid").alias("grid")
-    )
-    n, total = F.col("n"), F.col("total")
-    brackets = []
-    for kind, p in wanted:
-        low, high, weight = _ranks(kind, p, n, total)
-        first, last = F.when(low >= 0, low).otherwise(high), F.when(high >= 0, high).otherwise(low)
-        left = F.floor(F.try_divide(first * F.lit(float(GRID)), n)).cast("int") - 2
-        right = F.ceil(F.try_divide((last + 1) * F.lit(float(GRID)), n)).cast("int") + 2
-        brackets.append(
-            F.struct(
-                low.alias("low"), high.alias("high"), weight.alias("weight"),
-                ((n > 0) & (last >= 0)).alias("needed"),
-                F.when(left <= 0, F.lit(float("-inf"))).otherwise(F.get("grid", left)).alias("start"),
-                F.when(right >= GRID, F.lit(float("inf"))).otherwise(F.get("grid", right)).alias("stop"),
-            )
-        )
-    # One row per group and feature, a few numbers each.
-    plan = cut_lineage(per_feature.select(*keys, "__j", "n", "total", F.array(*brackets).alias("__b")))
-    cell_keys = [*keys, "__j"]
-    long = df.select(*keys, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("__j", "__v")).dropna(subset=["__v"])
-    rows = long.join(plan.select(*cell_keys, "__b"), cell_keys)
-    below = rows.groupBy(*cell_keys).agg(
-        F.array(*[F.count_if(F.col("__v") < F.col("__b")[i]["start"]) for i in range(len(wanted))]).alias("__below")
-    )
-    hits = F.filter(
-        F.transform("__b", lambda b, i: F.when(b["needed"] & (F.col("__v") >= b["start"]) & (F.col("__v") <= b["stop"]), i)),
-        lambda i: i.isNotNull(),
-    )
-    # Equal values are merged before the shuffle; a bracket keeps about half a percent of its group.
-    candidates = rows.select(*cell_keys, "__v", F.explode(hits).alias("__i")).groupBy(*cell_keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*cell_keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = candidates.withColumn("__upto", F.sum("__c").over(w))
-    targets = plan.join(below, cell_keys, "left").select(*cell_keys, "__below", "__b")
-    located = ranked.join(targets, cell_keys).select(
-        *cell_keys, "__i", "__v", F.get("__below", "__i").alias("__base"), F.get("__b", "__i").alias("__w"), "__upto"
-    )
-
-    def value_at(rank: Column) -> Column:
-        inside = (rank >= F.col("__base")) & (rank < F.col("__base") + F.col("__upto"))
-        return F.min(F.when(inside, F.col("__v")))
 
-    picked = located.groupBy(*cell_keys, "__i").agg(
-        value_at(F.col("__w")["low"]).alias("low_value"), value_at(F.col("__w")["high"]).alias("high_value")
-    )
-    asked = plan.select(*cell_keys, "n", "total", F.posexplode("__b").alias("__i", "__w"))
-    solved = asked.join(picked, [*cell_keys, "__i"], "left")
-    w_ = F.col("__w")
-    missed = w_["needed"] & (
-        ((w_["low"] >= 0) & F.col("low_value").isNull()) | ((w_["high"] >= 0) & F.col("high_value").isNull())
-    )
-    error = F.raise_error(F.lit("quantile bracket missed its rank; raise ACCURACY")).cast("double")
-    cell = _cell(w_["low"], w_["high"], w_["weight"], F.when(missed, error).otherwise(F.col("low_value")), F.col("high_value"))
-    return (
-        solved.select(*cell_keys, "n", "total", "__i", cell.alias("__cell"))
-        .groupBy(*cell_keys)
-        .agg(F.max("n").alias("n"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("__i", "__cell"))).alias("__l"))
-        .select(*keys, _feature_name(cols).alias("feature"), "n", "total", F.transform("__l", lambda e: e["__cell"]).alias("__cells"))
-    )
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            gid = np.array([names.setdefault(k, len(names)) for k in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+            rows = np.pad(rows, (0, len(names) - len(rows))) + np.bincount(gid, minlength=len(names))
+            for j in range(width):
+                column = batch.column(1 + j)
+                there = column.is_valid().to_numpy(zero_copy_only=False)
+                held[j].add(gid[there], codes_of(column.drop_null().to_numpy()) >> np.uint64(48))
+            if sum(c.size for c in held) > HELD:
+                yield from sent()
+                names, rows, held = {}, np.zeros(0, np.int64), [_Counts() for _ in range(width)]
+        if names:
+            yield from sent()
+
+    return run
+
+
+def _next_step(width: int, depth: int):
+    """For the bins that are wanted at ``depth`` bits: their values, or counts of 16 bits more. The last column of a row packs its group's bins by column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - depth)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded, plans = batch.column(0).dictionary_encode(), batch.column(1 + width)
+            keys, gid = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            first = np.unique(gid, return_index=True)[1]
+            own = [plans[int(i)].as_py() for i in first]
+            slots = max((len(x["prefix"]) for plan in own for x in plan), default=0)
+            if not slots:
+                continue
+            # Prefixes of the wanted bins by group, column and slot; no code has the prefix 2**64 - 1 at depths below 64.
+            bins = np.full((len(keys), width, slots), np.uint64(2**64 - 1))
+            full = np.zeros((len(keys), width, slots), bool)
+            for g, plan in enumerate(own):
+                for x in plan:
+                    bins[g, x["j"], : len(x["prefix"])] = np.array(x["prefix"], np.int64).view(np.uint64)
+                    full[g, x["j"], : len(x["prefix"])] = np.array(x["size"]) > GATHER
+            for j in range(width):
+                column = batch.column(1 + j)
+                there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+                codes = codes_of(column.drop_null().to_numpy())
+                hit = (codes >> shift)[:, None] == bins[gid[there], j]
+                deeper = (hit & full[gid[there], j]).any(1)
+                for kind, mine in ((1, hit.any(1) & ~deeper), (0, deeper)):
+                    if not mine.any():
+                        continue
+                    group, code = gid[there[mine]], codes[mine]
+                    if kind:
+                        order = np.argsort(group, kind="stable")
+                        group, a = group[order], code[order]
+                        b = np.zeros(0, np.int64)
+                    else:
+                        counts = _Counts()
+                        counts.add(group, code >> (shift - np.uint64(16)))
+                        group, a, b = counts.merged()
+                    seen, m = np.unique(group), len(keys)
+                    columns = [
+                        pa.array(keys, pa.string()), pa.array([j] * m, pa.int32()), pa.array([kind] * m, pa.int32()), pa.array([0] * m, pa.int64()),
+                        _packed(group, a, m), _packed(group if not kind else group[:0], b, m),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SENT.split(", ")]).take(pa.array(seen))
+
+    return run
+
+
+def _located(ranks: list[int], prefix: np.ndarray, n: np.ndarray, base: int = 0) -> list[tuple[int, int, int]]:
+    """(prefix, values before it, values in it) of the bin of each rank."""
+    upto = np.cumsum(n)
+    at = np.searchsorted(upto, np.array(ranks) - base, side="right")
+    return [(int(prefix[i : i + 1].view(np.int64)[0]), int(upto[i] - n[i]) + base, int(n[i])) for i in at.tolist()]
+
+
+def _solve(wanted: Wanted, depth: int):
+    """From counts, values and plans of (group, column), sorted by these: the next plan. ``found`` has a value per rank, NaN where it is still sought."""
+
+    def asked(n: int, total: int) -> list[int]:
+        return sorted({r for kind, p in wanted if n for r in _ranks(kind, p, n, total)[:2] if r >= 0})
+
+    def step(rows: list[tuple]) -> tuple:
+        """``rows``: (k, j, kind, rows, a, b); kind 2 is the plan so far."""
+        k, j = rows[0][:2]
+        plan = next((r[6] for r in rows if r[2] == 2), None)
+        counted = [r for r in rows if r[2] == 0]
+        prefix = np.concatenate([np.frombuffer(r[4], np.uint64) for r in counted]) if counted else np.zeros(0, np.uint64)
+        n = np.concatenate([np.frombuffer(r[5], np.int64) for r in counted]) if counted else np.zeros(0, np.int64)
+        prefix, where = np.unique(prefix, return_inverse=True)
+        n = np.bincount(where, weights=n, minlength=len(prefix)).astype(np.int64)
+        if plan is None:
+            size, total = int(n.sum()), sum(r[3] for r in rows)
+            ranks = asked(size, total)
+            bins = _located(ranks, prefix, n) if ranks else []
+            return (k, j, size, total, 16, *map(list, zip(*bins, strict=True)), [float("nan")] * len(ranks)) if ranks else (k, j, size, total, 16, [], [], [], [])
+        size, total, bins, sizes, bases, found = plan
+        ranks = asked(size, total)
+        values = np.sort(np.concatenate([np.frombuffer(r[4], np.uint64) for r in rows if r[2] == 1] or [np.zeros(0, np.uint64)]))
+        new = []
+        for at, (rank, p, base, m) in enumerate(zip(ranks, bins, bases, sizes, strict=True)):
+            if not np.isnan(found[at]):
+                new.append((p, base, m))
+                continue
+            low = np.array([p], np.int64).view(np.uint64)[0] << np.uint64(64 - depth)
+            if m <= GATHER:
+                start = int(np.searchsorted(values, low))
+                found[at] = float(values_of(values[start + rank - base : start + rank - base + 1])[0])
+                new.append((p, base, m))
+            else:
+                inside = prefix >> np.uint64(16) == np.array([p], np.int64).view(np.uint64)[0]
+                (q, before, count), = _located([rank], prefix[inside], n[inside], base)
+                if depth + 16 == 64:
+                    found[at] = float(values_of(np.array([q], np.int64).view(np.uint64))[0])
+                new.append((q, before, count))
+        # Ranks found earlier keep their bins; their prefixes are not looked for again.
+        return (k, j, size, total, depth + 16, *map(list, zip(*new, strict=True)), found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = [], []
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.float64())]
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], _PLAN)
+
+        for part in batches:
+            for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                row = (*row[:6], tuple(row[6].values()) if len(row) > 6 and row[6] is not None else None)
+                if held and row[:2] != held[0][:2]:
+                    out.append(step(held))
+                    held = []
+                    if len(out) == 1000:
+                        yield batch()
+                        out = []
+                held.append(row)
+        if held:
+            out.append(step(held))
+        if out:
+            yield batch()
+
+    return run
+
+
+def _cells(wanted: Wanted):
+    """The ranks, weights and values of every wanted quantile from the solved plan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64()), ("weight", pa.float64()), ("low_value", pa.float64()), ("high_value", pa.float64())]))
+        for batch in batches:
+            out = []
+            for n, total, found in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "total", "found")], strict=True):
+                asked = [_ranks(kind, p, n, total) if n else (0, 0, 0.0) for kind, p in wanted]
+                value = dict(zip(sorted({r for low, high, _ in asked for r in (low, high) if n and r >= 0}), found, strict=True))
+                out.append([{"low": low, "high": high, "weight": w, "low_value": value.get(low), "high_value": value.get(high)} for low, high, w in asked])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, cell)], ["k", "j", "n", "total", "__cells"])
+
+    return run
+
+
+_CELLS = "k string, j int, n long, total long, __cells array<struct<low:long,high:long,weight:double,low_value:double,high_value:double>>"
 
 
 def _order_statistics(df: DataFrame, keys: list[str], cols: list[str], wanted: Wanted, is_stored: bool) -> DataFrame:
-    # One struct as key: it is equal to itself in a join when a key is NULL.
-    data = df.select(F.struct(*(keys or [F.lit(0).alias("all")])).alias("__keys"), *cols)
-    solved = _bracketed(data if is_stored else cut_lineage(data), ["__keys"], cols, wanted)
-    return solved.select(*[F.col("__keys")[k].alias(k) for k in keys], *[c for c in solved.columns if c != "__keys"])
+    # One text as key: it is equal to itself in a join when a key is NULL.
+    key = F.struct(*(keys or [F.lit(0).alias("all")]))
+    named = df.select(key.alias("__keys"), F.to_json(key, {"ignoreNullFields": "false"}).alias("k"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(cols)])
+    data = named if is_stored else cut_lineage(named)
+    width = len(cols)
+    values = data.select("k", *[f"x{j}" for j in range(width)])
+    counted = values.mapInArrow(_first_counts(width), SENT)
+    plan = cut_lineage(counted.repartition("k", "j").sortWithinPartitions("k", "j").mapInArrow(_solve(wanted, 0), PLAN))
+    for depth in (16, 32, 48):
+        sought = plan.where(F.exists("found", F.isnan))
+        if sought.isEmpty():
+            break
+        # The bins still sought, once each, with their sizes.
+        open_ = F.filter(F.arrays_zip("prefix", "size", "found"), lambda x: F.isnan(x["found"]))
+        bins = F.array_distinct(F.transform(open_, lambda x: F.struct(x["prefix"].alias("prefix"), x["size"].alias("size"))))
+        entry = F.struct("j", F.transform(bins, lambda x: x["prefix"]).alias("prefix"), F.transform(bins, lambda x: x["size"]).alias("size"))
+        per_group = sought.groupBy("k").agg(F.collect_list(entry).alias("bins"))  # one entry per column
+        step = values.join(per_group, "k").mapInArrow(_next_step(width, depth), SENT)
+        state = F.struct("n", "total", "prefix", "size", "base", "found")
+        sent = step.withColumn("plan", F.lit(None).cast(sought.select(state.alias("s")).schema["s"].dataType))
+        before = sought.select("k", "j", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("rows"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), state.alias("plan"))
+        solved = sent.unionByName(before).repartition("k", "j").sortWithinPartitions("k", "j").mapInArrow(_solve(wanted, depth), PLAN)
+        plan = cut_lineage(plan.where(~F.exists("found", F.isnan)).unionByName(solved))
+    cells = plan.mapInArrow(_cells(wanted), _CELLS)
+    names = data.groupBy("k").agg(F.any_value("__keys").alias("__keys"))
+    feature = F.get(F.array(*[F.lit(c) for c in cols]), F.col("j")).alias("feature")
+    return cells.join(names, "k").select(*[F.col("__keys")[c].alias(c) for c in keys], feature, "n", "total", "__cells")
 
 
 def _interpolated(cell: Column, median: Column | None = None) -> Column:

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelmill.operators import crosssection, evaluate
+from panelmill.operators import crosssection, evaluate, quantiles
 from panelmill.operators.quantiles import group_clip_bounds, group_quantiles
 
 
@@ -127,3 +127,27 @@ def test_distribution_summary_keeps_every_group(spark):
     rows = [("a", 1.0, None), ("a", 3.0, None), ("b", 2.0, "x"), ("b", None, "y"), (None, 5.0, "x"), (None, 7.0, "x")]
     out = evaluate.distribution_summary(spark.createDataFrame(rows, "g string, v double, c string"), ["g"], "v", {"kinds": "c"}).collect()
     assert {(r.g, r.observations, r.mean, r.median, r.kinds) for r in out} == {("a", 2, 2.0, 2.0, 0), ("b", 2, 2.0, 2.0, 2), (None, 2, 6.0, 6.0, 1)}
+
+
+@pytest.mark.parametrize("gather", [50_000, 3, 0])
+def test_radix_quantiles_equal_numpy(spark, monkeypatch, gather):
+    """Ties, signed zeros, tiny and huge values, groups of 1 to 2,000 rows, NULL keys and groups without a value; bins refined down to the last bit."""
+    monkeypatch.setattr(quantiles, "GATHER", gather)
+    rng = np.random.default_rng(gather)
+    rows = []
+    for g, n in enumerate((5, 1, 200, 2000, 40, 3)):
+        for _ in range(n):
+            x = None if g == 5 or rng.random() < 0.1 else float(rng.choice([0.0, -0.0, rng.normal(), rng.normal() * 1e-300, rng.normal() * 1e300, -5.5, 7.0]))
+            rows.append((None if g == 4 else g, x, float(rng.integers(-3, 3))))
+    df = spark.createDataFrame(rows, "g int, x double, y double").repartition(5)
+    got = {(r.g, r.feature): r for r in quantiles.group_quantiles(df, ["g"], ["x", "y"], [0.01, 0.5, 0.83]).collect()}
+    assert len(got) == 12
+    for g in (0, 1, 2, 3, None, 5):
+        own = [r for r in rows if r[0] == g]
+        for place, feature in ((1, "x"), (2, "y")):
+            present = np.array([r[place] for r in own if r[place] is not None])
+            r = got[g, feature]
+            assert (r.n, r.total) == (len(present), len(own))
+            want = np.quantile(present, [0.01, 0.5, 0.83]) if len(present) else [None] * 3
+            for a, b in zip((r.q0, r.q1, r.q2), want):
+                assert (a is None and b is None) or a == pytest.approx(b, rel=1e-12, abs=0)
