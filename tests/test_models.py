@@ -262,7 +262,10 @@ def plain_tree(x, y, depth):
     return out
 
 
-def test_boosting_in_step_equals_plain_loops(spark):
+@pytest.mark.parametrize("cells", [0, 10**6])
+def test_boosting_in_step_equals_plain_loops(spark, monkeypatch, cells):
+    """In step over all tasks and run by run."""
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", cells)
     rng = np.random.default_rng(1)
     x = rng.integers(0, 9, (300, 3)).astype(float)
     y = np.sin(x[:, 0]) + (x[:, 1] > 4) * x[:, 2] + rng.normal(size=300)

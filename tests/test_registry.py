@@ -7,8 +7,6 @@ from panelmill.plans.registry import QUERIES, SQL
 from tests.oracle import DATA, compare, connect
 
 SF = str(DATA / "sf0.001")
-#: Minutes on any table; test_models runs the same code on a smaller grid.
-LONG = {"tree_grid_search"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +24,7 @@ def test_equals_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF), con, SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LONG))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
