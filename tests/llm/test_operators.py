@@ -59,7 +59,39 @@ def test_sharding_is_even_and_numbers_large_groups_in_units(shared):
     assert len({r["shard"] for r in got if r["g"] == "hot"}) == len({r["shard"] for r in got if r["g"] is None}) == 1
     for s in range(6):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    assert longest_first([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
+def one_by_one(sizes, shards):
+    """Counts per (size, shard) of the schedule that takes every group alone, largest first, to the least loaded shard."""
+    loads, counts = [0] * shards, {}
+    for size in sorted(sizes, reverse=True):
+        shard = loads.index(min(loads))
+        loads[shard] += size
+        counts[size, shard] = counts.get((size, shard), 0) + 1
+    return counts, loads
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_classes_are_scheduled_like_single_groups(seed):
+    """Ties, one huge group, many small ones: the bulk deal equals the heap."""
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, 3, 7, 50]) for _ in range(rng.choice([0, 5, 400]))] + [rng.randint(1, 300) for _ in range(rng.choice([0, 30]))] + [3000] * rng.choice([0, 1])
+    shards = rng.choice([1, 3, 24])
+    want, loads = one_by_one(sizes, shards)
+    got = longest_first(sorted({s: sizes.count(s) for s in sizes}.items()), shards)
+    assert {(s, k): n for s, counts in got.items() for k, n in enumerate(counts) if n} == want
+    assert [sum(s * counts[k] for s, counts in got.items()) for k in range(shards)] == loads
+
+
+def test_documents_are_sharded_by_the_schedule(docs):
+    rng = random.Random(8)
+    data = [(i, "x" * rng.choice([0, 1, 5, 5, 9, 200]) + rng.choice("abc")) for i in range(500)] + [(900, None), (901, ""), (902, "y" * 9000)]
+    got = shard_documents(docs(data), 5).collect()
+    groups = {}
+    for _, t in data:
+        groups[t or ""] = groups.get(t or "", 0) + len(t or "") + 8
+    _, loads = one_by_one(groups.values(), 5)
+    assert [sum(r["size"] for r in got if r["shard"] == s) for s in range(5)] == loads
 
 
 def test_fingerprints(docs):
