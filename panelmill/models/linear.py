@@ -58,24 +58,59 @@ def solve_elastic_net(
     m: Moments, predictors: Sequence[str], alpha: float, l1_ratio: float, max_iter: int = 20_000, tol: float = 1e-10
 ) -> LinearFit:
     """Coordinate descent with covariance updates on the correlation matrix (Friedman et al. 2010)."""
+    return solve_elastic_path(m, predictors, [alpha], l1_ratio, max_iter, tol)[0]
+
+
+def solve_elastic_path(
+    m: Moments, predictors: Sequence[str], alphas: Sequence[float], l1_ratio: float, max_iter: int = 20_000, tol: float = 1e-10, sweeps: list[int] | None = None
+) -> list[LinearFit]:
+    """Elastic nets of one ratio for several penalties, in the order given; solved from the largest penalty down, each from the last solution.
+
+    Only predictors that the sequential strong rule (Tibshirani et al. 2012) keeps, or that are in the model, are swept; what it discards is checked
+    against the optimality conditions afterwards and let in if it breaks them, so the fits are those of full sweeps. ``sweeps`` collects their number of coordinate steps.
+    """
     means, sd, gram, xy = _standardised(m)
-    w = np.zeros(len(xy))
-    gradient = xy.copy()
-    for _ in range(max_iter):
-        biggest = 0.0
-        for j in range(len(w)):
-            if gram[j, j] == 0.0:
-                continue
-            z = gradient[j] + gram[j, j] * w[j]
-            new = np.sign(z) * max(abs(z) - alpha * l1_ratio, 0.0) / (gram[j, j] + alpha * (1 - l1_ratio))
-            step = new - w[j]
-            if step != 0.0:
-                gradient -= step * gram[:, j]
-                w[j] = new
-                biggest = max(biggest, abs(step))
-        if biggest <= tol:
-            return _finish(predictors, means, sd, w)
-    raise RuntimeError(f"elastic net (alpha {alpha}, ratio {l1_ratio}) did not settle in {max_iter} sweeps")
+    w, live, fits = np.zeros(len(xy)), np.diag(gram) > 0.0, {}
+    last = float(np.abs(xy).max(initial=0.0)) / max(l1_ratio, 1e-12)
+    for alpha in sorted(set(alphas), reverse=True):
+        cut, ridge, steps = alpha * l1_ratio, alpha * (1 - l1_ratio), 0
+        kept = live & ((w != 0.0) | (np.abs(xy - gram @ w) >= l1_ratio * (2 * alpha - max(last, alpha))))
+        while True:
+            own = np.flatnonzero(kept)
+            inner, part = gram[np.ix_(own, own)], w[own]
+            gradient, scale = xy[own] - inner @ part, np.diag(inner)
+            active, settled = np.arange(len(own)), False
+            for _ in range(max_iter):
+                biggest = 0.0
+                for j in active:
+                    z = gradient[j] + scale[j] * part[j]
+                    new = np.sign(z) * max(abs(z) - cut, 0.0) / (scale[j] + ridge)
+                    step = new - part[j]
+                    if step != 0.0:
+                        gradient -= step * inner[:, j]
+                        part[j] = new
+                        biggest = max(biggest, abs(step))
+                steps += len(active)
+                if biggest <= tol:
+                    if len(active) == len(own):
+                        settled = True
+                        break
+                    active = np.arange(len(own))
+                elif len(active) == len(own):
+                    # Until the nonzero coefficients settle only these are swept.
+                    active = np.flatnonzero(part)
+            if not settled:
+                raise RuntimeError(f"elastic net (alpha {alpha}, ratio {l1_ratio}) did not settle in {max_iter} sweeps")
+            w = np.zeros(len(xy))
+            w[own] = part
+            broken = live & ~kept & (np.abs(xy - gram @ w) > cut + tol)
+            if not broken.any():
+                break
+            kept |= broken
+        if sweeps is not None:
+            sweeps.append(steps)
+        fits[alpha], last = _finish(predictors, means, sd, w), alpha
+    return [fits[a] for a in alphas]
 
 
 def solve_pls(m: Moments, predictors: Sequence[str], n_components: int) -> list[LinearFit]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions import names
 from panelmill.models.grid import CANDIDATES, FIXED, candidate_rows, candidate_table
-from panelmill.models.linear import LinearFit, coefficient_rows, component_rows, solve_elastic_net, solve_ols, solve_pls
+from panelmill.models.linear import LinearFit, coefficient_rows, component_rows, solve_elastic_net, solve_elastic_path, solve_ols, solve_pls
 from panelmill.models.boosting import Run, boost, tree_summary
 from panelmill.models.forest import ForestRun, grow
 from panelmill.models.moments import Moments, combine, fold_moments, require_complete
@@ -32,7 +32,9 @@ def linear_candidates(m: Moments, predictors: Sequence[str], family: str, settin
     if family == "pls":
         path = solve_pls(m, predictors, max(s["n_components"] for s in settings))
         return [path[s["n_components"] - 1] for s in settings]
-    return [solve_elastic_net(m, predictors, s["alpha"], s["l1_ratio"]) for s in settings]
+    ratios = {s["l1_ratio"] for s in settings}
+    paths = {r: iter(solve_elastic_path(m, predictors, [s["alpha"] for s in settings if s["l1_ratio"] == r], r)) for r in ratios}
+    return [next(paths[s["l1_ratio"]]) for s in settings]
 
 
 def tune_linear(
@@ -53,18 +55,23 @@ def tune_linear(
         if year not in per_year or min(per_year) >= year:
             raise ValueError(f"empty fold for validation year {year}")
     sent = spark.sparkContext.broadcast(per_year)
-    # The components of one PLS fit are a path; elastic nets are solved one by one.
-    jobs = [(int(y), f, k) for y in years for f in families for k in range(1 if f == "pls" else len(candidates[f]))]
+    # The components of one PLS fit are a path, and so are the elastic nets of one ratio: a job solves the candidates of its path, named by their places in the grid.
+    paths = {
+        f: [list(range(len(candidates[f])))] if f == "pls"
+        else [[k for k, s in enumerate(candidates[f]) if s["l1_ratio"] == r] for r in dict.fromkeys(s["l1_ratio"] for s in candidates[f])]
+        for f in families
+    }
+    jobs = [(int(y), f, path) for y in years for f in families for path in paths[f]]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for year, family, k in batch.itertuples(index=False):
+            for year, family, path in batch.itertuples(index=False):
                 m = combine([m for y, m in sent.value.items() if y < year])
-                settings = candidates[family] if family == "pls" else [candidates[family][k]]
-                for at, fit in enumerate(linear_candidates(m, predictors, family, settings), k):
+                for at, fit in zip(path, linear_candidates(m, predictors, family, [candidates[family][k] for k in path]), strict=True):
+                    at = int(at)
                     yield pd.DataFrame({"year": [year], "family": [family], "k": [at], "w": [fit.coefficients.tolist()], "a": [fit.intercept]})
 
-    solved = spark.createDataFrame(jobs, "year int, family string, k int").repartition(len(jobs)).mapInPandas(solve, "year int, family string, k int, w array<double>, a double")
+    solved = spark.createDataFrame(jobs, "year int, family string, path array<int>").repartition(len(jobs)).mapInPandas(solve, "year int, family string, k int, w array<double>, a double")
     fits = {(r.year, r.family, r.k): (r.w, r.a) for r in solved.collect()}
     order = [(f, k) for f in families for k in range(len(candidates[f]))]
     matrices = {y: (np.column_stack([fits[y, f, k][0] for f, k in order]), np.array([fits[y, f, k][1] for f, k in order])) for y in map(int, years)}

@@ -138,6 +138,31 @@ def elastic_net_one_predictor(spark, sf):
     return _fit_row(spark, linear.solve_elastic_net(moments.combine(list(parts.values())), ["ret_1m"], 0.01, 0.75))
 
 
+_NET = "sign({z}) * greatest(abs({z}) - alpha * 0.75, 0) / (1 + alpha * 0.25) / {s}"
+
+
+@query(
+    "elastic_net_orthogonal",
+    _FRAME
+    + f""", k AS (SELECT regr_slope(retvol_1m, ret_1m) AS k FROM frame), o AS (SELECT y, ret_1m AS x1, retvol_1m - k * ret_1m AS x2 FROM frame, k),
+t AS (SELECT stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(y, x1) / stddev_pop(x1) AS z1, covar_pop(y, x2) / stddev_pop(x2) AS z2, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM o),
+w AS (SELECT alpha, {_NET.format(z='z1', s='s1')} AS b1, {_NET.format(z='z2', s='s2')} AS b2, my, m1, m2 FROM t, (SELECT unnest([0.01, 0.001, 0.0001]) AS alpha))
+SELECT CAST(alpha AS DOUBLE) AS alpha, 'x1' AS term, round(b1, 6) + 0.0 AS coefficient FROM w UNION ALL SELECT alpha, 'x2', round(b2, 6) + 0.0 FROM w
+UNION ALL SELECT alpha, 'intercept', round(my - b1 * m1 - b2 * m2, 6) + 0.0 FROM w""",
+)
+def elastic_net_orthogonal(spark, sf):
+    """A path over three penalties on two uncorrelated predictors, whose coefficients are thresholded correlations."""
+    df = _stored(spark, sf)
+    slope = df.agg(F.regr_slope("retvol_1m", "ret_1m")).first()[0]
+    pair = df.select("month", "y", F.col("ret_1m").alias("x1"), (F.col("retvol_1m") - F.lit(slope) * F.col("ret_1m")).alias("x2"))
+    m = moments.combine(list(moments.fold_moments(pair, "month", ["x1", "x2"], "y").values()))
+    alphas = [0.01, 0.001, 0.0001]
+    rows = [
+        (a, t, float(b)) for a, fit in zip(alphas, linear.solve_elastic_path(m, ["x1", "x2"], alphas, 0.75)) for t, b in zip([*fit.predictors, "intercept"], [*fit.coefficients, fit.intercept])
+    ]
+    return rounded(spark.createDataFrame(rows, "alpha double, term string, coefficient double"), 6)
+
+
 @query(
     "pls_one_component",
     _FRAME

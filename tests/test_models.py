@@ -325,3 +325,31 @@ def test_all_trees_of_the_reported_forest_vote_out_of_bag(spark, frame):
         frame.filter("month < '2003-01-01'"), frame.filter("month >= '2003-01-01'"), ["entity"], "month", P, "y", {"random_forest": {"n_estimators": 2}}, ols_predictors=P[:3], max_depth=3
     )
     assert out["oob"].first().oob_rows > 100
+
+
+def test_elastic_net_path_equals_cold_sweeps():
+    """400 correlated predictors: warm starts and the strong rule change the number of steps, not the fits."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 400)) + rng.normal(size=(900, 1))
+    y = x[:, :8] @ rng.normal(size=8) + rng.normal(size=900)
+    z = np.column_stack([np.ones(900), y, x])
+    m, names = moments.Moments(z.T @ z, np.zeros(401)), [f"v{k}" for k in range(400)]
+    alphas = [0.05, 0.4, 0.1, 0.2]
+    warm, cold = [], []
+    path = linear.solve_elastic_path(m, names, alphas, 0.8, sweeps=warm)
+    means, sd, gram, xy = linear._standardised(m)
+    for alpha, fit in zip(alphas, path):
+        w, gradient, steps = np.zeros(400), xy.copy(), 0
+        while True:
+            before = w.copy()
+            for j in range(400):
+                value = gradient[j] + gram[j, j] * w[j]
+                new = np.sign(value) * max(abs(value) - alpha * 0.8, 0.0) / (gram[j, j] + alpha * 0.2)
+                gradient -= (new - w[j]) * gram[:, j]
+                w[j] = new
+            steps += 400
+            if np.abs(w - before).max() <= 1e-11:
+                break
+        cold.append(steps)
+        assert np.abs(fit.standardized - w).max() < 1e-9 and 0 < np.count_nonzero(w) < 400
+    assert sum(warm) < 0.5 * sum(cold)
