@@ -19,6 +19,8 @@ from panelmill.session import cut_lineage
 
 #: Bins of at most so many values are sent as values.
 GATHER = 50_000
+#: So many wanted bins at most are sent to all tasks; more are joined to the rows of their group.
+MOST_BINS = 1 << 19
 #: A task sends its counts when they fill so many cells.
 HELD = 2_000_000
 _SIGN = np.uint64(1 << 63)
@@ -133,18 +135,20 @@ def _first_counts(width: int):
     return run
 
 
-def _next_step(width: int, depth: int):
-    """For the bins that are wanted at ``depth`` bits: their values, or counts of 16 bits more. The last column of a row packs its group's bins by column."""
+def _next_step(width: int, depth: int, shared=None):
+    """For the bins that are wanted at ``depth`` bits: their values, or counts of 16 bits more. ``shared`` has them by group; without it the last column of a row packs its group's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - depth)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded, plans = batch.column(0).dictionary_encode(), batch.column(1 + width)
+            coded = batch.column(0).dictionary_encode()
             keys, gid = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-            first = np.unique(gid, return_index=True)[1]
-            own = [plans[int(i)].as_py() for i in first]
+            if shared is None:
+                own = [batch.column(1 + width)[int(i)].as_py() for i in np.unique(gid, return_index=True)[1]]
+            else:
+                own = [shared.value.get(k, ()) for k in keys]
             slots = max((len(x["prefix"]) for plan in own for x in plan), default=0)
             if not slots:
                 continue
@@ -293,8 +297,14 @@ def _order_statistics(df: DataFrame, keys: list[str], cols: list[str], wanted: W
         open_ = F.filter(F.arrays_zip("prefix", "size", "found"), lambda x: F.isnan(x["found"]))
         bins = F.array_distinct(F.transform(open_, lambda x: F.struct(x["prefix"].alias("prefix"), x["size"].alias("size"))))
         entry = F.struct("j", F.transform(bins, lambda x: x["prefix"]).alias("prefix"), F.transform(bins, lambda x: x["size"]).alias("size"))
-        per_group = sought.groupBy("k").agg(F.collect_list(entry).alias("bins"))  # one entry per column
-        step = values.join(per_group, "k").mapInArrow(_next_step(width, depth), SENT)
+        if sought.count() * 2 * len(wanted) <= MOST_BINS:
+            table: dict[str, list] = {}
+            for r in sought.select("k", entry.alias("e")).select("k", "e.*").toArrow().to_pylist():
+                table.setdefault(r["k"], []).append(r)
+            step = values.mapInArrow(_next_step(width, depth, df.sparkSession.sparkContext.broadcast(table)), SENT)
+        else:
+            per_group = sought.groupBy("k").agg(F.collect_list(entry).alias("bins"))  # one entry per column
+            step = values.join(per_group, "k").mapInArrow(_next_step(width, depth), SENT)
         state = F.struct("n", "total", "prefix", "size", "base", "found")
         sent = step.withColumn("plan", F.lit(None).cast(sought.select(state.alias("s")).schema["s"].dataType))
         before = sought.select("k", "j", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("rows"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), state.alias("plan"))

@@ -279,13 +279,13 @@ means AS (SELECT f, up, avg(y) AS a, sum(sum(y)) OVER (PARTITION BY f) / sum(cou
 settings(candidate_id, n, rate) AS (VALUES {_BOOSTED}),
 all_of AS (SELECT * FROM forests UNION ALL SELECT f, up, candidate_id, m + (a - m) * (1 - pow(1 - rate, n)) FROM means, settings),
 by_month AS (SELECT candidate_id, f, month, avg((y - p) * (y - p)) AS mse FROM b JOIN all_of ON b.year = all_of.f AND b.up = all_of.up GROUP BY candidate_id, f, month)
-SELECT candidate_id, CAST(f AS INT) AS validation_year, round(avg(mse), 9) + 0.0 AS monthly_mse FROM by_month GROUP BY candidate_id, f""",
+SELECT candidate_id, CAST(f AS INT) AS validation_year, round(avg(mse), 8) + 0.0 AS monthly_mse FROM by_month GROUP BY candidate_id, f""",
 )
 def tree_grid_two_values(spark, sf):
     """Fold scores of all 15 tree candidates on a predictor of two values, where forests are bagged group means and boosting closes the gap to them at its rate."""
     df = _two_values(spark, sf)
     results, _ = tuning.tune(df, "month", ["up"], "y", _years(df), TREE_GRID, keys=_KEYS)
-    return rounded(results.select("candidate_id", F.col("validation_year").cast("int").alias("validation_year"), "monthly_mse"), 9)
+    return rounded(results.select("candidate_id", F.col("validation_year").cast("int").alias("validation_year"), "monthly_mse"), 8)
 
 
 @query("final_evaluation")

@@ -129,10 +129,11 @@ def test_distribution_summary_keeps_every_group(spark):
     assert {(r.g, r.observations, r.mean, r.median, r.kinds) for r in out} == {("a", 2, 2.0, 2.0, 0), ("b", 2, 2.0, 2.0, 2), (None, 2, 6.0, 6.0, 1)}
 
 
-@pytest.mark.parametrize("gather", [50_000, 3, 0])
-def test_radix_quantiles_equal_numpy(spark, monkeypatch, gather):
+@pytest.mark.parametrize(("gather", "most"), [(50_000, 1 << 19), (3, 1 << 19), (0, 0)])
+def test_radix_quantiles_equal_numpy(spark, monkeypatch, gather, most):
     """Ties, signed zeros, tiny and huge values, groups of 1 to 2,000 rows, NULL keys and groups without a value; bins refined down to the last bit."""
     monkeypatch.setattr(quantiles, "GATHER", gather)
+    monkeypatch.setattr(quantiles, "MOST_BINS", most)
     rng = np.random.default_rng(gather)
     rows = []
     for g, n in enumerate((5, 1, 200, 2000, 40, 3)):
