@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from panelmill.llm.common import slices
+from panelmill.llm.common import SLICE_CHARS, release, slices
 from panelmill.operators.running import running_totals
 from panelmill.session import cut_lineage
 
 SEQUENCE = 4096
 #: Sequences per window: within it every source gets its share of tokens.
 WINDOW = 16
+#: Documents that a task cuts into pieces at once: the rest of an Arrow batch stays in its buffers.
+CUT_ROWS = 512
 
 
 #: What a file must ask for, so that words between blanks are encoded independently and the tables below hold.
@@ -121,7 +123,7 @@ def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, task, seen = WordCache(path), TaskContext.get().partitionId(), 0
         width = np.dtype(cache.kind).itemsize
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, chars=SLICE_CHARS // 2):
             ids = cache.encode(texts, end)
             uids = (task << 40) + seen + np.arange(len(ids))
             seen += len(ids)
@@ -167,7 +169,8 @@ def _cut(sequence: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PIECE.split(", ")]
         kinds = [pa.int64()] * len(names)
-        for batch in batches:
+        release()
+        for batch in (b.slice(i, CUT_ROWS) for b in batches for i in range(0, b.num_rows, CUT_ROWS)):
             rows = []
             for doc_id, n, at, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 ids = np.frombuffer(data, f"<u{len(data) // n}").astype("<u4")
