@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -86,35 +88,70 @@ class WordCache:
     """Ids of texts from those of their blank-separated words, which the tokenizer encodes independently of each other."""
 
     def __init__(self, path: str, limit: int = 400_000):
-        self.path, self.limit, self.words, self.pieces = path, limit, {}, {}
+        self.path, self.limit, self.words = path, limit, {}
         self.kind = "<u2" if tokenizer(path).get_vocab_size() <= 2**16 else "<u4"
 
-    def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
-        """The ids of every text, and ``end`` behind them if given, as numbers of ``kind``."""
-        plain = [bool(_PLAIN.fullmatch(t)) and not markers(self.path).search(t) for t in texts]
-        split = []
-        for text, simple in zip(texts, plain, strict=True):
-            for blank in "\t\n\r\x0b\x0c":
-                text = text.replace(blank, " ")
-            split.append(text.lower().split(" ") if simple else [(w,) for w in text.split(" ")])
-        fresh = {w for words in split for w in words} - self.words.keys()
-        if len(self.words) + len(fresh) > self.limit:
-            self.words, self.pieces = {}, {}
-            fresh = {w for words in split for w in words}
-        merge = piece_merges(self.path)._core_bpe.encode_single_piece
-        for word in [w for w in fresh if isinstance(w, str)]:
-            ids = []
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+
+    def _learn(self, keys: list) -> None:
+        """Keep the ids of words: strings of plain characters in lower case, and others in tuples, as they are."""
+        unknown = [w for w in keys if w not in self.words]
+        if len(self.words) + len(unknown) > self.limit:
+            self.words, unknown = {}, keys
+        words, merge = self.words, piece_merges(self.path)._core_bpe.encode_single_piece
+        for word in unknown:
+            if not isinstance(word, str):
+                continue
+            if word.isalpha():
+                words[word] = self._packed(merge(word.encode() + _END))
+                continue
+            parts = []
             for piece in _PIECE.findall(word):
-                got = self.pieces.get(piece)
-                if got is None:
-                    got = self.pieces[piece] = merge(piece.encode() + _END)
-                ids += got
-            self.words[word] = np.array(ids, self.kind).tobytes()
-        other = [w for w in fresh if isinstance(w, tuple)]
+                got = words.get(piece)
+                if got is None:  # A piece alone is a word of one piece.
+                    got = words[piece] = self._packed(merge(piece.encode() + _END))
+                parts.append(got)
+            words[word] = b"".join(parts)
+        other = [w for w in unknown if isinstance(w, tuple)]
         for word, got in zip(other, tokenizer(self.path).encode_batch_fast([w for w, in other], add_special_tokens=False), strict=True):
-            self.words[word] = np.array(got.ids, self.kind).tobytes()
-        last = b"" if end is None else np.array([end], self.kind).tobytes()
-        return [b"".join(map(self.words.__getitem__, words)) + last for words in split]
+            words[word] = self._packed(got.ids)
+
+    def _join(self, texts: list[str], plain: bool, last: bytes) -> list[bytes]:
+        """The words of all texts are numbered by Arrow, so each distinct one is looked up once, and NumPy puts the ids together."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        keys = keys if plain else [(w,) for w in keys]
+        self._learn(keys)
+        found = [self.words[w] for w in keys]
+        ids = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.array([len(x) for x in found], np.int64) // ids.itemsize
+        codes = coded.indices.to_numpy()
+        counts = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        # From a word's place in the stream to that in the table.
+        places = np.repeat(((np.cumsum(sizes) - sizes)[codes] - ends[:-1]).astype(np.int32 if ends[-1] < 2**31 else np.int64), counts)
+        places += np.arange(len(places), dtype=places.dtype)
+        stream = ids[places]
+        bounds = ends[lists.offsets.to_numpy()].tolist()
+        return [stream[i:j].tobytes() + last for i, j in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
+        """The ids of every text, and ``end`` behind them if given, as numbers of ``kind``."""
+        marker, last = markers(self.path).search, b"" if end is None else self._packed([end])
+        plain = [bool(_PLAIN.fullmatch(t)) and not marker(t) for t in texts]
+        done: list[bytes] = [b""] * len(texts)
+        for kind in {*plain}:
+            places = [i for i, p in enumerate(plain) if p == kind]
+            ready = []
+            for text in map(texts.__getitem__, places):
+                for blank in "\t\n\r\x0b\x0c":
+                    text = text.replace(blank, " ")
+                ready.append(text.lower() if kind else text)
+            for i, ids in zip(places, self._join(ready, kind, last), strict=True):
+                done[i] = ids
+        return done
 
 
 def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
