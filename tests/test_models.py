@@ -353,3 +353,23 @@ def test_elastic_net_path_equals_cold_sweeps():
         cold.append(steps)
         assert np.abs(fit.standardized - w).max() < 1e-9 and 0 < np.count_nonzero(w) < 400
     assert sum(warm) < 0.5 * sum(cold)
+
+
+def test_moments_take_one_pass_and_keep_digits(spark):
+    """Means far above the spread, rows dealt over many tasks: the merged states give the covariances, and the table is scanned once."""
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(600, 3)) * [1e-3, 1.0, 10.0] + [1e6, -1e7, 3.0]
+    rows = [(dt.date(2001 + k % 3, 1, 31), *map(float, v)) for k, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "month date, y double, a double, b double").repartition(7)
+    whole = moments.combine(list(moments.fold_moments(frame, "month", ["a", "b"], "y").values()))
+    means, covariance = whole.centred()
+    assert np.allclose(means, values.mean(axis=0), rtol=1e-14)
+    assert np.allclose(covariance, np.cov(values.T, bias=True), rtol=1e-6, atol=1e-9)
+    plan = moments.packed_states(frame.selectExpr("year(month) AS p", "*"), "p", ["a", "b"], "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_moments_name_missing_values(spark):
+    frame = spark.createDataFrame([(dt.date(2001, 1, 31), 1.0, None), (dt.date(2002, 1, 31), 2.0, float("nan"))], "month date, y double, a double")
+    with pytest.raises(ValueError, match="2 rows: {'a': 2}"):
+        moments.fold_moments(frame, "month", ["a"], "y")
