@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.functions import names
@@ -42,7 +43,7 @@ def tune_linear(
 ) -> DataFrame:
     """Fold scores (candidate_id, validation_year, monthly_mse) of all linear candidates.
 
-    Two passes over the rows for the moments, one to score every candidate in every fold: validation rows
+    One pass over the rows for the moments, one to score every candidate in every fold: validation rows
     of a year meet the coefficient matrix of that year's fold (p x candidates numbers per fold). The fits of all folds and
     families are solved side by side in tasks, from the years' moments (years x p x p numbers, sent once). A missing value raises.
     """
@@ -138,16 +139,74 @@ def tune_trees(
     return df.sparkSession.createDataFrame(found, "candidate_id string, validation_year int, monthly_mse double")
 
 
+STORED = "sample string, parameters string, candidate_id string, validation_year int, monthly_mse double"
+
+
+def sample_mark(df: DataFrame, columns: Sequence[str], *settings) -> str:
+    """Names a problem by its rows (in any order) and settings, so that a store never lends scores to another one."""
+    h = F.xxhash64(*columns)
+    rows = df.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 24)))).first()
+    return hashlib.blake2b(json.dumps([*rows, list(columns), *settings], default=str, sort_keys=True).encode(), digest_size=16).hexdigest()
+
+
+def _stored(spark: SparkSession, store: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return spark.read.schema(STORED).parquet(store)
+
+
+def resumed_scores(
+    df: DataFrame, time: str, predictors: Sequence[str], target: str, years: Sequence[int], store: str, candidates=CANDIDATES,
+    keys: Sequence[str] = (), commit_folds: int = 1, **tree_options,
+) -> DataFrame:
+    """Fold scores as ``tune_linear`` and ``tune_trees`` give them, committed step by step to the folder ``store``.
+
+    An anti-join of the wanted (candidate, fold) pairs with the store finds what is left; only that is tuned. The linear families are one step, as they share
+    their passes; a tree family takes ``commit_folds`` folds a step. A step's scores are one small file, so it is there as a whole or not at all: a lost driver
+    costs one step. Scores count only for the same rows, settings and parameters; pairs that two runs committed count once.
+    """
+    spark, years = df.sparkSession, [int(y) for y in years]
+    mark = sample_mark(df, list(dict.fromkeys([*keys, time, target, *predictors])), time, target, list(keys), tree_options)
+    wanted = spark.createDataFrame(
+        [(mark, f, parameters, cid, y) for f, cid, parameters, *_ in candidate_rows(list(candidates), candidates) for y in years],
+        "sample string, family string, parameters string, candidate_id string, validation_year int",
+    )
+    pair = ["sample", "parameters", "candidate_id", "validation_year"]
+    left = wanted.join(_stored(spark, store), pair, "left_anti").select("family", *pair).collect()  # candidates x folds at most
+    open_years = {f: sorted({r.validation_year for r in left if r.family == f}) for f in candidates}
+    steps = []
+    linear = [f for f in LINEAR if open_years.get(f)]
+    if linear:
+        steps.append((linear, sorted({y for f in linear for y in open_years[f]})))
+    for start in range(0, len(years), commit_folds):
+        # Steps hold the same folds in every run, so a resumed run grows the same trees.
+        chunk = years[start : start + commit_folds]
+        steps += [([f], chunk) for f in TREES if set(chunk) & set(open_years.get(f, ()))]
+    lacking = spark.createDataFrame(left, "family string, sample string, parameters string, candidate_id string, validation_year int") if left else None
+    for families, folds in steps:
+        part = {f: candidates[f] for f in families}
+        if families[0] in LINEAR:
+            scores = tune_linear(df, time, predictors, target, folds, part)
+        else:
+            scores = tune_trees(df, time, predictors, target, folds, part, keys, **tree_options)
+        fresh = scores.join(F.broadcast(lacking), ["candidate_id", "validation_year"])  # candidates x folds at most
+        fresh.select(*pair, "monthly_mse").coalesce(1).write.mode("append").parquet(store)
+    known = _stored(spark, store).join(F.broadcast(wanted), pair, "left_semi")
+    return known.groupBy("candidate_id", "validation_year").agg(F.min("monthly_mse").alias("monthly_mse"))
+
+
 def tune(
     df: DataFrame, time: str, predictors: Sequence[str], target: str, years: Sequence[int], candidates=CANDIDATES,
-    fixed=FIXED, keys: Sequence[str] = (), **tree_options,
+    fixed=FIXED, keys: Sequence[str] = (), store: str | None = None, commit_folds: int = 1, **tree_options,
 ) -> tuple[DataFrame, DataFrame]:
-    """(fold results, candidate summary) over all families of ``candidates``."""
+    """(fold results, candidate summary) over all families of ``candidates``. With a folder ``store`` a stopped run goes on where it was (``resumed_scores``)."""
     spark = df.sparkSession
     parts = []
-    if any(f in candidates for f in LINEAR):
+    if store:
+        parts.append(resumed_scores(df, time, predictors, target, years, store, candidates, keys, commit_folds, **tree_options))
+    elif any(f in candidates for f in LINEAR):
         parts.append(tune_linear(df, time, predictors, target, years, candidates))
-    if any(f in candidates for f in TREES):
+    if not store and any(f in candidates for f in TREES):
         parts.append(tune_trees(df, time, predictors, target, years, candidates, keys, **tree_options))
     scores = parts[0]
     for part in parts[1:]:

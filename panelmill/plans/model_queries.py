@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from panelmill.operators import relational, resample, timeline
 from panelmill.operators.reports import coefficient_table, cumulative_share, importance_table
 from panelmill.plans.registry import query, rounded, with_views
 from panelmill.plans.views_sql import MONTHLY
-from panelmill.session import cut_lineage
+from panelmill.session import cut_lineage, shared_folder
 from panelmill.sources import adapters as src
 
 PREDICTORS = ["ret_1m", "retvol_1m", "avg_log_dolvol_1m", "avg_range_1m"]
@@ -268,9 +270,7 @@ def random_forest_stages(spark, sf):
 _BOOSTED = ", ".join(f"('gradient_boosting_{i:03d}', {s['n_estimators']}, {s['learning_rate']})" for i, s in enumerate(CANDIDATES["gradient_boosting"], 1))
 
 
-@query(
-    "tree_grid_two_values",
-    _DRAWN + f""", folds AS (SELECT DISTINCT year AS f FROM b WHERE year > (SELECT min(year) FROM b)),
+_TREE_SCORES = _DRAWN + f""", folds AS (SELECT DISTINCT year AS f FROM b WHERE year > (SELECT min(year) FROM b)),
 leaves AS (SELECT f, t, up, sum(drawn) AS n, sum(drawn * y) AS s FROM drawn_rows JOIN folds ON year < f GROUP BY f, t, up),
 grown AS (SELECT f, t, up, CASE WHEN min(n) OVER w >= 20 AND count(*) OVER w = 2 THEN s / n ELSE sum(s) OVER w / sum(n) OVER w END AS value FROM leaves WINDOW w AS (PARTITION BY f, t)),
 forests AS (SELECT f, up, 'random_forest_001' AS candidate_id, avg(value) AS p FROM grown WHERE t < 100 GROUP BY f, up UNION ALL SELECT f, up, 'random_forest_002', avg(value) FROM grown WHERE t < 200 GROUP BY f, up
@@ -279,8 +279,10 @@ means AS (SELECT f, up, avg(y) AS a, sum(sum(y)) OVER (PARTITION BY f) / sum(cou
 settings(candidate_id, n, rate) AS (VALUES {_BOOSTED}),
 all_of AS (SELECT * FROM forests UNION ALL SELECT f, up, candidate_id, m + (a - m) * (1 - pow(1 - rate, n)) FROM means, settings),
 by_month AS (SELECT candidate_id, f, month, avg((y - p) * (y - p)) AS mse FROM b JOIN all_of ON b.year = all_of.f AND b.up = all_of.up GROUP BY candidate_id, f, month)
-SELECT candidate_id, CAST(f AS INT) AS validation_year, round(avg(mse), 8) + 0.0 AS monthly_mse FROM by_month GROUP BY candidate_id, f""",
-)
+SELECT candidate_id, CAST(f AS INT) AS validation_year, round(avg(mse), 8) + 0.0 AS monthly_mse FROM by_month GROUP BY candidate_id, f"""
+
+
+@query("tree_grid_two_values", _TREE_SCORES)
 def tree_grid_two_values(spark, sf):
     """Fold scores of all 15 tree candidates on a predictor of two values, where forests are bagged group means and boosting closes the gap to them at its rate."""
     df = _two_values(spark, sf)
@@ -288,6 +290,17 @@ def tree_grid_two_values(spark, sf):
     return rounded(results.select("candidate_id", F.col("validation_year").cast("int").alias("validation_year"), "monthly_mse"), 8)
 
 
+@query("tree_grid_resumed", _TREE_SCORES)
+def tree_grid_resumed(spark, sf):
+    """The same scores from a run that stopped after half of the folds and went on from its store."""
+    df, store = cut_lineage(_two_values(spark, sf)), f"{shared_folder(spark).rstrip('/')}/panelmill/{uuid.uuid4().hex}"
+    years = _years(df)
+    half = max(1, len(years) // 2)
+    for folds in (years[:half], years):
+        results, _ = tuning.tune(df, "month", ["up"], "y", folds, TREE_GRID, keys=_KEYS, store=store, commit_folds=half)
+    return rounded(results.select("candidate_id", F.col("validation_year").cast("int").alias("validation_year"), "monthly_mse"), 8)
+
+
 @query("final_evaluation")
 def final_evaluation(spark, sf):
     df = _stored(spark, sf)

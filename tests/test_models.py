@@ -373,3 +373,40 @@ def test_moments_name_missing_values(spark):
     frame = spark.createDataFrame([(dt.date(2001, 1, 31), 1.0, None), (dt.date(2002, 1, 31), 2.0, float("nan"))], "month date, y double, a double")
     with pytest.raises(ValueError, match="2 rows: {'a': 2}"):
         moments.fold_moments(frame, "month", ["a"], "y")
+
+
+def test_stopped_grid_goes_on_from_its_store(spark, frame, tmp_path, monkeypatch):
+    """A run that dies at its third step has stored two; the next one tunes only the rest, and the scores are those of an undisturbed run."""
+    small = {
+        "pls": [{"n_components": 1}, {"n_components": 2}],
+        "random_forest": [{"n_estimators": 3}, {"n_estimators": 5}],
+        "gradient_boosting": [{"n_estimators": 4, "learning_rate": 0.3, "max_depth": 1}],
+    }
+    real, steps, limit = tuning.tune_trees, [], [1]
+
+    def counted(df, time, predictors, target, years, candidates, keys=(), **options):
+        steps.append((tuple(years), *candidates))
+        if len(steps) > limit[0]:
+            raise RuntimeError("driver lost")
+        return real(df, time, predictors, target, years, candidates, keys, **options)
+
+    monkeypatch.setattr(tuning, "tune_trees", counted)
+    run = lambda folder, grid=small: tuning.tune(frame, "month", P, "y", [2002, 2003], grid, {}, ["entity", "month"], store=str(tmp_path / folder), max_depth=3, bins=16)[0]
+    with pytest.raises(RuntimeError, match="driver lost"):
+        run("stopped")
+    kept = {tuple(r) for r in spark.read.parquet(str(tmp_path / "stopped")).collect()}
+    assert len(kept) == 2 * 2 + 2
+    limit[0] = 99
+    steps.clear()
+    scores = lambda df: {(r.candidate_id, r.validation_year): r.monthly_mse for r in df.collect()}
+    resumed = scores(run("stopped"))
+    assert steps == [((2002,), "gradient_boosting"), ((2003,), "random_forest"), ((2003,), "gradient_boosting")]
+    steps.clear()
+    assert scores(run("stopped")) == resumed and not steps
+    whole = scores(run("whole"))
+    assert resumed.keys() == whole.keys() and len(whole) == 10
+    assert all(abs(resumed[k] - whole[k]) < 1e-12 for k in whole)
+    steps.clear()
+    other = small | {"random_forest": [{"n_estimators": 2}, {"n_estimators": 5}]}  # only the changed candidate is tuned
+    run("stopped", other)
+    assert steps == [((2002,), "random_forest"), ((2003,), "random_forest")]
